@@ -15,8 +15,7 @@ def collected(chunks: DataFrame, *columns: str, id_col: str = "doc_id", order: s
     """
     row = F.sort_array(F.collect_list(F.struct(order, *columns))).alias("_rows")
     return chunks.groupBy(id_col).agg(row).select(
-        id_col, F.size("_rows").alias("chunks"),
-        *[F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in columns])
+        id_col, F.size("_rows").alias("chunks"), *[F.col(f"_rows.{c}").alias(c) for c in columns])
 
 
 def document_summaries(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:

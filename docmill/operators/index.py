@@ -96,9 +96,9 @@ def upserted(existing: DataFrame, updates: DataFrame, keys: list[str], order: li
     return existing.join(new.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(new)
 
 
-def replaced_documents(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """All rows of the documents in `new` are replaced, so no old tail remains."""
-    kept = existing.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
+def replaced(existing: DataFrame, new: DataFrame, owner: str = "doc_id") -> DataFrame:
+    """All rows of the owners in `new` are replaced, so no old tail remains."""
+    kept = existing.join(new.select(owner).distinct(), owner, "left_anti")
     return kept.select(*existing.columns).unionByName(new.select(*existing.columns))
 
 

@@ -7,6 +7,7 @@ the tasks, so concurrency is the number of partitions; pass `partitions` to wide
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,16 @@ from pyspark.sql import types as T
 from docmill.functions import text as text_fn
 
 BatchFunction = Callable[[list[str]], list]
-Summarizer = BatchFunction | Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class Expression:
+    """A summarizer that is a column expression, evaluated without Python."""
+
+    apply: Callable[[Column], Column]
+
+
+Summarizer = BatchFunction | Expression
 
 
 def _attempt(fn: BatchFunction, values: list[str], tries: int) -> tuple[list, list, list]:
@@ -73,10 +83,7 @@ def infer(df: DataFrame, prompt: str, fn: BatchFunction, out: str = "answer", re
 
 
 # Engines: the built-in ones are column expressions, the named model engines are supplied.
-BUILT_IN: dict[str, Callable[[Column], Column]] = {
-    "extractive": text_fn.extractive,
-    "lead": text_fn.lead,
-}
+BUILT_IN = {"extractive": Expression(text_fn.extractive), "lead": Expression(text_fn.lead)}
 MODEL_ENGINES = ("openai", "langchain", "seq2seq")  # fixed values: accepted model names
 
 
@@ -90,16 +97,16 @@ def engine(name: str, functions: dict[str, BatchFunction] | None = None) -> Summ
     raise ValueError(f"Unsupported engine: {name}")
 
 
-def summarize(chunks: DataFrame, by: str | Callable[[Column], Column] | BatchFunction = "extractive",
+def summarize(chunks: DataFrame, by: str | Summarizer = "extractive",
               functions: dict[str, BatchFunction] | None = None, column: str = "chunk",
               out: str = "summary", partitions: int | None = None) -> DataFrame:
     """A summary per chunk row; a failure gives ''.
 
-    An engine name or a column expression for built-ins, a batch function for models.
+    `by` is an engine name, an Expression, or a batch function.
     """
     fn = engine(by, functions) if isinstance(by, str) else by
-    if fn in BUILT_IN.values():
-        return chunks.withColumn(out, F.coalesce(fn(F.col(column)), F.lit("")))
+    if isinstance(fn, Expression):
+        return chunks.withColumn(out, F.coalesce(fn.apply(F.col(column)), F.lit("")))
     done = infer(chunks, column, fn, out="_answer", partitions=partitions)
     return done.withColumn(out, F.coalesce("_answer", F.lit(""))).drop(
         "_answer", "_answer_error", "_answer_attempts", "_answer_status")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import vectors
-from docmill.operators import index
+from docmill.operators import index, inference
 from docmill.plans.ingest import chunk_rows, described, embedded, finished
+from docmill.session import staged
 from docmill.sources import documents, tables
 
 
@@ -31,7 +32,7 @@ def to_index(docs: DataFrame, state: DataFrame, mode: str = "hash", full: bool =
 
 def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: str, now: int, *,
             mode: str = "hash", full: bool = False, ids: DataFrame | None = None,
-            summarize=None, embed=vectors.hashed_embedding, strategy: str = "paragraph",
+            summarizer="lead", functions: dict | None = None, embed=vectors.hashed_embedding, strategy: str = "paragraph",
             buckets: int = tables.BUCKETS, **options) -> DataFrame:
     """Bring index and state up to date; returns the progress of the documents.
 
@@ -44,24 +45,22 @@ def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: s
     known = tables.exists(spark, state_path)
     state = tables.read(spark, state_path) if known else spark.createDataFrame([], state_schema)
     todo = to_index(docs, state, mode, full, strategy, **options)
-    from docmill.operators.inference import summarize as summarize_chunks
-
-    rows = finished(embedded(summarize_chunks(todo, summarize or "lead"), embed), now)
+    rows = staged(finished(embedded(inference.summarize(todo, summarizer, functions), embed), now), "reindex")
     if full:
-        tables.replace_documents(spark, index_path, rows, buckets)
-        tables.replace_documents(spark, state_path, index.state_rows(rows), buckets)
+        tables.replace(spark, index_path, rows, buckets)
+        tables.replace(spark, state_path, index.state_rows(rows), buckets)
         return index.progress(tables.read(spark, state_path), docs)
     tables.upsert(spark, index_path, rows, ["vector_id"], buckets=buckets)
-    written = tables.read(spark, index_path)
     if mode == "hash":
         current = chunk_rows(described(docs), strategy, **options).select("doc_id", "chunk_id")
-        gone = index.stale_by_hash(current, written.select("doc_id", "chunk_id"), docs)
+        written = tables.read(spark, index_path).select("doc_id", "chunk_id")
+        gone = staged(index.stale_by_hash(current, written, docs), "stale")
         tables.rewrite(spark, index_path, gone, lambda old: old.join(
-            gone, ["doc_id", "chunk_id"], "left_anti").select(*old.columns), buckets)
+            gone, ["doc_id", "chunk_id"], "left_anti").select(*old.columns), buckets, shrinks=True)
     # The state follows the index table, so it never claims a chunk that was not written.
     touched = docs.select("doc_id", F.coalesce("version", F.lit(index.UNKNOWN_VERSION)).alias("_version"))
     now_there = tables.read(spark, index_path).join(touched, "doc_id").withColumn("version", F.col("_version"))
-    tables.replace_documents(spark, state_path, index.state_rows(now_there), buckets)
+    tables.replace(spark, state_path, index.state_rows(now_there), buckets)
     return index.progress(tables.read(spark, state_path), docs)
 
 

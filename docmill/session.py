@@ -50,6 +50,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` once to the shared folder and go on from the written table.
+
+    For results that several writes need: they are computed once, and a lost executor
+    rereads files instead of recomputing.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def balanced(df: DataFrame, key: str) -> DataFrame:
     """Spread an input that has fewer splits than cores, such as a one-row-group file.
 

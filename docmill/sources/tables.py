@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.records import DEFAULT_ACL
 from docmill.functions.text import BLANK_LINE
-from docmill.operators.index import latest, replaced_documents, upserted
+from docmill.operators.index import latest, replaced, upserted
 
 BUCKET = "bucket"
 BUCKETS = 64
@@ -55,14 +55,15 @@ def write_jdbc(df: DataFrame, url: str, table: str, **properties: str) -> None:
 # ---- bucketed tables --------------------------------------------------------------------
 
 
-def bucketed(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Add the partition column: a hash of the document, so its rows are found together."""
-    return df.withColumn(BUCKET, F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(buckets)).cast("int"))
+def bucketed(df: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id") -> DataFrame:
+    """Add the partition column: a hash of the owning document (or session)."""
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(owner).cast("string")), F.lit(buckets)).cast("int"))
 
 
-def create(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+def create(df: DataFrame, path: str, buckets: int = BUCKETS, owner: str = "doc_id") -> None:
     """Write a bucketed table. `rebalance` splits a hot bucket over tasks and joins small ones."""
-    bucketed(df, buckets).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    (bucketed(df, buckets, owner).hint("rebalance", BUCKET)
+     .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -75,20 +76,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rewrite(spark: SparkSession, path: str, touched: DataFrame, change: Callable[[DataFrame], DataFrame],
-            buckets: int = BUCKETS) -> None:
-    """Replace the buckets of the documents in `touched` by `change(their rows)`.
+            buckets: int = BUCKETS, owner: str = "doc_id", shrinks: bool = False) -> None:
+    """Replace the buckets of the owners in `touched` by `change(their rows)`.
 
     At most `buckets` numbers come to the driver; other buckets are neither read nor written.
     Each overwrite is staged and committed as a whole, so a lost executor only repeats tasks.
-    A bucket that loses its last row is overwritten by an empty file.
+    With `shrinks`, a bucket that loses its last row is overwritten by an empty file.
     """
-    hit = {r[0] for r in bucketed(touched, buckets).select(BUCKET).distinct().collect()}
-    if not hit:
+    hit = {r[0] for r in bucketed(touched, buckets, owner).select(BUCKET).distinct().collect()}
+    if not hit or not exists(spark, path):
         return
     old = spark.read.parquet(path).where(F.col(BUCKET).isin(sorted(hit)))
     columns = [c for c in old.columns if c != BUCKET]
-    new = bucketed(change(old.select(*columns)), buckets).select(*columns, BUCKET)
-    emptied = hit - {r[0] for r in new.select(BUCKET).distinct().collect()}
+    new = bucketed(change(old.select(*columns)), buckets, owner).select(*columns, BUCKET)
+    emptied = hit - {r[0] for r in new.select(BUCKET).distinct().collect()} if shrinks else set()
     (new.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(BUCKET).parquet(path))
     nothing = spark.createDataFrame([], old.select(*columns).schema)
@@ -97,22 +98,23 @@ def rewrite(spark: SparkSession, path: str, touched: DataFrame, change: Callable
 
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str],
-           order: list[str] | None = None, buckets: int = BUCKETS) -> None:
+           order: list[str] | None = None, buckets: int = BUCKETS, owner: str = "doc_id") -> None:
     """Insert or replace rows by key; creates the table on first use."""
     if not exists(spark, path):
-        create(latest(updates, keys, order) if order else updates, path, buckets)
+        create(latest(updates, keys, order) if order else updates, path, buckets, owner)
         return
-    rewrite(spark, path, updates, lambda old: upserted(old, updates, keys, order), buckets)
+    rewrite(spark, path, updates, lambda old: upserted(old, updates, keys, order), buckets, owner)
 
 
-def delete_documents(spark: SparkSession, path: str, doc_ids: DataFrame, buckets: int = BUCKETS) -> None:
-    rewrite(spark, path, doc_ids,
-            lambda old: old.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"), buckets)
+def delete(spark: SparkSession, path: str, owners: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id") -> None:
+    """Drop every row of the given documents (or sessions)."""
+    rewrite(spark, path, owners,
+            lambda old: old.join(owners.select(owner).distinct(), owner, "left_anti"), buckets, owner, True)
 
 
-def replace_documents(spark: SparkSession, path: str, rows: DataFrame, buckets: int = BUCKETS) -> None:
-    """Replace all rows of the documents in `rows`."""
+def replace(spark: SparkSession, path: str, rows: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id") -> None:
+    """Replace all rows of the documents (or sessions) in `rows`."""
     if not exists(spark, path):
-        create(rows, path, buckets)
+        create(rows, path, buckets, owner)
         return
-    rewrite(spark, path, rows, lambda old: replaced_documents(old, rows), buckets)
+    rewrite(spark, path, rows, lambda old: replaced(old, rows, owner), buckets, owner)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docmill.operators import index
 from docmill.plans.ingest import ingest
+from docmill.session import balanced, staged
 from docmill.sources import tables
 
 
@@ -27,11 +28,6 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFra
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
-def audit_rows(rows: DataFrame, event: str, batch_id: int) -> DataFrame:
-    return rows.select(F.lit(event).alias("event"), F.col("doc_id").cast("string").alias("doc_id")).distinct() \
-        .withColumn("batch_id", F.lit(batch_id))
-
-
 def start(docs: DataFrame, index_path: str, state_path: str, audit_path: str, checkpoint: str, now: int,
           buckets: int = tables.BUCKETS, **settings) -> StreamingQuery:
     """Index every new document, record the state and an audit event per document.
@@ -41,16 +37,21 @@ def start(docs: DataFrame, index_path: str, state_path: str, audit_path: str, ch
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = ingest(batch, now, **settings)
+        batch = balanced(batch, "doc_id")
+        rows = staged(ingest(batch, now, **settings), "batch")
         tables.upsert(spark, index_path, rows, ["vector_id"], buckets=buckets)
         tables.upsert(spark, state_path, index.state_rows(rows), ["doc_id", "chunk_id"], buckets=buckets)
-        audit_rows(batch, "indexed", batch_id).drop("batch_id").write.mode("overwrite").parquet(
-            f"{audit_path}/batch_id={batch_id}")
+        events = rows.select(F.lit("indexed").alias("event"), F.col("doc_id").cast("string").alias("doc_id"))
+        events.distinct().write.mode("overwrite").parquet(f"{audit_path}/batch_id={batch_id}")
 
     return (docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def latest_status_stream(events: DataFrame) -> DataFrame:
-    """Running latest status per document, for an update-mode sink."""
-    return index.latest_status(events)
+def start_status(events: DataFrame, path: str, checkpoint: str, buckets: int = 8) -> StreamingQuery:
+    """Keep the latest status per document in a table; events: doc_id, status, ts, seq."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        tables.upsert(batch.sparkSession, path, batch, ["doc_id"], buckets=buckets)
+
+    return (index.latest_status(events).writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from docmill.sources import tables
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MESSAGE = "seq long, role string, content string"
@@ -43,3 +46,24 @@ def memory_stream(messages: DataFrame, n: int = 20) -> DataFrame:
     return messages.groupBy("session_id").transformWithStateInPandas(
         LastMessages(n), "session_id long, seq long, role string, content string, position int",
         "Update", "None")
+
+
+def start_memory(messages: DataFrame, path: str, checkpoint: str, n: int = 20, buckets: int = 8) -> StreamingQuery:
+    """Keep every session's memory in a table; a session's rows are replaced as it grows."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        tables.replace(batch.sparkSession, path, batch, buckets, "session_id")
+
+    return (memory_stream(messages, n).writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Start a stateful query with the RocksDB state store, then put the session's setting back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -15,7 +15,7 @@ from docmill.workload.registry import query
 from docmill.workload.textual import KEYWORD_CTE, LEAD
 
 # Stored state by language: en current and whole, fr old version and half, de current version
-# but interrupted half-way, es unknown. One line in the middle of every fr document was edited.
+# but interrupted half-way, es unknown. The first line of every fr document was edited since.
 STATE = """sizes AS (SELECT doc_id, max(chunk_id) + 1 AS n FROM lines GROUP BY doc_id),
 state AS (SELECT l.doc_id, CASE WHEN lang = 'fr' THEN 'v_old' ELSE version END AS version, chunk_id,
     sha256(CASE WHEN lang = 'fr' AND chunk_id = 0 THEN chunk || ' (old)' ELSE chunk END) AS chunk_hash
@@ -145,13 +145,13 @@ def index_delete_table(spark, sf):
     stored, _ = _stored_and_updates(spark, sf)
     path = scratch_path(spark, "delete")
     tables.create(stored, path, 8)
-    tables.delete_documents(spark, path, table(spark, sf, "labels"), 8)
+    tables.delete(spark, path, table(spark, sf, "labels"), 8)
     return tables.read(spark, path).select("vector_id", "chunk_id")
 
 
 @query(f"""WITH {LINES} SELECT CASE WHEN lang = 'es' THEN 'chunk_' || chunk_id ELSE doc_id || '_chunk_' || chunk_id END AS vector_id,
   CASE WHEN lang = 'es' THEN 'default_collection' ELSE CAST(doc_id AS VARCHAR) END AS collection, doc_id
-FROM lines QUALIFY row_number() OVER (PARTITION BY 1, 2 ORDER BY doc_id DESC) = 1""")
+FROM lines QUALIFY row_number() OVER (PARTITION BY vector_id, collection ORDER BY doc_id DESC) = 1""")
 def vector_upsert(spark, sf):
     """Rows without metadata share the default collection; the last document wins there."""
     known = F.col("lang") != "es"
@@ -180,7 +180,7 @@ def cache_write(spark, sf):
     """Cached chunks get a time; re-caching fr documents with two chunks leaves no old tail."""
     rows = line_chunks(spark, sf, "ts", "lang").drop("chunk")
     again = rows.where("lang = 'fr' and chunk_id < 2").withColumn("ts", F.lit(None).cast("bigint"))
-    cached = index.replaced_documents(index.cache_rows(rows, NOW), index.cache_rows(again, NOW))
+    cached = index.replaced(index.cache_rows(rows, NOW), index.cache_rows(again, NOW))
     return cached.select("doc_id", "chunk_id", "ts")
 
 

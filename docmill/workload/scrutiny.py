@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from docmill.functions import text as T
+from docmill.functions import prompts, text as T
 from docmill.operators import inference, quality
 from docmill.workload.fixtures import LINES, SQL_SENTENCES, documents, line_chunks, table
 from docmill.workload.registry import query
@@ -70,7 +70,7 @@ def embedding_drift(spark, sf):
     return quality.embedding_drift(rows.where(F.col("vec_id") < middle), rows.where(F.col("vec_id") >= middle), "label")
 
 
-def grade(prompts: list[str]) -> list[str]:
+def grade(asked: list[str]) -> list[str]:
     """Stands in for a grading model: the score is the number of commas, long prompts are refused."""
     return [json.dumps({"score": p.count(","), "reason": f"{p.count('.')} stops"}) if len(p) < 3000 else "too long"
             for p in prompts]
@@ -78,7 +78,6 @@ def grade(prompts: list[str]) -> list[str]:
 
 
 def _grade_sql() -> str:
-    from docmill.functions import prompts
     around = prompts.EVALUATE_BEFORE + prompts.EVALUATE_AFTER
     c, d = around.count(","), around.count(".")
     commas = f"(length(text) - length(replace(text, ',', '')) + {c})"
@@ -96,21 +95,21 @@ def batch_evaluation(spark, sf):
     return inference.evaluated(rows, grade).select("doc_id", "evaluation.*")
 
 
-def strict(prompts: list[str]) -> list[str]:
-    return ["Yes." if "error" in p.lower() else "No" for p in prompts]
+def strict(asked: list[str]) -> list[str]:
+    return ["Yes." if "error" in p.lower() else "No" for p in asked]
 
 
-def lenient(prompts: list[str]) -> list[str]:
-    return ["yes, clearly" if len(p) > 2500 else "no" for p in prompts]
+def lenient(asked: list[str]) -> list[str]:
+    return ["yes, clearly" if len(p) > 2500 else "no" for p in asked]
 
 
-def broken(prompts: list[str]) -> list[str]:
+def broken(asked: list[str]) -> list[str]:
     raise RuntimeError("judge is down")
 
 
-@query("""SELECT doc_id, CAST(a + b AS BIGINT) AS votes, CAST(3 AS BIGINT) AS checks, a + b > 1.5 AS flagged FROM (
-  SELECT doc_id, CAST(contains(lower(text), 'error') AS INTEGER) AS a, CAST(length(text) + 72 > 2500 AS INTEGER) AS b
-  FROM documents)""")
+@query(f"""SELECT doc_id, CAST(a + b AS BIGINT) AS votes, CAST(3 AS BIGINT) AS checks, a + b > 1.5 AS flagged FROM (
+  SELECT doc_id, CAST(contains(lower(text), 'error') AS INTEGER) AS a,
+         CAST(length(text) + {len(prompts.JUDGE) + 2} > 2500 AS INTEGER) AS b FROM documents)""")
 def model_judges(spark, sf):
     """Three model judges over whole texts; the one that fails never flags."""
     votes = inference.judged(documents(spark, sf), {"strict": strict, "lenient": lenient, "broken": broken})

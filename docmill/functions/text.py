@@ -135,12 +135,15 @@ def extractive(text: Column, n: int = 3) -> Column:
     def best(parts: Column) -> Column:
         tagged = F.flatten(F.transform(
             parts, lambda s, i: F.transform(tokens(s), lambda w: F.struct(w.alias("w"), i.alias("s")))))
-        weighed = let(F.sort_array(tagged), _weigh)
-        scored = let(F.sort_array(weighed), _mean_by_sentence)
+        return let(F.sort_array(tagged), lambda occ: F.when(F.size(occ) > 0, pick(parts, occ)).otherwise(
+            F.array_join(F.slice(parts, 1, n), " ")))
+
+    def pick(parts: Column, occ: Column) -> Column:
+        scored = let(F.sort_array(_weigh(occ)), _mean_by_sentence)
         chosen = F.sort_array(F.transform(F.slice(F.sort_array(scored), 1, n), lambda x: x["s"]))
         return F.array_join(F.transform(chosen, lambda i: F.get(parts, i)), " ")
 
-    return F.when(F.size(tokens(text)) > 0, let(sentences(text), best)).otherwise(lead(text, n))
+    return let(sentences(text), best)
 
 
 def _weigh(occ: Column) -> Column:
@@ -171,6 +174,8 @@ def _mean_by_sentence(occ: Column) -> Column:
 
 def contains_phrase(text: Column, phrase: str) -> Column:
     """Exact token sequence: the phrase's tokens appear next to each other, in order."""
-    def padded(c: Column) -> Column:
-        return F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
-    return F.contains(padded(text), padded(F.lit(phrase)))
+    parts = "".join(c if c.isalnum() or c == "_" else " " for c in phrase.lower()).split()
+    if not parts:
+        raise ValueError("a phrase needs at least one word")
+    apart, inside = r"[^\p{L}\p{N}_]+", r"[\p{L}\p{N}_]"
+    return F.lower(text).rlike(f"(?<!{inside})" + apart.join(parts) + f"(?!{inside})")

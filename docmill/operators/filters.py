@@ -47,14 +47,19 @@ def matching_queries(chunks: DataFrame, queries: DataFrame, id_cols: tuple[str,
     only hits become rows. One checked block is broadcast; more blocks are hashed together
     with bounded cells of the chunks.
     """
-    ask = F.struct("qid", "keyword", "acl", "min_time", "max_time")
+    # Everything that does not depend on the pair is computed once per row, before the pairing.
+    ask = F.struct("qid", F.lower(F.coalesce("keyword", F.lit(""))).alias("keyword"),
+                   F.coalesce("acl", F.lit("")).alias("acl"),
+                   F.coalesce("min_time", F.lit(0)).cast("bigint").alias("min_time"),
+                   F.coalesce("max_time", F.lit(0)).cast("bigint").alias("max_time"))
+    chunks = (chunks.withColumn("_low", F.lower(F.coalesce("summary", F.lit(""))))
+              .withColumn("_acl", F.coalesce("acl", F.lit(""))).withColumn("_ts", F.coalesce("ts", F.lit(0))))
 
     def wanted(q: Column) -> Column:
-        return (
-            (F.coalesce(q["acl"], F.lit("")).isin("") | F.coalesce(q["acl"] == F.col("acl"), F.lit(False)))
-            & has_keyword(F.coalesce(q["keyword"], F.lit("")), F.col("summary"))
-            & ((F.coalesce(q["min_time"], F.lit(0)) == 0) | (F.coalesce("ts", F.lit(0)) >= q["min_time"]))
-            & ((F.coalesce(q["max_time"], F.lit(0)) == 0) | (F.coalesce("ts", F.lit(0)) <= q["max_time"])))
+        return (((q["acl"] == "") | (q["acl"] == F.col("_acl")))
+                & ((q["min_time"] == 0) | (F.col("_ts") >= q["min_time"]))
+                & ((q["max_time"] == 0) | (F.col("_ts") <= q["max_time"]))
+                & F.contains(F.col("_low"), q["keyword"]))
 
     if small_enough(queries, block_rows):
         blocks = queries.groupBy(F.lit(0).alias("_block")).agg(F.collect_list(ask).alias("_asked"))
@@ -69,15 +74,18 @@ def matching_queries(chunks: DataFrame, queries: DataFrame, id_cols: tuple[str,
                .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
                .join(blocks.hint("shuffle_hash"), ["_cell", "_block"]))
     hit = met.withColumn("_hit", F.explode(F.filter("_asked", wanted)))
-    return hit.withColumn("qid", F.col("_hit.qid")).drop("_asked", "_hit", "_block", "_cell")
+    return hit.withColumn("qid", F.col("_hit.qid")).drop(
+        "_asked", "_hit", "_block", "_cell", "_low", "_acl", "_ts")
 
 
 def with_any_tag(df: DataFrame, tags: list[str], column: str = "keywords") -> DataFrame:
-    return df.where(F.arrays_overlap(F.col(column), F.array(*[F.lit(t) for t in tags])))
+    # coalesce keeps Catalyst from adding a null test that would compute the tags a second time
+    found = F.arrays_overlap(F.col(column), F.array(*[F.lit(t) for t in tags]))
+    return df.where(F.coalesce(found, F.lit(False)))
 
 
 def with_tag(df: DataFrame, tag: str, column: str = "keywords") -> DataFrame:
-    return df.where(F.array_contains(column, tag))
+    return df.where(F.coalesce(F.array_contains(column, tag), F.lit(False)))
 
 
 def with_phrase(df: DataFrame, phrase: str, column: str = "text") -> DataFrame:

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import tokens
 from docmill.operators.topk import Kernel, ranked, small_enough, top_k
+from docmill.session import staged
 
 # Published defaults (Robertson & Zaragoza 2009; Cormack et al. 2009).
 K1 = 1.2
 B = 0.75
 RRF_OFFSET = 60
+EVERY = ""  # no token is empty, so this term stands for the document itself
+VOCABULARY_ROWS = 200_000
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -25,30 +28,33 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 def weighted_queries(index: DataFrame, queries: DataFrame) -> DataFrame:
     """Queries with the idf of their distinct terms and the corpus' mean length.
 
-    Document frequencies are counted map-side first, so a term that occurs everywhere sends
-    one row per task. Terms outside the queries are dropped before the count when the query
-    vocabulary is small enough to broadcast, and after it otherwise.
+    One pass over the corpus: each document gives its distinct terms and one empty term that
+    counts documents and lengths. Counting is map-side first, so a term that occurs everywhere
+    sends one row per task. Terms nobody asks for are dropped before the count when the query
+    vocabulary is small enough to broadcast, and by the join otherwise.
     """
     asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     vocabulary = asked.select("term").distinct()
-    seen = index.select(F.explode(F.array_distinct("tokens")).alias("term"))
-    if small_enough(vocabulary, rows=200_000):
-        seen = seen.join(F.broadcast(vocabulary), "term", "left_semi")
-    frequency = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = index.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
-    n, mean = corpus["n"], float(corpus["mean"] or 0.0)
+    seen = index.select(F.explode(F.array_append(F.array_distinct("tokens"), F.lit(EVERY))).alias("term"),
+                        F.size("tokens").cast("bigint").alias("length"))
+    if small_enough(vocabulary, rows=VOCABULARY_ROWS):
+        wanted = vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([(EVERY,)], "term string"))
+        seen = seen.join(F.broadcast(wanted), "term", "left_semi")
+    counts = staged(seen.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("length").alias("length")), "terms")
+    corpus = counts.where(F.col("term") == EVERY).select("df", "length").first()
+    n, mean = (corpus["df"], corpus["length"] / corpus["df"]) if corpus else (0, 0.0)
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return (asked.join(frequency, "term")
+    return (asked.join(counts, "term")
             .groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("terms"))
-            .withColumn("mean_length", F.lit(mean)))
+            .withColumn("mean_length", F.lit(float(mean))))
 
 
 def bm25_kernel(k1: float = K1, b: float = B) -> Kernel:
     """Term counts of a batch of documents times the idf of the query block."""
     def prepare(block: pa.Table):
         flat = block["terms"].combine_chunks()
-        owner = flat.value_parent_indices().to_numpy() if hasattr(flat, "value_parent_indices") else \
-            pc.list_parent_indices(flat).to_numpy()
+        owner = pc.list_parent_indices(flat).to_numpy()
         terms, idf = flat.flatten().field("term"), flat.flatten().field("idf").to_numpy()
         vocabulary = pc.unique(terms)
         weight = np.zeros((len(vocabulary), block.num_rows))
@@ -76,7 +82,7 @@ def bm25_top_k(index: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
                k1: float = K1, b: float = B, **options) -> DataFrame:
     """Best documents by BM25: (qid, id, score, rank). `index` has (id, tokens), queries (qid, text)."""
     hits = top_k(index.select(id_col, "tokens"), weighted_queries(index, queries),
-                 bm25_kernel(k1, b), k, id_col=id_col, **options)
+                 bm25_kernel(k1, b), k, id_col=id_col, sized=queries, **options)
     return hits.select("qid", id_col, (-F.col("cost")).alias("score"), "rank")
 
 

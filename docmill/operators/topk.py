@@ -106,9 +106,13 @@ def ranked(hits: DataFrame, qid: str, order: list[Column], k: int) -> DataFrame:
 
 def top_k(corpus: DataFrame, queries: DataFrame, kernel: Kernel, k: int, *, qid: str = "qid",
           id_col: str = "doc_id", carry: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS,
-          cell_rows: int = CELL_ROWS, cell: str | None = None, probes: str | None = None) -> DataFrame:
+          cell_rows: int = CELL_ROWS, cell: str | None = None, probes: str | None = None,
+          sized: DataFrame | None = None) -> DataFrame:
     """(qid, id, *carry, cost, rank) of the k cheapest corpus rows per query.
 
+    The size check runs over `sized` where the queries are costly to compute: a table with
+    the same rows and at least the same amount of data.
+
     `cell` names a corpus column that restricts the search: a row is a candidate only for
     queries whose array column `probes` holds its value.
     """
@@ -117,7 +121,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, kernel: Kernel, k: int, *, qid:
     kept = list(carry)
     schema = _schema(corpus, queries, qid, id_col, kept)
     names = [f.name for f in schema.fields]
-    if small_enough(queries, block_rows):
+    if small_enough(queries if sized is None else sized, block_rows):
         hits = _scan(corpus, queries, kernel, k, qid, id_col, kept, schema, names, cell, probes)
     else:
         hits = _grouped(corpus, queries, kernel, k, qid, id_col, kept, schema, names,

@@ -6,12 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.text import let
 from docmill.functions.vectors import cosine
-from docmill.operators.topk import Kernel, ranked, small_enough, top_k
+from docmill.operators.topk import Kernel, small_enough, top_k
 
 # Fixed values.
 TOP_K = 5
@@ -42,8 +42,17 @@ def squared_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def l2_kernel(embedding: str = "embedding") -> Kernel:
-    return Kernel(prepare=lambda block: matrix(block[embedding]),
-                  cost=lambda q, rows: squared_distances(q, matrix(rows[embedding])))
+    """Squared L2; a row without a vector matches nothing."""
+    def cost(q: np.ndarray, rows: pa.Table) -> np.ndarray:
+        has = rows[embedding].is_valid().to_numpy()
+        if has.all():
+            return squared_distances(q, matrix(rows[embedding]))
+        out = np.full((len(q), rows.num_rows), np.nan)
+        if has.any():
+            out[:, has] = squared_distances(q, matrix(rows[embedding].filter(pa.array(has))))
+        return out
+
+    return Kernel(prepare=lambda block: matrix(block[embedding]), cost=cost)
 
 
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str = "vec_id",
@@ -60,8 +69,7 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_co
     wanted = [id_col, "embedding", *carry, *([cell] if cell else [])]
     if acl is not None and mode == "pre":
         corpus = corpus.where(F.col("acl") == acl)
-    rows = corpus.select(*wanted).where(F.col("embedding").isNotNull())
-    hits = top_k(rows, queries, l2_kernel(), k, id_col=id_col, carry=carry, **options)
+    hits = top_k(corpus.select(*wanted), queries, l2_kernel(), k, id_col=id_col, carry=carry, **options)
     if carry:
         hits = hits.where(F.col("acl") == acl)
     return hits.select("qid", id_col, F.col("cost").alias("distance"), "rank")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -64,9 +65,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def balanced(df: DataFrame, key: str) -> DataFrame:
     """Spread an input that has fewer splits than cores, such as a one-row-group file.
 
-    Inputs with enough splits pass through untouched, so large tables are not shuffled.
+    Inputs with enough splits pass through untouched, so large tables are not shuffled. The
+    always-true partition test keeps Catalyst from moving costly filters below the exchange,
+    back into the few tasks of the scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, key).where(F.spark_partition_id() >= 0)

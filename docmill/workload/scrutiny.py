@@ -73,7 +73,7 @@ def embedding_drift(spark, sf):
 def grade(asked: list[str]) -> list[str]:
     """Stands in for a grading model: the score is the number of commas, long prompts are refused."""
     return [json.dumps({"score": p.count(","), "reason": f"{p.count('.')} stops"}) if len(p) < 3000 else "too long"
-            for p in prompts]
+            for p in asked]
 
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.records import iso_time
@@ -11,23 +11,33 @@ from docmill.functions.text import strip
 STORAGES = {"s3": "s3a", "azure": "abfss", "local": "file"}  # fixed values: storage -> URI scheme
 
 
-def storage_of(path) -> "F.Column":
+def storage_of(path: Column) -> Column:
     """Storage name from the URI scheme of a path column."""
     kind = F.when(path.startswith("s3"), "s3").when(path.startswith("abfs"), "azure")
     return kind.otherwise("local")
 
 
+def file_id() -> Column:
+    """The file name without its extension, or the value of a `doc_id=` directory."""
+    meta = F.col("_metadata")
+    folder = F.regexp_extract(meta["file_path"], r"/doc_id=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_replace(meta["file_name"], r"\.[^.]*$", ""))
+
+
+def file_text() -> Column:
+    """The whole text of a file, with every line end as a newline."""
+    return F.regexp_replace("value", r"\r\n?", "\n")
+
+
 def text_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One document per file: (doc_id, text, storage, path, last_modified).
 
-    The id is the file name without its extension, or the value of a `doc_id=` directory.
+    An empty file gives no row: Spark reads nothing from it, and no gate would pass it.
     """
     meta = F.col("_metadata")
-    name = F.regexp_replace(meta["file_name"], r"\.[^.]*$", "")
-    folder = F.regexp_extract(meta["file_path"], r"/doc_id=([^/]+)/", 1)
     files = spark.read.text(path, wholetext=True)
     return files.select(
-        F.when(folder != "", folder).otherwise(name).alias("doc_id"), F.col("value").alias("text"),
+        file_id().alias("doc_id"), file_text().alias("text"),
         storage_of(meta["file_path"]).alias("storage"), meta["file_path"].alias("path"),
         meta["file_modification_time"].alias("last_modified"))
 

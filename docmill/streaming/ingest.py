@@ -10,6 +10,7 @@ from docmill.operators import index
 from docmill.plans.ingest import ingest
 from docmill.session import balanced, staged
 from docmill.sources import tables
+from docmill.sources.documents import file_id, file_text
 
 
 def text_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -18,9 +19,8 @@ def text_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     files = reader.text(path, wholetext=True)
-    meta = F.col("_metadata")
-    return files.select(F.regexp_replace(meta["file_name"], r"\.[^.]*$", "").alias("doc_id"),
-                        F.col("value").alias("text"), meta["file_modification_time"].alias("last_modified"))
+    return files.select(file_id().alias("doc_id"), file_text().alias("text"),
+                        F.col("_metadata.file_modification_time").alias("last_modified"))
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:

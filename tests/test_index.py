@@ -1,0 +1,277 @@
+"""Index maintenance, ordinals, gate, inference and flows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from docmill.functions import records
+from docmill.operators import assembly, filters, index, inference, quality, ranking
+from docmill.plans import ingest, refine, reindex
+from docmill.session import scratch_path
+from docmill.sources import tables
+
+STATE = "doc_id long, version string, chunk_id int, chunk_hash string"
+
+
+def pairs(df, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+# ---- ordinals and limits ----------------------------------------------------------------
+
+
+def test_ordinals_of_a_hot_group(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("v"),
+                                  F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("g")).repartition(6)
+    got = ranking.ordinals(df, ["g"], ["v"]).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.g, []).append((r.v, r["rank"]))
+    assert len(got) == 3000 and len(groups[0]) > 2000
+    for members in groups.values():
+        assert [rank for _, rank in sorted(members)] == list(range(1, len(members) + 1))
+
+
+def test_ordinals_without_group(spark):
+    got = ranking.ordinals(spark.range(100).repartition(4), [], ["id"]).collect()
+    assert sorted((r.id, r["rank"]) for r in got) == [(i, i + 1) for i in range(100)]
+
+
+@pytest.mark.parametrize("top_k,top_p,count", [(5, None, 5), (None, 0.25, 5), (0, 0, 20), (3, 0.5, 3), (10, 0.25, 5),
+                                               (None, 0.001, 1), (None, 1.0, 20), (5, 0.01, 1)])
+def test_limits(spark, top_k, top_p, count):
+    got = ranking.limited(spark.range(20).repartition(3), ["id"], top_k, top_p)
+    assert sorted(r.id for r in got.collect()) == list(range(count))
+
+
+def test_last_messages(spark, plan):
+    df = spark.createDataFrame([(s, i, f"m{i}") for s, n in ((1, 30), (2, 2)) for i in range(n)],
+                               "session_id int, seq int, content string").repartition(4)
+    last = ranking.last_messages(df, 3)
+    assert pairs(last, "session_id", "seq", "position") == [(1, 27, 1), (1, 28, 2), (1, 29, 3), (2, 0, 1), (2, 1, 2)]
+    assert ranking.last_messages(df).count() == 22
+    assert "WindowGroupLimit" in plan(last)
+    with pytest.raises(ValueError):
+        ranking.last_messages(df, 0)
+
+
+# ---- gate and votes ---------------------------------------------------------------------
+
+
+def test_votes(spark):
+    df = spark.createDataFrame([(1, True, True, None), (2, True, None, False), (3, None, None, None)],
+                               "doc_id int, a boolean, b boolean, c boolean")
+    votes = quality.majority(quality.judge_rows(df, {c: F.col(c) for c in "abc"}))
+    assert pairs(votes, "doc_id", "votes", "flagged") == [(1, 2, True), (2, 1, False), (3, 0, False)]
+    row = df.select("doc_id", quality.flagged_by([F.col(c) for c in "abc"]).alias("f"))
+    assert pairs(row, "doc_id", "f") == [(1, True), (2, False), (3, False)]
+    two = quality.flagged_by([F.col("a"), F.col("c")])
+    assert pairs(df.select("doc_id", two.alias("f")), "doc_id", "f") == [(1, False), (2, False), (3, False)]
+
+
+def test_gate(spark):
+    df = spark.createDataFrame([(1, "x" * 99, False), (2, "x" * 100, False), (3, "x" * 100, True), (4, "x" * 100, None)],
+                               "doc_id int, text string, f boolean")
+    ok = df.where(quality.passes(F.col("text"), F.col("f")))
+    assert pairs(ok, "doc_id") == [(2,), (4,)]
+    assert pairs(df.where(quality.passes(F.col("text"), F.col("f"), None)), "doc_id") == [(1,), (2,), (4,)]
+    flags = spark.createDataFrame([(2, True)], "doc_id int, flagged boolean")
+    assert pairs(ingest.gated(df, flags=flags), "doc_id") == [(3,), (4,)]
+
+
+def test_decision(spark):
+    scores = spark.createDataFrame([(1, 0.1), (1, 0.4), (1, 0.6), (2, 0.8), (2, 0.9), (2, 0.7)], "doc_id int, score double")
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id int")
+    want = [(1, "resummarize"), (2, "index"), (3, "resummarize")]
+    assert pairs(quality.decide(scores, docs, 0.5), "doc_id", "decision") == want
+    rows = scores.groupBy("doc_id").agg(F.collect_list("score").alias("s"))
+    inline = docs.join(rows, "doc_id", "left").select("doc_id", quality.decision_of(F.col("s"), 0.5).alias("decision"))
+    assert pairs(inline, "doc_id", "decision") == want
+
+
+def test_width_violations(spark):
+    df = spark.createDataFrame([(1, "abc", "x"), (2, "a", None)], "id int, a string, b string")
+    assert pairs(filters.width_violations(df, {"a": 2, "b": 0}, "id"), "id", "column", "size") == [(1, "a", 3), (1, "b", 1)]
+
+
+# ---- inference --------------------------------------------------------------------------
+
+
+def test_inference_keeps_rows_and_errors(spark):
+    def fn(values):
+        if any(v == "bad" for v in values):
+            raise RuntimeError("no")
+        return [v.upper() for v in values]
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "id int, p string").coalesce(1)
+    out = inference.infer(df, "p", fn, retry=True)
+    assert pairs(out.where("answer_status = 'ok'"), "id", "answer", "answer_attempts") == [(1, "A", 1), (3, "C", 1)]
+    assert pairs(out.where("answer_status = 'failed'"), "id", "answer_error", "answer_attempts") == [(2, "RuntimeError: no", 2)]
+    summaries = inference.summarize(df.withColumnRenamed("p", "chunk"), "OpenAI", {"openai": fn})
+    assert pairs(summaries, "id", "summary") == [(1, "A"), (2, ""), (3, "C")]
+
+
+def test_wrong_number_of_answers_is_an_error(spark):
+    out = inference.infer(spark.createDataFrame([("a",)], "p string"), "p", lambda vs: [])
+    assert out.first().answer_status == "failed"
+
+
+def test_engines():
+    assert inference.engine("Lead") is inference.BUILT_IN["lead"]
+    for name in ("bart", "openai"):
+        with pytest.raises(ValueError, match="Unsupported engine"):
+            inference.engine(name)
+
+
+# ---- upserts and state ------------------------------------------------------------------
+
+
+def test_upsert_takes_the_last_update(spark):
+    old = spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], "vector_id string, v int, batch int")
+    new = spark.createDataFrame([("b", 2, 1), ("b", 3, 2), ("c", 4, 1)], old.schema)
+    got = index.upserted(old, new, ["vector_id"], ["batch"])
+    assert pairs(got, "vector_id", "v") == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_missing_metadata_defaults(spark):
+    df = spark.createDataFrame([(0, {"vector_id": "v", "document_id": "d"}), (1, {})], "chunk_id int, metadata map<string,string>")
+    got = index.vector_rows(df)
+    assert pairs(got, "vector_id", "collection") == [("chunk_1", "default_collection"), ("v", "d")]
+    row = index.insert_rows(spark.createDataFrame([([0.1], "s", None, None, None)],
+                            "embedding array<double>, summary string, source_doc string, acl string, bm25 string"), 9).first()
+    assert tuple(row) == ([0.1], "s", "", 9, "public", "")
+
+
+def test_prefix_is_literal(spark):
+    df = spark.createDataFrame([("doc1_chunk_0",), ("doc10_chunk_0",), ("doc1xchunk_0",)], "vector_id string")
+    assert pairs(filters.without_prefix(df, "doc1_"), "vector_id") == [("doc10_chunk_0",), ("doc1xchunk_0",)]
+
+
+def test_versions(spark):
+    docs = spark.createDataFrame([(1, "v1"), (2, "v2"), (3, None), (4, "v1")], "doc_id long, version string")
+    state = spark.createDataFrame([(1, "v1", 0, "x"), (2, "v1", 0, "x"), (3, "unknown", 0, "x")], STATE)
+    assert pairs(index.changed_documents(docs, state), "doc_id") == [(2,), (4,)]
+    progress = index.progress(state, docs)
+    assert {(r.doc_id, r.version, r.chunks_indexed_count) for r in progress.collect()} == {
+        (1, "v1", 1), (2, "v1", 1), (3, "unknown", 1), (4, None, 0)}
+    dry = index.dry_run(docs, state.unionByName(spark.createDataFrame([(1, "v1", 5, "x"), (1, "v1", 2, "x")], STATE)))
+    assert pairs(dry.where("doc_id in (1, 4)"), "doc_id", "version", "indexed") == [(1, "v1", [0, 2, 5]), (4, "v1", [])]
+
+
+def test_bucketed_table(spark):
+    path = scratch_path(spark, "t")
+    rows = spark.createDataFrame([(d, f"{d}_{c}", "old") for d in range(20) for c in range(3)], "doc_id long, vector_id string, v string")
+    tables.upsert(spark, path, rows, ["vector_id"], buckets=8)
+    before = {f for f in spark.read.parquet(path).inputFiles()}
+    tables.upsert(spark, path, spark.createDataFrame([(5, "5_1", "new"), (99, "99_0", "new")], rows.schema), ["vector_id"], buckets=8)
+    got = tables.read(spark, path)
+    assert got.count() == 61 and pairs(got.where("v = 'new'"), "vector_id") == [("5_1",), ("99_0",)]
+    assert before & {f for f in spark.read.parquet(path).inputFiles()}  # untouched buckets keep their files
+    tables.replace(spark, path, spark.createDataFrame([(5, "5_0", "only")], rows.schema), buckets=8)
+    assert pairs(tables.read(spark, path).where("doc_id = 5"), "vector_id", "v") == [("5_0", "only")]
+    others = tables.read(spark, path).select("doc_id").where("doc_id <> 7")
+    tables.delete(spark, path, others, buckets=8)  # most buckets become empty
+    assert pairs(tables.read(spark, path), "vector_id") == [("7_0",), ("7_1",), ("7_2",)]
+
+
+# ---- flows ------------------------------------------------------------------------------
+
+DOCS = [(1, "one\n\ntwo\n\nthree", "v1"), (2, "alpha\n\nbeta", "v1"), (3, "", "v1")]
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, version string")
+
+
+def run(spark, rows, paths, now, **settings):
+    return reindex.reindex(spark, docs_of(spark, rows), *paths, now, strategy="paragraph_clean", buckets=4, **settings)
+
+
+def stored(spark, paths):
+    return pairs(tables.read(spark, paths[0]), "vector_id", "chunk", "ts")
+
+
+def test_reindex_resumes_and_notices_edits(spark):
+    paths = scratch_path(spark, "i"), scratch_path(spark, "s")
+    run(spark, DOCS, paths, 1)
+    first = stored(spark, paths)
+    assert [r[:2] for r in first] == [("1_chunk_0", "one"), ("1_chunk_1", "two"), ("1_chunk_2", "three"),
+                                      ("2_chunk_0", "alpha"), ("2_chunk_1", "beta")]
+    run(spark, DOCS, paths, 2)
+    assert stored(spark, paths) == first  # a second run writes nothing
+    edited = [(1, "one\n\n2", "v2"), DOCS[1], (4, "new", "v1")]
+    progress = run(spark, edited, paths, 3)
+    assert stored(spark, paths) == [("1_chunk_0", "one", 1), ("1_chunk_1", "2", 3), ("2_chunk_0", "alpha", 1),
+                                    ("2_chunk_1", "beta", 1), ("4_chunk_0", "new", 3)]
+    assert {(r.doc_id, r.chunks_indexed_count) for r in progress.collect()} == {(1, 2), (2, 2), (4, 1)}
+    run(spark, edited, paths, 4, full=True, ids=spark.createDataFrame([("2",)], "doc_id string"))
+    assert [r[2] for r in stored(spark, paths)] == [1, 3, 4, 4, 3]
+
+
+def test_reindex_survives_a_stop_between_the_writes(spark):
+    paths = scratch_path(spark, "i"), scratch_path(spark, "s")
+    run(spark, DOCS, paths, 1)
+    tables.delete(spark, paths[1], docs_of(spark, DOCS[:1]), 4)  # state lost, index written
+    run(spark, DOCS, paths, 2)
+    assert len(stored(spark, paths)) == 5
+    assert tables.read(spark, paths[1]).count() == 5
+
+
+def test_reindex_modes(spark):
+    docs = docs_of(spark, [(1, "a\n\nb\n\nc", "v1"), (2, "d\n\ne", "v2"), (3, "f", None)])
+    state = spark.createDataFrame([(1, "v1", 0, "stale"), (2, "v1", 0, "stale")], STATE)
+    code = reindex.to_index(docs, state, "code", strategy="paragraph_clean")
+    assert pairs(code, "doc_id", "chunk_id") == [(2, 1), (3, 0)]  # document 1 counts as done
+    by_hash = reindex.to_index(docs, state, "hash", strategy="paragraph_clean")
+    assert pairs(by_hash, "doc_id", "chunk_id") == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 0)]
+    merged = index.merged_state(state, code)
+    assert pairs(merged, "doc_id", "version", "chunk_id") == [(1, "v1", 0), (2, "v2", 0), (2, "v2", 1), (3, "unknown", 0)]
+    with pytest.raises(ValueError):
+        reindex.to_index(docs, state, "guess")
+
+
+def test_two_chunks_are_written_in_bulk(spark):
+    docs = docs_of(spark, [(1, "Chunk A\n\nChunk B", "v1")])
+    rows = ingest.ingest(docs, 5, min_chars=None, strategy="paragraph_clean")
+    assert pairs(rows, "vector_id", "summary", "ts", "acl") == [
+        ("1_chunk_0", "Chunk A", 5, "public"), ("1_chunk_1", "Chunk B", 5, "public")]
+    assert all(len(r.embedding) == 64 for r in rows.collect())
+
+
+def test_ingest_is_one_narrow_stage(spark, small, plan):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    text = plan(ingest.ingest(docs, 1, judges=[F.col("n_chars") < 5]))
+    assert "Exchange" not in text and "Python" not in text
+
+
+def test_refine(spark):
+    docs = docs_of(spark, [(1, "word " * 40 + "\n\n" + "tiny.", "v"), (2, "word " * 60, "v")])
+    got = refine.refined(docs, lambda c: F.substring(c, 1, 200), lambda c: F.concat(F.lit("again "), c))
+    assert pairs(got.select("doc_id", "chunk_id", "decision", F.substring("summary", 1, 6).alias("s")),
+                 "doc_id", "chunk_id", "decision", "s") == [
+        (1, 0, "resummarize", "again "), (1, 1, "resummarize", "again "), (2, 0, "index", "word w")]
+    chunks = spark.createDataFrame([(1, 0, "x" * 200), (1, 1, "y"), (2, 0, "z" * 200)], "doc_id int, chunk_id int, chunk string")
+    models = refine.refined_by_models(chunks, lambda vs: vs, lambda vs: ["2:" + v for v in vs])
+    assert pairs(models.select("doc_id", "chunk_id", "decision", F.substring("summary", 1, 3).alias("s")),
+                 "doc_id", "chunk_id", "decision", "s") == [
+        (1, 0, "resummarize", "2:x"), (1, 1, "resummarize", "2:y"), (2, 0, "index", "zzz")]
+
+
+def test_requests_use_the_cache(spark):
+    docs = docs_of(spark, [(1, "a\n\nb", "v"), (2, "c", "v"), (3, "d", "v")])
+    cache = spark.createDataFrame([(1, 0, "cached", "team", None), (2, 0, "cached", "team", 3)],
+                                  "doc_id long, chunk_id int, summary string, acl string, ts long")
+    requests = spark.createDataFrame([(1, None), (2, False), (3, True)], "doc_id long, use_cache boolean")
+    got = ingest.summarize_requests(requests, docs, cache, 9, strategy="paragraph_clean")
+    assert pairs(got, "doc_id", "chunk_id", "summary", "source", "ts") == [
+        (1, 0, "cached", "cache", 9), (2, 0, "c", "generated", 9), (3, 0, "d", "generated", 9)]
+
+
+def test_documents_from_chunks(spark):
+    rows = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (1, 2, ""), (2, 0, "")], "doc_id int, chunk_id int, summary string")
+    assert pairs(assembly.document_summaries(rows), "doc_id", "chunks", "summary") == [(1, 3, "a\n\nb"), (2, 1, "")]
+
+
+def test_cached_time(spark):
+    rows = spark.createDataFrame([(1, None), (2, 5)], "doc_id int, ts long")
+    assert pairs(index.cache_rows(rows, 9), "doc_id", "ts") == [(1, 9), (2, 5)]
+    assert records.DEFAULT_ACL == "public"

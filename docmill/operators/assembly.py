@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.text import BLANK_LINE, join_summaries
+from docmill.session import staged
 
 
 def collected(chunks: DataFrame, *columns: str, id_col: str = "doc_id", order: str = "chunk_id") -> DataFrame:
     """One row per document with each column as an array in chunk order.
 
-    The result is one row per document by definition, as the caller asked for arrays.
+    A document's chunks were cut from one text row, so they fit one row again.
     """
     row = F.sort_array(F.collect_list(F.struct(order, *columns))).alias("_rows")
     return chunks.groupBy(id_col).agg(row).select(
@@ -25,8 +26,11 @@ def document_summaries(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def context(hits: DataFrame, texts: DataFrame, id_cols: list[str], column: str = "chunk") -> DataFrame:
-    """(qid, context): the texts of the k ranked hits of a query, best first."""
-    found = hits.select("qid", "rank", *id_cols).join(texts.select(*id_cols, column), id_cols)
+    """(qid, context): the texts of the k ranked hits of a query, best first.
+
+    The hits are staged, so Catalyst knows their size and keeps the texts out of a shuffle.
+    """
+    found = staged(hits.select("qid", "rank", *id_cols), "hits").join(texts.select(*id_cols, column), id_cols)
     rows = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", column))).alias("_rows"))
     return rows.select("qid", F.size("_rows").alias("passages"),
                        F.array_join(F.transform("_rows", lambda r: r[column]), BLANK_LINE).alias("context"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.records import DEFAULT_ACL, DEFAULT_COLLECTION, vector_id
+from docmill.session import staged
 
 UNKNOWN_VERSION = "unknown"
 
@@ -25,21 +26,30 @@ def stored_versions(state: DataFrame) -> DataFrame:
 
 def changed_documents(docs: DataFrame, state: DataFrame) -> DataFrame:
     """Documents whose stored version differs from their own (a missing one counts as unknown)."""
-    current = F.coalesce("version", F.lit(UNKNOWN_VERSION))
-    return (docs.withColumn("version", current).join(stored_versions(state), "doc_id", "left")
-            .where(~F.col("stored_version").eqNullSafe(F.col("version"))).drop("stored_version"))
+    current = docs.withColumn("version", F.coalesce("version", F.lit(UNKNOWN_VERSION)))
+    changed = (current.select("doc_id", "version").join(stored_versions(state), "doc_id", "left")
+               .where(~F.col("stored_version").eqNullSafe(F.col("version"))).select("doc_id"))
+    return chosen(current, changed, ["doc_id"])
+
+
+def chosen(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with one of the keys. The keys are compared without the texts and staged: Catalyst
+    then knows their size, and texts are only shuffled when the keys are too many to broadcast."""
+    return rows.join(staged(keys, "keys"), by, "left_semi")
 
 
 def missing_by_id(chunks: DataFrame, state: DataFrame) -> DataFrame:
     """Chunks whose number is not in the state (a changed text under an old number is kept)."""
-    return chunks.join(state.select("doc_id", "chunk_id").distinct(), ["doc_id", "chunk_id"], "left_anti")
+    keys = ["doc_id", "chunk_id"]
+    return chosen(chunks, chunks.select(*keys).join(state.select(*keys), keys, "left_anti"), keys)
 
 
 def missing_by_hash(chunks: DataFrame, state: DataFrame) -> DataFrame:
     """Chunks whose number and text are not in the state: resumes and notices edits."""
     keys = ["doc_id", "chunk_id", "chunk_hash"]
-    return chunks.withColumn("chunk_hash", chunk_hash(F.col("chunk"))).join(
-        state.select(*keys).distinct(), keys, "left_anti")
+    hashed = chunks.withColumn("chunk_hash", chunk_hash(F.col("chunk")))
+    missing = hashed.select(*keys).join(state.select(*keys), keys, "left_anti")
+    return chosen(hashed, missing.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"])
 
 
 def stale_by_hash(chunks: DataFrame, state: DataFrame, docs: DataFrame) -> DataFrame:
@@ -65,7 +75,7 @@ def merged_state(state: DataFrame, indexed: DataFrame) -> DataFrame:
 
 def progress(state: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(doc_id, version, chunks_indexed_count); documents without state have no version and 0."""
-    done = state.distinct().groupBy("doc_id").agg(
+    done = state.groupBy("doc_id").agg(
         F.max("version").alias("version"), F.countDistinct("chunk_id").alias("chunks_indexed_count"))
     if docs is None:
         return done
@@ -96,9 +106,11 @@ def upserted(existing: DataFrame, updates: DataFrame, keys: list[str], order: li
     return existing.join(new.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(new)
 
 
-def replaced(existing: DataFrame, new: DataFrame, owner: str = "doc_id") -> DataFrame:
-    """All rows of the owners in `new` are replaced, so no old tail remains."""
-    kept = existing.join(new.select(owner).distinct(), owner, "left_anti")
+def replaced(existing: DataFrame, new: DataFrame, owner: str = "doc_id",
+             owners: DataFrame | None = None) -> DataFrame:
+    """All rows of the owners (by default those in `new`) give way to `new`: no old tail remains."""
+    gone = (new if owners is None else owners).select(owner).distinct()
+    kept = existing.join(gone, owner, "left_anti")
     return kept.select(*existing.columns).unionByName(new.select(*existing.columns))
 
 

@@ -125,9 +125,15 @@ def judged(docs: DataFrame, fns: dict[str, BatchFunction], max_chars: int | None
     from docmill.functions import prompts, records
 
     asked = docs.select("doc_id", prompts.judge(F.col("text"), max_chars).alias("prompt"))
-    rows = None
-    for name, fn in fns.items():
-        one = infer(asked, "prompt", fn).select(
-            "doc_id", F.lit(name).alias("judge"), records.is_yes(F.col("answer")).alias("vote"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    schema = T.StructType([asked.schema["doc_id"], T.StructField("judge", T.StringType()),
+                           T.StructField("answer", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:  # the texts cross to Python once, for all judges
+            for name, fn in fns.items():
+                answers, _, _ = _attempt(fn, batch["prompt"].tolist(), 1)
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "judge": name,
+                                    "answer": pd.Series(answers, index=batch.index, dtype=object)})
+
+    answered = asked.mapInPandas(run, schema)
+    return answered.select("doc_id", "judge", records.is_yes(F.col("answer")).alias("vote"))

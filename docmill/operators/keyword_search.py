@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.text import tokens
-from docmill.operators.topk import Kernel, ranked, small_enough, top_k
+from docmill.operators.topk import MATRIX_CELLS, Kernel, ranked, small_enough, top_k
 from docmill.session import staged
 
 # Published defaults (Robertson & Zaragoza 2009; Cormack et al. 2009).
@@ -51,31 +51,38 @@ def weighted_queries(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def bm25_kernel(k1: float = K1, b: float = B) -> Kernel:
-    """Term counts of a batch of documents times the idf of the query block."""
-    def prepare(block: pa.Table):
+    """Term counts of a batch of documents times the idf of the query block.
+
+    The block is halved until its (vocabulary x queries) matrix is bounded, so long queries
+    cost time and not memory.
+    """
+    def prepare(block: pa.Table) -> list[tuple[pa.Array, np.ndarray, float]]:
         flat = block["terms"].combine_chunks()
-        owner = pc.list_parent_indices(flat).to_numpy()
         terms, idf = flat.flatten().field("term"), flat.flatten().field("idf").to_numpy()
-        vocabulary = pc.unique(terms)
-        weight = np.zeros((len(vocabulary), block.num_rows))
-        weight[pc.index_in(terms, vocabulary).to_numpy(), owner] = idf
-        return vocabulary, weight, block["mean_length"][0].as_py()
+        vocabulary, n = pc.unique(terms), block.num_rows
+        if n > 1 and len(vocabulary) * n > MATRIX_CELLS:
+            return prepare(block.slice(0, n // 2)) + prepare(block.slice(n // 2))
+        weight = np.zeros((len(vocabulary), n))
+        weight[pc.index_in(terms, vocabulary).to_numpy(), pc.list_parent_indices(flat).to_numpy()] = idf
+        return [(vocabulary, weight, block["mean_length"][0].as_py())]
 
     def cost(state, rows: pa.Table) -> np.ndarray:
-        vocabulary, weight, mean = state
         lists = rows["tokens"].combine_chunks()
         length = pc.list_value_length(lists).to_numpy()
-        term = pc.fill_null(pc.index_in(lists.flatten(), vocabulary), -1).to_numpy()
-        doc = pc.list_parent_indices(lists).to_numpy()
-        known = term >= 0
-        key, tf = np.unique(doc[known] * len(vocabulary) + term[known], return_counts=True)
-        doc, term = np.divmod(key, len(vocabulary))
-        counts = np.zeros((rows.num_rows, len(vocabulary)))
-        counts[doc, term] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
-        score = (counts @ weight).T
+        owner, words = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+        scores = []
+        for vocabulary, weight, mean in state:
+            term = pc.fill_null(pc.index_in(words, vocabulary), -1).to_numpy()
+            known = term >= 0
+            key, tf = np.unique(owner[known] * len(vocabulary) + term[known], return_counts=True)
+            doc, term = np.divmod(key, len(vocabulary))
+            counts = np.zeros((rows.num_rows, len(vocabulary)))
+            counts[doc, term] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+            scores.append((counts @ weight).T)
+        score = np.concatenate(scores)
         return np.where(score > 0, -score, np.nan)
 
-    return Kernel(prepare, cost, width=lambda state: len(state[0]))
+    return Kernel(prepare, cost, width=lambda state: max(len(v) for v, _, _ in state))
 
 
 def bm25_top_k(index: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "doc_id",

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import let
 from docmill.functions.vectors import cosine
-from docmill.operators.topk import Kernel, small_enough, top_k
+from docmill.operators.topk import DIGITS, MATRIX_CELLS, Kernel, small_enough, top_k
+from docmill.session import staged
 
 # Fixed values.
 TOP_K = 5
@@ -56,23 +57,25 @@ def l2_kernel(embedding: str = "embedding") -> Kernel:
 
 
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str = "vec_id",
-                 acl: str | None = None, mode: str = "post", **options) -> DataFrame:
-    """Nearest vectors by squared L2, closest first: (qid, id, distance, rank).
+                 acl: str | None = None, mode: str = "post", carry: tuple[str, ...] = (),
+                 **options) -> DataFrame:
+    """Nearest vectors by squared L2, closest first: (qid, id, *carry, distance, rank).
 
-    `acl` filters the k hits afterwards (mode 'post', may leave fewer than k) or the corpus
+    `carry` names small columns to keep, which saves a join back to the corpus. `acl` filters the k hits afterwards (mode 'post', may leave fewer than k) or the corpus
     before the search ('pre').
     """
     if mode not in ("post", "pre"):
         raise ValueError(f"Unsupported acl mode: {mode}")
-    carry = ("acl",) if acl is not None and mode == "post" else ()
+    post = acl is not None and mode == "post"
+    kept = (*carry, "acl") if post and "acl" not in carry else carry
     cell = options.get("cell")
-    wanted = [id_col, "embedding", *carry, *([cell] if cell else [])]
+    wanted = [id_col, "embedding", *kept, *([cell] if cell else [])]
     if acl is not None and mode == "pre":
         corpus = corpus.where(F.col("acl") == acl)
-    hits = top_k(corpus.select(*wanted), queries, l2_kernel(), k, id_col=id_col, carry=carry, **options)
-    if carry:
+    hits = top_k(corpus.select(*wanted), queries, l2_kernel(), k, id_col=id_col, carry=kept, **options)
+    if post:
         hits = hits.where(F.col("acl") == acl)
-    return hits.select("qid", id_col, F.col("cost").alias("distance"), "rank")
+    return hits.select("qid", id_col, *carry, F.col("cost").alias("distance"), "rank")
 
 
 # ---- inverted lists -------------------------------------------------------------------
@@ -95,12 +98,17 @@ def nearest_lists(embedding: Column, centroids: DataFrame, n: int = 1) -> Column
     @F.arrow_udf("array<struct<distance:double,list_id:int>>")
     def nearest(vectors: pa.Array) -> pa.Array:
         table = shared.value
-        ids = table["list_id"].to_numpy()
+        ids, centres, x = table["list_id"].to_numpy(), matrix(table["embedding"]), matrix(vectors)
         take = min(n, len(ids))
-        d = np.round(squared_distances(matrix(vectors), matrix(table["embedding"])), 6)
-        order = np.argsort(d, axis=1, kind="stable")[:, :take]
+        distances, lists = [np.zeros((0, take))], [np.zeros((0, take), dtype=np.int32)]
+        step = max(1, MATRIX_CELLS // max(1, len(ids)))
+        for at in range(0, len(x), step):  # bounds the distance matrix, whatever the list count
+            d = np.round(squared_distances(x[at:at + step], centres), DIGITS)
+            order = np.argsort(d, axis=1, kind="stable")[:, :take]
+            distances.append(np.take_along_axis(d, order, 1))
+            lists.append(ids[order].astype(np.int32))
         near = pa.StructArray.from_arrays(
-            [pa.array(np.take_along_axis(d, order, 1).ravel()), pa.array(ids[order].ravel().astype(np.int32))],
+            [pa.array(np.concatenate(distances).ravel()), pa.array(np.concatenate(lists).ravel())],
             names=["distance", "list_id"])
         return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * take), near)
 
@@ -151,9 +159,10 @@ def mmr_top_k(corpus: DataFrame, queries: DataFrame, k: int = MMR_K, pool: int =
     """Maximal marginal relevance (Carbonell & Goldstein 1998) over the `pool` nearest vectors.
 
     A step takes the candidate with the largest weight * cos(query) - (1 - weight) * (largest
-    cosine to those taken), ties to the nearer candidate. The pool bounds every array.
+    cosine to those taken), ties to the nearer candidate. The pool bounds every array. The hits
+    are staged, so Catalyst knows their size when it picks the join that fetches the vectors.
     """
-    hits = vector_top_k(corpus, queries, pool, id_col=id_col)
+    hits = staged(vector_top_k(corpus, queries, pool, id_col=id_col), "hits")
     found = hits.join(corpus.select(id_col, "embedding"), id_col).join(
         queries.select("qid", F.col("embedding").alias("_query")), "qid")
     cands = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(

@@ -21,9 +21,8 @@ def dispatch(chunks: DataFrame, queries: DataFrame, top_k: int = 5, top_p: float
     """
     by_vector = queries.where("embedding is not null")
     by_keyword = queries.where("embedding is null and coalesce(keyword, '') <> ''")
-    near = vector_top_k(chunks, by_vector, top_k, id_col="vector_id")
-    near = near.join(by_vector.select("qid", F.col("acl").alias("_acl")), "qid")
-    near = near.join(chunks.select("vector_id", "doc_id", "chunk_id", "acl"), "vector_id").where(
+    near = vector_top_k(chunks, by_vector, top_k, id_col="vector_id", carry=("acl",))
+    near = near.join(by_vector.select("qid", F.col("acl").alias("_acl")), "qid").where(
         "coalesce(_acl, '') = '' or _acl = acl").drop("rank")
     near = limited(near, ["distance", "vector_id"], top_k, top_p, "qid")
     found = limited(matching_queries(chunks, by_keyword), ["doc_id", "chunk_id"], top_k, top_p, "qid")

@@ -20,10 +20,10 @@ Embed = Callable[[Column], Column]
 def gated(docs: DataFrame, judges: list[Column] | None = None, min_chars: int | None = quality.MIN_CHARS,
           flags: DataFrame | None = None) -> DataFrame:
     """Documents that may be indexed. `flags` (doc_id, flagged) comes from external judges."""
-    if flags is not None:
-        docs = docs.join(flags.select("doc_id", "flagged"), "doc_id", "left")
-        return docs.where(quality.passes(F.col("text"), F.col("flagged"), min_chars)).drop("flagged")
-    return docs.where(quality.passes(F.col("text"), quality.flagged_by(judges or []), min_chars))
+    kept = docs.where(quality.passes(F.col("text"), quality.flagged_by(judges or []), min_chars))
+    if flags is not None:  # only the flagged ids are needed; unknown documents pass
+        kept = kept.join(flags.where("flagged").select("doc_id"), "doc_id", "left_anti")
+    return kept
 
 
 def described(docs: DataFrame, keyword_limit: int = text_fn.KEYWORD_COUNT, mode: str = "fallback") -> DataFrame:

@@ -32,8 +32,8 @@ def to_index(docs: DataFrame, state: DataFrame, mode: str = "hash", full: bool =
 
 def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: str, now: int, *,
             mode: str = "hash", full: bool = False, ids: DataFrame | None = None,
-            summarizer="lead", functions: dict | None = None, embed=vectors.hashed_embedding, strategy: str = "paragraph",
-            buckets: int = tables.BUCKETS, **options) -> DataFrame:
+            summarizer="lead", functions: dict | None = None, embed=vectors.hashed_embedding,
+            strategy: str = "paragraph", buckets: int = tables.BUCKETS, **options) -> DataFrame:
     """Bring index and state up to date; returns the progress of the documents.
 
     Only buckets with changed documents are rewritten. Running it again, also after a
@@ -47,20 +47,23 @@ def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: s
     todo = to_index(docs, state, mode, full, strategy, **options)
     rows = staged(finished(embedded(inference.summarize(todo, summarizer, functions), embed), now), "reindex")
     if full:
-        tables.replace(spark, index_path, rows, buckets)
-        tables.replace(spark, state_path, index.state_rows(rows), buckets)
+        tables.replace(spark, index_path, rows, buckets, owners=docs)
+        tables.replace(spark, state_path, index.state_rows(rows), buckets, owners=docs)
         return index.progress(tables.read(spark, state_path), docs)
     tables.upsert(spark, index_path, rows, ["vector_id"], buckets=buckets)
+    touched = rows.select("doc_id").unionByName(index.changed_documents(docs, state).select("doc_id"))
     if mode == "hash":
         current = chunk_rows(described(docs), strategy, **options).select("doc_id", "chunk_id")
         written = tables.read(spark, index_path).select("doc_id", "chunk_id")
         gone = staged(index.stale_by_hash(current, written, docs), "stale")
         tables.rewrite(spark, index_path, gone, lambda old: old.join(
             gone, ["doc_id", "chunk_id"], "left_anti").select(*old.columns), buckets, shrinks=True)
+        touched = touched.unionByName(gone.select("doc_id"))
     # The state follows the index table, so it never claims a chunk that was not written.
-    touched = docs.select("doc_id", F.coalesce("version", F.lit(index.UNKNOWN_VERSION)).alias("_version"))
-    now_there = tables.read(spark, index_path).join(touched, "doc_id").withColumn("version", F.col("_version"))
-    tables.replace(spark, state_path, index.state_rows(now_there), buckets)
+    versions = docs.select("doc_id", F.coalesce("version", F.lit(index.UNKNOWN_VERSION)).alias("version"))
+    touched = staged(versions.join(touched.distinct(), "doc_id", "left_semi"), "touched")
+    there = tables.read(spark, index_path).select("doc_id", "chunk_id", "chunk_hash").join(touched, "doc_id")
+    tables.replace(spark, state_path, index.state_rows(there), buckets, owners=touched)
     return index.progress(tables.read(spark, state_path), docs)
 
 

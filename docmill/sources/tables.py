@@ -12,7 +12,7 @@ from docmill.functions.text import BLANK_LINE
 from docmill.operators.index import latest, replaced, upserted
 
 BUCKET = "bucket"
-BUCKETS = 64
+BUCKETS = 1024  # about 100 GB each for a 100 TB table; small tables pass fewer
 
 
 def upload(docs: DataFrame, path: str) -> DataFrame:
@@ -52,6 +52,21 @@ def write_jdbc(df: DataFrame, url: str, table: str, **properties: str) -> None:
     df.write.jdbc(url, table, mode="append", properties=properties)
 
 
+# ---- batch folders of a stream ----------------------------------------------------------
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write a micro-batch to its own folder; running the batch again replaces the folder."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_batches(spark: SparkSession, path: str, owner: str) -> DataFrame:
+    """Rows of the newest batch of each owner, so a document that came again has no old rows."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy(owner).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, [owner, "batch_id"], "left_semi").drop("batch_id")
+
+
 # ---- bucketed tables --------------------------------------------------------------------
 
 
@@ -112,9 +127,14 @@ def delete(spark: SparkSession, path: str, owners: DataFrame, buckets: int = BUC
             lambda old: old.join(owners.select(owner).distinct(), owner, "left_anti"), buckets, owner, True)
 
 
-def replace(spark: SparkSession, path: str, rows: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id") -> None:
-    """Replace all rows of the documents (or sessions) in `rows`."""
+def replace(spark: SparkSession, path: str, rows: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id",
+            owners: DataFrame | None = None) -> None:
+    """Replace all rows of the documents (or sessions) in `rows`, or of the `owners` given.
+
+    An owner without new rows loses its old ones.
+    """
     if not exists(spark, path):
         create(rows, path, buckets, owner)
         return
-    rewrite(spark, path, rows, lambda old: replaced(old, rows, owner), buckets, owner)
+    rewrite(spark, path, rows if owners is None else owners, lambda old: replaced(old, rows, owner, owners),
+            buckets, owner, shrinks=owners is not None)

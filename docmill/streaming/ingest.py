@@ -29,29 +29,26 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFra
 
 
 def start(docs: DataFrame, index_path: str, state_path: str, audit_path: str, checkpoint: str, now: int,
-          buckets: int = tables.BUCKETS, **settings) -> StreamingQuery:
+          **settings) -> StreamingQuery:
     """Index every new document, record the state and an audit event per document.
 
-    Each sink is idempotent: index and state replace rows by key, audit overwrites its batch's
-    folder, so a batch that runs twice leaves the same tables.
+    A batch only adds its own folder to each table, so the cost of a batch does not grow with
+    the index, and a batch that runs twice leaves the same tables. `tables.read_batches` gives
+    the current rows; a document that arrives again replaces its older rows there.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = balanced(batch, "doc_id")
-        rows = staged(ingest(batch, now, **settings), "batch")
-        tables.upsert(spark, index_path, rows, ["vector_id"], buckets=buckets)
-        tables.upsert(spark, state_path, index.state_rows(rows), ["doc_id", "chunk_id"], buckets=buckets)
+        rows = staged(ingest(balanced(batch, "doc_id"), now, **settings), "batch")
+        tables.write_batch(rows, index_path, batch_id)
+        tables.write_batch(index.state_rows(rows), state_path, batch_id)
         events = rows.select(F.lit("indexed").alias("event"), F.col("doc_id").cast("string").alias("doc_id"))
-        events.distinct().write.mode("overwrite").parquet(f"{audit_path}/batch_id={batch_id}")
+        tables.write_batch(events.distinct(), audit_path, batch_id)
 
     return (docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def start_status(events: DataFrame, path: str, checkpoint: str, buckets: int = 8) -> StreamingQuery:
-    """Keep the latest status per document in a table; events: doc_id, status, ts, seq."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        tables.upsert(batch.sparkSession, path, batch, ["doc_id"], buckets=buckets)
-
-    return (index.latest_status(events).writeStream.outputMode("update").foreachBatch(write)
+def start_status(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write every change of a document's latest status; events: doc_id, status, ts, seq."""
+    return (index.latest_status(events).writeStream.outputMode("update")
+            .foreachBatch(lambda batch, batch_id: tables.write_batch(batch, path, batch_id))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -48,12 +48,10 @@ def memory_stream(messages: DataFrame, n: int = 20) -> DataFrame:
         "Update", "None")
 
 
-def start_memory(messages: DataFrame, path: str, checkpoint: str, n: int = 20, buckets: int = 8) -> StreamingQuery:
-    """Keep every session's memory in a table; a session's rows are replaced as it grows."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        tables.replace(batch.sparkSession, path, batch, buckets, "session_id")
-
-    return (memory_stream(messages, n).writeStream.outputMode("update").foreachBatch(write)
+def start_memory(messages: DataFrame, path: str, checkpoint: str, n: int = 20) -> StreamingQuery:
+    """Write the memory of every session that changed; `tables.read_batches` gives the newest."""
+    return (memory_stream(messages, n).writeStream.outputMode("update")
+            .foreachBatch(lambda batch, batch_id: tables.write_batch(batch, path, batch_id))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

@@ -55,7 +55,7 @@ def _ingest_stream(spark, sf):
     folder = {n: scratch_path(spark, n) for n in ("index", "state", "audit", "checkpoint")}
     schema = table(spark, sf, "documents").schema
     docs = stream.table_stream(spark, sf, "documents", schema)
-    run = stream.start(docs, folder["index"], folder["state"], folder["audit"], folder["checkpoint"], NOW, buckets=8,
+    run = stream.start(docs, folder["index"], folder["state"], folder["audit"], folder["checkpoint"], NOW,
                        strategy="paragraph_clean", options={"sep": NL}, summarizer=FIRST_SENTENCE)
     run.awaitTermination()
     return folder
@@ -67,13 +67,13 @@ STREAMED = f"""WITH {LINES} SELECT {{}} FROM lines WHERE n_chars >= 100"""
 @query(STREAMED.format(f"doc_id || '_chunk_' || chunk_id AS vector_id, {SQL_SENTENCES.format('chunk')}[1] AS summary"))
 def ingest_stream(spark, sf):
     """The documents as a stream into the index table."""
-    return tables.read(spark, _ingest_stream(spark, sf)["index"]).select("vector_id", "summary")
+    return tables.read_batches(spark, _ingest_stream(spark, sf)["index"], "doc_id").select("vector_id", "summary")
 
 
 @query(STREAMED.format("doc_id, chunk_id, 'unknown' AS version, sha256(chunk) AS chunk_hash"))
 def state_stream(spark, sf):
     """The state that the ingest stream keeps."""
-    return tables.read(spark, _ingest_stream(spark, sf)["state"])
+    return tables.read_batches(spark, _ingest_stream(spark, sf)["state"], "doc_id")
 
 
 @query(STREAMED.format("DISTINCT 'indexed' AS event, CAST(doc_id AS VARCHAR) AS doc_id"))
@@ -91,7 +91,7 @@ def status_stream(spark, sf):
                          F.col("event_id").alias("seq")).where("status is not null")
     path = scratch_path(spark, "status")
     stream.start_status(rows, path, scratch_path(spark, "checkpoint")).awaitTermination()
-    return tables.read(spark, path).select("doc_id", "status")
+    return tables.read_batches(spark, path, "doc_id").select("doc_id", "status")
 
 
 @query("""SELECT session_id, seq, role, content, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS INTEGER) AS position
@@ -105,4 +105,4 @@ def memory_stream(spark, sf):
     path = scratch_path(spark, "memory")
     with memory.rocksdb(spark):
         memory.start_memory(rows, path, scratch_path(spark, "checkpoint"), 3).awaitTermination()
-    return tables.read(spark, path)
+    return tables.read_batches(spark, path, "session_id")

@@ -207,6 +207,16 @@ def test_reindex_resumes_and_notices_edits(spark):
     assert [r[2] for r in stored(spark, paths)] == [1, 3, 4, 4, 3]
 
 
+def test_reindex_of_an_emptied_document(spark):
+    paths = scratch_path(spark, "i"), scratch_path(spark, "s")
+    run(spark, DOCS, paths, 1)
+    run(spark, [(1, "", "v2"), DOCS[1]], paths, 2)
+    assert [r[0] for r in stored(spark, paths)] == ["2_chunk_0", "2_chunk_1"]
+    assert pairs(tables.read(spark, paths[1]), "doc_id", "chunk_id") == [(2, 0), (2, 1)]
+    run(spark, [(2, "", "v3")], paths, 3, full=True)
+    assert stored(spark, paths) == [] and tables.read(spark, paths[1]).count() == 0
+
+
 def test_reindex_survives_a_stop_between_the_writes(spark):
     paths = scratch_path(spark, "i"), scratch_path(spark, "s")
     run(spark, DOCS, paths, 1)

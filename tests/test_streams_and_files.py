@@ -62,27 +62,28 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
 
     def go(checkpoint):
         source = stream.table_stream(spark, str(folder), "documents", "doc_id long, text string")
-        stream.start(source, *paths, checkpoint, 1, buckets=4, min_chars=None, strategy="paragraph_clean").awaitTermination()
-        return sorted((r.vector_id, r.summary) for r in tables.read(spark, paths[0]).collect())
+        stream.start(source, *paths, checkpoint, 1, min_chars=None, strategy="paragraph_clean").awaitTermination()
+        return sorted((r.vector_id, r.summary) for r in tables.read_batches(spark, paths[0], "doc_id").collect())
 
     checkpoint = scratch_path(spark, "c")
     first = go(checkpoint)
     assert [v for v, _ in first] == [f"{d}_chunk_{c}" for d in range(3) for c in range(2)]
     assert go(checkpoint) == first
-    assert go(scratch_path(spark, "c")) == first  # the same batch once more, as after a lost commit
+    assert go(scratch_path(spark, "c")) == first  # batch 0 once more, as after a lost commit
+    assert spark.read.parquet(paths[0]).count() == len(first)
     assert spark.read.parquet(paths[2]).count() == 3
-    docs(4, "alpha. new\n\ngamma").to_parquet(folder / "documents-2.parquet")
+    docs(4, "alpha. new").to_parquet(folder / "documents-2.parquet")
     after = go(checkpoint)
-    assert len(after) == 8 and after[0] == ("0_chunk_0", "alpha. new")
-    assert tables.read(spark, paths[1]).count() == 8
+    assert after == [(f"{d}_chunk_0", f"alpha. new {d}") for d in range(4)]  # and no old second chunk
+    assert tables.read_batches(spark, paths[1], "doc_id").count() == 4
 
 
 def test_text_stream(spark, tmp_path):
     (tmp_path / "d1.txt").write_text("line one\n\nline two", encoding="utf-8")
     paths = [scratch_path(spark, n) for n in ("i", "s", "a", "c")]
-    stream.start(stream.text_stream(spark, str(tmp_path)), *paths, 1, buckets=4, min_chars=None,
+    stream.start(stream.text_stream(spark, str(tmp_path)), *paths, 1, min_chars=None,
                  strategy="paragraph_clean").awaitTermination()
-    assert sorted((r.vector_id, r.chunk) for r in tables.read(spark, paths[0]).collect()) == [
+    assert sorted((r.vector_id, r.chunk) for r in tables.read_batches(spark, paths[0], "doc_id").collect()) == [
         ("d1_chunk_0", "line one"), ("d1_chunk_1", "line two")]
 
 
@@ -94,7 +95,7 @@ def test_status_stream(spark, tmp_path):
         pd.DataFrame(rows, columns=["doc_id", "status", "ts", "seq"]).to_parquet(tmp_path / f"{name}.parquet")
         events = spark.readStream.schema(schema).parquet(str(tmp_path))
         stream.start_status(events, path, checkpoint).awaitTermination()
-        return {(r.doc_id, r.status) for r in tables.read(spark, path).collect()}
+        return {(r.doc_id, r.status) for r in tables.read_batches(spark, path, "doc_id").collect()}
 
     assert feed("a", [(1, "start", 1, 1), (1, "complete", 2, 2), (2, "start", 1, 3)]) == {(1, "complete"), (2, "start")}
     assert feed("b", [(2, "fail", 1, 4), (1, "start", 0, 5)]) == {(1, "complete"), (2, "fail")}
@@ -108,7 +109,8 @@ def test_memory_over_several_batches(spark, tmp_path):
         source = spark.readStream.schema("session_id long, seq long, role string, content string").parquet(str(tmp_path))
         with memory.rocksdb(spark):
             memory.start_memory(source, path, checkpoint, 3).awaitTermination()
-        return sorted((r.session_id, r.position, r.content) for r in tables.read(spark, path).collect())
+        return sorted((r.session_id, r.position, r.content)
+                      for r in tables.read_batches(spark, path, "session_id").collect())
 
     assert feed("a", [(1, i, "user", f"m{i}") for i in range(5)] + [(2, 0, "user", "x")]) == [
         (1, 1, "m2"), (1, 2, "m3"), (1, 3, "m4"), (2, 1, "x")]

@@ -33,13 +33,14 @@ def clean_paragraphs(text: Column, sep: str = BLANK_LINE) -> Column:
     return non_empty(F.transform(literal_split(text, sep), strip))
 
 
-def _packed(pieces: Column, cost: Expr, limit: int, joiner: str, empty_head: bool) -> Column:
+def _packed(pieces: Column, cost: Expr, limit: int, joiner: str, empty_head: bool,
+            costs: Column | None = None) -> Column:
     """Greedy packing: a piece opens a new chunk when it would take the chunk over `limit`.
 
     With `empty_head`, a first piece that is over the limit on its own leaves an empty
-    chunk before it.
+    chunk before it. `costs` replaces `cost` where the sizes come from a Python function.
     """
-    def cut(parts: Column) -> Column:
+    def cut(parts: Column, sizes: Column) -> Column:
         def step(acc: Column, need: Column) -> Column:
             over = acc["used"] + need > limit
             opens = over if empty_head else over & (acc["at"] > 0)
@@ -51,11 +52,15 @@ def _packed(pieces: Column, cost: Expr, limit: int, joiner: str, empty_head: boo
             )
 
         zero = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("used"), F.lit(0).alias("at"))
-        starts = F.aggregate(F.transform(parts, cost), zero, step, lambda acc: acc["starts"])
+        starts = F.aggregate(sizes, zero, step, lambda acc: acc["starts"])
         return let(starts, lambda st: F.transform(st, lambda s, j: F.array_join(
             F.slice(parts, s + 1, F.coalesce(F.get(st, j + 1), F.size(parts)) - s), joiner)))
 
-    return F.when(F.size(pieces) > 0, let(pieces, cut)).otherwise(F.array().cast("array<string>"))
+    if costs is None:
+        packed = let(pieces, lambda parts: cut(parts, F.transform(parts, cost)))
+    else:
+        packed = let(F.struct(pieces.alias("parts"), costs.alias("sizes")), lambda x: cut(x["parts"], x["sizes"]))
+    return F.when(F.size(pieces) > 0, packed).otherwise(F.array().cast("array<string>"))
 
 
 def packed_paragraphs(text: Column, size: int = PACK_CHARS, sep: str = BLANK_LINE) -> Column:
@@ -75,9 +80,15 @@ def packed_sentences(text: Column, size: int = PACK_CHARS) -> Column:
 
 
 def packed_tokens(text: Column, size: int = PACK_TOKENS, sep: str = BLANK_LINE,
-                  tokenizer: Expr = words) -> Column:
-    """Paragraphs packed up to `size` tokens; separators are free, nothing is stripped."""
-    return _packed(literal_split(text, sep), lambda p: F.size(tokenizer(p)), size, sep, True)
+                  tokenizer: Expr = words, counter: Expr | None = None) -> Column:
+    """Paragraphs packed up to `size` tokens; separators are free, nothing is stripped.
+
+    `tokenizer` is a column expression; a Python tokenizer comes in as `counter`, a pandas
+    UDF from the array of paragraphs to the array of their token counts.
+    """
+    pieces = literal_split(text, sep)
+    costs = None if counter is None else counter(pieces)
+    return _packed(pieces, lambda p: F.size(tokenizer(p)), size, sep, True, costs)
 
 
 def _groups(pieces: Column, n: int, joiner: str) -> Column:

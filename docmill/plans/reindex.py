@@ -41,9 +41,12 @@ def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: s
     """
     if ids is not None:
         docs = documents.listed(docs, ids)
-    state_schema = "doc_id long, version string, chunk_id int, chunk_hash string"
+    if "version" not in docs.columns:
+        docs = docs.withColumn("version", F.lit(index.UNKNOWN_VERSION))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    nothing = f"doc_id {id_type}, version string, chunk_id int, chunk_hash string"
     known = tables.exists(spark, state_path)
-    state = tables.read(spark, state_path) if known else spark.createDataFrame([], state_schema)
+    state = tables.read(spark, state_path) if known else spark.createDataFrame([], nothing)
     todo = to_index(docs, state, mode, full, strategy, **options)
     rows = staged(finished(embedded(inference.summarize(todo, summarizer, functions), embed), now), "reindex")
     if full:

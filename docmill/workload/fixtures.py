@@ -10,6 +10,7 @@ from docmill.session import balanced
 
 NOW = 1_700_000_000
 EPOCH = 1_704_067_200
+ZERO_TIME = "1970-01-01 00:00:00"  # without a zone, so results do not depend on the session's
 NL = "\n"
 
 
@@ -34,7 +35,8 @@ def described(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select(
         "doc_id", "text", "lang", "source", "n_chars", acl().alias("acl"), written_at().alias("ts"),
         F.concat(F.lit("v_"), "source").alias("version"),
-        F.timestamp_seconds(F.lit(EPOCH) + F.col("n_chars")).alias("last_modified"))
+        (F.lit(ZERO_TIME).cast("timestamp_ntz") + F.make_dt_interval(secs=F.lit(EPOCH) + F.col("n_chars"))).alias(
+            "last_modified"))
 
 
 def line_chunks(spark: SparkSession, sf: str, *keep: str) -> DataFrame:

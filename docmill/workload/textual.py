@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docmill.functions import prompts, records, text as T, vectors
-from docmill.workload.fixtures import (DESCRIBED, NOW, SQL_SENTENCES, SQL_TOKENS, described, documents,
-                                       line_chunks, table, LINES)
+from docmill.workload.fixtures import (LINES, SQL_SENTENCES, SQL_TOKENS, ZERO_TIME, documents, line_chunks,
+                                       table)
 from docmill.workload.registry import query
 
 # Word counts as SQL groups them: (doc_id, word, n, first).
@@ -188,7 +188,10 @@ def json_round_trip(spark, sf):
   CASE WHEN strftime(ts, '%f') = '000000' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
        ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS iso FROM events""")
 def epoch_and_iso(spark, sf):
-    ts = F.col("ts").cast("timestamp_ntz")
+    since = F.col("ts").cast("timestamp_ntz") - F.lit(ZERO_TIME).cast("timestamp_ntz")
+    seconds = F.floor(F.extract(F.lit("DAY"), since) * 86400 + F.extract(F.lit("HOUR"), since) * 3600
+                      + F.extract(F.lit("MINUTE"), since) * 60 + F.extract(F.lit("SECOND"), since))
     return table(spark, sf, "events").select(
-        "event_id", F.unix_seconds(ts.cast("timestamp")).alias("epoch"), records.iso_time(ts).alias("iso"))
+        "event_id", seconds.cast("bigint").alias("epoch"),
+        records.iso_time(F.col("ts").cast("timestamp_ntz")).alias("iso"))
 

@@ -146,6 +146,23 @@ def test_dispatch(spark):
     assert df.select(joined).first()[0] == ["a+b", "c+d", "e"]
 
 
+def test_python_tokenizers(spark):
+    @F.pandas_udf("array<string>")
+    def pairs(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [t[i:i + 2] for i in range(0, len(t), 2)])
+
+    @F.pandas_udf("array<int>")
+    def counts(pieces: pd.Series) -> pd.Series:
+        return pieces.map(lambda ps: [-(-len(p) // 2) for p in ps])
+
+    texts = ["abcde\n\nfg\n\nh", "", "abcdefghij\n\nk"]
+    x = F.col("text")
+    assert all_chunks(spark, texts, C.token_windows(x, 2, pairs)) == [
+        ["ab cd", "e\n \nf", "g\n \nh"], [], ["ab cd", "ef gh", "ij \n\n", "k"]]
+    assert all_chunks(spark, texts, C.packed_tokens(x, 4, counter=counts)) == [
+        ["abcde\n\nfg", "h"], [""], ["", "abcdefghij", "k"]]
+
+
 def test_words_are_kept_in_order(spark, small):
     rows = C.chunk(documents(spark, small), "fixed_char", size=200).orderBy("doc_id", "chunk_id").collect()
     back = {}

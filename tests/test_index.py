@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from docmill.functions import records
 from docmill.operators import assembly, filters, index, inference, quality, ranking
-from docmill.plans import ingest, refine, reindex
+from docmill.functions.vectors import hashed_embedding
+from docmill.plans import answer, ingest, refine, reindex
 from docmill.session import scratch_path
-from docmill.sources import tables
+from docmill.sources import documents as sources, tables
 
 STATE = "doc_id long, version string, chunk_id int, chunk_hash string"
 
@@ -207,6 +208,21 @@ def test_reindex_resumes_and_notices_edits(spark):
     assert [r[2] for r in stored(spark, paths)] == [1, 3, 4, 4, 3]
 
 
+def test_text_files_to_answers(spark, tmp_path):
+    """Files without versions or access columns, from the scan to a query."""
+    for name, text in (("a", "red fox\n\nblue sea"), ("b", "green hill")):
+        (tmp_path / f"{name}.txt").write_text(text, encoding="utf-8")
+    docs = sources.text_documents(spark, str(tmp_path))
+    paths = scratch_path(spark, "i"), scratch_path(spark, "s")
+    progress = reindex.reindex(spark, docs, *paths, 1, strategy="paragraph_clean", buckets=4)
+    assert pairs(progress, "doc_id", "version", "chunks_indexed_count") == [("a", "unknown", 2), ("b", "unknown", 1)]
+    asks = spark.createDataFrame([(1, "SEA", None, None, None, None), (2, None, None, None, None, "hill")],
+                                 "qid int, keyword string, acl string, min_time long, max_time long, text string")
+    asks = asks.withColumn("embedding", F.when(F.col("text").isNotNull(), hashed_embedding(F.col("text"))))
+    got = answer.dispatch(tables.read(spark, paths[0]), asks, 1)
+    assert pairs(got, "qid", "vector_id", "branch") == [(1, "a_chunk_1", "keyword"), (2, "b_chunk_0", "vector")]
+
+
 def test_reindex_of_an_emptied_document(spark):
     paths = scratch_path(spark, "i"), scratch_path(spark, "s")
     run(spark, DOCS, paths, 1)

@@ -44,8 +44,8 @@ def matching_queries(chunks: DataFrame, queries: DataFrame, id_cols: tuple[str,
     """Hits of many keyword queries (qid, keyword, acl, min_time, max_time) in one job.
 
     Each chunk row meets a *block* of queries as one array and keeps the matching ones, so
-    only hits become rows. One checked block is broadcast; more blocks are hashed together
-    with bounded cells of the chunks.
+    only hits become rows. One checked block is a scalar value of the plan; more blocks are
+    hashed together with bounded cells of the chunks.
     """
     # Everything that does not depend on the pair is computed once per row, before the pairing.
     ask = F.struct("qid", F.lower(F.coalesce("keyword", F.lit(""))).alias("keyword"),
@@ -62,8 +62,7 @@ def matching_queries(chunks: DataFrame, queries: DataFrame, id_cols: tuple[str,
                 & F.contains(F.col("_low"), q["keyword"]))
 
     if small_enough(queries, block_rows):
-        blocks = queries.groupBy(F.lit(0).alias("_block")).agg(F.collect_list(ask).alias("_asked"))
-        met = chunks.withColumn("_block", F.lit(0)).join(F.broadcast(blocks), "_block")
+        met = chunks.withColumn("_asked", queries.agg(F.collect_list(ask)).scalar())
     else:
         n = -(-queries.count() // block_rows)
         cells = max(1, -(-chunks.count() // cell_rows))

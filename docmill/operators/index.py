@@ -101,9 +101,9 @@ def latest(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def upserted(existing: DataFrame, updates: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Existing rows not in the updates, plus the updates. Only keys are compared."""
+    kept = existing.join(updates.select(*keys), keys, "left_anti").select(*existing.columns)
     new = latest(updates, keys, order) if order else updates
-    new = new.select(*existing.columns)
-    return existing.join(new.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(new)
+    return kept.unionByName(new.select(*existing.columns))
 
 
 def replaced(existing: DataFrame, new: DataFrame, owner: str = "doc_id",

@@ -36,10 +36,10 @@ def flagged_by(judges: list[Column]) -> Column:
     return yes > len(judges) / 2
 
 
-def passes(text: Column, flagged: Column, min_chars: int | None = MIN_CHARS) -> Column:
+def passes(flagged: Column, chars: Column, min_chars: int | None = MIN_CHARS) -> Column:
     """Long enough (unless None) and not flagged; an unknown flag passes."""
     clean = ~F.coalesce(flagged, F.lit(False))
-    return clean if min_chars is None else (F.length(text) >= min_chars) & clean
+    return clean if min_chars is None else (chars >= min_chars) & clean
 
 
 def decide(scores: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:

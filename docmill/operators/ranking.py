@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.operators.topk import ranked
@@ -36,21 +36,25 @@ def ordinals(df: DataFrame, group: list[str], order: list[str], out: str = "rank
 def limited(hits: DataFrame, order: list[str], top_k: int | None = 5, top_p: float | None = None,
             group: str | None = None) -> DataFrame:
     """First top_p share (at least one), then first top_k, of each group; 0 and None mean no limit."""
-    one = group is None
-    if one:
-        group = "_one"
-        hits = hits.withColumn(group, F.lit(0))
-    if top_k:
+    if top_k and group is None:  # one task holds at most top_k rows of every other task
+        first = hits.orderBy(*order).limit(top_k)
+        kept = first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    elif top_k:
         kept = ranked(hits, group, [F.col(c) for c in order], top_k)
     elif top_p:
-        kept = ordinals(hits, [group], order)
+        kept = ordinals(hits, [group] if group else [], order)
     else:
-        kept = hits
-    if top_p:
-        total = hits.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-        share = F.greatest(F.floor(F.col("_n") * F.lit(float(top_p))), F.lit(1))
-        kept = kept.join(total, group).where(F.col("rank") <= share).drop("_n")
-    return kept.drop("_one") if one else kept
+        return hits
+    if not top_p:
+        return kept
+
+    def share(n: Column) -> Column:
+        return F.greatest(F.floor(n * F.lit(float(top_p))), F.lit(1))
+
+    if group is None:
+        return kept.where(F.col("rank") <= share(hits.agg(F.count(F.lit(1))).scalar()))
+    total = hits.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    return kept.join(total, group).where(F.col("rank") <= share(F.col("_n"))).drop("_n")
 
 
 def last_messages(conversations: DataFrame, n: int = LAST_MESSAGES, session: str = "session_id",

@@ -11,6 +11,7 @@ from docmill.operators.filters import matching_queries
 from docmill.operators.keyword_search import bm25_top_k, fused, tokenised
 from docmill.operators.ranking import limited
 from docmill.operators.vector_search import vector_top_k
+from docmill.session import staged
 
 
 def dispatch(chunks: DataFrame, queries: DataFrame, top_k: int = 5, top_p: float | None = None) -> DataFrame:
@@ -25,7 +26,10 @@ def dispatch(chunks: DataFrame, queries: DataFrame, top_k: int = 5, top_p: float
     near = near.join(by_vector.select("qid", F.col("acl").alias("_acl")), "qid").where(
         "coalesce(_acl, '') = '' or _acl = acl").drop("rank")
     near = limited(near, ["distance", "vector_id"], top_k, top_p, "qid")
-    found = limited(matching_queries(chunks, by_keyword), ["doc_id", "chunk_id"], top_k, top_p, "qid")
+    found = matching_queries(chunks, by_keyword).select("qid", "vector_id", "doc_id", "chunk_id")
+    if top_p:  # counted and ranked: match the texts once
+        found = staged(found, "found")
+    found = limited(found, ["doc_id", "chunk_id"], top_k, top_p, "qid")
     columns = ["qid", "vector_id", "rank"]
     return (near.select(*columns, F.lit("vector").alias("branch"))
             .unionByName(found.select(*columns, F.lit("keyword").alias("branch"))))

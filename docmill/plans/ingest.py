@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from docmill.functions import records, text as text_fn, vectors
 from docmill.operators import chunking, inference, quality
-from docmill.operators.index import cache_rows, chunk_hash, insert_rows, split_cached
+from docmill.operators.index import cache_rows, chunk_hash, split_cached
+from docmill.session import staged
 
 Embed = Callable[[Column], Column]
 
@@ -20,9 +21,9 @@ Embed = Callable[[Column], Column]
 def gated(docs: DataFrame, judges: list[Column] | None = None, min_chars: int | None = quality.MIN_CHARS,
           flags: DataFrame | None = None) -> DataFrame:
     """Documents that may be indexed. `flags` (doc_id, flagged) comes from external judges."""
-    kept = docs.where(quality.passes(F.col("text"), quality.flagged_by(judges or []), min_chars))
+    kept = docs.where(quality.passes(quality.flagged_by(judges or []), F.length("text"), min_chars))
     if flags is not None:  # only the flagged ids are needed; unknown documents pass
-        kept = kept.join(flags.where("flagged").select("doc_id"), "doc_id", "left_anti")
+        kept = kept.join(staged(flags.where("flagged").select("doc_id"), "flagged"), "doc_id", "left_anti")
     return kept
 
 
@@ -75,13 +76,10 @@ def summarize_requests(requests: DataFrame, docs: DataFrame, cache: DataFrame, n
     The cheap test comes first: only requests without cached chunks are chunked and summarized.
     """
     hits, misses = split_cached(requests, cache)
+    hits = staged(hits.select("doc_id").distinct(), "cached")
     wanted = misses.select("doc_id", *[c for c in ("acl", "bm25") if c in misses.columns])
-    new = ingest(docs.join(wanted, "doc_id"), now, min_chars=None, **settings)
+    new = ingest(docs.join(staged(wanted, "wanted"), "doc_id"), now, min_chars=None, **settings)
     columns = ["doc_id", "chunk_id", "summary", "acl", "ts"]
-    old = cache_rows(cache, now).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    old = cache_rows(cache, now).join(hits, "doc_id", "left_semi")
     return (old.select(*columns, F.lit("cache").alias("source"))
             .unionByName(new.select(*columns, F.lit("generated").alias("source"))))
-
-
-__all__ = ["gated", "described", "chunk_rows", "embedded", "finished", "ingest", "insert_rows",
-           "summarize_requests"]

@@ -12,7 +12,7 @@ from docmill.session import scratch_path
 from docmill.sources import tables
 from docmill.workload.fixtures import LINES, NL, NOW, SQL_SENTENCES, SQL_TOKENS, described, line_chunks, table
 from docmill.workload.registry import query
-from docmill.workload.scrutiny import JUDGES, VOTES
+from docmill.workload.scrutiny import VOTES, flags
 from docmill.workload.textual import KEYWORD_CTE, SCORE
 
 
@@ -42,8 +42,7 @@ def shown(rows):
 @query(f"WITH {INGESTED} SELECT * FROM ingested")
 def ingest_chunks(spark, sf):
     """Gate, chunk, summarize, key, embed and describe every document."""
-    docs = described(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
-    rows = ingest.ingest(docs, NOW, judges=[F.expr(j) for j in JUDGES], strategy="paragraph_clean",
+    rows = ingest.ingest(described(spark, sf), NOW, flags=flags(spark, sf), strategy="paragraph_clean",
                          options={"sep": NL}, summarizer=FIRST_SENTENCE)
     return shown(rows)
 
@@ -69,8 +68,7 @@ def refine_summaries(spark, sf):
 FROM lines l JOIN votes v ON v.doc_id = l.doc_id AND NOT v.votes > 1.5""")
 def gate_and_upload(spark, sf):
     """Judges without a length gate, then chunk, summarize, score and key every chunk."""
-    docs = described(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
-    rows = ingest.ingest(docs, NOW, judges=[F.expr(j) for j in JUDGES], min_chars=None,
+    rows = ingest.ingest(described(spark, sf), NOW, flags=flags(spark, sf), min_chars=None,
                          strategy="paragraph_clean", options={"sep": NL}, summarizer=FIRST_SENTENCE)
     return quality.scored(rows).select("vector_id", "version", F.round("score", 6).alias("score"),
                                        F.lit(True).alias("reindexed"))

@@ -8,7 +8,7 @@ from docmill.functions.records import vector_id
 from docmill.functions import text as T
 from docmill.operators import assembly, index
 from docmill.plans import reindex
-from docmill.session import scratch_path
+from docmill.session import scratch_path, staged
 from docmill.sources import documents as sources, tables
 from docmill.workload.fixtures import DESCRIBED, LINES, NL, NOW, described, documents, line_chunks, table
 from docmill.workload.registry import query
@@ -92,7 +92,7 @@ def state_after_reindex(spark, sf):
     """State with the newly indexed chunk numbers added under the new version."""
     state = stored_state(spark, sf)
     todo = reindex.to_index(described(spark, sf), state, "code", strategy="paragraph_clean", sep=NL)
-    return index.merged_state(state, todo)
+    return index.merged_state(state, staged(todo.select("doc_id", "version", "chunk_id", "chunk"), "todo"))
 
 
 @query(f"""WITH {LINES}, {STATE} SELECT doc_id, chunk_id FROM lines EXCEPT SELECT doc_id, chunk_id FROM state""")

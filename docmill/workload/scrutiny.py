@@ -12,27 +12,42 @@ from docmill.workload.fixtures import LINES, SQL_SENTENCES, documents, line_chun
 from docmill.workload.registry import query
 from docmill.workload.textual import SCORE
 
-JUDGES = "toxic = 1", "contains(lower(text), 'error')", "n_chars < 200"
+LABEL_JUDGE = "toxic = 1"
+JUDGES = "contains(lower(text), 'error')", "n_chars < 200"
 VOTES = """votes AS (SELECT d.doc_id, d.text, d.n_chars,
   CAST(coalesce(toxic = 1, FALSE) AS INTEGER) + CAST(contains(lower(text), 'error') AS INTEGER)
   + CAST(n_chars < 200 AS INTEGER) AS votes FROM documents d LEFT JOIN labels USING (doc_id))"""
 
 
-def judged_documents(spark, sf):
-    return documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
+def judge_columns(spark, sf):
+    """(doc_id, n_chars, one vote per judge). The text judges run before the join with the labels,
+    so no text is shuffled."""
+    own = documents(spark, sf).select("doc_id", "n_chars", *[F.expr(j).alias(f"j{i}") for i, j in enumerate(JUDGES, 1)])
+    known = table(spark, sf, "labels").select("doc_id", F.expr(LABEL_JUDGE).alias("j0"))
+    return own.join(known, "doc_id", "left")
+
+
+VOTE_COLUMNS = ["j0", "j1", "j2"]
+
+
+def flags(spark, sf):
+    """(doc_id, flagged) by majority, for flows that take external judges."""
+    flagged = quality.flagged_by([F.col(c) for c in VOTE_COLUMNS])
+    return judge_columns(spark, sf).select("doc_id", flagged.alias("flagged"))
 
 
 @query(f"""WITH {VOTES} SELECT doc_id, CAST(votes AS BIGINT) AS votes, CAST(3 AS BIGINT) AS checks,
   votes > 1.5 AS flagged FROM votes""")
 def scrutiny_vote(spark, sf):
-    rows = quality.judge_rows(judged_documents(spark, sf), {j: F.expr(j) for j in JUDGES})
+    rows = quality.judge_rows(judge_columns(spark, sf), {c: F.col(c) for c in VOTE_COLUMNS})
     return quality.majority(rows)
 
 
 @query(f"WITH {VOTES} SELECT doc_id, n_chars >= 100 AND NOT votes > 1.5 AS passes FROM votes")
 def document_gate(spark, sf):
-    flagged = quality.flagged_by([F.expr(j) for j in JUDGES])
-    return judged_documents(spark, sf).select("doc_id", quality.passes(F.col("text"), flagged).alias("passes"))
+    flagged = quality.flagged_by([F.col(c) for c in VOTE_COLUMNS])
+    ok = quality.passes(flagged, F.col("n_chars"))
+    return judge_columns(spark, sf).select("doc_id", ok.alias("passes"))
 
 
 SCORED = f"""scored AS (SELECT doc_id, chunk_id, CAST({SCORE.format('summary')} AS DOUBLE) AS score FROM (

@@ -72,9 +72,9 @@ def test_votes(spark):
 def test_gate(spark):
     df = spark.createDataFrame([(1, "x" * 99, False), (2, "x" * 100, False), (3, "x" * 100, True), (4, "x" * 100, None)],
                                "doc_id int, text string, f boolean")
-    ok = df.where(quality.passes(F.col("text"), F.col("f")))
+    ok = df.where(quality.passes(F.col("f"), F.length("text")))
     assert pairs(ok, "doc_id") == [(2,), (4,)]
-    assert pairs(df.where(quality.passes(F.col("text"), F.col("f"), None)), "doc_id") == [(1,), (2,), (4,)]
+    assert pairs(df.where(quality.passes(F.col("f"), F.length("text"), None)), "doc_id") == [(1,), (2,), (4,)]
     flags = spark.createDataFrame([(2, True)], "doc_id int, flagged boolean")
     assert pairs(ingest.gated(df, flags=flags), "doc_id") == [(3,), (4,)]
 

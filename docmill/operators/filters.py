@@ -47,32 +47,36 @@ def matching_queries(chunks: DataFrame, queries: DataFrame, id_cols: tuple[str,
     only hits become rows. One checked block is a scalar value of the plan; more blocks are
     hashed together with bounded cells of the chunks.
     """
-    # Everything that does not depend on the pair is computed once per row, before the pairing.
-    ask = F.struct("qid", F.lower(F.coalesce("keyword", F.lit(""))).alias("keyword"),
-                   F.coalesce("acl", F.lit("")).alias("acl"),
-                   F.coalesce("min_time", F.lit(0)).cast("bigint").alias("min_time"),
-                   F.coalesce("max_time", F.lit(0)).cast("bigint").alias("max_time"))
+    # Everything that does not depend on the pair is computed once per row, before the pairing,
+    # and a keyword that many queries share is looked for once.
+    asks = queries.select(
+        "qid", F.lower(F.coalesce("keyword", F.lit(""))).alias("keyword"), F.coalesce("acl", F.lit("")).alias("acl"),
+        F.coalesce("min_time", F.lit(0)).cast("bigint").alias("min_time"),
+        F.coalesce("max_time", F.lit(0)).cast("bigint").alias("max_time"))
     chunks = (chunks.withColumn("_low", F.lower(F.coalesce("summary", F.lit(""))))
               .withColumn("_acl", F.coalesce("acl", F.lit(""))).withColumn("_ts", F.coalesce("ts", F.lit(0))))
 
+    def blocks(rows: DataFrame, *by: str) -> DataFrame:
+        ask = F.struct("qid", "acl", "min_time", "max_time")
+        by_keyword = rows.groupBy(*by, "keyword").agg(F.collect_list(ask).alias("asks"))
+        return by_keyword.groupBy(*by).agg(F.collect_list(F.struct("keyword", "asks")).alias("_asked"))
+
     def wanted(q: Column) -> Column:
         return (((q["acl"] == "") | (q["acl"] == F.col("_acl")))
                 & ((q["min_time"] == 0) | (F.col("_ts") >= q["min_time"]))
-                & ((q["max_time"] == 0) | (F.col("_ts") <= q["max_time"]))
-                & F.contains(F.col("_low"), q["keyword"]))
+                & ((q["max_time"] == 0) | (F.col("_ts") <= q["max_time"])))
 
     if small_enough(queries, block_rows):
-        met = chunks.withColumn("_asked", queries.agg(F.collect_list(ask)).scalar())
+        met = chunks.withColumn("_asked", blocks(asks).scalar())
     else:
         n = -(-queries.count() // block_rows)
         cells = max(1, -(-chunks.count() // cell_rows))
-        blocks = (queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(n)))
-                  .groupBy("_block").agg(F.collect_list(ask).alias("_asked"))
-                  .withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>"))))
-        met = (chunks.withColumn("_cell", F.pmod(F.xxhash64(*id_cols), F.lit(cells)))
-               .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-               .join(blocks.hint("shuffle_hash"), ["_cell", "_block"]))
-    hit = met.withColumn("_hit", F.explode(F.filter("_asked", wanted)))
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>"))
+        spread = blocks(asks.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(n))), "_block")
+        met = (chunks.withColumn("_cell", F.pmod(F.xxhash64(*id_cols), F.lit(cells))).withColumn("_block", every(n))
+               .join(spread.withColumn("_cell", every(cells)).hint("shuffle_hash"), ["_cell", "_block"]))
+    named = F.filter("_asked", lambda g: F.contains(F.col("_low"), g["keyword"]))
+    hit = met.withColumn("_hit", F.explode(F.flatten(F.transform(named, lambda g: F.filter(g["asks"], wanted)))))
     return hit.withColumn("qid", F.col("_hit.qid")).drop(
         "_asked", "_hit", "_block", "_cell", "_low", "_acl", "_ts")
 

@@ -61,8 +61,8 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_co
                  **options) -> DataFrame:
     """Nearest vectors by squared L2, closest first: (qid, id, *carry, distance, rank).
 
-    `carry` names small columns to keep, which saves a join back to the corpus. `acl` filters the k hits afterwards (mode 'post', may leave fewer than k) or the corpus
-    before the search ('pre').
+    `carry` names small columns to keep, which saves a join back to the corpus. `acl` filters
+    the k hits afterwards (mode 'post', may leave fewer than k) or the corpus before ('pre').
     """
     if mode not in ("post", "pre"):
         raise ValueError(f"Unsupported acl mode: {mode}")

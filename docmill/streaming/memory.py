@@ -41,9 +41,20 @@ class LastMessages(StatefulProcessor):
         pass
 
 
+def newest(messages: DataFrame, n: int) -> DataFrame:
+    """Keep the last n messages per session and Arrow batch, before the shuffle: a session that
+    holds most of a micro-batch sends n rows per batch to its task. Dropped rows could not
+    have been among the last n."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.sort_values("seq", kind="stable").groupby("session_id", sort=False, dropna=False).tail(n)
+
+    return messages.mapInPandas(run, messages.schema)
+
+
 def memory_stream(messages: DataFrame, n: int = 20) -> DataFrame:
     """`messages`: session_id, seq, role, content. Needs the RocksDB state store provider."""
-    return messages.groupBy("session_id").transformWithStateInPandas(
+    return newest(messages.select("session_id", "seq", "role", "content"), n).groupBy("session_id").transformWithStateInPandas(
         LastMessages(n), "session_id long, seq long, role string, content string, position int",
         "Update", "None")
 

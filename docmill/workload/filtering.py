@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.operators import assembly, filters, index, ranking
 from docmill.operators.chunking import chunks_of
-from docmill.workload.fixtures import (DESCRIBED, EPOCH, LINES, NL, SQL_SENTENCES, SQL_TOKENS, described,
+from docmill.workload.fixtures import (EPOCH, LINES, NL, SQL_SENTENCES, SQL_TOKENS, described,
                                        documents, line_chunks, table)
 from docmill.workload.registry import query
-from docmill.workload.textual import KEYWORD_CTE, LEAD
+from docmill.workload.textual import KEYWORD_CTE
 
 LATER = EPOCH + 3000
 

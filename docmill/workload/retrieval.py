@@ -8,7 +8,7 @@ from docmill.functions import text as T, vectors
 from docmill.operators import keyword_search, quality, vector_search
 from docmill.operators.index import with_vector_id
 from docmill.plans import answer
-from docmill.workload.fixtures import SQL_TOKENS, acl, described, documents, table
+from docmill.workload.fixtures import SQL_TOKENS, described, documents, table
 from docmill.workload.filtering import QUESTIONS, questions
 from docmill.workload.registry import query
 from docmill.workload.textual import LEAD

@@ -112,7 +112,7 @@ def test_memory_over_several_batches(spark, tmp_path):
         return sorted((r.session_id, r.position, r.content)
                       for r in tables.read_batches(spark, path, "session_id").collect())
 
-    assert feed("a", [(1, i, "user", f"m{i}") for i in range(5)] + [(2, 0, "user", "x")]) == [
+    assert feed("a", [(1, i, "user", f"m{i}") for i in (3, 0, 4, 1, 2)] + [(2, 0, "user", "x")]) == [
         (1, 1, "m2"), (1, 2, "m3"), (1, 3, "m4"), (2, 1, "x")]
     assert feed("b", [(1, 5, "user", "m5"), (2, 1, "user", "y")]) == [
         (1, 1, "m3"), (1, 2, "m4"), (1, 3, "m5"), (2, 1, "x"), (2, 2, "y")]

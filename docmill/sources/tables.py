@@ -52,6 +52,14 @@ def write_jdbc(df: DataFrame, url: str, table: str, **properties: str) -> None:
     df.write.jdbc(url, table, mode="append", properties=properties)
 
 
+def write_lists(assigned: DataFrame, path: str) -> None:
+    """Vectors laid out by inverted list, so a search reads only the lists it probes.
+
+    `rebalance` spreads a list that holds much of the table over several tasks and files.
+    """
+    assigned.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+
+
 # ---- batch folders of a stream ----------------------------------------------------------
 
 

@@ -8,6 +8,8 @@ from docmill.functions import text as T, vectors
 from docmill.operators import keyword_search, quality, vector_search
 from docmill.operators.index import with_vector_id
 from docmill.plans import answer
+from docmill.session import scratch_path
+from docmill.sources import tables
 from docmill.workload.fixtures import SQL_TOKENS, described, documents, table
 from docmill.workload.filtering import QUESTIONS, questions
 from docmill.workload.registry import query
@@ -66,7 +68,7 @@ def ivf_assign(spark, sf):
     return out.select("vec_id", "list_id", "list_distance")
 
 
-@query(f"""WITH {MEANS}, {ASSIGNED},
+PROBED = f"""WITH {MEANS}, {ASSIGNED},
 probes AS (SELECT qid, list_id FROM (SELECT a.qid, b.qid AS list_id,
     round(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: (a.q[i] - b.q[i]) * (a.q[i] - b.q[i]))), 6) AS d
   FROM means a, means b) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, list_id) <= 3)
@@ -74,7 +76,10 @@ SELECT qid, vec_id, distance, CAST(rk AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rk FROM (
     SELECT p.qid, a.vec_id, {DISTANCE} AS distance FROM probes p JOIN assigned a USING (list_id)
     JOIN means m ON m.qid = p.qid JOIN (SELECT vec_id, embedding AS e FROM embeddings) v ON v.vec_id = a.vec_id))
-WHERE rk <= 5""")
+WHERE rk <= 5"""
+
+
+@query(PROBED)
 def ivf_search(spark, sf):
     """Search the three nearest of ten lists."""
     lists = label_means(spark, sf, "list_id")
@@ -82,6 +87,15 @@ def ivf_search(spark, sf):
     return vector_search.probe_top_k(assigned, lists, label_means(spark, sf, "qid"), 5, nprobe=3)
 
 
+@query(PROBED)
+def ivf_search_table(spark, sf):
+    """The same over a table written by list; only the probed lists are read."""
+    lists = label_means(spark, sf, "list_id")
+    path = scratch_path(spark, "lists")
+    tables.write_lists(vector_search.assign_lists(stored_vectors(spark, sf), lists), path)
+    return vector_search.probe_top_k(spark.read.parquet(path), lists, label_means(spark, sf, "qid"), 5, nprobe=3)
+
+
 @query()
 def ivf_train_recall(spark, sf):
     """Train eight lists and report recall at five against the exact search, by lists probed."""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from docmill.operators import filters, keyword_search as KS, quality, topk, vector_search as VS
 from docmill.plans import answer
+from docmill.session import scratch_path
+from docmill.sources import tables
 
 DIM = 6
 
@@ -109,6 +111,18 @@ def test_inverted_lists(vectors, asked):
     assert report.hits == 115 and 0 < report.recall <= 1
 
 
+def test_probing_reads_only_the_probed_lists(spark, vectors, asked, plan):
+    lists = VS.train_lists(vectors[0].where("embedding is not null"), 6)
+    path = scratch_path(spark, "lists")
+    tables.write_lists(VS.assign_lists(vectors[0].where("embedding is not null"), lists), path)
+    one = asked[0].where("qid = 0")
+    found = VS.probe_top_k(spark.read.parquet(path), lists, one, 5, nprobe=2)
+    text = plan(found)
+    assert "PartitionFilters: [list_id" in text and "acl" not in text.split("ReadSchema")[1]
+    assert rows(found) == rows(VS.probe_top_k(VS.assign_lists(vectors[0].where("embedding is not null"), lists),
+                                              lists, one, 5, nprobe=2))
+
+
 def test_many_lists_are_assigned_by_search(vectors, asked, monkeypatch):
     (df, _), (queries, q) = vectors, asked
     lists = queries.select(F.col("qid").cast("int").alias("list_id"), "embedding")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(app: str = "docmill", cores: str | int = "*", shuffle: int = 8) -> SparkSession:
-    """Single-JVM session for tests and the bench; clusters bring their own."""
+def local_session(app: str = "docmill", cores: str | int = "*", shuffle: int = 8,
+                  checkpoints: str | None = None) -> SparkSession:
+    """Single-JVM session for tests and the bench, with a shared folder of its own; clusters bring theirs."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -21,6 +22,7 @@ def local_session(app: str = "docmill", cores: str | int = "*", shuffle: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("DOCMILL_DRIVER_MEMORY", "12g"))
+        .config(CHECKPOINT_CONF, checkpoints or tempfile.mkdtemp(prefix="docmill-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -30,11 +32,16 @@ def local_session(app: str = "docmill", cores: str | int = "*", shuffle: int = 8
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names in `spark.checkpoint.dir`.
+
+    Raises ValueError where the setting is missing, or names a `file:` folder while the
+    executors run on other machines: they would each write to a disk of their own.
+    """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="docmill-scratch-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        raise ValueError(f"{CHECKPOINT_CONF} is not set; name a folder that the driver and all executors share")
+    if root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_CONF}={root} is on one machine; name a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -9,14 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import line_dedup, simhash
+from docmill.llm import decontamination, line_dedup, packing, quality_model, simhash
 from docmill.llm.common import table
+from docmill.llm.queries import vocabulary
 from docmill.session import staged
 
 #: Packing cannot be said in SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
+def of_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality_model.apply(docs, table(spark, sf_dir, "labels"))
+
+
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that at least three documents hold, which stay in the last of these."""
     return line_dedup.apply(docs)
@@ -27,9 +33,22 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return simhash.apply(docs)
 
 
+def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by test phrases."""
+    return decontamination.apply(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents that are left, as pieces of near-full token sequences."""
+    return packing.pack(docs, vocabulary())
+
+
 STAGES = [
+    ("quality_classifier", of_good_quality),
     ("line_dedup", without_repeated_lines),
     ("simhash_near_dedup", without_near_copies),
+    ("benchmark_decontamination", without_benchmark_passages),
+    ("packing", packed),
 ]
 
 

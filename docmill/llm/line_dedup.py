@@ -19,11 +19,11 @@ other than the id and the text are not looked at. Empty tables give an empty res
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docmill.llm.common import SPACES, lowered
 from docmill.session import scratch_path, staged
@@ -104,7 +104,7 @@ def merged(runs: DataFrame) -> DataFrame:
         F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
     def kept(whole, positions):
         if positions is None or not len(positions):

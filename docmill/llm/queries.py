@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import line_dedup, simhash
+from docmill.llm import decontamination, line_dedup, packing, quality_model, simhash
 from docmill.llm.common import LOWER, SPACES, UPPER, table
 
+BPE = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,6 +27,12 @@ def query(sql: str | None = None):
     return add
 
 
+def vocabulary() -> str:
+    """The content of the tokenizer file, which is read on the driver and goes to the tasks with their code."""
+    return Path(public_tokenizers.path(BPE)).read_text()
+
+
+WORD, N = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", decontamination.WINDOW
 STRIPPED = " || ".join(f"chr({ord(c)})" for c in SPACES)
 
 
@@ -46,6 +56,45 @@ def op1_line_dedup(spark, sf):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query()
+def op2_packing(spark, sf):
+    pieces = packing.pack(table(spark, sf, "documents"), vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
+@query(f"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w
+             FROM documents),
+item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w
+         FROM benchmark),
+phrase AS (
+    SELECT DISTINCT item_id, least(len(w), {N}) AS n, array_to_string(w[s:s + least(len(w), {N}) - 1], ' ') AS words
+    FROM item, LATERAL (SELECT unnest(range(1, greatest(len(w) - {N} + 1, 1) + 1)) AS s) WHERE len(w) > 0),
+size AS (SELECT DISTINCT n FROM phrase),
+place AS (
+    SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS words
+    FROM doc, size, LATERAL (SELECT unnest(range(1, greatest(len(w) - n + 2, 1))) AS s)),
+found AS (SELECT place.doc_id, place.n, place.s, item_id FROM place JOIN phrase USING (n, words)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, s, n FROM found)) GROUP BY doc_id),
+owner AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN owner USING (doc_id)
+""")
+def op3_benchmark_decontamination(spark, sf):
+    found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op4_quality_classifier(spark, sf):
+    return quality_model.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query()
 def op8_simhash_near_dedup(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))

@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import decontamination, line_dedup, packing, quality_model, simhash
+from docmill.llm import (
+    decontamination,
+    language_id,
+    license_scan,
+    line_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    simhash,
+    token_counts,
+    warc,
+)
 from docmill.llm.common import LOWER, SPACES, UPPER, table
 
 BPE = "byte_bpe_50k.json"
@@ -95,7 +106,61 @@ def op4_quality_classifier(spark, sf):
     return quality_model.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query()
+def op5_language_id(spark, sf):
+    return language_id.identify(table(spark, sf, "documents"))
+
+
+@query()
+def op6_license_scan(spark, sf):
+    found = license_scan.scan(table(spark, sf, "documents"))
+    exact = F.filter("matches", lambda m: (m["missing"] == 0) & (m["inserted"] == 0))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    return found.select(
+        "doc_id", "n_candidates", F.size("matches").cast("long").alias("n_matches"),
+        F.size(exact).cast("long").alias("n_exact"), F.array_join(names, ",").alias("licenses"),
+        F.array_join(F.transform("matches", lambda m: m["line"].cast("string")), ",").alias("lines"))
+
+
+@query()
+def op7_quality_rules(spark, sf):
+    return quality_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query()
 def op8_simhash_near_dedup(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op9_token_counts(spark, sf):
+    docs = table(spark, sf, "documents")
+    counts = token_counts.count_edited(docs, token_counts.cleaned(F.col("text")), vocabulary())
+    return counts.select("doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_leaves", "chars_encoded",
+                         F.sha2("edited_text", 256).alias("edited_sha256"))
+
+
+@query(f"""
+WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS digest FROM page),
+bits AS (
+    SELECT *, array_to_string(list_transform(string_split(digest, ''), lambda c:
+        right(bin(15 + instr('0123456789abcdef', c)), 4)), '') AS b
+    FROM hashed),
+coded AS (
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+        substr('{UPPER}234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda j:
+            CAST(substr(b, 5 * i + j + 1, 1) AS INTEGER) * (16 >> j))) AS INTEGER), 1)), '') AS payload_digest
+    FROM bits),
+first AS (
+    SELECT *, CASE WHEN payload_bytes >= {warc.MIN_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id
+    FROM coded)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM first
+""")
+def op10_warc(spark, sf):
+    back = warc.round_trip(spark, table(spark, sf, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

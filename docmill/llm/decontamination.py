@@ -207,7 +207,7 @@ def occurrences(numbers: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.n
 
 def marker(phrases: Phrases, shard_words: int):
     """Adds the block's hits to rows (row, text, n_words, spans, items)."""
-    number, none = phrases.vocabulary, repeat(0)
+    number = phrases.vocabulary
 
     def shard(parts: list[tuple[pa.RecordBatch, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         docs = [ids for _, own in parts for ids in own]
@@ -248,7 +248,7 @@ def marker(phrases: Phrases, shard_words: int):
                 ["row", "text", "n_words", "spans", "items"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, none = [], 0, repeat(0)
         for batch in batches:
             own, first = [], 0
             for i, text in enumerate(batch.column(1)):

@@ -153,8 +153,7 @@ def recounted(text: Column, tree: Column, edits: Column, spec: str) -> Column:
         for texts, sizes, tokens, changes in batches:
             rows = []
             for whole, chars, own, change in zip(texts, sizes, tokens, changes):
-                change = [(e["start"], e["stop"], e["text"] or "") for e in (change if change is not None else ())
-                          if e is not None and e["start"] is not None and e["stop"] is not None]
+                change = [(int(e["start"]), int(e["stop"]), e["text"] or "") for e in (() if change is None else change)]
                 if not change:
                     rows.append((whole, chars, own, int(sum(own)), 0, 0))
                     continue
@@ -168,7 +167,8 @@ def recounted(text: Column, tree: Column, edits: Column, spec: str) -> Column:
                 rows.append((grown.text, [len(grown.parts[i]) for i in kept],
                              [grown.tokens[grown.width + i] for i in kept], grown.tokens[1], len(change), grown.encoded))
             yield pd.DataFrame(rows, columns=["text", "leaf_chars", "leaf_tokens", "n_tokens", "n_edits", "chars_encoded"])
-    return of(text, tree["leaf_chars"], tree["leaf_tokens"], edits)
+    known = F.filter(edits, lambda e: e["start"].isNotNull() & e["stop"].isNotNull())
+    return of(text, tree["leaf_chars"], tree["leaf_tokens"], known)
 
 
 def count_edited(docs: DataFrame, edits: Column, spec: str) -> DataFrame:

@@ -136,7 +136,7 @@ def op8_simhash_near_dedup(spark, sf):
 @query()
 def op9_token_counts(spark, sf):
     docs = table(spark, sf, "documents")
-    counts = token_counts.count_edited(docs, token_counts.cleaned(F.col("text")), vocabulary())
+    counts = token_counts.count_edited(docs, token_counts.cleaning_edits, vocabulary())
     return counts.select("doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_leaves", "chars_encoded",
                          F.sha2("edited_text", 256).alias("edited_sha256"))
 

@@ -23,12 +23,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.packing import byte_level_encoding
 
 LEAF_CHARS = 256
+SLICE_ROWS = 256
 SAFE = re.compile(r"\S [^\W\d_]")
 EDITS = "array<struct<start:long,stop:long,text:string>>"
 Edit = tuple[int, int, str]
@@ -130,7 +132,7 @@ def counter(spec: str) -> Callable[[str], int]:
 
 
 def trees(text: Column, spec: str) -> Column:
-    """Struct of leaf_chars and leaf_tokens (arrays) and n_tokens: what a segment tree is rebuilt from."""
+    """Struct of leaf_chars and leaf_tokens (arrays) and n_tokens: what `SegmentTree` takes to go on another day."""
     @F.pandas_udf("leaf_chars array<int>, leaf_tokens array<int>, n_tokens long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         count = counter(spec)
@@ -144,41 +146,42 @@ def trees(text: Column, spec: str) -> Column:
     return of(text)
 
 
-def recounted(text: Column, tree: Column, edits: Column, spec: str) -> Column:
-    """Struct of the edited text, its leaf_chars, leaf_tokens and n_tokens, n_edits and chars_encoded."""
-    @F.pandas_udf("text string, leaf_chars array<int>, leaf_tokens array<int>, n_tokens long, n_edits long, "
-                  "chars_encoded long")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def recounter(spec: str, edits_of: Callable[[str | None], list[Edit]] | None, schema: pa.Schema):
+    """Builds the tree of every row (doc_id, text, edits), applies its edits and counts again."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(spec)
-        for texts, sizes, tokens, changes in batches:
-            rows = []
-            for whole, chars, own, change in zip(texts, sizes, tokens, changes):
-                change = [(int(e["start"]), int(e["stop"]), e["text"] or "") for e in (() if change is None else change)]
-                if not change:
-                    rows.append((whole, chars, own, int(sum(own)), 0, 0))
-                    continue
-                parts, at = [], 0
-                for size in chars:
-                    parts.append((whole or "")[at:at + size])
-                    at += size
-                grown = SegmentTree(parts, count, [int(t) for t in own])
-                grown.edit(change)
-                kept = [i for i, part in enumerate(grown.parts) if part]
-                rows.append((grown.text, [len(grown.parts[i]) for i in kept],
-                             [grown.tokens[grown.width + i] for i in kept], grown.tokens[1], len(change), grown.encoded))
-            yield pd.DataFrame(rows, columns=["text", "leaf_chars", "leaf_tokens", "n_tokens", "n_edits", "chars_encoded"])
-    known = F.filter(edits, lambda e: e["start"].isNotNull() & e["stop"].isNotNull())
-    return of(text, tree["leaf_chars"], tree["leaf_tokens"], known)
-
-
-def count_edited(docs: DataFrame, edits: Column, spec: str) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_after, n_edits, n_leaves, chars_encoded, edited_text: a row per row of `docs`."""
-    rows = docs.select("doc_id", "text", edits.cast(EDITS).alias("edits"), trees(F.col("text"), spec).alias("tree"))
-    rows = rows.withColumn("after", recounted(F.col("text"), F.col("tree"), F.col("edits"), spec))
-    return rows.select(
-        "doc_id", F.col("tree.n_tokens").alias("n_tokens"), F.col("after.n_tokens").alias("n_tokens_after"),
-        F.col("after.n_edits").alias("n_edits"), F.size("tree.leaf_chars").cast("long").alias("n_leaves"),
-        F.col("after.chars_encoded").alias("chars_encoded"), F.col("after.text").alias("edited_text"))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):  # a few texts at a time as Python objects
+                rows = []
+                part = batch.slice(at, SLICE_ROWS)
+                given = part.column(2).to_pylist() if edits_of is None else [None] * part.num_rows
+                for text, change in zip(part.column(1).to_pylist(), given):
+                    change = [(e["start"], e["stop"], e["text"] or "") for e in change or ()] if edits_of is None else edits_of(text)
+                    tree = SegmentTree(leaves(text or ""), count)
+                    before, n = tree.tokens[1], len(tree.parts)
+                    if change:
+                        tree.edit(change)
+                        text = tree.text
+                    rows.append((before, tree.tokens[1], len(change), n, tree.encoded, text))
+                columns = [part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows), [*schema][1:]))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    return of
+
+
+def count_edited(docs: DataFrame, edits: Column | Callable[[str | None], list[Edit]], spec: str) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_after, n_edits, n_leaves, chars_encoded (again), edited_text: a row per row of `docs`.
+
+    `edits` is a column of edits, or a function from a text to its edits.
+    """
+    fixed = isinstance(edits, Column)
+    known = F.filter(edits.cast(EDITS), lambda e: e["start"].isNotNull() & e["stop"].isNotNull()) if fixed else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", known.cast(EDITS).alias("edits"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_tokens_after", pa.int64()),
+                        ("n_edits", pa.int64()), ("n_leaves", pa.int64()), ("chars_encoded", pa.int64()),
+                        ("edited_text", pa.string())])
+    return rows.mapInArrow(recounter(spec, None if fixed else edits, schema),
+                           "doc_id long, n_tokens long, n_tokens_after long, n_edits long, n_leaves long, "
+                           "chars_encoded long, edited_text string")
 
 
 #: What a clean-up takes out: addresses, numbers of seven digits or more, and long hexadecimal keys.
@@ -196,11 +199,3 @@ def cleaning_edits(text: str | None) -> list[Edit]:
         seen.add(line)
         at += len(line) + 1
     return out
-
-
-def cleaned(text: Column) -> Column:
-    @F.pandas_udf(EDITS)
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "stop": b, "text": t} for a, b, t in cleaning_edits(x)] for x in texts],
-                         dtype=object)
-    return of(text)

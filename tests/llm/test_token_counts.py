@@ -70,10 +70,23 @@ def test_rows(spark, count):
     assert T.count_edited(docs.limit(0), F.col("changes"), vocabulary()).collect() == []
 
 
+def test_a_stored_tree_goes_on(spark, count):
+    text = "words of a stored document, with numbers 12 and more " * 40
+    row = spark.createDataFrame([(text,), (None,)], "text string").select(T.trees(F.col("text"), vocabulary()).alias("t")).collect()
+    parts, at = [], 0
+    for size in row[0].t.leaf_chars:
+        parts.append(text[at:at + size])
+        at += size
+    tree = T.SegmentTree(parts, count, row[0].t.leaf_tokens)
+    assert tree.tokens[1] == row[0].t.n_tokens == count(text) and row[1].t.n_tokens == 0
+    tree.edit([(700, 710, "x")])
+    assert tree.text == text[:700] + "x" + text[710:] and tree.tokens[1] == count(tree.text)
+
+
 def test_clean_up(spark, small, count):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
-    rows = T.count_edited(docs, T.cleaned(F.col("text")), vocabulary()).collect()
+    rows = T.count_edited(docs, T.cleaning_edits, vocabulary()).collect()
     assert len(rows) == len(texts) and any(r.n_edits for r in rows)
     for r in rows:
         after = edited(texts[r.doc_id], T.cleaning_edits(texts[r.doc_id]))

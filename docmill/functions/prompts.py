@@ -14,43 +14,41 @@ ASSISTANT = (
     "shooting guides and incident reports. Answer queries clearly and concisely. Use the "
     "tools if needed."
 )
-KEYWORDS_BEFORE = "Extract up to {n} concise, relevant keywords or key phrases from the following text:"
-KEYWORDS_AFTER = "Return them as a comma-separated list."
-EVALUATE_BEFORE = (
-    "\nYou are an expert evaluator. Given the following document chunk summary, rate its quality "
-    "on a scale from 1 to 10 and provide a short justification.\n\nSummary:\n"
+KEYWORDS = (
+    "Extract up to {n} concise, relevant keywords or key phrases from the following text:\n\n{text}\n\n"
+    "Return them as a comma-separated list."
 )
-EVALUATE_AFTER = (
+EVALUATE = (
+    "\nYou are an expert evaluator. Given the following document chunk summary, rate its quality "
+    "on a scale from 1 to 10 and provide a short justification.\n\nSummary:\n{summary}"
     '\n\nPlease respond in JSON format with:\n{\n  "score": int,\n  "reason": str\n}\n'
 )
-KEYWORD_PROMPT_CHARS = 2000
-JUDGE_CHARS = 2000
 
 
-def capped(text: Column, max_chars: int | None) -> Column:
-    """Leading part of a text for models with a short context; None keeps it whole."""
-    return text if max_chars is None else F.substring(text, 1, max_chars)
+def filled(template: str, name: str, value: Column) -> Column:
+    """A template with the placeholder {name} replaced by a column, whatever that holds."""
+    before, after = template.split("{" + name + "}")
+    return F.concat(F.lit(before), value, F.lit(after))
 
 
 def summarize(chunk: Column) -> Column:
     return F.concat(F.lit(SUMMARIZE + "\n\n"), chunk)
 
 
-def judge(text: Column, max_chars: int | None = None) -> Column:
-    return F.concat(F.lit(JUDGE + "\n\n"), capped(text, max_chars))
+def judge(text: Column) -> Column:
+    return F.concat(F.lit(JUDGE + "\n\n"), text)
 
 
-def keywords(text: Column, limit: int = 10, max_chars: int | None = None) -> Column:
-    return F.concat(F.lit(KEYWORDS_BEFORE.format(n=limit) + "\n\n"), capped(text, max_chars),
-                    F.lit("\n\n" + KEYWORDS_AFTER))
+def keywords(text: Column, limit: int = 10) -> Column:
+    return filled(KEYWORDS.replace("{n}", str(limit)), "text", text)
 
 
 def evaluate(summary: Column) -> Column:
-    return F.concat(F.lit(EVALUATE_BEFORE), summary, F.lit(EVALUATE_AFTER))
+    return filled(EVALUATE, "summary", summary)
 
 
 def incident(incident_id: Column) -> Column:
-    return F.replace(F.lit(INCIDENT), F.lit("{incident_id}"), incident_id.cast("string"))
+    return filled(INCIDENT, "incident_id", incident_id.cast("string"))
 
 
 def answer(question: Column, context: Column) -> Column:

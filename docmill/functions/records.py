@@ -36,9 +36,10 @@ def cache_doc(key: Column) -> Column:
 
 
 def merged_metadata(base: Column, override: Column) -> Column:
-    """Union of two maps; `override` wins."""
-    kept = F.map_filter(base, lambda k, v: ~F.map_contains_key(override, k))
-    return F.map_concat(kept, override)
+    """Union of two maps; `override` wins. A missing side counts as empty, two give null."""
+    none = F.map_filter(F.coalesce(base, override), lambda k, v: F.lit(False))
+    mine, theirs = F.coalesce(base, none), F.coalesce(override, none)
+    return F.map_concat(F.map_filter(mine, lambda k, v: ~F.map_contains_key(theirs, k)), theirs)
 
 
 def summary_score(summary: Column) -> Column:

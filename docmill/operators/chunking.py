@@ -164,18 +164,10 @@ def split_by_separators(text: str, size: int, overlap: int, separators=SEPARATOR
 
 
 def separator_aware(text: Column, size: int = OVERLAP_CHARS, overlap: int = OVERLAP) -> Column:
-    """Overlapping chunks that prefer to break at the coarsest separator (Arrow batches).
-
-    A text that cannot be split is one chunk.
-    """
+    """Overlapping chunks that prefer to break at the coarsest separator (Arrow batches)."""
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[str]:
-            try:
-                return split_by_separators(t, size, overlap)
-            except Exception:
-                return [t]
-        return texts.map(one)
+        return pd.Series([None if t is None else split_by_separators(t, size, overlap) for t in texts], dtype=object)
 
     return split(text)
 
@@ -197,9 +189,9 @@ STRATEGIES: dict[str, Callable[..., Column]] = {
 def chunks_of(text: Column, strategy: str = "paragraph", **options) -> Column:
     """Array of chunks by the named strategy."""
     if strategy not in STRATEGIES:
-        raise ValueError(f"Unsupported chunking strategy: {strategy}")
+        raise ValueError(f"no chunking strategy is named {strategy!r}")
     if strategy == "token" and options.get("tokenizer") is None:
-        raise ValueError("Tokenizer must be provided for TOKEN chunking strategy")
+        raise ValueError("strategy 'token' needs a tokenizer")
     return STRATEGIES[strategy](text, **options)
 
 

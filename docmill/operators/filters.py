@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.functions.text import contains_phrase
-from docmill.operators.topk import BLOCK_ROWS, CELL_ROWS, small_enough
+from docmill.operators.topk import BLOCK_BYTES, BLOCK_ROWS, blocks_of, first_k, passes
 
 # Declared column widths.
 SUMMARY_COLLECTION_WIDTHS = {"summary": 1024, "source_doc": 256, "acl": 128, "bm25": 1024}
@@ -39,46 +45,95 @@ def matching(chunks: DataFrame, keyword: str | None = None, acl: str | None = No
     return chunks
 
 
-def matching_queries(chunks: DataFrame, queries: DataFrame, id_cols: tuple[str, ...] = ("doc_id", "chunk_id"),
-                     block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Hits of many keyword queries (qid, keyword, acl, min_time, max_time) in one job.
+def matching_queries(chunks: DataFrame, queries: DataFrame, order: tuple[str, ...] = ("doc_id", "chunk_id"),
+                     carry: tuple[str, ...] = (), k: int | None = None, block_rows: int = BLOCK_ROWS,
+                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Hits of many keyword queries (qid, keyword, acl, min_time, max_time): (qid, *order, *carry, matched).
+
+    With `k` a task gives at least the first k hits per query in the given order, without it
+    all of them. `matched` adds up to the number of all hits of a query, however many are given.
 
-    Each chunk row meets a *block* of queries as one array and keeps the matching ones, so
-    only hits become rows. One checked block is a scalar value of the plan; more blocks are
-    hashed together with bounded cells of the chunks.
+    Queries are broadcast in blocks of a bounded size. A kernel looks for every distinct keyword
+    of the block once per batch; a frequent keyword costs k rows per task, and no text moves.
     """
-    # Everything that does not depend on the pair is computed once per row, before the pairing,
-    # and a keyword that many queries share is looked for once.
     asks = queries.select(
         "qid", F.lower(F.coalesce("keyword", F.lit(""))).alias("keyword"), F.coalesce("acl", F.lit("")).alias("acl"),
         F.coalesce("min_time", F.lit(0)).cast("bigint").alias("min_time"),
         F.coalesce("max_time", F.lit(0)).cast("bigint").alias("max_time"))
-    chunks = (chunks.withColumn("_low", F.lower(F.coalesce("summary", F.lit(""))))
-              .withColumn("_acl", F.coalesce("acl", F.lit(""))).withColumn("_ts", F.coalesce("ts", F.lit(0))))
-
-    def blocks(rows: DataFrame, *by: str) -> DataFrame:
-        ask = F.struct("qid", "acl", "min_time", "max_time")
-        by_keyword = rows.groupBy(*by, "keyword").agg(F.collect_list(ask).alias("asks"))
-        return by_keyword.groupBy(*by).agg(F.collect_list(F.struct("keyword", "asks")).alias("_asked"))
-
-    def wanted(q: Column) -> Column:
-        return (((q["acl"] == "") | (q["acl"] == F.col("_acl")))
-                & ((q["min_time"] == 0) | (F.col("_ts") >= q["min_time"]))
-                & ((q["max_time"] == 0) | (F.col("_ts") <= q["max_time"])))
-
-    if small_enough(queries, block_rows):
-        met = chunks.withColumn("_asked", blocks(asks).scalar())
-    else:
-        n = -(-queries.count() // block_rows)
-        cells = max(1, -(-chunks.count() // cell_rows))
-        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>"))
-        spread = blocks(asks.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(n))), "_block")
-        met = (chunks.withColumn("_cell", F.pmod(F.xxhash64(*id_cols), F.lit(cells))).withColumn("_block", every(n))
-               .join(spread.withColumn("_cell", every(cells)).hint("shuffle_hash"), ["_cell", "_block"]))
-    named = F.filter("_asked", lambda g: F.contains(F.col("_low"), g["keyword"]))
-    hit = met.withColumn("_hit", F.explode(F.flatten(F.transform(named, lambda g: F.filter(g["asks"], wanted)))))
-    return hit.withColumn("qid", F.col("_hit.qid")).drop(
-        "_asked", "_hit", "_block", "_cell", "_low", "_acl", "_ts")
+    kept = [*dict.fromkeys([*order, *carry])]
+    rows = chunks.select(
+        F.struct(*kept).alias("row"), F.lower(F.coalesce("summary", F.lit(""))).alias("low"),
+        F.coalesce("acl", F.lit("")).alias("acl"), F.coalesce("ts", F.lit(0)).cast("bigint").alias("ts"))
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType),
+                           *[T.StructField(c, chunks.schema[c].dataType) for c in kept],
+                           T.StructField("matched", T.LongType())])
+    context = chunks.sparkSession.sparkContext
+
+    def one(block: pa.Table) -> DataFrame:
+        return rows.mapInArrow(_find(context.broadcast(block), list(order), kept, k, schema.names), schema)
+
+    return passes((one(b) for b in blocks_of(asks, "qid", block_rows, block_bytes)), "matches")
+
+
+def _find(block, order: list[str], kept: list[str], k: int | None, names: list[str]):
+    def asked(table: pa.Table) -> dict[str, list[tuple]]:
+        by_keyword: dict[str, list[tuple]] = {}
+        columns = (table[c].to_pylist() for c in ("keyword", "acl", "min_time", "max_time"))
+        for q, (keyword, *bounds) in enumerate(zip(*columns)):
+            by_keyword.setdefault(keyword, []).append((q, *bounds))
+        return by_keyword
+
+    def hits(batch: pa.RecordBatch, by_keyword: dict[str, list[tuple]]):
+        """(query, rows) of every query with a hit in the batch."""
+        low, ts = batch.column("low"), batch.column("ts").to_numpy()
+        groups = batch.column("acl").dictionary_encode()
+        group, number = groups.indices.to_numpy(), {a: i for i, a in enumerate(groups.dictionary.to_pylist())}
+        for keyword, asks in by_keyword.items():
+            found = np.flatnonzero(pc.match_substring(low, keyword).to_numpy(zero_copy_only=False))
+            for q, acl, least, most in asks if len(found) else ():
+                own = found
+                if acl:
+                    own = own[group[own] == number.get(acl, -1)]
+                if least:
+                    own = own[ts[own] >= least]
+                if most:
+                    own = own[ts[own] <= most]
+                if len(own):
+                    yield q, own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = block.value
+        by_keyword = asked(table)
+        total, held = np.zeros(table.num_rows, np.int64), None
+
+        def given(rows: pa.Table, matched: np.ndarray) -> list[pa.RecordBatch]:
+            rows = rows.append_column("qid", table["qid"].take(rows["q"])).append_column("matched", pa.array(matched))
+            return rows.select(names).to_batches()
+
+        for batch in batches:
+            found = list(hits(batch, by_keyword))
+            if not found:
+                continue
+            row = batch.column("row")
+            rows = pa.table({c: row.field(c) for c in kept})
+            if k is not None:  # places in the order, so that only k rows per query are taken
+                place = np.empty(len(row), np.int64)
+                place[pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order]).to_numpy()] = np.arange(len(row))
+            q = np.concatenate([np.full(len(own) if k is None else min(k, len(own)), i) for i, own in found])
+            at = np.concatenate([own if k is None or len(own) <= k else own[np.argpartition(place[own], k - 1)[:k]]
+                                 for _, own in found])
+            for i, own in found:
+                total[i] += len(own)
+            fresh = rows.take(pa.array(at)).append_column("q", pa.array(q))
+            if k is None:
+                yield from given(fresh, np.ones(len(q), np.int64))
+            else:
+                held = first_k(fresh if held is None else pa.concat_tables([held, fresh]), order, k)
+        if held is not None:  # the first row of each query carries the count of its hits
+            q = held["q"].to_numpy()
+            yield from given(held, np.where(np.r_[True, q[1:] != q[:-1]], total[q], 0))
+
+    return run
 
 
 def with_any_tag(df: DataFrame, tags: list[str], column: str = "keywords") -> DataFrame:

@@ -44,18 +44,10 @@ def missing_by_id(chunks: DataFrame, state: DataFrame) -> DataFrame:
     return chosen(chunks, chunks.select(*keys).join(state.select(*keys), keys, "left_anti"), keys)
 
 
-def missing_by_hash(chunks: DataFrame, state: DataFrame) -> DataFrame:
-    """Chunks whose number and text are not in the state: resumes and notices edits."""
+def missing_keys(hashed: DataFrame, state: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id) whose number and text are not in the state: resumes and notices edits."""
     keys = ["doc_id", "chunk_id", "chunk_hash"]
-    hashed = chunks.withColumn("chunk_hash", chunk_hash(F.col("chunk")))
-    missing = hashed.select(*keys).join(state.select(*keys), keys, "left_anti")
-    return chosen(hashed, missing.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"])
-
-
-def stale_by_hash(chunks: DataFrame, state: DataFrame, docs: DataFrame) -> DataFrame:
-    """State rows of the given documents whose chunk number no longer exists."""
-    return (state.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-            .join(chunks.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_anti"))
+    return hashed.select(*keys).join(state.select(*keys), keys, "left_anti").select("doc_id", "chunk_id")
 
 
 def state_rows(indexed: DataFrame) -> DataFrame:
@@ -99,10 +91,23 @@ def latest(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return updates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def single(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key where no order is given: equal rows count as one, unequal ones are an error."""
+    w = Window.partitionBy(*keys)
+    marked = updates.withColumn("_row", F.xxhash64(F.to_json(F.struct(*updates.columns))))
+    marked = marked.withColumn("_n", F.row_number().over(w.orderBy("_row"))).withColumn(
+        "_same", F.min("_row").over(w) == F.max("_row").over(w))
+    refused = F.raise_error(F.lit("several updates of one key need an order")).cast("int")
+    return marked.where(F.when(F.col("_same"), F.col("_n")).otherwise(refused) == 1).drop("_row", "_n", "_same")
+
+
 def upserted(existing: DataFrame, updates: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Existing rows not in the updates, plus the updates. Only keys are compared."""
+    """Existing rows not in the updates, plus the updates. Only keys are compared.
+
+    Of several updates of a key the last in `order` counts; without an order they must be equal.
+    """
     kept = existing.join(updates.select(*keys), keys, "left_anti").select(*existing.columns)
-    new = latest(updates, keys, order) if order else updates
+    new = latest(updates, keys, order) if order else single(updates, keys)
     return kept.unionByName(new.select(*existing.columns))
 
 

@@ -21,7 +21,7 @@ BatchFunction = Callable[[list[str]], list]
 
 @dataclass(frozen=True)
 class Expression:
-    """A summarizer that is a column expression, evaluated without Python."""
+    """A summarizer that is a column expression."""
 
     apply: Callable[[Column], Column]
 
@@ -29,61 +29,81 @@ class Expression:
 Summarizer = BatchFunction | Expression
 
 
-def _attempt(fn: BatchFunction, values: list[str], tries: int) -> tuple[list, list, list]:
-    """Answers, errors and attempts; a failing batch is repeated row by row."""
-    try:
-        out = list(fn(values))
-        if len(out) != len(values):
-            raise ValueError(f"expected {len(values)} answers, got {len(out)}")
-        return out, [None] * len(values), [1] * len(values)
-    except Exception:
-        pass
-    answers, errors, attempts = [], [], []
-    for value in values:
-        answer, error = None, None
-        for attempt in range(1, tries + 1):
-            try:
-                answer, error = fn([value])[0], None
-                break
-            except Exception as e:
-                error = f"{type(e).__name__}: {e}"
-        answers.append(answer)
-        errors.append(error)
-        attempts.append(attempt)
-    return answers, errors, attempts
+def _attempt(fn: BatchFunction, values: list, tries: int) -> tuple[list, list, list, list]:
+    """Answers, errors, tries and calls per value.
+
+    A failing batch is halved until the values that fail stand alone, so one bad value among n
+    costs about 2 log n calls. A value alone is tried `tries` times. `calls` counts every call
+    that a value was part of; a try is a call that answered it, or failed for it alone.
+    """
+    n = len(values)
+    answers, errors, attempts, calls = [None] * n, [None] * n, [0] * n, [0] * n
+
+    def run(low: int, high: int) -> None:
+        for i in range(low, high):
+            calls[i] += 1
+        try:
+            got = list(fn(values[low:high]))
+            if len(got) != high - low:
+                raise ValueError(f"expected {high - low} answers, got {len(got)}")
+        except Exception as e:  # noqa: BLE001  whatever a model raises becomes the row's error
+            if high - low > 1:
+                middle = (low + high) // 2
+                run(low, middle)
+                run(middle, high)
+            else:
+                failed(low, f"{type(e).__name__}: {e}")
+            return
+        for i, answer in enumerate(got, low):
+            if answer is None or isinstance(answer, str):
+                answers[i], errors[i], attempts[i] = answer, None, attempts[i] + 1
+            else:
+                failed(i, f"TypeError: answer is {type(answer).__name__}, not text")
+
+    def failed(i: int, error: str) -> None:
+        errors[i], attempts[i] = error, attempts[i] + 1
+        if attempts[i] < tries:
+            run(i, i + 1)
+
+    if n:
+        run(0, n)
+    return answers, errors, attempts, calls
 
 
 def infer(df: DataFrame, prompt: str, fn: BatchFunction, out: str = "answer", retry: bool = False,
           partitions: int | None = None) -> DataFrame:
-    """Add `out`, `{out}_error`, `{out}_attempts` and `{out}_status` ('ok' / 'failed').
+    """Add `out`, `{out}_error`, `{out}_attempts`, `{out}_calls` and `{out}_status` ('ok', 'failed', 'skipped').
 
-    Rows never fail the job: an exception becomes an error text. With `retry`, a failed row
-    is tried once more.
+    Rows never fail the job: an exception, or an answer that is no text, becomes an error text.
+    With `retry`, a failed row is tried once more. Rows without a prompt are not sent.
     """
     if partitions:
         df = df.repartition(partitions)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()),
                            T.StructField(f"{out}_error", T.StringType()),
                            T.StructField(f"{out}_attempts", T.IntegerType()),
+                           T.StructField(f"{out}_calls", T.IntegerType()),
                            T.StructField(f"{out}_status", T.StringType())])
     tries = 2 if retry else 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            answers, errors, attempts = _attempt(fn, batch[prompt].tolist(), tries)
+            sent = batch[prompt].notna().to_numpy()
+            results = [iter(x) for x in _attempt(fn, batch[prompt][sent].tolist(), tries)]
+            answers, errors, attempts, calls = (
+                [next(x) if s else empty for s in sent] for x, empty in zip(results, (None, None, 0, 0)))
             yield batch.assign(**{
                 out: pd.Series(answers, index=batch.index, dtype=object),
                 f"{out}_error": pd.Series(errors, index=batch.index, dtype=object),
                 f"{out}_attempts": pd.Series(attempts, index=batch.index, dtype="int32"),
-                f"{out}_status": ["ok" if e is None else "failed" for e in errors]})
+                f"{out}_calls": pd.Series(calls, index=batch.index, dtype="int32"),
+                f"{out}_status": [("ok" if e is None else "failed") if s else "skipped" for s, e in zip(sent, errors)]})
 
     return df.mapInPandas(run, schema)
 
 
 # Engines: the built-in ones are column expressions, the named model engines are supplied.
-BUILT_IN = {"extractive": Expression(text_fn.extractive), "lead": Expression(text_fn.lead)}
+BUILT_IN = {"extractive": Expression(text_fn.extractive_batch), "lead": Expression(text_fn.lead)}
 MODEL_ENGINES = ("openai", "langchain", "seq2seq")  # fixed values: accepted model names
 
 
@@ -108,30 +128,33 @@ def summarize(chunks: DataFrame, by: str | Summarizer = "extractive",
     if isinstance(fn, Expression):
         return chunks.withColumn(out, F.coalesce(fn.apply(F.col(column)), F.lit("")))
     done = infer(chunks, column, fn, out="_answer", partitions=partitions)
-    return done.withColumn(out, F.coalesce("_answer", F.lit(""))).drop(
-        "_answer", "_answer_error", "_answer_attempts", "_answer_status")
+    return done.withColumn(out, F.coalesce("_answer", F.lit(""))).select(*chunks.columns, out)
 
 
 def evaluated(chunks: DataFrame, fn: BatchFunction) -> DataFrame:
-    """Ask a model for a JSON grade of every summary and parse it into `evaluation`."""
+    """Ask a model for a JSON grade of every summary and parse it into `evaluation`.
+
+    Empty summaries have their grade without a call.
+    """
     from docmill.functions import prompts, records
 
-    asked = infer(chunks.withColumn("prompt", prompts.evaluate(F.col("summary"))), "prompt", fn)
-    return asked.withColumn("evaluation", records.evaluation(F.col("summary"), F.col("answer"))).drop("prompt")
+    asked = chunks.withColumn("prompt", F.when(F.coalesce("summary", F.lit("")) != "", prompts.evaluate(F.col("summary"))))
+    return infer(asked, "prompt", fn).withColumn(
+        "evaluation", records.evaluation(F.col("summary"), F.col("answer"))).drop("prompt")
 
 
-def judged(docs: DataFrame, fns: dict[str, BatchFunction], max_chars: int | None = None) -> DataFrame:
+def judged(docs: DataFrame, fns: dict[str, BatchFunction]) -> DataFrame:
     """Model judges: one row per (document, judge); the answer's 'yes' is the vote."""
     from docmill.functions import prompts, records
 
-    asked = docs.select("doc_id", prompts.judge(F.col("text"), max_chars).alias("prompt"))
+    asked = docs.select("doc_id", prompts.judge(F.col("text")).alias("prompt"))
     schema = T.StructType([asked.schema["doc_id"], T.StructField("judge", T.StringType()),
                            T.StructField("answer", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:  # the texts cross to Python once, for all judges
             for name, fn in fns.items():
-                answers, _, _ = _attempt(fn, batch["prompt"].tolist(), 1)
+                answers = _attempt(fn, batch["prompt"].tolist(), 1)[0]
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "judge": name,
                                     "answer": pd.Series(answers, index=batch.index, dtype=object)})
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.operators.topk import ranked
-from docmill.session import checkpointed
+from docmill.session import checkpointed, staged
 
 LAST_MESSAGES = 20
 
@@ -17,7 +17,8 @@ def ordinals(df: DataFrame, group: list[str], order: list[str], out: str = "rank
     A plain window would sort a whole group in one task. Here the rows are range-partitioned
     on (group, order), fixed by a checkpoint, numbered inside each partition, and shifted by
     the rows the same group has in earlier partitions. Only groups that cross a partition
-    border need a shift, so the shift table has at most one row per partition.
+    border need a shift, so the shift table has at most one row per partition. Null is a group
+    like any other.
     """
     keys = [*group, *order]
     placed = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -25,36 +26,60 @@ def ordinals(df: DataFrame, group: list[str], order: list[str], out: str = "rank
     counts = placed.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
     by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     earlier = by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before is not null")
+    shifts = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before is not null").select(
+        F.col("_part").alias("_at_part"), *[F.col(c).alias(f"_at_{c}") for c in group], "_before")
     local = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
-    return (placed.withColumn("_at", local)
-            .join(F.broadcast(shifts.drop("_n")), ["_part", *group], "left")
+    same = F.col("_part") == F.col("_at_part")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+    return (placed.withColumn("_at", local).join(F.broadcast(shifts), same, "left")
             .withColumn(out, (F.col("_at") + F.coalesce("_before", F.lit(0))).cast("bigint"))
-            .drop("_part", "_at", "_before"))
+            .drop("_part", "_at", "_before", "_at_part", *[f"_at_{c}" for c in group]))
+
+
+def appended(conversations: DataFrame, messages: DataFrame, session: str = "session_id", seq: str = "seq",
+             order: str = "ts") -> DataFrame:
+    """New messages with sequence numbers that go on from what their session already holds.
+
+    The last number of a session is one row per session and task; only new messages are
+    sorted, whatever the size of the stored table.
+    """
+    last = conversations.groupBy(session).agg(F.max(seq).alias("_last")).withColumnRenamed(session, "_session")
+    numbered = ordinals(messages, [session], [order], seq)
+    return numbered.join(last, F.col(session).eqNullSafe(F.col("_session")), "left").withColumn(
+        seq, F.col(seq) + F.coalesce("_last", F.lit(0))).drop("_last", "_session")
 
 
 def limited(hits: DataFrame, order: list[str], top_k: int | None = 5, top_p: float | None = None,
-            group: str | None = None) -> DataFrame:
-    """First top_p share (at least one), then first top_k, of each group; 0 and None mean no limit."""
-    if top_k and group is None:  # one task holds at most top_k rows of every other task
-        first = hits.orderBy(*order).limit(top_k)
-        kept = first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    elif top_k:
+            group: str | None = None, matched: str | None = None) -> DataFrame:
+    """First top_p share (at least one), then first top_k, of each group; 0 and None mean no limit.
+
+    `matched` names a column that adds up to the number of all hits of a group, for hits that
+    hold no more than the first top_k of a group. Without it the given rows are counted, so
+    they are staged: they are ranked as well, and are computed once.
+    """
+    if not top_k and not top_p:
+        return hits
+    if top_p:
+        hits = staged(hits, "hits")
+    if top_k and group is not None:
         kept = ranked(hits, group, [F.col(c) for c in order], top_k)
-    elif top_p:
-        kept = ordinals(hits, [group] if group else [], order)
+    elif top_k:  # sorted by ranges: no task holds more than its part of the first top_k
+        kept = ordinals(hits.orderBy(*order).limit(top_k), [], order).withColumn("rank", F.col("rank").cast("int"))
     else:
-        return hits
+        kept = ordinals(hits, [group] if group else [], order)
     if not top_p:
         return kept
+    amount = F.count(F.lit(1)) if matched is None else F.sum(matched)
 
     def share(n: Column) -> Column:
         return F.greatest(F.floor(n * F.lit(float(top_p))), F.lit(1))
 
     if group is None:
-        return kept.where(F.col("rank") <= share(hits.agg(F.count(F.lit(1))).scalar()))
-    total = hits.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    return kept.join(total, group).where(F.col("rank") <= share(F.col("_n"))).drop("_n")
+        return kept.where(F.col("rank") <= share(hits.agg(amount).scalar()))
+    total = hits.groupBy(F.col(group).alias("_group")).agg(amount.alias("_n"))
+    return kept.join(total, F.col(group).eqNullSafe(F.col("_group"))).where(
+        F.col("rank") <= share(F.col("_n"))).drop("_n", "_group")
 
 
 def last_messages(conversations: DataFrame, n: int = LAST_MESSAGES, session: str = "session_id",

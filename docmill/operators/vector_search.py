@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import let
 from docmill.functions.vectors import cosine
-from docmill.operators.topk import DIGITS, MATRIX_CELLS, Kernel, small_enough, top_k
+from docmill.operators.topk import BLOCK_BYTES, BLOCK_ROWS, Kernel, best_rows, blocks_of, first_k, scored, top_k
 from docmill.session import staged
 
 # Fixed values.
@@ -22,7 +22,6 @@ NPROBE = 10
 MMR_K = 5
 MMR_POOL = 20
 MMR_LAMBDA = 0.5
-CENTROID_ROWS = 65_536
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -38,22 +37,46 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def squared_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All pairs by one matrix product: fast, but off by up to `distance_slack`."""
     d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
     return np.maximum(d, 0.0)
 
 
+def distance_slack(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A bound on the rounding of `squared_distances` and of the exact sum together."""
+    size = np.sqrt((q * q).sum(1))[:, None] + np.sqrt((x * x).sum(1))[None, :]
+    return 3.0 * (q.shape[1] + 4) * np.finfo(np.float64).eps * size * size
+
+
+def exact_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Row by row the sum of squared differences, added up from the first dimension to the last."""
+    out = np.zeros(len(q))
+    for i in range(q.shape[1]):
+        out += (q[:, i] - x[:, i]) ** 2
+    return out
+
+
 def l2_kernel(embedding: str = "embedding") -> Kernel:
     """Squared L2; a row without a vector matches nothing."""
-    def cost(q: np.ndarray, rows: pa.Table) -> np.ndarray:
-        has = rows[embedding].is_valid().to_numpy()
-        if has.all():
-            return squared_distances(q, matrix(rows[embedding]))
-        out = np.full((len(q), rows.num_rows), np.nan)
-        if has.any():
-            out[:, has] = squared_distances(q, matrix(rows[embedding].filter(pa.array(has))))
-        return out
-
-    return Kernel(prepare=lambda block: matrix(block[embedding]), cost=cost)
+    def filled(of, empty: float):
+        def cost(q: np.ndarray, rows: pa.Table) -> np.ndarray:
+            has = rows[embedding].is_valid().to_numpy()
+            if has.all():
+                return of(q, matrix(rows[embedding]))
+            out = np.full((len(q), rows.num_rows), empty)
+            if has.any():
+                out[:, has] = of(q, matrix(rows[embedding].filter(pa.array(has))))
+            return out
+        return cost
+
+    def exact(q: np.ndarray, rows: pa.Table, i: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if not len(i):
+            return np.zeros(0)
+        used, at = np.unique(c, return_inverse=True)
+        return exact_distances(q[i], matrix(rows[embedding].take(pa.array(used)))[at])
+
+    return Kernel(prepare=lambda block: matrix(block[embedding]), cost=filled(squared_distances, np.nan),
+                  slack=filled(distance_slack, 0.0), exact=exact)
 
 
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str = "vec_id",
@@ -61,23 +84,34 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_co
                  **options) -> DataFrame:
     """Nearest vectors by squared L2, closest first: (qid, id, *carry, distance, rank).
 
-    `carry` names small columns to keep, which saves a join back to the corpus. `acl` filters
-    the k hits afterwards (mode 'post', may leave fewer than k) or the corpus before ('pre').
+    `carry` names columns to keep, which saves a join back to the corpus. `acl` filters the k
+    hits afterwards (mode 'post', may leave fewer than k) or the corpus before ('pre').
     """
     if mode not in ("post", "pre"):
         raise ValueError(f"Unsupported acl mode: {mode}")
     post = acl is not None and mode == "post"
     kept = (*carry, "acl") if post and "acl" not in carry else carry
-    cell = options.get("cell")
-    wanted = [id_col, "embedding", *kept, *([cell] if cell else [])]
     if acl is not None and mode == "pre":
         corpus = corpus.where(F.col("acl") == acl)
-    hits = top_k(corpus.select(*wanted), queries, l2_kernel(), k, id_col=id_col, carry=kept, **options)
+    hits = top_k(_columns(corpus, id_col, kept, options), queries, l2_kernel(), k, id_col=id_col, carry=kept, **options)
     if post:
         hits = hits.where(F.col("acl") == acl)
     return hits.select("qid", id_col, *carry, F.col("cost").alias("distance"), "rank")
 
 
+def vector_distances(corpus: DataFrame, queries: DataFrame, *, id_col: str = "vec_id",
+                     carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """Every vector with its distance to every query, unranked: (qid, id, *carry, distance)."""
+    hits = scored(_columns(corpus, id_col, carry, options), queries, l2_kernel(), None, id_col=id_col, carry=carry,
+                  **options)
+    return hits.select("qid", id_col, *carry, F.col("cost").alias("distance"))
+
+
+def _columns(corpus: DataFrame, id_col: str, carry: tuple[str, ...], options: dict) -> DataFrame:
+    cell = options.get("cell")
+    return corpus.select(*dict.fromkeys([id_col, "embedding", *carry, *([cell] if cell else [])]))
+
+
 # ---- inverted lists -------------------------------------------------------------------
 
 
@@ -90,47 +124,51 @@ def train_lists(vectors: DataFrame, nlist: int = NLIST, seed: int = 7, rounds: i
     return spark.createDataFrame(rows, "list_id int, embedding array<double>")
 
 
-def nearest_lists(embedding: Column, centroids: DataFrame, n: int = 1) -> Column:
-    """The n nearest centroids of a vector, ties to the smaller list: array of (distance, list_id)."""
-    spark = centroids.sparkSession
-    shared = spark.sparkContext.broadcast(centroids.select("list_id", "embedding").orderBy("list_id").toArrow())
+def _nearer(vectors: DataFrame, centroids: pa.Table, n: int) -> DataFrame:
+    """`lists` with the n nearest of the lists held so far and of one more block of centroids."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     @F.arrow_udf("array<struct<distance:double,list_id:int>>")
-    def nearest(vectors: pa.Array) -> pa.Array:
-        table = shared.value
-        ids, centres, x = table["list_id"].to_numpy(), matrix(table["embedding"]), matrix(vectors)
-        take = min(n, len(ids))
-        distances, lists = [np.zeros((0, take))], [np.zeros((0, take), dtype=np.int32)]
-        step = max(1, MATRIX_CELLS // max(1, len(ids)))
-        for at in range(0, len(x), step):  # bounds the distance matrix, whatever the list count
-            d = np.round(squared_distances(x[at:at + step], centres), DIGITS)
-            order = np.argsort(d, axis=1, kind="stable")[:, :take]
-            distances.append(np.take_along_axis(d, order, 1))
-            lists.append(ids[order].astype(np.int32))
-        near = pa.StructArray.from_arrays(
-            [pa.array(np.concatenate(distances).ravel()), pa.array(np.concatenate(lists).ravel())],
+    def nearest(embedding: pa.Array, lists: pa.Array) -> pa.Array:
+        has = np.flatnonzero(embedding.is_valid().to_numpy(zero_copy_only=False))
+        asked = pa.table({"embedding": embedding.take(pa.array(has))})
+        held = lists.take(pa.array(has))
+        flat = held.flatten()
+        earlier = pa.table({"q": np.repeat(np.arange(len(has)), held.value_lengths().to_numpy(zero_copy_only=False)),
+                            "cost": flat.field("distance"), "list_id": flat.field("list_id")})
+        near = [earlier]
+        if len(has):  # the vectors are the queries of the kernel, the centroids its corpus
+            near += [t.select(["q", "cost", "list_id"]) for t in best_rows(
+                l2_kernel(), asked, iter([shared.value]), "list_id", [], n)]
+        best = first_k(pa.concat_tables(near, promote_options="permissive"), ["cost", "list_id"], n)
+        sizes = np.zeros(len(embedding), np.int32)
+        sizes[has] = np.bincount(best["q"].to_numpy(), minlength=len(has))
+        items = pa.StructArray.from_arrays(
+            [best["cost"].combine_chunks().cast(pa.float64()), best["list_id"].combine_chunks().cast(pa.int32())],
             names=["distance", "list_id"])
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * take), near)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), items)
+
+    return vectors.withColumn("lists", nearest("embedding", "lists"))
 
-    return nearest(embedding)
 
+def with_lists(vectors: DataFrame, centroids: DataFrame, n: int = 1, block_rows: int = 32 * BLOCK_ROWS,
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Add `lists`, the n nearest centroids, ties to the smaller list: array of (distance, list_id).
 
-def with_lists(vectors: DataFrame, centroids: DataFrame, n: int = 1, id_col: str = "vec_id") -> DataFrame:
-    """Add `lists`, the n nearest centroids; beyond a broadcastable number of them, by search."""
-    if small_enough(centroids, rows=CENTROID_ROWS):
-        return vectors.withColumn("lists", nearest_lists(F.col("embedding"), centroids, n))
-    hits = top_k(centroids.select("list_id", F.col("embedding").cast("array<double>")),
-                 vectors.select(F.col(id_col).alias("qid"), F.col("embedding").cast("array<double>")),
-                 l2_kernel(), n, id_col="list_id")
-    lists = hits.groupBy(F.col("qid").alias(id_col)).agg(F.sort_array(F.collect_list(
-        F.struct(F.col("cost").alias("distance"), F.col("list_id").cast("int").alias("list_id")))).alias("lists"))
-    return vectors.join(lists, id_col)
+    Centroids come in blocks; the vectors are never shuffled, and written once between two
+    blocks. A row without a vector has no lists.
+    """
+    rows = vectors.withColumn("lists", F.array().cast("array<struct<distance:double,list_id:int>>"))
+    lists = centroids.select("list_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    for i, block in enumerate(blocks_of(lists, "list_id", block_rows, block_bytes)):
+        rows = _nearer(staged(rows, "lists") if i else rows, block, n)
+    return rows
 
 
-def assign_lists(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id") -> DataFrame:
+def assign_lists(vectors: DataFrame, centroids: DataFrame, **options) -> DataFrame:
     """Each vector with its list: the layout to write `partitionBy('list_id')`."""
     near = F.get(F.col("lists"), F.lit(0))
-    return (with_lists(vectors, centroids, 1, id_col)
+    return (with_lists(vectors, centroids, 1, **options)
             .withColumn("list_id", near["list_id"]).withColumn("list_distance", near["distance"])
             .drop("lists"))
 
@@ -138,7 +176,7 @@ def assign_lists(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id
 def probe_top_k(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = TOP_K,
                 nprobe: int = NPROBE, id_col: str = "vec_id", **options) -> DataFrame:
     """Search only the `nprobe` lists nearest to each query; exact inside them."""
-    probing = with_lists(queries, centroids, nprobe, "qid").withColumn(
+    probing = with_lists(queries, centroids, nprobe).withColumn(
         "probes", F.transform("lists", lambda x: x["list_id"])).drop("lists")
     return vector_top_k(assigned, probing, k, id_col=id_col, cell="list_id", probes="probes", **options)
 
@@ -160,11 +198,10 @@ def mmr_top_k(corpus: DataFrame, queries: DataFrame, k: int = MMR_K, pool: int =
 
     A step takes the candidate with the largest weight * cos(query) - (1 - weight) * (largest
     cosine to those taken), ties to the nearer candidate. The pool bounds every array. The hits
-    are staged, so Catalyst knows their size when it picks the join that fetches the vectors.
+    carry their vectors out of the search, so the corpus is read once.
     """
-    hits = staged(vector_top_k(corpus, queries, pool, id_col=id_col), "hits")
-    found = hits.join(corpus.select(id_col, "embedding"), id_col).join(
-        queries.select("qid", F.col("embedding").alias("_query")), "qid")
+    hits = vector_top_k(corpus, queries, pool, id_col=id_col, carry=("embedding",))
+    found = hits.join(queries.select("qid", F.col("embedding").alias("_query")), "qid")
     cands = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(
         "rank", F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v"),
         cosine(F.col("_query"), F.col("embedding")).alias("sim")))).alias("cands"))
@@ -173,7 +210,7 @@ def mmr_top_k(corpus: DataFrame, queries: DataFrame, k: int = MMR_K, pool: int =
         def step(acc: Column, _: Column) -> Column:
             scored = F.transform(c, lambda x, i: F.struct(
                 F.array_contains(acc["taken"], i).alias("used"),
-                (-F.round(weight * x["sim"] - (1 - weight) * F.get(acc["near"], i), 6)).alias("order"),
+                (-(weight * x["sim"] - (1 - weight) * F.get(acc["near"], i))).alias("order"),
                 i.alias("i")))
             return let(F.array_min(scored), lambda best: F.when(best["used"], acc).otherwise(F.struct(
                 F.concat(acc["taken"], F.array(best["i"])).alias("taken"),

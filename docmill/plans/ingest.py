@@ -74,11 +74,18 @@ def summarize_requests(requests: DataFrame, docs: DataFrame, cache: DataFrame, n
     """Chunks for each request: cached ones where there are any, new ones otherwise; `source` says which.
 
     The cheap test comes first: only requests without cached chunks are chunked and summarized.
+    A document that several requests ask for is returned once per source. Its acl and bm25 are
+    those of the request (of several the smallest), else the document's own.
     """
     hits, misses = split_cached(requests, cache)
     hits = staged(hits.select("doc_id").distinct(), "cached")
-    wanted = misses.select("doc_id", *[c for c in ("acl", "bm25") if c in misses.columns])
-    new = ingest(docs.join(staged(wanted, "wanted"), "doc_id"), now, min_chars=None, **settings)
+    own = [c for c in ("acl", "bm25") if c in misses.columns]
+    wanted = staged(misses.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_{c}") for c in own]),
+                    "wanted")
+    found = docs.join(wanted, "doc_id")
+    for c in own:
+        found = found.withColumn(c, F.coalesce(f"_{c}", c) if c in docs.columns else F.col(f"_{c}"))
+    new = ingest(found.drop("_n", *[f"_{c}" for c in own]), now, min_chars=None, **settings)
     columns = ["doc_id", "chunk_id", "summary", "acl", "ts"]
     old = cache_rows(cache, now).join(hits, "doc_id", "left_semi")
     return (old.select(*columns, F.lit("cache").alias("source"))

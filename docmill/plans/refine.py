@@ -11,6 +11,7 @@ from docmill.functions.records import summary_score
 from docmill.functions.text import extractive, lead
 from docmill.operators import inference, quality
 from docmill.operators.chunking import chunks_of
+from docmill.session import staged
 
 
 def refined(docs: DataFrame, first: Callable[[Column], Column] = lead,
@@ -34,13 +35,13 @@ def refined(docs: DataFrame, first: Callable[[Column], Column] = lead,
 def refined_by_models(chunks: DataFrame, first, second, threshold: float = quality.THRESHOLD) -> DataFrame:
     """The same for batch functions over chunk rows.
 
-    The flags are combined map-side (one row per document and task) and joined back; a
-    document with very many chunks is split by the adaptive skew join.
+    The first summaries are staged, so the first model sees every chunk once and both branches
+    go by the same answers. The flags are combined map-side (one row per document and task)
+    and joined back; a document with very many chunks is split by the adaptive skew join.
     """
-    once = quality.scored(inference.summarize(chunks, first))
-    flags = once.groupBy("doc_id").agg(F.bool_or(F.col("score") < threshold).alias("_low"))
-    both = once.join(flags, "doc_id")
-    again = inference.summarize(both.where("_low").drop("summary", "score"), second)
-    kept = both.where("not _low")
-    return kept.withColumn("decision", F.lit("index")).drop("_low").unionByName(
-        quality.scored(again).withColumn("decision", F.lit("resummarize")).drop("_low"))
+    once = staged(quality.scored(inference.summarize(chunks, first)), "first")
+    flags = staged(once.groupBy("doc_id").agg(F.bool_or(F.col("score") < threshold).alias("_low")).where("_low"), "weak")
+    weak = once.join(flags.select("doc_id"), "doc_id", "left_semi").drop("summary", "score")
+    kept = once.join(flags.select("doc_id"), "doc_id", "left_anti")
+    return kept.withColumn("decision", F.lit("index")).unionByName(
+        quality.scored(inference.summarize(weak, second)).withColumn("decision", F.lit("resummarize")))

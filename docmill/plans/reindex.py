@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import vectors
 from docmill.operators import index, inference
+from docmill.operators.chunking import chunk
 from docmill.plans.ingest import chunk_rows, described, embedded, finished
 from docmill.session import staged
 from docmill.sources import documents, tables
@@ -18,7 +19,8 @@ def to_index(docs: DataFrame, state: DataFrame, mode: str = "hash", full: bool =
 
     'code' skips a document whose stored version is current and otherwise takes the missing
     chunk numbers, even after an interrupted run. 'hash' compares every chunk's number and
-    text. `full` takes everything.
+    text. `full` takes everything. Keywords are extracted only for documents that have a chunk
+    to index.
     """
     if mode not in ("code", "hash"):
         raise ValueError(f"Unsupported reindex mode: {mode}")
@@ -27,7 +29,21 @@ def to_index(docs: DataFrame, state: DataFrame, mode: str = "hash", full: bool =
     if mode == "code":  # versions are compared before any text is chunked
         todo = index.changed_documents(docs, state)
         return index.missing_by_id(chunk_rows(described(todo), strategy, **options), state)
-    return index.missing_by_hash(chunk_rows(described(docs), strategy, **options), state)
+    missing = staged(index.missing_keys(hashed_chunks(docs, strategy, **options), state), "missing")
+    return chunks_with(docs, missing, strategy, **options)
+
+
+def hashed_chunks(docs: DataFrame, strategy: str = "paragraph", **options) -> DataFrame:
+    """(doc_id, chunk_id, chunk_hash) of all chunks, without the metadata that a chunk row carries."""
+    return chunk(docs, strategy, **options).select("doc_id", "chunk_id", index.chunk_hash(F.col("chunk")).alias("chunk_hash"))
+
+
+def chunks_with(docs: DataFrame, keys: DataFrame, strategy: str = "paragraph", **options) -> DataFrame:
+    """The chunk rows with the given (doc_id, chunk_id); other documents are not chunked."""
+    some = docs.join(keys.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = chunk_rows(described(some), strategy, **options)
+    return rows.join(keys.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi").withColumn(
+        "chunk_hash", index.chunk_hash(F.col("chunk")))
 
 
 def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: str, now: int, *,
@@ -36,38 +52,52 @@ def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: s
             strategy: str = "paragraph", buckets: int = tables.BUCKETS, **options) -> DataFrame:
     """Bring index and state up to date; returns the progress of the documents.
 
-    Only buckets with changed documents are rewritten. Running it again, also after a
-    failure between the two writes, indexes what is still missing and nothing else.
+    Of both tables only the buckets of the given documents are read, and only changes are
+    written. Running it again, also after a failure between the two writes, indexes what is
+    still missing and nothing else.
     """
+    if mode not in ("code", "hash"):
+        raise ValueError(f"Unsupported reindex mode: {mode}")
     if ids is not None:
         docs = documents.listed(docs, ids)
     if "version" not in docs.columns:
         docs = docs.withColumn("version", F.lit(index.UNKNOWN_VERSION))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     nothing = f"doc_id {id_type}, version string, chunk_id int, chunk_hash string"
-    known = tables.exists(spark, state_path)
-    state = tables.read(spark, state_path) if known else spark.createDataFrame([], nothing)
-    todo = to_index(docs, state, mode, full, strategy, **options)
-    rows = staged(finished(embedded(inference.summarize(todo, summarizer, functions), embed), now), "reindex")
+    versions = staged(docs.select("doc_id", F.coalesce("version", F.lit(index.UNKNOWN_VERSION)).alias("version")), "versions")
+
+    def finish(todo: DataFrame) -> DataFrame:
+        return staged(finished(embedded(inference.summarize(todo, summarizer, functions), embed), now), "reindex")
+
+    def progress() -> DataFrame:
+        return index.progress(tables.read(spark, state_path, versions), versions)
+
     if full:
-        tables.replace(spark, index_path, rows, buckets, owners=docs)
-        tables.replace(spark, state_path, index.state_rows(rows), buckets, owners=docs)
-        return index.progress(tables.read(spark, state_path), docs)
+        rows = finish(to_index(docs, None, full=True, strategy=strategy, **options))
+        tables.replace(spark, index_path, rows, ["vector_id"], buckets, owners=versions)
+        tables.replace(spark, state_path, index.state_rows(rows), None, buckets, owners=versions)
+        return progress()
+    known = tables.exists(spark, state_path)
+    state = tables.read(spark, state_path, versions) if known else spark.createDataFrame([], nothing)
+    gone = None
+    if mode == "hash":  # the texts are chunked once to compare, and again only where a chunk is missing
+        current = staged(hashed_chunks(docs, strategy, **options), "current")
+        rows = finish(chunks_with(docs, staged(index.missing_keys(current, state), "missing"), strategy, **options))
+        if tables.exists(spark, index_path):
+            written = tables.read(spark, index_path, versions).select("doc_id", "chunk_id", "vector_id")
+            gone = staged(written.join(current.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_anti"), "stale")
+    else:
+        rows = finish(to_index(docs, state, mode, False, strategy, **options))
     tables.upsert(spark, index_path, rows, ["vector_id"], buckets=buckets)
-    touched = rows.select("doc_id").unionByName(index.changed_documents(docs, state).select("doc_id"))
-    if mode == "hash":
-        current = chunk_rows(described(docs), strategy, **options).select("doc_id", "chunk_id")
-        written = tables.read(spark, index_path).select("doc_id", "chunk_id")
-        gone = staged(index.stale_by_hash(current, written, docs), "stale")
-        tables.rewrite(spark, index_path, gone, lambda old: old.join(
-            gone, ["doc_id", "chunk_id"], "left_anti").select(*old.columns), buckets, shrinks=True)
+    touched = rows.select("doc_id").unionByName(index.changed_documents(versions, state).select("doc_id"))
+    if gone is not None:
+        tables.delete_keys(spark, index_path, gone)
         touched = touched.unionByName(gone.select("doc_id"))
     # The state follows the index table, so it never claims a chunk that was not written.
-    versions = docs.select("doc_id", F.coalesce("version", F.lit(index.UNKNOWN_VERSION)).alias("version"))
     touched = staged(versions.join(touched.distinct(), "doc_id", "left_semi"), "touched")
-    there = tables.read(spark, index_path).select("doc_id", "chunk_id", "chunk_hash").join(touched, "doc_id")
-    tables.replace(spark, state_path, index.state_rows(there), buckets, owners=touched)
-    return index.progress(tables.read(spark, state_path), docs)
+    there = tables.read(spark, index_path, touched).select("doc_id", "chunk_id", "chunk_hash").join(touched, "doc_id")
+    tables.replace(spark, state_path, index.state_rows(there), None, buckets, owners=touched)
+    return progress()
 
 
 def dry_run(docs: DataFrame, state: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -1,18 +1,30 @@
-"""Table sinks: append, and upserts or deletes that rewrite only the buckets they touch."""
+"""Table sinks: appends, stream batches, and keyed tables that grow by small batches.
+
+A keyed table is a base and the batches written since. An upsert, a replacement or a delete
+writes only its own rows and what they put out of date; nothing stored is rewritten, so the
+cost of a change does not grow with the table. A batch counts once its commit file is there.
+Reading keeps the newest row per key; the batches are small next to the base, so Catalyst can
+broadcast their keys, and a table without batches is read as it is. `compact` folds the batches
+into a new base.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from docmill.functions.records import DEFAULT_ACL
 from docmill.functions.text import BLANK_LINE
-from docmill.operators.index import latest, replaced, upserted
+from docmill.operators.index import latest, single
+from docmill.session import staged
 
 BUCKET = "bucket"
 BUCKETS = 1024  # about 100 GB each for a 100 TB table; small tables pass fewer
+MAX_BATCHES = 16  # a table with more is compacted by the next change
 
 
 def upload(docs: DataFrame, path: str) -> DataFrame:
@@ -63,19 +75,66 @@ def write_lists(assigned: DataFrame, path: str) -> None:
 # ---- batch folders of a stream ----------------------------------------------------------
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write a micro-batch to its own folder; running the batch again replaces the folder."""
+def write_batch(df: DataFrame, path: str, batch_id: int, owners: DataFrame | None = None) -> None:
+    """Write a micro-batch to its own folder; running the batch again replaces the folder.
+
+    `owners` are all documents of the batch, also those that have no rows in it.
+    """
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    if owners is not None:
+        owners.write.mode("overwrite").parquet(f"{path}-owners/batch_id={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str, owner: str) -> DataFrame:
     """Rows of the newest batch of each owner, so a document that came again has no old rows."""
     rows = spark.read.parquet(path)
-    newest = rows.groupBy(owner).agg(F.max("batch_id").alias("batch_id"))
+    seen = spark.read.parquet(f"{path}-owners") if exists(spark, f"{path}-owners") else rows
+    newest = seen.groupBy(owner).agg(F.max("batch_id").alias("batch_id"))
     return rows.join(newest, [owner, "batch_id"], "left_semi").drop("batch_id")
 
 
-# ---- bucketed tables --------------------------------------------------------------------
+# ---- keyed tables -----------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _files(spark, path)
+    return files.exists(target)
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[int, dict[str, list[int]]]:
+    """The base, and the committed batches after it by kind: rows, gone (owners), dropped (keys)."""
+    files, target = _files(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(target)]
+    bases = [int(n[5:]) for n in names if n.startswith("base=") and exists(spark, f"{path}/{n}/_SUCCESS")]
+    base = max(bases)
+    done = {int(n[7:]) for n in names if n.startswith("commit=")}
+    found = {kind: sorted(b for n in names if n.startswith(f"{kind}=") for b in [int(n[len(kind) + 1:])]
+                          if b > base and b in done) for kind in ("rows", "gone", "dropped")}
+    return base, found
+
+
+def _next(spark: SparkSession, path: str) -> int:
+    """A batch number that no earlier attempt has used."""
+    files, target = _files(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(target)]
+    return 1 + max((int(n.split("=")[1]) for n in names if "=" in n), default=0)
+
+
+def _commit(spark: SparkSession, path: str, batch: int) -> None:
+    files, target = _files(spark, f"{path}/commit={batch}")
+    files.create(target, False).close()
+
+
+def properties(spark: SparkSession, path: str) -> tuple[list[str], str, int, StructType]:
+    """Key columns, owner column, number of buckets and columns of a table."""
+    row = spark.read.json(f"{path}/properties").first()
+    columns = StructType.fromJson(json.loads(row["columns"]))
+    return [c for c in row["keys"].split(",") if c], row["owner"], row["buckets"], columns
 
 
 def bucketed(df: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id") -> DataFrame:
@@ -83,66 +142,134 @@ def bucketed(df: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id") -> Da
     return df.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(owner).cast("string")), F.lit(buckets)).cast("int"))
 
 
-def create(df: DataFrame, path: str, buckets: int = BUCKETS, owner: str = "doc_id") -> None:
-    """Write a bucketed table. `rebalance` splits a hot bucket over tasks and joins small ones."""
-    (bucketed(df, buckets, owner).hint("rebalance", BUCKET)
-     .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
+def _write(df: DataFrame, path: str, buckets: int, owner: str) -> None:
+    """`rebalance` splits a hot bucket over tasks and joins small ones."""
+    bucketed(df, buckets, owner).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def create(df: DataFrame, path: str, keys: list[str] | None = None, buckets: int = BUCKETS,
+           owner: str = "doc_id") -> None:
+    """Write a new table. `keys` tell its rows apart; without them rows belong to their owner only."""
+    spark = df.sparkSession
+    spark.createDataFrame([(",".join(keys or []), owner, buckets, df.schema.json())],
+                          "keys string, owner string, buckets int, columns string").coalesce(1).write.json(f"{path}/properties")
+    _write(df, f"{path}/base=0", buckets, owner)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET)
+def read(spark: SparkSession, path: str, owners: DataFrame | None = None) -> DataFrame:
+    """The current rows; of the given documents (or sessions) only, if there are any.
 
-
-def rewrite(spark: SparkSession, path: str, touched: DataFrame, change: Callable[[DataFrame], DataFrame],
-            buckets: int = BUCKETS, owner: str = "doc_id", shrinks: bool = False) -> None:
-    """Replace the buckets of the owners in `touched` by `change(their rows)`.
-
-    At most `buckets` numbers come to the driver; other buckets are neither read nor written.
-    Each overwrite is staged and committed as a whole, so a lost executor only repeats tasks.
-    With `shrinks`, a bucket that loses its last row is overwritten by an empty file.
+    With `owners` only their buckets are read: at most `buckets` numbers come to the driver.
     """
-    hit = {r[0] for r in bucketed(touched, buckets, owner).select(BUCKET).distinct().collect()}
-    if not hit or not exists(spark, path):
-        return
-    old = spark.read.parquet(path).where(F.col(BUCKET).isin(sorted(hit)))
-    columns = [c for c in old.columns if c != BUCKET]
-    new = bucketed(change(old.select(*columns)), buckets, owner).select(*columns, BUCKET)
-    emptied = hit - {r[0] for r in new.select(BUCKET).distinct().collect()} if shrinks else set()
-    (new.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(BUCKET).parquet(path))
-    nothing = spark.createDataFrame([], old.select(*columns).schema)
-    for b in sorted(emptied):
-        nothing.write.mode("overwrite").parquet(f"{path}/{BUCKET}={b}")
+    keys, owner, buckets, columns = properties(spark, path)
+    base, batches = _parts(spark, path)
+    hit = None
+    if owners is not None:
+        hit = sorted(r[0] for r in bucketed(owners.select(owner), buckets, owner).select(BUCKET).distinct().collect())
+
+    def part(kind: str, batch: int) -> DataFrame:
+        names = {"gone": [owner], "dropped": [owner, *keys]}.get(kind, columns.names)
+        schema = StructType([columns[c] for c in dict.fromkeys(names)]).add(BUCKET, IntegerType())
+        rows = spark.read.schema(schema).parquet(f"{path}/{kind}={batch}")
+        if hit is not None:
+            rows = rows.where(F.col(BUCKET).isin(hit))
+        return rows.drop(BUCKET).withColumn("_batch", F.lit(batch))
+
+    rows = part("base", base)
+    for batch in batches["rows"]:
+        rows = rows.unionByName(part("rows", batch))
+
+    def outdated(rows: DataFrame, parts: list[DataFrame], by: list[str]) -> DataFrame:
+        """Rows without a later batch for the same values."""
+        names = [f"_{c}" for c in by]
+        last = reduce(DataFrame.unionByName, [p.select(*[F.col(c).alias(n) for c, n in zip(by, names)], "_batch")
+                                              for p in parts]).groupBy(*names).agg(F.max("_batch").alias("_last"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)])
+        return rows.join(last, same, "left").where("_last is null or _last <= _batch").drop(*names, "_last")
+
+    if batches["gone"]:
+        rows = outdated(rows, [part("gone", b) for b in batches["gone"]], [owner])
+    later = [part(kind, b) for kind in ("rows", "dropped") for b in batches[kind]] if keys else []
+    if later:
+        rows = outdated(rows, later, keys)
+    rows = rows.select(*columns.names)
+    return rows if owners is None else rows.join(owners.select(owner).distinct(), owner, "left_semi").select(*columns.names)
+
+
+def _change(spark: SparkSession, path: str, **parts: DataFrame) -> None:
+    """Write one batch and commit it; folds the batches into a new base when there are many."""
+    _, owner, buckets, columns = properties(spark, path)
+    batch = _next(spark, path)
+    for kind, df in parts.items():
+        _write(df.select(*columns.names) if kind == "rows" else df, f"{path}/{kind}={batch}", buckets, owner)
+    _commit(spark, path, batch)
+    if len(set().union(*_parts(spark, path)[1].values())) > MAX_BATCHES:
+        compact(spark, path)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Write the current rows as a new base. Older files stay for readers that have begun; see `vacuum`."""
+    _, owner, buckets, _ = properties(spark, path)
+    base, batches = _parts(spark, path)
+    last = max([base, *(b for kind in batches.values() for b in kind)])
+    if last > base:
+        _write(read(spark, path), f"{path}/base={last}", buckets, owner)
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Remove what the newest base has replaced; call it when no reader uses an older state."""
+    base, _ = _parts(spark, path)
+    files, target = _files(spark, path)
+    for status in files.listStatus(target):
+        kind, _, number = status.getPath().getName().partition("=")
+        if number and (int(number) < base or int(number) == base and kind != "base"):
+            files.delete(status.getPath(), True)
 
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str],
            order: list[str] | None = None, buckets: int = BUCKETS, owner: str = "doc_id") -> None:
-    """Insert or replace rows by key; creates the table on first use."""
+    """Insert or replace rows by key; creates the table on first use.
+
+    Of several updates of a key the last in `order` counts; without an order they must be equal.
+    """
+    updates = latest(updates, keys, order) if order else single(updates, keys)
     if not exists(spark, path):
-        create(latest(updates, keys, order) if order else updates, path, buckets, owner)
-        return
-    rewrite(spark, path, updates, lambda old: upserted(old, updates, keys, order), buckets, owner)
+        create(updates, path, keys, buckets, owner)
+    else:
+        _change(spark, path, rows=updates)
 
 
-def delete(spark: SparkSession, path: str, owners: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id") -> None:
+def delete(spark: SparkSession, path: str, owners: DataFrame) -> None:
     """Drop every row of the given documents (or sessions)."""
-    rewrite(spark, path, owners,
-            lambda old: old.join(owners.select(owner).distinct(), owner, "left_anti"), buckets, owner, True)
+    if exists(spark, path):
+        owner = properties(spark, path)[1]
+        _change(spark, path, gone=owners.select(owner).distinct())
+
+
+def delete_keys(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Drop the rows with the keys of `rows`, which also holds their owners."""
+    if exists(spark, path):
+        keys, owner = properties(spark, path)[:2]
+        _change(spark, path, dropped=rows.select(*dict.fromkeys([owner, *keys])).distinct())
+
+
+def delete_prefix(spark: SparkSession, path: str, prefix: str, column: str = "vector_id",
+                  owners: DataFrame | None = None) -> None:
+    """Drop rows whose id starts with a literal prefix. Only ids are read; of the `owners`' buckets, if given."""
+    if exists(spark, path):
+        rows = read(spark, path, owners).where(F.col(column).startswith(prefix))
+        keys, owner = properties(spark, path)[:2]
+        delete_keys(spark, path, staged(rows.select(*dict.fromkeys([owner, *keys])), "prefix"))
 
 
-def replace(spark: SparkSession, path: str, rows: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id",
-            owners: DataFrame | None = None) -> None:
+def replace(spark: SparkSession, path: str, rows: DataFrame, keys: list[str] | None = None, buckets: int = BUCKETS,
+            owner: str = "doc_id", owners: DataFrame | None = None) -> None:
     """Replace all rows of the documents (or sessions) in `rows`, or of the `owners` given.
 
     An owner without new rows loses its old ones.
     """
     if not exists(spark, path):
-        create(rows, path, buckets, owner)
+        create(rows, path, keys, buckets, owner)
         return
-    rewrite(spark, path, rows if owners is None else owners, lambda old: replaced(old, rows, owner, owners),
-            buckets, owner, shrinks=owners is not None)
+    owner = properties(spark, path)[1]
+    _change(spark, path, gone=(rows if owners is None else owners).select(owner).distinct(), rows=rows)

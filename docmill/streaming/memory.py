@@ -54,16 +54,18 @@ def newest(messages: DataFrame, n: int) -> DataFrame:
 
 def memory_stream(messages: DataFrame, n: int = 20) -> DataFrame:
     """`messages`: session_id, seq, role, content. Needs the RocksDB state store provider."""
+    session = messages.schema["session_id"].dataType.simpleString()
     return newest(messages.select("session_id", "seq", "role", "content"), n).groupBy("session_id").transformWithStateInPandas(
-        LastMessages(n), "session_id long, seq long, role string, content string, position int",
+        LastMessages(n), f"session_id {session}, seq long, role string, content string, position int",
         "Update", "None")
 
 
-def start_memory(messages: DataFrame, path: str, checkpoint: str, n: int = 20) -> StreamingQuery:
+def start_memory(messages: DataFrame, path: str, checkpoint: str, n: int = 20,
+                 trigger: dict | None = None) -> StreamingQuery:
     """Write the memory of every session that changed; `tables.read_batches` gives the newest."""
     return (memory_stream(messages, n).writeStream.outputMode("update")
             .foreachBatch(lambda batch, batch_id: tables.write_batch(batch, path, batch_id))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
 @contextmanager

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.operators import assembly, filters, index, ranking
 from docmill.operators.chunking import chunks_of
+from docmill.session import scratch_path
+from docmill.sources import tables
 from docmill.workload.fixtures import (EPOCH, LINES, NL, SQL_SENTENCES, SQL_TOKENS, described,
                                        documents, line_chunks, table)
 from docmill.workload.registry import query
-from docmill.workload.textual import KEYWORD_CTE
+from docmill.workload.textual import FOUND_WORDS, KEYWORD_CTE
 
 LATER = EPOCH + 3000
 
@@ -54,17 +56,21 @@ def chunk_search_share(spark, sf):
     return ranking.limited(_hits(spark, sf), ["doc_id", "chunk_id"], None, 0.5)
 
 
-QUESTIONS = f"""asked AS (SELECT item_id AS qid, string_split(text, ' ')[1] AS keyword,
+QUESTIONS = f"""ask_words AS (SELECT item_id, w, count(*) AS n, min(i) AS first FROM (
+  SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (
+    SELECT item_id, {FOUND_WORDS} AS ws FROM benchmark)) GROUP BY item_id, w),
+top_word AS (SELECT item_id, w FROM ask_words QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, first) = 1),
+asked AS (SELECT item_id AS qid, coalesce(w, '') AS keyword,
   CASE WHEN length(text) > 200 THEN 'public' END AS acl,
   CASE WHEN length(text) > 150 THEN {LATER} ELSE 0 END AS min_time,
-  CASE WHEN length(text) > 180 THEN {EPOCH + 40_000} END AS max_time FROM benchmark)"""
+  CASE WHEN length(text) > 180 THEN {EPOCH + 40_000} END AS max_time FROM benchmark LEFT JOIN top_word USING (item_id))"""
 
 
 def questions(spark, sf):
-    """Benchmark texts as requests: first word as the keyword, other filters by length."""
+    """Benchmark texts as requests: the most frequent word as the keyword, other filters by length."""
     size = F.length("text")
     return table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("qid"), "text", F.get(F.split("text", " "), F.lit(0)).alias("keyword"),
+        F.col("item_id").alias("qid"), "text", F.get(T.top_keywords(F.col("text"), 1), F.lit(0)).alias("keyword"),
         F.when(size > 200, "public").alias("acl"),
         F.when(size > 150, LATER).otherwise(0).alias("min_time"),
         F.when(size > 180, EPOCH + 40_000).alias("max_time"))
@@ -78,8 +84,8 @@ SELECT qid, doc_id, chunk_id, CAST(rk AS INTEGER) AS rank FROM (
 WHERE rk <= 20""")
 def chunk_search_batch(spark, sf):
     """The same search for a table of requests, 20 hits each."""
-    hits = filters.matching_queries(_summaries(spark, sf), questions(spark, sf))
-    return ranking.limited(hits.select("qid", "doc_id", "chunk_id"), ["doc_id", "chunk_id"], 20, None, "qid")
+    hits = filters.matching_queries(_summaries(spark, sf), questions(spark, sf), k=20)
+    return ranking.limited(hits.drop("matched"), ["doc_id", "chunk_id"], 20, None, "qid")
 
 
 @query(f"""SELECT doc_id, n_chars FROM documents
@@ -185,6 +191,20 @@ def conversation_append(spark, sf):
     return ranking.ordinals(rows, ["session_id"], ["ts"], "seq")
 
 
+@query(f"""SELECT conv_id AS session_id, role, md5(text) AS digest, {EPOCH} + turn * 30 AS ts,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations""")
+def conversation_append_existing(spark, sf):
+    """Later messages go on from the number their session has reached; new sessions begin at one."""
+    rows = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session_id"), "role", F.md5("text").alias("digest"), "turn",
+        (F.lit(EPOCH) + F.col("turn") * 30).alias("ts"))
+    old = (F.col("turn") < 2) & (F.col("session_id") % 3 > 0)
+    path = scratch_path(spark, "conversations")
+    tables.append(ranking.ordinals(rows.where(old).drop("turn"), ["session_id"], ["ts"], "seq"), path)
+    tables.append(ranking.appended(spark.read.parquet(path), rows.where(~old).drop("turn")), path)
+    return spark.read.parquet(path).select("session_id", "role", "digest", "ts", "seq")
+
+
 @query("SELECT conv_id, turn, role FROM conversations WHERE conv_id NOT IN "
        "(SELECT conv_id FROM conversations WHERE role = 'system')")
 def session_clear(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
@@ -63,6 +65,24 @@ def refine_summaries(spark, sf):
     return rows.select("doc_id", "chunk_id", "decision", "summary", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {LINES}, one AS (SELECT doc_id, chunk_id, chunk, {SQL_SENTENCES.format('chunk')}[1] AS s FROM lines),
+verdict AS (SELECT doc_id, bool_or(CAST({SCORE.format('s')} AS DOUBLE) < 0.25) AS low FROM one GROUP BY doc_id),
+done AS (SELECT doc_id, chunk_id, low, CASE WHEN low THEN upper(left(chunk, 1)) || ' ' || length(chunk) ELSE s END AS summary
+         FROM one JOIN verdict USING (doc_id))
+SELECT doc_id, chunk_id, summary, round(CAST({SCORE.format('summary')} AS DOUBLE), 6) AS score,
+  CASE WHEN low THEN 'resummarize' ELSE 'index' END AS decision FROM done""")
+def refine_by_models(spark, sf):
+    """The same with batch functions in the place of models."""
+    def first(chunks):
+        return [re.split(r"(?<=[.!?]) +", c.strip())[0] for c in chunks]
+
+    def second(chunks):
+        return [f"{c[:1].upper()} {len(c)}" for c in chunks]
+
+    rows = refine.refined_by_models(line_chunks(spark, sf), first, second, 0.25)
+    return rows.select("doc_id", "chunk_id", "summary", F.round("score", 6).alias("score"), "decision")
+
+
 @query(f"""WITH {LINES}, {VOTES} SELECT l.doc_id || '_chunk_' || l.chunk_id AS vector_id, l.version,
   round(CAST({SCORE.format(SUMMARY)} AS DOUBLE), 6) AS score, TRUE AS reindexed
 FROM lines l JOIN votes v ON v.doc_id = l.doc_id AND NOT v.votes > 1.5""")

@@ -131,7 +131,7 @@ def index_upsert(spark, sf):
 
 @query(UPSERTED)
 def index_upsert_table(spark, sf):
-    """The same through a bucketed table in the shared folder, rewriting touched buckets only."""
+    """The same through a table in the shared folder, to which the updates are added as a batch."""
     stored, updates = _stored_and_updates(spark, sf)
     path = scratch_path(spark, "upsert")
     tables.upsert(spark, path, stored, ["vector_id"], buckets=8)
@@ -144,8 +144,22 @@ def index_delete_table(spark, sf):
     """Delete the labelled documents from a bucketed table."""
     stored, _ = _stored_and_updates(spark, sf)
     path = scratch_path(spark, "delete")
-    tables.create(stored, path, 8)
-    tables.delete(spark, path, table(spark, sf, "labels"), 8)
+    tables.create(stored, path, ["vector_id"], 8)
+    tables.delete(spark, path, table(spark, sf, "labels"))
+    return tables.read(spark, path).select("vector_id", "chunk_id")
+
+
+@query(f"""WITH {LINES}, {UPSERT} SELECT vector_id, chunk_id FROM stored
+WHERE NOT starts_with(vector_id, '1_chunk_') AND NOT starts_with(vector_id, '23_')""")
+def index_delete_prefix_table(spark, sf):
+    """Delete two documents by the prefix of their ids, fold the batches into a new base and clear what it replaced."""
+    stored, _ = _stored_and_updates(spark, sf)
+    path = scratch_path(spark, "prefix")
+    tables.create(stored, path, ["vector_id"], 8)
+    tables.delete_prefix(spark, path, "1_chunk_")
+    tables.delete_prefix(spark, path, "23_", owners=spark.createDataFrame([(23,)], "doc_id long"))
+    tables.compact(spark, path)
+    tables.vacuum(spark, path)
     return tables.read(spark, path).select("vector_id", "chunk_id")
 
 
@@ -184,26 +198,48 @@ def cache_write(spark, sf):
     return cached.select("doc_id", "chunk_id", "ts")
 
 
-@query(f"""WITH {DESCRIBED}, {KEYWORD_CTE} SELECT CAST(d.doc_id AS VARCHAR) AS id, source AS doc_name,
+CATALOG = f"""{DESCRIBED}, {KEYWORD_CTE}, catalog AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, source AS doc_name,
   {LEAD.format('d.text')} AS summary, keywords AS keyword, strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified,
   coalesce(acl, 'public') AS acl, 'local' AS storage, '2024-01-01T00:00:00' AS created_at
-FROM described d JOIN kw ON kw.doc_id = d.doc_id""")
-def catalog_write(spark, sf):
-    """Document catalog rows, written to a table and read back."""
-    from docmill.functions.records import iso_time
+FROM described d JOIN kw ON kw.doc_id = d.doc_id)"""
+
+
+def _catalog(spark, sf):
     docs = described(spark, sf).select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("doc_name"),
         T.lead(F.col("text")).alias("summary"), T.top_keywords(F.col("text")).alias("keyword"), "last_modified",
         "acl", F.lit("local").alias("storage"), F.lit(None).cast("string").alias("bm25"),
         F.lit(None).cast("timestamp").alias("created_at"))
-    path = scratch_path(spark, "catalog")
-    tables.append(tables.catalog_rows(docs, "2024-01-01 00:00:00"), path)
-    back = sources.table_documents(spark, path)
-    return back.select("id", "doc_name", "summary", T.joined_keywords(F.col("keyword")).alias("keyword"),
+    return tables.catalog_rows(docs, "2024-01-01 00:00:00")
+
+
+def _catalog_shown(rows):
+    from docmill.functions.records import iso_time
+    return rows.select("id", "doc_name", "summary", T.joined_keywords(F.col("keyword")).alias("keyword"),
                        iso_time(F.col("last_modified")).alias("last_modified"), "acl", "storage",
                        iso_time(F.col("created_at")).alias("created_at"))
 
 
+@query(f"WITH {CATALOG} SELECT * FROM catalog")
+def catalog_write(spark, sf):
+    """Document catalog rows, written to a table and read back."""
+    path = scratch_path(spark, "catalog")
+    tables.append(_catalog(spark, sf), path)
+    return _catalog_shown(sources.table_documents(spark, path))
+
+
+@query(f"WITH {CATALOG} SELECT * REPLACE (CASE WHEN id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) THEN doc_name || ' (new)' "
+       "ELSE doc_name END AS doc_name) FROM catalog")
+def catalog_upsert(spark, sf):
+    """The catalog written twice: labelled documents change, no document is listed twice."""
+    rows, path = _catalog(spark, sf), scratch_path(spark, "catalog")
+    tables.upsert(spark, path, rows, ["id"], buckets=8, owner="id")
+    labelled = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    changed = rows.join(labelled, "id", "left_semi").withColumn("doc_name", F.concat("doc_name", F.lit(" (new)")))
+    tables.upsert(spark, path, changed, ["id"], buckets=8, owner="id")
+    return _catalog_shown(tables.read(spark, path))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'cache' ELSE 'generated' END AS source
 FROM documents""")
 def cache_split(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -86,18 +87,18 @@ def embedding_drift(spark, sf):
 
 
 def grade(asked: list[str]) -> list[str]:
-    """Stands in for a grading model: the score is the number of commas, long prompts are refused."""
-    return [json.dumps({"score": p.count(","), "reason": f"{p.count('.')} stops"}) if len(p) < 3000 else "too long"
-            for p in asked]
-
+    """Stands in for a grading model: the score is the number of commas, prompts with a digit in the summary are refused."""
+    around = prompts.EVALUATE.split("{summary}")
+    return ["refused" if re.search("[0-9]", p[len(around[0]):-len(around[1])])
+            else json.dumps({"score": p.count(","), "reason": f"{p.count('.')} stops"}) for p in asked]
 
 
 def _grade_sql() -> str:
-    around = prompts.EVALUATE_BEFORE + prompts.EVALUATE_AFTER
+    around = prompts.EVALUATE.replace("{summary}", "")
     c, d = around.count(","), around.count(".")
     commas = f"(length(text) - length(replace(text, ',', '')) + {c})"
     stops = f"(length(text) - length(replace(text, '.', '')) + {d})"
-    ok = f"length(text) + {len(around)} < 3000"
+    ok = "NOT regexp_matches(text, '[0-9]')"
     return f"""SELECT doc_id, CAST(CASE WHEN {ok} THEN {commas} ELSE 0 END AS DOUBLE) AS score,
   CASE WHEN {ok} THEN {stops} || ' stops' ELSE 'Evaluation error' END AS reason,
   CASE WHEN {ok} THEN {commas} < 5 ELSE TRUE END AS needs_resummarize FROM documents"""
@@ -115,16 +116,16 @@ def strict(asked: list[str]) -> list[str]:
 
 
 def lenient(asked: list[str]) -> list[str]:
-    return ["yes, clearly" if len(p) > 2500 else "no" for p in asked]
+    return ["yes, clearly" if "(" in p else "no" for p in asked]
 
 
 def broken(asked: list[str]) -> list[str]:
     raise RuntimeError("judge is down")
 
 
-@query(f"""SELECT doc_id, CAST(a + b AS BIGINT) AS votes, CAST(3 AS BIGINT) AS checks, a + b > 1.5 AS flagged FROM (
+@query("""SELECT doc_id, CAST(a + b AS BIGINT) AS votes, CAST(3 AS BIGINT) AS checks, a + b > 1.5 AS flagged FROM (
   SELECT doc_id, CAST(contains(lower(text), 'error') AS INTEGER) AS a,
-         CAST(length(text) + {len(prompts.JUDGE) + 2} > 2500 AS INTEGER) AS b FROM documents)""")
+         CAST(contains(text, '(') AS INTEGER) AS b FROM documents)""")
 def model_judges(spark, sf):
     """Three model judges over whole texts; the one that fails never flags."""
     votes = inference.judged(documents(spark, sf), {"strict": strict, "lenient": lenient, "broken": broken})

@@ -9,12 +9,12 @@ from docmill.workload.fixtures import (LINES, SQL_SENTENCES, SQL_TOKENS, ZERO_TI
                                        table)
 from docmill.workload.registry import query
 
+FOUND_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}'))"
 # Word counts as SQL groups them: (doc_id, word, n, first).
-KEYWORD_CTE = r"""kw_words AS (
+KEYWORD_CTE = f"""kw_words AS (
   SELECT doc_id, w, i FROM (
     SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (
-      SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'),
-                                 lambda x: regexp_full_match(x, '[a-z]{4,}')) AS ws FROM documents))),
+      SELECT doc_id, {FOUND_WORDS} AS ws FROM documents))),
 kw_rank AS (
   SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rk
   FROM (SELECT doc_id, w, count(*) AS n, min(i) AS first FROM kw_words GROUP BY doc_id, w)),
@@ -47,14 +47,17 @@ def keyword_mode(spark, sf):
 def _prompt_sql() -> str:
     def lit(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
+
+    def around(template: str, name: str, value: str) -> str:
+        before, after = template.split("{" + name + "}")
+        return f"{lit(before)} || {value} || {lit(after)}"
     nl = "chr(10) || chr(10)"
     rows = {
         "summarize": f"{lit(prompts.SUMMARIZE)} || {nl} || text",
         "judge": f"{lit(prompts.JUDGE)} || {nl} || text",
-        "keywords": f"{lit(prompts.KEYWORDS_BEFORE.format(n=10))} || {nl} || text || {nl} || {lit(prompts.KEYWORDS_AFTER)}",
-        "evaluate": f"{lit(prompts.EVALUATE_BEFORE)} || text || {lit(prompts.EVALUATE_AFTER)}",
-        "incident": lit(prompts.INCIDENT.split("{")[0]) + " || CAST(doc_id AS VARCHAR) || "
-                    + lit(prompts.INCIDENT.split("}")[1]),
+        "keywords": around(prompts.KEYWORDS.replace("{n}", "10"), "text", "text"),
+        "evaluate": around(prompts.EVALUATE, "summary", "text"),
+        "incident": around(prompts.INCIDENT, "incident_id", "CAST(doc_id AS VARCHAR)"),
     }
     return " UNION ALL ".join(
         f"SELECT doc_id, '{k}' AS kind, CAST(length(p) AS INTEGER) AS size, md5(p) AS digest "
@@ -91,7 +94,7 @@ EXTRACTIVE = f"""parts AS (SELECT doc_id, {SQL_SENTENCES.format('text')} AS ss F
 sents AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS si FROM parts),
 occ AS (SELECT doc_id, si, unnest({SQL_TOKENS.format('s')}) AS w FROM sents),
 tf AS (SELECT doc_id, w, count(*) AS n FROM occ GROUP BY doc_id, w),
-sc AS (SELECT doc_id, si, round(sum(n) / count(*), 6) AS score FROM occ JOIN tf USING (doc_id, w) GROUP BY doc_id, si),
+sc AS (SELECT doc_id, si, sum(n) / count(*) AS score FROM occ JOIN tf USING (doc_id, w) GROUP BY doc_id, si),
 best AS (SELECT doc_id, si FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, si) <= 3),
 extractive AS (SELECT doc_id, string_agg(s, ' ' ORDER BY si) AS summary FROM best JOIN sents USING (doc_id, si) GROUP BY doc_id)"""
 
@@ -100,7 +103,7 @@ extractive AS (SELECT doc_id, string_agg(s, ' ' ORDER BY si) AS summary FROM bes
 SELECT d.doc_id, coalesce(e.summary, {LEAD.format('d.text')}) AS summary
 FROM documents d LEFT JOIN extractive e USING (doc_id)""")
 def extractive_summary(spark, sf):
-    return documents(spark, sf).select("doc_id", T.extractive(F.col("text")).alias("summary"))
+    return documents(spark, sf).select("doc_id", T.extractive_batch(F.col("text")).alias("summary"))
 
 
 BUCKETS = f"""tok AS (SELECT doc_id, unnest({SQL_TOKENS.format('text')}) AS w FROM documents),

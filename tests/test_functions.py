@@ -51,7 +51,7 @@ def extract(text, n):
     parts = re.split(r"(?<=[.!?]) +", text.strip())
     toks = [re.findall(r"\w+", s.lower()) for s in parts]
     counts = Counter(w for ws in toks for w in ws)
-    score = {i: round(sum(counts[w] for w in ws) / len(ws), 6) for i, ws in enumerate(toks) if ws}
+    score = {i: sum(counts[w] for w in ws) / len(ws) for i, ws in enumerate(toks) if ws}
     best = sorted(sorted(score, key=lambda i: (-score[i], i))[:n])
     return " ".join(parts[i] for i in best) if best else " ".join(parts[:n])
 
@@ -59,7 +59,9 @@ def extract(text, n):
 def test_summaries(spark, small):
     texts = TEXTS + [r[0] for r in documents(spark, small).select("text").collect()]
     texts = [t for t in texts if "İ" not in t]
-    assert column(spark, texts, T.extractive(F.col("x"), 2)) == [extract(t, 2) for t in texts]
+    for form in (T.extractive, T.extractive_batch):
+        assert column(spark, texts, form(F.col("x"), 2)) == [extract(t, 2) for t in texts]
+    assert column(spark, [None, "a. b"], T.extractive_batch(F.col("x"), 1)) == [None, "a."]
     assert column(spark, texts, T.lead(F.col("x"), 2)) == [
         " ".join(re.split(r"(?<=[.!?]) +", t.strip())[:2]) for t in texts]
 
@@ -122,6 +124,8 @@ def test_metadata_and_ids(spark):
                                "b map<string,string>, o map<string,string>")
     got = [r[0] for r in df.select(R.merged_metadata(F.col("b"), F.col("o"))).collect()]
     assert got == [{"a": "1", "b": "3", "c": "4"}, {"x": "y"}, {"k": "v"}]
+    lone = spark.createDataFrame([({"a": "1"}, None), (None, {"a": "1"}), (None, None)], df.schema)
+    assert [r[0] for r in lone.select(R.merged_metadata(F.col("b"), F.col("o"))).collect()] == [{"a": "1"}, {"a": "1"}, None]
     one = spark.range(1).select(R.vector_id(F.lit("doc1"), F.lit(3)), R.cache_key(F.lit("a:b")),
                                 R.cache_doc(R.cache_key(F.lit("a:b"))), R.is_yes(F.lit("Well, YES")),
                                 R.is_yes(F.lit(None).cast("string"))).first()
@@ -136,11 +140,12 @@ def test_iso_time(spark):
 
 def test_prompts(spark):
     row = spark.range(1).select(
-        prompts.summarize(F.lit("abc")), prompts.keywords(F.lit("x" * 3000), 5, prompts.KEYWORD_PROMPT_CHARS),
-        prompts.judge(F.lit("y" * 3000), prompts.JUDGE_CHARS), prompts.incident(F.lit("INC-7"))).first()
+        prompts.summarize(F.lit("abc")), prompts.keywords(F.lit("x" * 3000), 5),
+        prompts.judge(F.lit("y" * 3000)), prompts.incident(F.lit("INC-7")), prompts.evaluate(F.lit("{n} {summary}"))).first()
     assert row[0] == "Summarize the following section:\n\nabc"
-    assert "\n\n" + "x" * 2000 + "\n\n" in row[1] and "up to 5" in row[1]
-    assert row[2].endswith("\n\n" + "y" * 2000)
+    assert "\n\n" + "x" * 3000 + "\n\n" in row[1] and "up to 5" in row[1]  # whole texts
+    assert row[2].endswith("\n\n" + "y" * 3000)
+    assert "Summary:\n{n} {summary}\n\nPlease" in row[4]
     assert row[3] == "User asked about an incident: INC-7. Look it up and summarize."
 
 

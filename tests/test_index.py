@@ -1,5 +1,7 @@
 """Index maintenance, ordinals, gate, inference and flows."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,27 @@ def test_ordinals_without_group(spark):
     assert sorted((r.id, r["rank"]) for r in got) == [(i, i + 1) for i in range(100)]
 
 
+def test_a_null_group_is_numbered_like_any_other(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, F.lit(1)).cast("int").alias("g")).repartition(5)
+    got = ranking.ordinals(df, ["g"], ["id"]).collect()
+    assert sorted(r["rank"] for r in got if r.g is None) == list(range(1, 3001))
+    assert sorted(r["rank"] for r in got if r.g == 1) == list(range(1, 1001))
+
+
+def test_append_goes_on_from_the_stored_numbers(spark):
+    schema = "session_id string, ts long, seq long"
+    stored = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), (None, 1, 1)], schema)
+    new = spark.createDataFrame([("a", 9), ("a", 8), ("b", 1), (None, 5)], "session_id string, ts long")
+    got = ranking.appended(stored, new).collect()
+    assert {(r.session_id, r.ts, r.seq) for r in got} == {("a", 8, 3), ("a", 9, 4), ("b", 1, 1), (None, 5, 2)}
+
+
+def test_limits_by_group_with_counts(spark):
+    df = spark.createDataFrame([(g, i, m) for g in ("a", None) for i, m in ((1, 10), (2, 0), (3, 0))], "g string, i int, m long")
+    got = ranking.limited(df, ["i"], 3, 0.2, "g", "m")
+    assert sorted((r.g or "", r.i) for r in got.collect()) == [("", 1), ("", 2), ("a", 1), ("a", 2)]
+
+
 @pytest.mark.parametrize("top_k,top_p,count", [(5, None, 5), (None, 0.25, 5), (0, 0, 20), (3, 0.5, 3), (10, 0.25, 5),
                                                (None, 0.001, 1), (None, 1.0, 20), (5, 0.01, 1)])
 def test_limits(spark, top_k, top_p, count):
@@ -111,6 +134,57 @@ def test_inference_keeps_rows_and_errors(spark):
     assert pairs(summaries, "id", "summary") == [(1, "A"), (2, ""), (3, "C")]
 
 
+def counted(fail, log):
+    def fn(values):
+        with open(log, "a") as f:
+            f.write("".join(f"{v}\n" for v in values) + "--\n")
+        if any(fail(v) for v in values):
+            raise RuntimeError("no")
+        return [v.upper() for v in values]
+    return fn
+
+
+def test_a_bad_row_costs_few_calls(spark, tmp_path):
+    log = tmp_path / "calls"
+    df = spark.createDataFrame([(i, "bad" if i == 700 else f"v{i}") for i in range(1000)], "id int, p string").coalesce(1)
+    out = inference.infer(df, "p", counted(lambda v: v == "bad", log), retry=True).collect()
+    text = log.read_text()
+    assert text.count("--") <= 2 * 10 + 2
+    for r in out:
+        assert r.answer_calls == text.split("\n").count(r.p)  # as many as there were
+    assert [(r.id, r.answer_attempts) for r in out if r.answer_status == "failed"] == [(700, 2)]
+    assert all(r.answer_attempts == 1 for r in out if r.id != 700)
+
+
+def test_answers_that_are_no_text_are_errors(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c")], "id int, p string").coalesce(1)
+    out = inference.infer(df, "p", lambda vs: [{"a": 1} if v == "b" else None if v == "c" else v for v in vs])
+    assert pairs(out, "id", "answer_status") == [(1, "ok"), (2, "failed"), (3, "skipped"), (4, "ok")]
+    assert out.where("id = 2").first().answer_error == "TypeError: answer is dict, not text"
+
+
+def test_empty_summaries_are_not_sent(spark, tmp_path):
+    log = tmp_path / "calls"
+    df = spark.createDataFrame([(1, "text"), (2, ""), (3, None)], "id int, summary string").coalesce(1)
+    call = counted(lambda v: False, log)
+    out = inference.evaluated(df, lambda vs: call(vs) and ['{"score": 9}' for _ in vs])
+    got = {r.id: tuple(r.evaluation) for r in out.collect()}
+    assert got == {1: (9.0, "", False), 2: (0.0, "Empty summary", True), 3: (0.0, "Empty summary", True)}
+    assert log.read_text().count("--") == 1
+
+
+def test_refining_calls_the_first_model_once(spark, tmp_path):
+    one, two = tmp_path / "one", tmp_path / "two"
+    chunks = spark.createDataFrame([(d, c, ("x" if d % 2 else "y") * 200) for d in range(20) for c in range(5)],
+                                   "doc_id int, chunk_id int, chunk string")
+    call = counted(lambda v: False, one)
+    first = lambda vs: [v if v[0] == "x" else "weak" for v in call(vs) and vs]
+    got = refine.refined_by_models(chunks, first, counted(lambda v: False, two)).collect()
+    sent = lambda log: [x for x in log.read_text().split("\n") if x and x != "--"]
+    assert len(got) == 100 and len(sent(one)) == 100 and len(sent(two)) == 50
+    assert all((r.score >= 0.5 and r.decision == "index") == bool(r.doc_id % 2) for r in got)
+
+
 def test_wrong_number_of_answers_is_an_error(spark):
     out = inference.infer(spark.createDataFrame([("a",)], "p string"), "p", lambda vs: [])
     assert out.first().answer_status == "failed"
@@ -133,6 +207,14 @@ def test_upsert_takes_the_last_update(spark):
     assert pairs(got, "vector_id", "v") == [("a", 1), ("b", 3), ("c", 4)]
 
 
+def test_updates_without_an_order_must_agree(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "vector_id string, v int")
+    same = spark.createDataFrame([("b", 2), ("b", 2), ("c", 3)], old.schema)
+    assert pairs(index.upserted(old, same, ["vector_id"]), "vector_id", "v") == [("a", 1), ("b", 2), ("c", 3)]
+    with pytest.raises(Exception, match="need an order"):
+        index.upserted(old, same.unionByName(spark.createDataFrame([("b", 9)], old.schema)), ["vector_id"]).collect()
+
+
 def test_missing_metadata_defaults(spark):
     df = spark.createDataFrame([(0, {"vector_id": "v", "document_id": "d"}), (1, {})], "chunk_id int, metadata map<string,string>")
     got = index.vector_rows(df)
@@ -158,20 +240,69 @@ def test_versions(spark):
     assert pairs(dry.where("doc_id in (1, 4)"), "doc_id", "version", "indexed") == [(1, "v1", [0, 2, 5]), (4, "v1", [])]
 
 
-def test_bucketed_table(spark):
+def files_below(path):
+    return {p for p in Path(path).rglob("*.parquet")}
+
+
+def test_keyed_table(spark):
     path = scratch_path(spark, "t")
     rows = spark.createDataFrame([(d, f"{d}_{c}", "old") for d in range(20) for c in range(3)], "doc_id long, vector_id string, v string")
     tables.upsert(spark, path, rows, ["vector_id"], buckets=8)
-    before = {f for f in spark.read.parquet(path).inputFiles()}
+    before = files_below(path)
     tables.upsert(spark, path, spark.createDataFrame([(5, "5_1", "new"), (99, "99_0", "new")], rows.schema), ["vector_id"], buckets=8)
     got = tables.read(spark, path)
+    assert got.columns == rows.columns
     assert got.count() == 61 and pairs(got.where("v = 'new'"), "vector_id") == [("5_1",), ("99_0",)]
-    assert before & {f for f in spark.read.parquet(path).inputFiles()}  # untouched buckets keep their files
-    tables.replace(spark, path, spark.createDataFrame([(5, "5_0", "only")], rows.schema), buckets=8)
+    assert before < files_below(path)  # nothing stored is rewritten
+    tables.upsert(spark, path, rows.limit(0), ["vector_id"])
+    assert tables.read(spark, path).count() == 61
+    tables.replace(spark, path, spark.createDataFrame([(5, "5_0", "only")], rows.schema))
     assert pairs(tables.read(spark, path).where("doc_id = 5"), "vector_id", "v") == [("5_0", "only")]
+    tables.upsert(spark, path, spark.createDataFrame([(5, "5_9", "again")], rows.schema), ["vector_id"])
+    assert pairs(tables.read(spark, path).where("doc_id = 5"), "vector_id") == [("5_0",), ("5_9",)]
+    tables.delete_keys(spark, path, spark.createDataFrame([(5, "5_9")], "doc_id long, vector_id string"))
+    tables.delete_prefix(spark, path, "6_")
+    assert pairs(tables.read(spark, path).where("doc_id in (5, 6)"), "vector_id") == [("5_0",)]
     others = tables.read(spark, path).select("doc_id").where("doc_id <> 7")
-    tables.delete(spark, path, others, buckets=8)  # most buckets become empty
+    tables.delete(spark, path, others)
     assert pairs(tables.read(spark, path), "vector_id") == [("7_0",), ("7_1",), ("7_2",)]
+    tables.compact(spark, path)
+    tables.vacuum(spark, path)
+    assert pairs(tables.read(spark, path), "vector_id") == [("7_0",), ("7_1",), ("7_2",)]
+    assert all(f.parent.parent.name.startswith("base=") for f in files_below(path))
+    tables.delete(spark, path, tables.read(spark, path).select("doc_id"))
+    tables.compact(spark, path)
+    assert tables.read(spark, path).count() == 0
+
+
+def test_batches_without_a_commit_do_not_count(spark):
+    path = scratch_path(spark, "t")
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, vector_id string")
+    tables.create(rows, path, ["vector_id"], 4)
+    tables._write(spark.createDataFrame([(2, "b")], rows.schema), f"{path}/rows=1", 4, "doc_id")  # as after a lost driver
+    assert pairs(tables.read(spark, path), "doc_id") == [(1,)]
+    tables.upsert(spark, path, spark.createDataFrame([(3, "c")], rows.schema), ["vector_id"])
+    assert pairs(tables.read(spark, path), "doc_id") == [(1,), (3,)]
+
+
+def test_many_batches_are_compacted(spark, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_BATCHES", 2)
+    path = scratch_path(spark, "t")
+    schema = "doc_id long, vector_id string, v int"
+    for i in range(5):
+        tables.upsert(spark, path, spark.createDataFrame([(1, "a", i), (i, f"n{i}", i)], schema), ["vector_id"], buckets=4)
+    assert sum(map(len, tables._parts(spark, path)[1].values())) <= 2
+    assert pairs(tables.read(spark, path), "vector_id", "v") == [("a", 4), *[(f"n{i}", i) for i in range(5)]]
+
+
+def test_few_documents_read_few_buckets(spark, plan):
+    path = scratch_path(spark, "t")
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("vector_id"))
+    tables.create(rows, path, ["vector_id"], 64)
+    tables.upsert(spark, path, rows.where("doc_id < 9"), ["vector_id"])
+    ids = spark.createDataFrame([(3,), (4,)], "doc_id long")
+    some = tables.read(spark, path, ids)
+    assert "PartitionFilters: [bucket" in plan(some) and pairs(some, "doc_id") == [(3,), (4,)]
 
 
 # ---- flows ------------------------------------------------------------------------------
@@ -236,7 +367,7 @@ def test_reindex_of_an_emptied_document(spark):
 def test_reindex_survives_a_stop_between_the_writes(spark):
     paths = scratch_path(spark, "i"), scratch_path(spark, "s")
     run(spark, DOCS, paths, 1)
-    tables.delete(spark, paths[1], docs_of(spark, DOCS[:1]), 4)  # state lost, index written
+    tables.delete(spark, paths[1], docs_of(spark, DOCS[:1]))  # state lost, index written
     run(spark, DOCS, paths, 2)
     assert len(stored(spark, paths)) == 5
     assert tables.read(spark, paths[1]).count() == 5
@@ -292,6 +423,25 @@ def test_requests_use_the_cache(spark):
         (1, 0, "cached", "cache", 9), (2, 0, "c", "generated", 9), (3, 0, "d", "generated", 9)]
 
 
+def test_requests_with_acl_and_repeated_requests(spark):
+    docs = docs_of(spark, [(1, "a\n\nb", "v"), (2, "c", "v")]).withColumn("acl", F.lit("doc"))
+    cache = spark.createDataFrame([(2, 0, "cached", "team", 3)], "doc_id long, chunk_id int, summary string, acl string, ts long")
+    requests = spark.createDataFrame([(1, None, "asked"), (1, None, "asked"), (2, True, "x"), (2, True, None)],
+                                     "doc_id long, use_cache boolean, acl string")
+    got = ingest.summarize_requests(requests, docs, cache, 9, strategy="paragraph_clean")
+    assert pairs(got, "doc_id", "chunk_id", "summary", "source", "acl") == [
+        (1, 0, "a", "generated", "asked"), (1, 1, "b", "generated", "asked"), (2, 0, "cached", "cache", "team")]
+    plain = ingest.summarize_requests(requests.withColumn("acl", F.lit(None).cast("string")), docs, cache, 9, strategy="paragraph_clean")
+    assert {r.acl for r in plain.where("doc_id = 1").collect()} == {"doc"}
+
+
+def test_keywords_only_for_documents_to_index(spark, plan):
+    docs = docs_of(spark, DOCS)
+    state = spark.createDataFrame([(1, "v1", 0, "stale")], STATE)
+    text = plan(reindex.to_index(docs, state, "hash", strategy="paragraph_clean"))
+    assert text.index("LeftSemi") < text.index("regexp_extract_all") or "LeftSemi" in text.split("regexp_extract_all")[-1]
+
+
 def test_documents_from_chunks(spark):
     rows = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (1, 2, ""), (2, 0, "")], "doc_id int, chunk_id int, summary string")
     assert pairs(assembly.document_summaries(rows), "doc_id", "chunks", "summary") == [(1, 3, "a\n\nb"), (2, 1, "")]

@@ -37,7 +37,7 @@ def asked(spark):
 def exact(x, q, k, keep=None):
     out = set()
     for qi, v in enumerate(q):
-        d = np.round(((x - v) ** 2).sum(1), 6)
+        d = VS.exact_distances(np.broadcast_to(v, x.shape), x)
         ids = [i for i in range(len(x)) if keep is None or keep(i)]
         for rank, i in enumerate(sorted(ids, key=lambda i: (d[i], i))[:k], 1):
             out.add((qi, i, round(float(d[i]), 6), rank))
@@ -53,7 +53,8 @@ def test_exact_search(vectors, asked):
     for k in (1, 5, 120):
         want = exact(x, q, k)
         assert rows(VS.vector_top_k(df, queries, k)) == want
-        assert rows(VS.vector_top_k(df, queries, k, block_rows=5, cell_rows=40)) == want  # grouped form
+        assert rows(VS.vector_top_k(df, queries, k, block_rows=5)) == want  # many blocks
+        assert rows(VS.vector_top_k(df, queries, k, block_bytes=300)) == want
 
 
 def test_fewer_rows_than_k(vectors, asked):
@@ -87,10 +88,39 @@ def test_dimensions_must_agree(spark, asked):
         VS.vector_top_k(bad, asked[0], 1).collect()
 
 
-def test_search_plan_has_no_cross_join(vectors, asked, plan):
-    text = plan(VS.vector_top_k(vectors[0], asked[0], 5))
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
-    assert text.count("WindowGroupLimit") == 2  # limited before and after the only shuffle
+def test_search_plan_moves_no_vectors(vectors, asked, plan):
+    for blocks in (100, 5):
+        text = plan(VS.vector_top_k(vectors[0], asked[0], 5, block_rows=blocks))
+        assert "CartesianProduct" not in text and "NestedLoop" not in text and "Generate" not in text
+        assert text.count("WindowGroupLimit") == 2  # limited before and after the only shuffle of hits
+        assert text.count("hashpartitioning(") == 1 and "embedding" not in text.split("hashpartitioning(")[0]
+
+
+@pytest.mark.parametrize("scale,shift", [(1e-4, 0.0), (1.0, 1e6), (1e6, 0.0), (3e-5, 1.0)])
+def test_small_large_and_near_vectors(spark, scale, shift):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(200, DIM)) * scale + shift
+    x[10:20] = x[3]  # ties go by id
+    q = x[[3, 50, 199]]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    asks = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(q)], "qid long, embedding array<double>")
+    got = {}
+    for r in VS.vector_top_k(df, asks, 12).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = (r.vec_id, r.distance)
+    for i, v in enumerate(q):
+        d = VS.exact_distances(np.broadcast_to(v, x.shape), x)
+        want = sorted(range(200), key=lambda j: (d[j], j))[:12]
+        assert [got[i][n] for n in range(1, 13)] == [(j, d[j]) for j in want]
+    assert got[1][1][0] == 50 and got[2][1][0] == 199
+
+
+def test_distances_are_within_the_slack():
+    rng = np.random.default_rng(2)
+    for scale, shift in ((1.0, 0.0), (1e-9, 1.0), (1.0, 1e8)):
+        q, x = rng.normal(size=(20, 64)) * scale + shift, rng.normal(size=(300, 64)) * scale + shift
+        fast, slack = VS.squared_distances(q, x), VS.distance_slack(q, x)
+        exact_ = np.array([VS.exact_distances(np.broadcast_to(v, x.shape), x) for v in q])
+        assert (np.abs(fast - exact_) <= slack).all()
 
 
 def test_inverted_lists(vectors, asked):
@@ -100,13 +130,13 @@ def test_inverted_lists(vectors, asked):
     assigned = VS.assign_lists(df, lists)
     centres = {r.list_id: np.array(r.embedding) for r in lists.collect()}
     for r in assigned.collect():
-        d = {i: round(float(((np.array(r.embedding) - c) ** 2).sum()), 6) for i, c in centres.items()}
+        d = {i: float(VS.exact_distances(np.array([r.embedding]), c[None])[0]) for i, c in centres.items()}
         assert r.list_id == min(d, key=lambda i: (d[i], i))
     every = exact(x, q, 5)
     assert rows(VS.probe_top_k(assigned, lists, queries, 5, nprobe=6)) == every
-    assert rows(VS.probe_top_k(assigned, lists, queries, 5, nprobe=6, block_rows=4, cell_rows=17)) == every
+    assert rows(VS.probe_top_k(assigned, lists, queries, 5, nprobe=6, block_rows=4)) == every
     two = VS.probe_top_k(assigned, lists, queries, 5, nprobe=2)
-    assert rows(two) == rows(VS.probe_top_k(assigned, lists, queries, 5, nprobe=2, block_rows=4, cell_rows=17))
+    assert rows(two) == rows(VS.probe_top_k(assigned, lists, queries, 5, nprobe=2, block_rows=4))
     report = VS.recall(two, VS.vector_top_k(df, queries, 5)).first()
     assert report.hits == 115 and 0 < report.recall <= 1
 
@@ -123,15 +153,22 @@ def test_probing_reads_only_the_probed_lists(spark, vectors, asked, plan):
                                               lists, one, 5, nprobe=2))
 
 
-def test_many_lists_are_assigned_by_search(vectors, asked, monkeypatch):
+def test_many_lists_come_in_blocks(vectors, asked, plan):
     (df, _), (queries, q) = vectors, asked
     lists = queries.select(F.col("qid").cast("int").alias("list_id"), "embedding")
-    df = df.where("embedding is not null")
-    few = VS.with_lists(df, lists, 3).select("vec_id", "lists").collect()
-    monkeypatch.setattr(VS, "CENTROID_ROWS", 2)
-    many = VS.with_lists(df, lists, 3).select("vec_id", "lists").collect()
-    shape = lambda rs: {r.vec_id: [(round(x.distance, 6), x.list_id) for x in r.lists] for r in rs}
-    assert shape(few) == shape(many)
+    few = VS.with_lists(df, lists, 3)
+    many = VS.with_lists(df, lists, 3, block_rows=4)
+    shape = lambda rs: {r.vec_id: [(x.distance, x.list_id) for x in r.lists] for r in rs.collect()}
+    assert shape(few) == shape(many) and shape(few)[900] == []  # no vector, no list
+    assert "Exchange" not in plan(many)
+    assigned = VS.assign_lists(df, lists).where("vec_id = 900").first()
+    assert assigned.list_id is None and assigned.list_distance is None
+
+
+def test_a_row_without_a_vector_is_not_found(vectors, asked):
+    (df, x), (queries, q) = vectors, asked
+    lists = VS.train_lists(df.where("embedding is not null"), 6)
+    assert rows(VS.probe_top_k(VS.assign_lists(df, lists), lists, queries, 5, nprobe=6)) == exact(x, q, 5)
 
 
 def cos(a, b):
@@ -150,7 +187,7 @@ def test_mmr(vectors, asked):
         while len(taken) < 4:
             def value(i):
                 near = max((cos(x[i], x[j]) for j in taken), default=0.0)
-                return round(0.5 * cos(x[i], v) - 0.5 * near, 6)
+                return round(0.5 * cos(x[i], v) - 0.5 * near, 9)  # copies of a vector tie
             left = [i for i in pool if i not in taken]
             taken.append(max(left, key=lambda i: (value(i), -pool.index(i))))
         assert [got[qi][n] for n in range(1, 5)] == taken
@@ -185,19 +222,53 @@ def library(spark):
     return docs, spark.createDataFrame(list(ASKS.items()), "qid long, text string")
 
 
-def test_bm25(library, monkeypatch):
+@pytest.fixture(scope="module")
+def stored(spark, library):
+    path = scratch_path(spark, "keywords")
+    KS.write_index(library[0], path, partitions=4)
+    return path
+
+
+def test_bm25(spark, library, stored):
     docs, asks = library
-    index = KS.tokenised(docs)
-    assert rows(KS.bm25_top_k(index, asks, 7)) == bm25(7)
-    assert rows(KS.bm25_top_k(index, asks, 7, block_rows=2, cell_rows=5)) == bm25(7)
-    monkeypatch.setattr(KS, "VOCABULARY_ROWS", 1)
-    assert rows(KS.bm25_top_k(index, asks, 7)) == bm25(7)
+    assert rows(KS.bm25_top_k(spark, stored, asks, 7)) == bm25(7)
+    assert rows(KS.bm25_top_k(spark, stored, asks, 7, block_rows=2)) == bm25(7)
+    one = KS.bm25_top_k(spark, stored, asks.where("qid = 0"), 7)
+    assert rows(one) == {r for r in bm25(7) if r[0] == 0}
+
+
+def test_bm25_reads_only_asked_partitions_and_no_text(spark, library, stored, plan):
+    one = KS.asked_index(spark, stored, library[1].where("qid = 1"))[0]
+    text = plan(one)
+    assert re.search(r"PartitionFilters: \[[^\]]*part#", text) and "text:" not in text
+    assert {r.term for r in one.select("term").distinct().collect()} == {"the"}
+
+
+def test_bm25_index(spark, library, stored):
+    found = {r.term: r.df for r in KS.terms_of(spark, stored).collect()}
+    assert found == dict(Counter(w for t in DOCS.values() for w in set(re.findall(r"\w+", t.lower()))))
+    postings = spark.read.parquet(f"{stored}/postings").where("term <> ''").collect()
+    assert {(r.term, r.doc_id): (r.tf, r.length) for r in postings} == {
+        (w, d): (n, len(re.findall(r"\w+", t))) for d, t in DOCS.items() for w, n in Counter(re.findall(r"\w+", t.lower())).items()}
 
 
-def test_bm25_without_matches(library):
+def test_bm25_without_matches(spark, library, stored):
     docs, asks = library
-    assert rows(KS.bm25_top_k(KS.tokenised(docs), asks.where("qid = 2"), 3)) == set()
-    assert rows(KS.bm25_top_k(KS.tokenised(docs.where("doc_id < 0")), asks, 3)) == set()
+    assert rows(KS.bm25_top_k(spark, stored, asks.where("qid = 2"), 3)) == set()
+    path = scratch_path(spark, "keywords")
+    KS.write_index(docs.where("doc_id < 0"), path, partitions=4)
+    assert rows(KS.bm25_top_k(spark, path, asks, 3)) == set()
+
+
+def test_equal_documents_tie_by_id(spark):
+    """Scores of copies are equal wherever they stand, so ranks do not depend on the order of sums."""
+    text = " ".join(f"w{i % 37} x{i % 11}" for i in range(400))
+    docs = spark.createDataFrame([(i, text if i % 2 else f"{text} {i}") for i in range(200)], "doc_id long, text string")
+    path = scratch_path(spark, "keywords")
+    KS.write_index(docs.repartition(7), path, partitions=4)
+    asks = spark.createDataFrame([(0, text)], "qid long, text string")
+    got = KS.bm25_top_k(spark, path, asks, 50).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == list(range(1, 101, 2)) and len({r.score for r in got}) == 1
 
 
 def test_fusion(spark):
@@ -225,17 +296,24 @@ def test_chunk_filters(spark):
     assert ids(filters.of_documents(df, ["d1"])) == ["d1_chunk_0", "d1_chunk_1"]
 
 
-def test_many_keyword_queries(spark):
-    df = spark.createDataFrame(CHUNKS, CHUNK_SCHEMA)
-    asks = [(0, "red", None, 0, 0), (1, "FOX", "public", 50, None), (2, "", "team", None, None),
-            (3, "zzz", None, None, None), (4, "a", "", 0, 150), (5, None, "public", 0, 0)]
-    queries = spark.createDataFrame(asks, "qid int, keyword string, acl string, min_time long, max_time long")
-    want = {(a[0], r.vector_id) for a in asks for r in filters.matching(df, *a[1:]).collect()}
-    pairs = lambda d: {(r.qid, r.vector_id) for r in d.collect()}
-    one = filters.matching_queries(df, queries)
-    assert pairs(one) == want and one.count() == len(want)
-    many = filters.matching_queries(df, queries, block_rows=2, cell_rows=2)
-    assert pairs(many) == want and many.count() == len(want)
+KEYWORD_ASKS = [(0, "red", None, 0, 0), (1, "FOX", "public", 50, None), (2, "", "team", None, None),
+                (3, "zzz", None, None, None), (4, "a", "", 0, 150), (5, None, "public", 0, 0)]
+ASK_SCHEMA = "qid int, keyword string, acl string, min_time long, max_time long"
+
+
+@pytest.mark.parametrize("options", [{}, {"block_rows": 2}, {"block_bytes": 60}])
+def test_many_keyword_queries(spark, plan, options):
+    df = spark.createDataFrame(CHUNKS, CHUNK_SCHEMA).repartition(3)
+    queries = spark.createDataFrame(KEYWORD_ASKS, ASK_SCHEMA)
+    want = {(a[0], r.vector_id) for a in KEYWORD_ASKS for r in filters.matching(df, *a[1:]).collect()}
+    found = filters.matching_queries(df, queries, carry=("vector_id",), **options)
+    assert {(r.qid, r.vector_id) for r in found.collect()} == want and found.count() == len(want)
+    assert "hashpartitioning" not in plan(found)  # no text is moved to meet a query
+    first = filters.matching_queries(df.coalesce(1), queries, carry=("vector_id",), k=1, **options).collect()
+    order = {(a, min((r.doc_id, r.chunk_id) for r in filters.matching(df, *b).collect()))
+             for a, *b in KEYWORD_ASKS if any(a == w[0] for w in want)}
+    assert {(r.qid, (r.doc_id, r.chunk_id)) for r in first} == order
+    assert {(r.qid, r.matched) for r in first} == set(Counter(a for a, _ in want).items())
 
 
 def test_dispatch(spark):
@@ -255,9 +333,35 @@ def test_dispatch(spark):
     assert half.where("qid = 0").count() == 1 and half.where("qid = 3").count() == 2
 
 
-def test_size_check(spark):
-    df = spark.range(10).withColumn("t", F.repeat(F.lit("x"), 100))
-    assert topk.small_enough(df, 10) and not topk.small_enough(df, 9) and not topk.small_enough(df, 10, 500)
+def test_dispatch_without_limits(spark):
+    df = spark.createDataFrame([(*c, [float(i), 1.0]) for i, c in enumerate(CHUNKS)], CHUNK_SCHEMA + ", embedding array<double>")
+    asks = spark.createDataFrame([(0, "red", None, None, None, None), (3, None, None, None, None, [1.0, 0.0]),
+                                  (4, None, "public", None, None, [1.0, 0.0])],
+                                 ASK_SCHEMA + ", embedding array<double>")
+    for none in (0, None):
+        got = answer.dispatch(df, asks, none)
+        counts = {r.qid: r["count"] for r in got.groupBy("qid").count().collect()}
+        assert counts == {0: 3, 3: 5, 4: 3}
+        ranks = sorted(r["rank"] for r in got.where("qid = 3").collect())
+        assert ranks == [1, 2, 3, 4, 5]
+        assert answer.dispatch(df, asks, none, 0.5).where("qid = 3").count() == 2
+    assert answer.dispatch(df, asks.where("qid = 0"), 0).count() == 3  # no request carries a vector
+
+
+def test_questions_without_hits_keep_a_prompt(spark):
+    asks = spark.createDataFrame([(1, "first?"), (2, "second?")], "qid int, text string")
+    hits = spark.createDataFrame([(1, 7, 1)], "qid int, doc_id int, rank int")
+    texts = spark.createDataFrame([(7, "passage")], "doc_id int, chunk string")
+    got = {r.qid: (r.passages, r.prompt) for r in answer.prompts_for(asks, hits, texts, ["doc_id"]).collect()}
+    assert got[1][0] == 1 and "passage" in got[1][1] and got[2][0] == 0 and got[2][1].endswith("Question: second?")
+
+
+def test_blocks_are_bounded(spark):
+    df = spark.range(100).withColumn("t", F.repeat(F.lit("x"), 100))
+    for options in ({"rows": 10}, {"limit_bytes": 1500}):
+        sizes = [b.num_rows for b in topk.blocks_of(df, "id", **options)]
+        assert sum(sizes) == 100 and len(sizes) >= 8 and max(sizes) < 30
+    assert [b.num_rows for b in topk.blocks_of(df, "id")] == [100]
 
 
 def test_drift(spark):

@@ -78,6 +78,65 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     assert tables.read_batches(spark, paths[1], "doc_id").count() == 4
 
 
+def test_a_document_that_fails_the_gate_later_leaves_the_index(spark, tmp_path):
+    paths, checkpoint = [scratch_path(spark, n) for n in ("i", "s", "a")], scratch_path(spark, "c")
+
+    def feed(name, rows):
+        pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / f"documents-{name}.parquet")
+        source = stream.table_stream(spark, str(tmp_path), "documents", "doc_id long, text string")
+        stream.start(source, *paths, checkpoint, min_chars=5, strategy="paragraph_clean").awaitTermination()
+        rows = tables.read_batches(spark, paths[0], "doc_id").collect()
+        return sorted(r.vector_id for r in rows), {r.ts for r in rows}
+
+    first, times = feed("1", [(1, "long enough"), (2, "also long enough")])
+    assert first == ["1_chunk_0", "2_chunk_0"] and min(times) > 1_700_000_000  # the time of the batch
+    assert feed("2", [(1, "no")])[0] == ["2_chunk_0"]
+    assert {r.doc_id for r in tables.read_batches(spark, paths[1], "doc_id").collect()} == {2}
+
+
+def test_trigger_can_be_chosen(spark, tmp_path):
+    docs(2).to_parquet(tmp_path / "documents-1.parquet")
+    source = stream.table_stream(spark, str(tmp_path), "documents", "doc_id long, text string")
+    paths = [scratch_path(spark, n) for n in ("i", "s", "a", "c")]
+    run = stream.start(source, *paths, 1, {"processingTime": "1 second"}, min_chars=None)
+    try:
+        run.processAllAvailable()
+        assert run.isActive and tables.read_batches(spark, paths[0], "doc_id").count() > 0
+    finally:
+        run.stop()
+
+
+def test_memory_of_named_sessions(spark, tmp_path):
+    path, checkpoint = scratch_path(spark, "m"), scratch_path(spark, "c")
+    pd.DataFrame([("s1", i, "user", f"m{i}") for i in range(4)] + [("s2", 0, "user", "x")],
+                 columns=["session_id", "seq", "role", "content"]).to_parquet(tmp_path / "a.parquet")
+    source = spark.readStream.schema("session_id string, seq long, role string, content string").parquet(str(tmp_path))
+    with memory.rocksdb(spark):
+        memory.start_memory(source, path, checkpoint, 2).awaitTermination()
+    got = tables.read_batches(spark, path, "session_id").collect()
+    assert sorted((r.session_id, r.position, r.content) for r in got) == [("s1", 1, "m2"), ("s1", 2, "m3"), ("s2", 1, "x")]
+
+
+def test_the_shared_folder_is_required(spark, monkeypatch):
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, name, default=None):
+            return self.value
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+    for value, message in ((None, "is not set"), ("file:///tmp/x", "on one machine")):
+        Session.conf = Conf(value)
+        with pytest.raises(ValueError, match=message):
+            scratch_path(Session, "x")
+
+
 def test_text_stream(spark, tmp_path):
     (tmp_path / "d1.txt").write_text("line one\n\nline two", encoding="utf-8")
     paths = [scratch_path(spark, n) for n in ("i", "s", "a", "c")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,8 +54,8 @@ def matching_queries(chunks: DataFrame, queries: DataFrame, order: tuple[str, ..
     With `k` a task gives at least the first k hits per query in the given order, without it
     all of them. `matched` adds up to the number of all hits of a query, however many are given.
 
-    Queries are broadcast in blocks of a bounded size. A kernel looks for every distinct keyword
-    of the block once per batch; a frequent keyword costs k rows per task, and no text moves.
+    Queries are broadcast in blocks of a bounded size. A kernel looks for all keywords of the block
+    in one pass over a text; a frequent keyword costs k rows per task, and no text moves.
     """
     asks = queries.select(
         "qid", F.lower(F.coalesce("keyword", F.lit(""))).alias("keyword"), F.coalesce("acl", F.lit("")).alias("acl"),
@@ -83,14 +84,32 @@ def _find(block, order: list[str], kept: list[str], k: int | None, names: list[s
             by_keyword.setdefault(keyword, []).append((q, *bounds))
         return by_keyword
 
-    def hits(batch: pa.RecordBatch, by_keyword: dict[str, list[tuple]]):
+    def searcher(keywords: list[str]):
+        """All keywords in one pass over a text (Aho & Corasick 1975)."""
+        machine = ahocorasick.Automaton()
+        for i, keyword in enumerate(keywords):
+            if keyword:
+                machine.add_word(keyword, i)
+        machine.make_automaton()
+
+        def rows_by_keyword(texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+            found: list[list[int]] = [[] for _ in keywords]
+            if len(machine):
+                for row, text in enumerate(texts):
+                    for i in {i for _, i in machine.iter(text)}:
+                        found[i].append(row)
+            for keyword, rows in zip(keywords, found):
+                yield keyword, np.array(rows, np.int64) if keyword else np.arange(len(texts))
+
+        return rows_by_keyword
+
+    def hits(batch: pa.RecordBatch, by_keyword: dict[str, list[tuple]], rows_by_keyword):
         """(query, rows) of every query with a hit in the batch."""
-        low, ts = batch.column("low"), batch.column("ts").to_numpy()
+        ts = batch.column("ts").to_numpy()
         groups = batch.column("acl").dictionary_encode()
         group, number = groups.indices.to_numpy(), {a: i for i, a in enumerate(groups.dictionary.to_pylist())}
-        for keyword, asks in by_keyword.items():
-            found = np.flatnonzero(pc.match_substring(low, keyword).to_numpy(zero_copy_only=False))
-            for q, acl, least, most in asks if len(found) else ():
+        for keyword, found in rows_by_keyword(batch.column("low").to_pylist()):
+            for q, acl, least, most in by_keyword[keyword] if len(found) else ():
                 own = found
                 if acl:
                     own = own[group[own] == number.get(acl, -1)]
@@ -104,6 +123,7 @@ def _find(block, order: list[str], kept: list[str], k: int | None, names: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = block.value
         by_keyword = asked(table)
+        rows_by_keyword = searcher(list(by_keyword))
         total, held = np.zeros(table.num_rows, np.int64), None
 
         def given(rows: pa.Table, matched: np.ndarray) -> list[pa.RecordBatch]:
@@ -111,7 +131,7 @@ def _find(block, order: list[str], kept: list[str], k: int | None, names: list[s
             return rows.select(names).to_batches()
 
         for batch in batches:
-            found = list(hits(batch, by_keyword))
+            found = list(hits(batch, by_keyword, rows_by_keyword))
             if not found:
                 continue
             row = batch.column("row")

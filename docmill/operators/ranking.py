@@ -9,6 +9,7 @@ from docmill.operators.topk import ranked
 from docmill.session import checkpointed, staged
 
 LAST_MESSAGES = 20
+ONE_TASK_ROWS = 100_000  # as many first rows one task may sort; more are numbered by ranges
 
 
 def ordinals(df: DataFrame, group: list[str], order: list[str], out: str = "rank") -> DataFrame:
@@ -60,24 +61,25 @@ def limited(hits: DataFrame, order: list[str], top_k: int | None = 5, top_p: flo
     """
     if not top_k and not top_p:
         return hits
+    count = F.count(F.lit(1)) if matched is None else F.sum(matched)
     if top_p:
         hits = staged(hits, "hits")
     if top_k and group is not None:
         kept = ranked(hits, group, [F.col(c) for c in order], top_k)
-    elif top_k:  # sorted by ranges: no task holds more than its part of the first top_k
-        kept = ordinals(hits.orderBy(*order).limit(top_k), [], order).withColumn("rank", F.col("rank").cast("int"))
+    elif top_k and top_k <= ONE_TASK_ROWS:
+        kept = hits.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     else:
         kept = ordinals(hits, [group] if group else [], order)
+        kept = kept.where(F.col("rank") <= top_k) if top_k else kept
     if not top_p:
         return kept
-    amount = F.count(F.lit(1)) if matched is None else F.sum(matched)
 
     def share(n: Column) -> Column:
         return F.greatest(F.floor(n * F.lit(float(top_p))), F.lit(1))
 
     if group is None:
-        return kept.where(F.col("rank") <= share(hits.agg(amount).scalar()))
-    total = hits.groupBy(F.col(group).alias("_group")).agg(amount.alias("_n"))
+        return kept.where(F.col("rank") <= share(hits.agg(count).scalar()))
+    total = hits.groupBy(F.col(group).alias("_group")).agg(count.alias("_n"))
     return kept.join(total, F.col(group).eqNullSafe(F.col("_group"))).where(
         F.col("rank") <= share(F.col("_n"))).drop("_n", "_group")
 

@@ -101,12 +101,13 @@ def best_rows(kernel: Kernel, block: pa.Table, parts: Iterator[pa.Table], id_col
 def blocks_of(df: DataFrame, key: str, rows: int = BLOCK_ROWS, limit_bytes: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """A table in blocks of about `rows` rows and `limit_bytes` bytes, one of them at a time on the driver.
 
-    The table is staged, so it is computed once, and measured before anything is collected.
+    It is measured before anything is collected; a table of several blocks is staged, so that its
+    rows are not computed again for every block.
     """
-    df = staged(df, "blocks")
     weight = F.coalesce(F.length(F.to_json(F.struct(*df.columns))), F.lit(0))
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
     count = max(1, -(-n // rows), -(-size // limit_bytes))
+    df = staged(df, "blocks") if count > 1 else df
     for block in range(count):
         own = df if count == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(count)) == block)
         yield own.toArrow()

@@ -62,9 +62,11 @@ def test_limits_by_group_with_counts(spark):
 
 @pytest.mark.parametrize("top_k,top_p,count", [(5, None, 5), (None, 0.25, 5), (0, 0, 20), (3, 0.5, 3), (10, 0.25, 5),
                                                (None, 0.001, 1), (None, 1.0, 20), (5, 0.01, 1)])
-def test_limits(spark, top_k, top_p, count):
-    got = ranking.limited(spark.range(20).repartition(3), ["id"], top_k, top_p)
-    assert sorted(r.id for r in got.collect()) == list(range(count))
+def test_limits(spark, monkeypatch, top_k, top_p, count):
+    for rows in (ranking.ONE_TASK_ROWS, 2):  # the second is numbered by ranges
+        monkeypatch.setattr(ranking, "ONE_TASK_ROWS", rows)
+        got = ranking.limited(spark.range(20).repartition(3), ["id"], top_k, top_p)
+        assert sorted(r.id for r in got.collect()) == list(range(count))
 
 
 def test_last_messages(spark, plan):

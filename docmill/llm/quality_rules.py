@@ -6,8 +6,9 @@ target. A document scores the mean log ratio of target to raw over its n-grams,
 does not matter. Documents that fail the base rules, or score below the threshold, are rejected.
 
 The target counts one half of the trusted documents, by a hash of their id. The threshold is the
-`QUANTILE` of the scores of the other half, which the target has not seen, read from a histogram of
-fixed bins: the same data give the same threshold in any order. Counting adds up a bounded table
+`QUANTILE` of the scores of the other half, which the target has not seen and which pass the base
+rules, so that about one good document in a thousand is lost. It is read from a histogram of fixed
+bins: the same data give the same threshold in any order. Counting adds up a bounded table
 per task; the corpus is read once to count and once to score.
 
 Defined results: null, empty and wordless texts have no words, fail the base rules and score 0.
@@ -31,7 +32,7 @@ from docmill.session import staged
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-QUANTILE = 0.005
+QUANTILE = 0.001
 BIN = 0.001
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -134,7 +135,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray | None:
 def threshold(scores: DataFrame, trusted: DataFrame, quantile: float) -> float:
     """The lower edge of the bin that holds the quantile of the trusted scores the target has not seen."""
     unseen = scores.join(trusted.where("half = 1").select("doc_id"), "doc_id", "left_semi")
-    bins = unseen.where("n_words > 0").groupBy(F.floor(F.col("llr") / BIN).alias("bin")).agg(
+    bins = unseen.where("NOT base_failed").groupBy(F.floor(F.col("llr") / BIN).alias("bin")).agg(
         F.count("*").alias("n")).orderBy("bin").collect()  # scores of a bounded range in bins of one width
     before, total = 0, sum(b["n"] for b in bins)
     for b in bins:
@@ -150,10 +151,10 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     trusted = staged(trusted_ids(labels), "trusted")
     ratios = log_ratios(docs, trusted)
     scores = docs.mapInArrow(scorer(np.zeros(BUCKETS) if ratios is None else ratios), MEASURES)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
+    scores = scores.withColumn("base_failed", failed)
     least = -np.inf
     if ratios is not None:
         scores = staged(scores, "scores")
         least = threshold(scores, trusted, quantile)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
-    return scores.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(float(least))))
+    return scores.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(float(least))))

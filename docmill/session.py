@@ -1,13 +1,14 @@
-"""Session helpers: a local session for tests, shared scratch space, input balance."""
+"""Session helpers: a local session for tests, shared scratch space."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -47,9 +48,31 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+WORKSPACES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder (never reused, so a rerun cannot collide)."""
-    return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    root = scratch_root(spark).rstrip("/")
+    folder = WORKSPACES[-1] if WORKSPACES else spark.sparkContext.applicationId
+    return f"{root}/{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Owns the tables staged inside it and drops them at its end; results are written before that.
+
+    Tables staged outside belong to the application: they are below a folder of its id.
+    """
+    name = f"workspace-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/{name}"
+    WORKSPACES.append(name)
+    try:
+        yield path
+    finally:
+        WORKSPACES.remove(name)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -67,16 +90,3 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def balanced(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input that has fewer splits than cores, such as a one-row-group file.
-
-    Inputs with enough splits pass through untouched, so large tables are not shuffled. The
-    always-true partition test keeps Catalyst from moving costly filters below the exchange,
-    back into the few tasks of the scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key).where(F.spark_partition_id() >= 0)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.functions.text import BLANK_LINE
-from docmill.session import scratch_path
+from docmill.session import scratch_path, staged, workspace
 from docmill.sources import documents as sources, tables
 from docmill.streaming import ingest as stream, memory
 
@@ -137,6 +137,15 @@ def test_the_shared_folder_is_required(spark, monkeypatch):
             scratch_path(Session, "x")
 
 
+def test_a_workspace_drops_what_was_staged_in_it(spark):
+    kept = staged(spark.range(3), "kept")
+    with workspace(spark) as path:
+        inside = staged(spark.range(5), "inside")
+        assert tables.exists(spark, path) and path.rsplit("/", 1)[1] in inside.inputFiles()[0]
+        assert inside.count() == 5
+    assert not tables.exists(spark, path) and kept.count() == 3
+
+
 def test_text_stream(spark, tmp_path):
     (tmp_path / "d1.txt").write_text("line one\n\nline two", encoding="utf-8")
     paths = [scratch_path(spark, n) for n in ("i", "s", "a", "c")]

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,51 +124,73 @@ def overlapping(text: Column, size: int = OVERLAP_CHARS, overlap: int = OVERLAP)
                        lambda i: F.substring(text, i * stride + 1, F.lit(size)))
 
 
-def _split_keeping(text: str, sep: str) -> list[str]:
-    """Split so that every separator stays at the head of the piece after it."""
+def _split_keeping(text: Column, sep: str) -> Column:
+    """Non-empty pieces; every separator stays at the head of the piece after it. No separator: characters."""
     if sep == "":
-        return list(text)
-    head, *rest = text.split(sep)
-    return [p for p in [head, *(sep + r for r in rest)] if p]
-
-
-def _windows(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Join neighbouring pieces up to `size`, carrying at most `overlap` characters over."""
-    out, first, held = [], 0, 0
-    for i, piece in enumerate(pieces):
-        if held + len(piece) > size and i > first:
-            out.append("".join(pieces[first:i]).strip())
-            while held > overlap or (held > 0 and held + len(piece) > size):
-                held -= len(pieces[first])
-                first += 1
-        held += len(piece)
-    out.append("".join(pieces[first:]).strip())
-    return [c for c in out if c]
-
-
-def split_by_separators(text: str, size: int, overlap: int, separators=SEPARATORS) -> list[str]:
-    """Split on the first separator present; pieces still too long go on to the next ones."""
-    at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
-    finer = separators[at + 1:]
-    out, short = [], []
-    for piece in _split_keeping(text, separators[at]):
-        if len(piece) < size:
-            short.append(piece)
-            continue
-        if short:
-            out += _windows(short, size, overlap)
-            short = []
-        out += split_by_separators(piece, size, overlap, finer) if finer else [piece]
-    return out + (_windows(short, size, overlap) if short else [])
-
-
-def separator_aware(text: Column, size: int = OVERLAP_CHARS, overlap: int = OVERLAP) -> Column:
-    """Overlapping chunks that prefer to break at the coarsest separator (Arrow batches)."""
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else split_by_separators(t, size, overlap) for t in texts], dtype=object)
-
-    return split(text)
+        return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return non_empty(F.transform(literal_split(text, sep), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(sep), p))))
+
+
+def _windows(sizes: Column, size: int, overlap: int) -> Column:
+    """(from, to) ranges of neighbouring pieces of one group that fit `size`, for (length, group) pairs.
+
+    A window begins with the last pieces of the one before it, as many as fit `overlap` and
+    leave room for the next piece.
+    """
+    def carried(acc: Column, need: Column) -> Column:
+        last = F.reverse(F.slice(sizes, acc["first"] + 1, acc["at"] - acc["first"]))
+        zero = F.struct(F.lit(0).alias("held"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+        def keep(k: Column, x: Column) -> Column:
+            held = k["held"] + x["n"]
+            fits = k["open"] & (held <= overlap) & (held + need <= size)
+            return F.when(fits, F.struct(held.alias("held"), (k["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(
+                F.struct(k["held"].alias("held"), k["n"].alias("n"), F.lit(False).alias("open")))
+        return F.aggregate(last, zero, keep)
+
+    def state(out: Column, first: Column, held: Column, at: Column, group: Column) -> Column:
+        return F.struct(out.alias("out"), first.alias("first"), held.alias("held"), (at + 1).alias("at"), group.alias("g"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"]
+        done = F.concat(acc["out"], F.array(F.struct(acc["first"].alias("a"), at.alias("b"))))
+        return (F.when((at > 0) & (x["g"] != acc["g"]), state(done, at, x["n"], at, x["g"]))
+                .when((acc["held"] + x["n"] > size) & (at > acc["first"]), let(carried(acc, x["n"]), lambda k: state(
+                    done, at - k["n"], k["held"] + x["n"], at, x["g"])))
+                .otherwise(state(acc["out"], acc["first"], acc["held"] + x["n"], at, x["g"])))
+
+    zero = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("out"), F.lit(0).alias("first"),
+                    F.lit(0).alias("held"), F.lit(0).alias("at"), F.lit("").alias("g"))
+    return F.aggregate(sizes, zero, step, lambda acc: F.concat(acc["out"], F.when(acc["at"] > acc["first"], F.array(
+        F.struct(acc["first"].alias("a"), acc["at"].alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))))
+
+
+def separator_aware(text: Column, size: int = OVERLAP_CHARS, overlap: int = OVERLAP, separators=SEPARATORS) -> Column:
+    """Overlapping chunks that prefer to break at the coarsest separator.
+
+    Pieces that are too long are split at the next separator, level by level. The pieces of one
+    split are joined up to `size`, with up to `overlap` characters carried over; a piece that was
+    split further stands apart from its neighbours.
+    """
+    def splitter(level: int, sep: str) -> Callable[[Column, Column], Column]:
+        def split(x: Column, i: Column) -> Column:
+            group = F.concat(x["g"], F.lit(f"/{level}:"), i.cast("string"))
+            return F.when(F.length(x["p"]) < size, F.array(x)).otherwise(
+                F.transform(_split_keeping(x["p"], sep), lambda p: F.struct(p.alias("p"), group.alias("g"))))
+        return split
+
+    pieces = F.array(F.struct(text.alias("p"), F.lit("").alias("g")))
+    for level, sep in enumerate(separators):
+        pieces = F.flatten(F.transform(pieces, splitter(level, sep)))
+    pieces = F.filter(pieces, lambda x: x["p"] != "")
+
+    def cut(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda x: F.struct(F.length(x["p"]).alias("n"), x["g"].alias("g")))
+        ranges = let(sizes, lambda own: _windows(own, size, overlap))
+        return non_empty(F.transform(ranges, lambda r: strip(F.array_join(F.transform(
+            F.slice(parts, r["a"] + 1, r["b"] - r["a"]), lambda x: x["p"]), ""))))
+
+    return F.when(text.isNotNull(), let(pieces, cut))
 
 
 STRATEGIES: dict[str, Callable[..., Column]] = {

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docmill.functions.text import words
-from docmill.operators.chunking import chunk
+from docmill.operators.chunking import OVERLAP, OVERLAP_CHARS, SEPARATORS, chunk
 from docmill.workload.fixtures import (NL, SQL_SENTENCES, SQL_STRIP, SQL_WORDS, documents, rows_of)
 from docmill.workload.registry import query
 
@@ -96,6 +96,37 @@ def chunk_overlap(spark, sf):
     return chunk(documents(spark, sf), "overlap")
 
 
-@query()
+def by_separators(size: int, overlap: int, separators: tuple[str, ...]) -> str:
+    """Split level by level into pieces with their group, then join neighbours of a group by positions."""
+    ctes = ["l0 AS (SELECT doc_id, [{'p': text, 'g': ''}] AS ps FROM documents)"]
+    for level, sep in enumerate(separators):
+        lit = " || ".join("chr(10)" if c == chr(10) else f"'{c}'" for c in sep)
+        parts = "regexp_extract_all(x.p, '(?s).')" if sep == "" else f"""list_filter(list_transform(string_split(x.p, {lit}),
+        lambda y, j: CASE WHEN j = 1 THEN y ELSE {lit} || y END), lambda y: y <> '')"""
+        ctes.append(f"""l{level + 1} AS (SELECT doc_id, flatten(list_transform(ps, lambda x, i: CASE WHEN length(x.p) < {size} THEN [x]
+      ELSE list_transform({parts}, lambda y: {{'p': y, 'g': x.g || '/{level}:' || i}}) END)) AS ps FROM l{level})""")
+    state = "'n': {0}, 'g': {1}, 'first': {2}, 'held': {3}, 'at': {4}, 'out': {5}"
+    empty = "[]::STRUCT(a BIGINT, b BIGINT)[]"
+    row = state.format("length(x.p)::BIGINT", "x.g", "0::BIGINT", "0::BIGINT", "0::BIGINT", empty)
+    zero = state.format("0::BIGINT", "''", "0::BIGINT", "0::BIGINT", "0::BIGINT", empty)
+    done = "list_append(a.out, {'a': a.first, 'b': a.at})"
+    tail = "list_sum(sizes[a.at - k + 1:a.at])"
+    carried = f"list_filter(range(1, a.at - a.first + 1), lambda k: {tail} <= {overlap} AND {tail} + x.n <= {size})"
+    held = f"coalesce(list_sum(sizes[a.at - len({carried}) + 1:a.at]), 0)"
+
+    def turn(first: str, kept: str, out: str) -> str:
+        return "{" + state.format("x.n", "x.g", f"({first})::BIGINT", f"({kept} + x.n)::BIGINT", "(a.at + 1)::BIGINT", out) + "}"
+    fold = f"""list_reduce(list_prepend({{{zero}}}, list_transform(ps, lambda x: {{{row}}})), lambda a, x:
+      CASE WHEN a.at > 0 AND x.g <> a.g THEN {turn('a.at', '0', done)}
+           WHEN a.held + x.n > {size} AND a.at > a.first THEN {turn(f'a.at - len({carried})', held, done)}
+           ELSE {turn('a.first', 'a.held', 'a.out')} END)"""
+    chunks = f"""list_filter(list_transform(CASE WHEN r.at > r.first THEN list_append(r.out, {{'a': r.first, 'b': r.at}}) ELSE r.out END,
+      lambda w: {SQL_STRIP.format("array_to_string(list_transform(ps[w.a + 1:w.b], lambda y: y.p), '')")}), lambda c: c <> '')"""
+    last = f"""cuts AS (SELECT doc_id, list_filter(ps, lambda x: x.p <> '') AS ps FROM l{len(separators)}),
+folded AS (SELECT doc_id, ps, {fold} AS r FROM (SELECT *, list_transform(ps, lambda x: length(x.p)) AS sizes FROM cuts))"""
+    return f"WITH {', '.join(ctes)}, {last} {rows_of(chunks, 'folded')}"
+
+
+@query(by_separators(OVERLAP_CHARS, OVERLAP, SEPARATORS))
 def chunk_separators(spark, sf):
     return chunk(documents(spark, sf), "separators")

@@ -15,7 +15,7 @@ from docmill.sources import tables
 from docmill.workload.fixtures import LINES, NL, NOW, SQL_SENTENCES, SQL_TOKENS, described, line_chunks, table
 from docmill.workload.registry import query
 from docmill.workload.scrutiny import VOTES, flags
-from docmill.workload.textual import KEYWORD_CTE, SCORE
+from docmill.workload.textual import KEYWORD_CTE, LEAD, SCORE, extractive_sql
 
 
 FIRST_SENTENCE = Expression(lambda chunk: T.lead(chunk, 1))
@@ -49,6 +49,15 @@ def ingest_chunks(spark, sf):
     return shown(rows)
 
 
+@query(f"""WITH {LINES}, {extractive_sql('lines', 'doc_id, chunk_id', 'chunk')}
+SELECT doc_id || '_chunk_' || chunk_id AS vector_id, coalesce(e.summary, {LEAD.format('l.chunk')}) AS summary
+FROM lines l LEFT JOIN extractive e USING (doc_id, chunk_id) WHERE n_chars >= 100""")
+def ingest_extractive(spark, sf):
+    """The flow with the built-in extractive engine over whole chunks."""
+    rows = ingest.ingest(described(spark, sf), NOW, strategy="paragraph_clean", options={"sep": NL}, summarizer="extractive")
+    return rows.select("vector_id", "summary")
+
+
 RAW = f"""raw AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_id, ps[i] AS chunk FROM (
   SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents))),
 first AS (SELECT *, {SQL_SENTENCES.format('chunk')} AS ss, CAST({SCORE.format('s')} AS DOUBLE) AS score

@@ -90,13 +90,18 @@ def lead_summary(spark, sf):
     return documents(spark, sf).select("doc_id", T.lead(F.col("text")).alias("summary"))
 
 
-EXTRACTIVE = f"""parts AS (SELECT doc_id, {SQL_SENTENCES.format('text')} AS ss FROM documents),
-sents AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS si FROM parts),
-occ AS (SELECT doc_id, si, unnest({SQL_TOKENS.format('s')}) AS w FROM sents),
-tf AS (SELECT doc_id, w, count(*) AS n FROM occ GROUP BY doc_id, w),
-sc AS (SELECT doc_id, si, sum(n) / count(*) AS score FROM occ JOIN tf USING (doc_id, w) GROUP BY doc_id, si),
-best AS (SELECT doc_id, si FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, si) <= 3),
-extractive AS (SELECT doc_id, string_agg(s, ' ' ORDER BY si) AS summary FROM best JOIN sents USING (doc_id, si) GROUP BY doc_id)"""
+def extractive_sql(source: str, keys: str, column: str) -> str:
+    """extractive (keys, summary): the three sentences of a text with the most frequent words."""
+    return f"""parts AS (SELECT {keys}, {SQL_SENTENCES.format(column)} AS ss FROM {source}),
+sents AS (SELECT {keys}, unnest(ss) AS s, unnest(range(len(ss))) AS si FROM parts),
+occ AS (SELECT {keys}, si, unnest({SQL_TOKENS.format('s')}) AS w FROM sents),
+tf AS (SELECT {keys}, w, count(*) AS n FROM occ GROUP BY ALL),
+sc AS (SELECT {keys}, si, sum(n) / count(*) AS score FROM occ JOIN tf USING ({keys}, w) GROUP BY {keys}, si),
+best AS (SELECT {keys}, si FROM sc QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, si) <= 3),
+extractive AS (SELECT {keys}, string_agg(s, ' ' ORDER BY si) AS summary FROM best JOIN sents USING ({keys}, si) GROUP BY {keys})"""
+
+
+EXTRACTIVE = extractive_sql("documents", "doc_id", "text")
 
 
 @query(f"""WITH {EXTRACTIVE}

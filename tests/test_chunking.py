@@ -126,12 +126,53 @@ def test_separator_aware(spark, small):
         assert all(0 < len(c) <= 300 for c in got)
 
 
-def test_separator_literals():
-    split = C.split_by_separators
-    assert split("aa bb cc dd", 6, 0, (" ", "")) == ["aa bb", "cc dd"]
-    assert split("one\n\ntwo\n\nthree", 9, 0) == ["one\n\ntwo", "three"]
-    assert split("abcdefghij", 4, 0) == ["abcd", "efgh", "ij"]
-    assert split("abcdefghij", 4, 2) == ["abcd", "cdef", "efgh", "ghij"]
+def split_keeping(text, sep):
+    if sep == "":
+        return list(text)
+    head, *rest = text.split(sep)
+    return [p for p in [head, *(sep + r for r in rest)] if p]
+
+
+def windows(pieces, size, overlap):
+    out, first, held = [], 0, 0
+    for i, piece in enumerate(pieces):
+        if held + len(piece) > size and i > first:
+            out.append("".join(pieces[first:i]).strip())
+            while held > overlap or (held > 0 and held + len(piece) > size):
+                held -= len(pieces[first])
+                first += 1
+        held += len(piece)
+    return [c for c in [*out, "".join(pieces[first:]).strip()] if c]
+
+
+def split_plainly(text, size, overlap, separators=C.SEPARATORS):
+    """The same splitter piece by piece."""
+    at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
+    finer, out, short = separators[at + 1:], [], []
+    for piece in split_keeping(text, separators[at]):
+        if len(piece) < size:
+            short.append(piece)
+            continue
+        out += windows(short, size, overlap) if short else []
+        short = []
+        out += split_plainly(piece, size, overlap, finer) if finer else [piece]
+    return out + (windows(short, size, overlap) if short else [])
+
+
+@pytest.mark.parametrize("size,overlap", [(300, 50), (40, 15), (9, 0), (4, 2), (2000, 200)])
+def test_separators_like_plain_python(spark, small, size, overlap):
+    texts = [r[0] for r in documents(spark, small).select("text").collect()][:60 if size > 100 else 12]
+    texts = [t[:3000] if size < 100 else t for t in texts] + [
+        "aa bb cc dd", "one\n\ntwo\n\nthree", "abcdefghij", "", " ", "\n\n\n", "z" * 700, "a b " * 300, "x.\n\ny. z" * 40,
+        "short\n\n" + "long " * 30 + "\n\nshort\n\nshort", "🙂" * 50, "é ü.ß" * 30]
+    got = all_chunks(spark, texts, C.separator_aware(F.col("text"), size, overlap))
+    for text, own in zip(texts, got):
+        assert own == split_plainly(text, size, overlap), text[:80]
+
+
+def test_separators_leave_null_texts_out(spark):
+    df = spark.createDataFrame([(1, None), (2, "a")], "doc_id int, text string")
+    assert [r.doc_id for r in C.chunk(df, "separators").collect()] == [2]
 
 
 def test_dispatch(spark):

@@ -42,6 +42,16 @@ def merged_metadata(base: Column, override: Column) -> Column:
     return F.map_concat(F.map_filter(mine, lambda k, v: ~F.map_contains_key(theirs, k)), theirs)
 
 
+def as_json(*columns: str) -> Column:
+    """The named columns as one JSON object; nulls are left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def from_json(value: Column, schema: str) -> Column:
+    """The object of `as_json` as a struct; missing fields are null, text that is no object gives null fields."""
+    return F.from_json(value, schema)
+
+
 def summary_score(summary: Column) -> Column:
     """0..1 heuristic: too short, filler text, else growing with length."""
     size = F.length(F.coalesce(summary, F.lit("")))

@@ -190,7 +190,8 @@ def separator_aware(text: Column, size: int = OVERLAP_CHARS, overlap: int = OVER
         return non_empty(F.transform(ranges, lambda r: strip(F.array_join(F.transform(
             F.slice(parts, r["a"] + 1, r["b"] - r["a"]), lambda x: x["p"]), ""))))
 
-    return F.when(text.isNotNull(), let(pieces, cut))
+    whole = non_empty(F.array(strip(text)))  # nothing to split: most texts end here
+    return F.when(F.length(text) < size, whole).when(text.isNotNull(), let(pieces, cut))
 
 
 STRATEGIES: dict[str, Callable[..., Column]] = {

@@ -149,6 +149,16 @@ def index_delete_table(spark, sf):
     return tables.read(spark, path).select("vector_id", "chunk_id")
 
 
+@query(f"WITH {LINES}, {UPSERT} SELECT vector_id, chunk_id, chunk FROM stored WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def chunk_lookup_table(spark, sf):
+    """The chunks of some documents out of a table: only the buckets of these documents are read."""
+    stored, _ = _stored_and_updates(spark, sf)
+    path = scratch_path(spark, "lookup")
+    tables.create(stored, path, ["vector_id"], 64)
+    some = table(spark, sf, "labels").where("toxic = 1")
+    return tables.read(spark, path, some).select("vector_id", "chunk_id", "chunk")
+
+
 @query(f"""WITH {LINES}, {UPSERT} SELECT vector_id, chunk_id FROM stored
 WHERE NOT starts_with(vector_id, '1_chunk_') AND NOT starts_with(vector_id, '23_')""")
 def index_delete_prefix_table(spark, sf):

@@ -187,8 +187,8 @@ def json_round_trip(spark, sf):
     """Chunks through their JSON form and back."""
     chunks = line_chunks(spark, sf, "acl")
     schema = "doc_id long, chunk_id int, chunk string, acl string"
-    packed = chunks.select(F.to_json(F.struct("doc_id", "chunk_id", "chunk", "acl")).alias("value"))
-    return packed.select(F.from_json("value", schema).alias("r")).select(
+    packed = chunks.select(records.as_json("doc_id", "chunk_id", "chunk", "acl").alias("value"))
+    return packed.select(records.from_json(F.col("value"), schema).alias("r")).select(
         "r.doc_id", "r.chunk_id", "r.chunk", F.coalesce("r.acl", F.lit("none")).alias("acl"))
 
 

@@ -132,6 +132,14 @@ def test_metadata_and_ids(spark):
     assert tuple(one) == ("doc1_chunk_3", "doc:a:b", "a", True, False)
 
 
+def test_json(spark):
+    df = spark.createDataFrame([(1, 'a "quoted"\nline'), (2, None)], "doc_id long, chunk string")
+    packed = df.select(R.as_json("doc_id", "chunk").alias("v"))
+    back = packed.select(R.from_json(F.col("v"), "doc_id long, chunk string").alias("r")).select("r.*")
+    assert sorted(back.collect()) == sorted(df.collect())
+    assert packed.orderBy("v").collect()[1].v == '{"doc_id":2}'
+
+
 def test_iso_time(spark):
     got = spark.sql("select timestamp'2024-01-02 03:04:05' a, timestamp'2024-01-02 03:04:05.000600' b")
     row = got.select(R.iso_time(F.col("a")), R.iso_time(F.col("b"))).first()

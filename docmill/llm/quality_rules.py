@@ -5,16 +5,20 @@ the raw multinomial, counting the trusted ones (labelled of good quality and not
 target. A document scores the mean log ratio of target to raw over its n-grams, so its length
 does not matter. Documents that fail the base rules, or score below the threshold, are rejected.
 
-The target counts one half of the trusted documents, by a hash of their id. The threshold is the
-`QUANTILE` of the scores of the other half, which the target has not seen and which pass the base
-rules, so that about one good document in a thousand is lost. It is read from a histogram of fixed
-bins: the same data give the same threshold in any order. Counting adds up a bounded table
-per task; the corpus is read once to count and once to score.
+The threshold separates the trusted documents from the bad ones (labelled of quality 0 or toxic),
+over all labelled rows that pass the base rules. Trusted documents fall into two halves by a hash of
+their id, which are counted apart; a labelled row is scored for the threshold with the half it is
+not in, so that no score has seen its own text, and all documents are judged with half 0. Of the
+edges of fixed bins the threshold is the one with the largest share of bad rows below it less the
+share of trusted ones below it, the lowest of equals: the same data give the same threshold in any
+order. A trusted row weighs no more than its share, wherever it scores: one among the junk lowers all
+edges above it alike, and does not pull the threshold down. Counting adds up a bounded table per
+task; the corpus is read once to count and once to score.
 
 Defined results: null, empty and wordless texts have no words, fail the base rules and score 0.
 Rows without an id are counted and scored but never trusted. Repeated rows are counted and
-scored each; a document labelled both ways is not trusted. Without trusted documents the base rules
-alone decide. Other columns are not looked at. Empty tables give an empty result.
+scored each; a document labelled both ways is on neither side. Without trusted documents in both
+halves, or without bad ones, the base rules alone decide. Other columns are not looked at. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.common import SPACES
@@ -32,13 +36,12 @@ from docmill.session import staged
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-QUANTILE = 0.001
 BIN = 0.001
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = b"#*$%&|<>"
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 MEASURES = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-            "llr double")
+            "llr double, unseen double")
 
 
 def word_codes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -80,81 +83,113 @@ def measures(text: str | None, codes: np.ndarray, distinct: int, raw: bytes) ->
 
 
 def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of a task's rows (text, trusted): one row per bucket, whatever the number of texts."""
-    raw_counts, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """Bucket counts of a task's rows (text, half of a trusted one): one row per bucket, whatever the number of texts."""
+    counts = np.zeros((3, BUCKETS), np.int64)  # all rows, the trusted of half 0, those of half 1
     for batch in batches:
-        for text, trusted in zip(batch.column(0), batch.column(1).to_pylist()):
+        for text, half in zip(batch.column(0), batch.column(1).to_pylist()):
             found = np.bincount(buckets(*word_codes((text.as_py() or "").encode())), minlength=BUCKETS)
-            raw_counts += found
-            if trusted:
-                target += found
-    at = np.flatnonzero(raw_counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw_counts[at]), pa.array(target[at])],
-                                     ["bucket", "raw", "target"])
+            counts[0] += found
+            if half is not None:
+                counts[1 + half] += found
+    at = np.flatnonzero(counts[0])
+    yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(c[at]) for c in counts]], ["bucket", "raw", "half0", "half1"])
 
 
-def scorer(ratios: np.ndarray):
+def scorer(ratios: np.ndarray, halves: tuple[np.ndarray, np.ndarray]):
+    """Measures of rows (doc_id, text, half): `llr` by `ratios`, `unseen` by those of the half the row is not in."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1):
+            for text, half in zip(batch.column(1), batch.column(2).to_pylist()):
                 text = text.as_py()
                 raw = (text or "").encode()
                 codes, hashes = word_codes(raw)
                 found = buckets(codes, hashes)
-                score = float(ratios[found].sum() / len(found)) if len(found) else 0.0
-                rows.append((*measures(text, codes, len(hashes), raw), score))
-            columns = list(zip(*rows)) if rows else [[]] * 6
+                scores = [float(r[found].sum() / len(found)) if len(found) else 0.0 for r in (ratios, halves[1 - half])]
+                rows.append((*measures(text, codes, len(hashes), raw), *scores))
+            columns = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.float64())],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"])
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:5]],
+                 *[pa.array(c, pa.float64()) for c in columns[5:]]],
+                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "unseen"])
     return of
 
 
+def half_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(2))
+
+
+def sides(labels: DataFrame) -> DataFrame:
+    """doc_id, trusted: documents that all their labels call good and none toxic, or all call of quality 0 or toxic."""
+    quality, toxic = F.coalesce("quality", F.lit(-1)), F.coalesce("toxic", F.lit(0))
+    good, bad = (quality == 1) & (toxic == 0), (quality == 0) | (toxic == 1)
+    return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(good).alias("trusted"), F.min(bad).alias("bad")).where("trusted OR bad").select("doc_id", "trusted")
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_id, half (0 or 1): documents that all their labels call good and none calls toxic."""
-    good = F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
-    return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(good.alias("good")).where("good").select(
-        "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"))
+    """doc_id, half (0 or 1): the trusted documents."""
+    return sides(labels).where("trusted").select("doc_id", half_of(F.col("doc_id")).alias("half"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray | None:
-    """Per bucket the log of target to raw probability, from the counts of all documents."""
-    first = trusted.where("half = 0").select(F.col("doc_id").alias("id"), F.lit(True).alias("trusted"))
-    marked = docs.select("doc_id", "text").join(first, F.col("doc_id") == F.col("id"), "left").select("text", "trusted")
-    counts = marked.mapInArrow(counter, "bucket long, raw long, target long").groupBy("bucket").agg(
-        F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most BUCKETS rows
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
-    if not target.sum():
-        return None
+def bucket_counts(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """Counts of the n-grams of all documents, of the trusted ones of half 0 and of those of half 1, per bucket."""
+    ids = trusted.select(F.col("doc_id").alias("id"))  # the half follows from the id, so only ids meet the texts
+    half = F.when(F.col("id").isNotNull(), half_of(F.col("id"))).alias("half")
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left").select("text", half)
+    names = ["raw", "half0", "half1"]
+    counts = marked.mapInArrow(counter, "bucket long, raw long, half0 long, half1 long").groupBy("bucket").agg(
+        *[F.sum(n).alias(n) for n in names]).toPandas()  # at most BUCKETS rows
+    out = np.zeros((3, BUCKETS))
+    out[:, counts["bucket"]] = counts[names].to_numpy().T
+    return out
+
+
+def ratios_of(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Per bucket the log of target to raw probability."""
     return (np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * BUCKETS))
             - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)))
 
 
-def threshold(scores: DataFrame, trusted: DataFrame, quantile: float) -> float:
-    """The lower edge of the bin that holds the quantile of the trusted scores the target has not seen."""
-    unseen = scores.join(trusted.where("half = 1").select("doc_id"), "doc_id", "left_semi")
-    bins = unseen.where("NOT base_failed").groupBy(F.floor(F.col("llr") / BIN).alias("bin")).agg(
-        F.count("*").alias("n")).orderBy("bin").collect()  # scores of a bounded range in bins of one width
-    before, total = 0, sum(b["n"] for b in bins)
-    for b in bins:
-        before += b["n"]
-        if before > quantile * total:
-            return b["bin"] * BIN
-    return -np.inf
+def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray | None:
+    """The ratios of half 0 alone to the counts of all documents."""
+    raw, target, _ = bucket_counts(docs, trusted)
+    return ratios_of(target, raw) if target.sum() else None
+
+
+def best_edge(bins: list[tuple[int, int, int]]) -> float:
+    """The lower edge to keep from, of bins (number, trusted rows, bad rows) in their order."""
+    n_trusted, n_bad = sum(b[1] for b in bins), sum(b[2] for b in bins)
+    best, edge, lost, caught = 0, -np.inf, 0, 0
+    for number, trusted, bad in bins:
+        lost, caught = lost + trusted, caught + bad
+        if caught * n_trusted - lost * n_bad > best:  # shares over one denominator, exact in integers
+            best, edge = caught * n_trusted - lost * n_bad, (number + 1) * BIN
+    return edge
+
+
+def threshold(scores: DataFrame, sided: DataFrame) -> float:
+    """The edge that best parts the labelled rows that pass the base rules, by scores that have not seen them."""
+    bins = scores.join(sided, "doc_id").where("NOT base_failed").groupBy(
+        F.floor(F.col("unseen") / BIN).alias("bin")).agg(
+        F.count_if("trusted").alias("trusted"), F.count_if(~F.col("trusted")).alias("bad")).orderBy("bin")
+    return best_edge([tuple(b) for b in bins.collect()])  # scores of a bounded range in bins of one width
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the measures, llr, base_failed, kept: one row per row of `docs` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    labels = labels.withColumn("doc_id", F.col("doc_id").cast("long"))
     trusted = staged(trusted_ids(labels), "trusted")
-    ratios = log_ratios(docs, trusted)
-    scores = docs.mapInArrow(scorer(np.zeros(BUCKETS) if ratios is None else ratios), MEASURES)
+    raw, *targets = bucket_counts(docs, trusted)
+    both = targets[0]
+    ratios = ratios_of(both, raw) if both.any() else np.zeros(BUCKETS)
+    halves = tuple(ratios_of(t, raw) for t in targets)
+    scores = docs.withColumn("half", half_of(F.col("doc_id"))).mapInArrow(scorer(ratios, halves), MEASURES)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
     scores = scores.withColumn("base_failed", failed)
     least = -np.inf
-    if ratios is not None:
+    if all(t.any() for t in targets):
         scores = staged(scores, "scores")
-        least = threshold(scores, trusted, quantile)
-    return scores.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(float(least))))
+        least = threshold(scores, sides(labels))
+    return scores.drop("unseen").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(float(least))))

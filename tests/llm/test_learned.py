@@ -229,3 +229,34 @@ def test_rules_without_trusted_documents(spark):
     for none in ([], [(x, 1, 1) for x, _, _ in labels], [(1, 1, 0), (1, 0, 0)]):
         assert all(r.kept == (not r.base_failed) for r in R.judge(d, labels_of(spark, none)).collect())
     assert R.judge(d.limit(0), labels_of(spark, labels)).collect() == []
+
+
+def test_the_threshold_parts_trusted_from_bad():
+    bins = [(-9, 0, 40), (-5, 0, 10), (-1, 20, 30), (0, 300, 20), (3, 680, 0)]
+    assert R.best_edge(bins) == 0.0
+    assert R.best_edge([(-20, 1, 0), *bins]) == R.best_edge([(-9, 1, 40), *bins[1:]]) == 0.0  # one trusted row among the junk
+    assert R.best_edge([(-9, 0, 5), (4, 50, 0)]) == -8 * R.BIN and R.best_edge([(-9, 1, 5), (4, 49, 0)]) == -8 * R.BIN
+    for one_side in ([], [(0, 5, 0)], [(0, 0, 5)]):
+        assert R.best_edge(one_side) == -np.inf
+
+
+def test_one_mislabelled_junk_row_does_not_keep_the_junk(spark):
+    """Under 1,000 trusted rows: the worst of them would have been the threshold."""
+    docs, labels = sample(n=400)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    new = [(5000 + i, " ".join(rng.choice(words) for _ in range(150)), "en") for i in range(60)]
+    bad = [(d, 0, 0) for d, _, _ in new[:30]]
+    for wrong in ([], [(new[30][0], 1, 0)], [(new[31][0], 1, 0)], [(new[32][0], 1, 0)]):
+        got = {r.doc_id: r for r in R.judge(docs_of(spark, docs + new), labels_of(spark, labels + bad + wrong)).collect()}
+        rule = [got[d] for d, _, _ in new[33:]]
+        assert not any(r.base_failed for r in rule) and not any(r.kept for r in rule)
+        good = [got[d] for d, q, t in labels if (q, t) == (1, 0) and not got[d].base_failed]
+        assert np.mean([r.kept for r in good]) > 0.9
+
+
+def test_sides_of_labels(spark):
+    rows = [(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, 1, 0), (4, 0, 0), (5, None, None), (6, None, 1), (7, 1, None), (None, 0, 1),
+            (8, 1, 0), (8, 1, 0), (9, 0, 0), (9, 1, 1)]
+    assert sorted(tuple(r) for r in R.sides(labels_of(spark, rows)).collect()) == [
+        (1, True), (2, False), (3, False), (6, False), (7, True), (8, True), (9, False)]

@@ -8,7 +8,7 @@ does not matter. Documents that fail the base rules, or score below the threshol
 The threshold separates the trusted documents from the bad ones (labelled of quality 0 or toxic),
 over all labelled rows that pass the base rules. Trusted documents fall into two halves by a hash of
 their id, which are counted apart; a labelled row is scored for the threshold with the half it is
-not in, so that no score has seen its own text, and all documents are judged with half 0. Of the
+not in, so that no score has seen its own text, and all documents are judged with both halves. Of the
 edges of fixed bins the threshold is the one with the largest share of bad rows below it less the
 share of trusted ones below it, the lowest of equals: the same data give the same threshold in any
 order. A trusted row weighs no more than its share, wherever it scores: one among the junk lowers all
@@ -182,7 +182,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels = labels.withColumn("doc_id", F.col("doc_id").cast("long"))
     trusted = staged(trusted_ids(labels), "trusted")
     raw, *targets = bucket_counts(docs, trusted)
-    both = targets[0]
+    both = sum(targets)
     ratios = ratios_of(both, raw) if both.any() else np.zeros(BUCKETS)
     halves = tuple(ratios_of(t, raw) for t in targets)
     scores = docs.withColumn("half", half_of(F.col("doc_id"))).mapInArrow(scorer(ratios, halves), MEASURES)

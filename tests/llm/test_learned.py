@@ -255,6 +255,21 @@ def test_one_mislabelled_junk_row_does_not_keep_the_junk(spark):
         assert np.mean([r.kept for r in good]) > 0.9
 
 
+def test_both_halves_are_counted(spark):
+    docs, labels = sample(n=60)
+    d, trusted = docs_of(spark, docs + ODD), R.trusted_ids(labels_of(spark, labels))
+    ids = {r.doc_id for r in trusted.collect()}
+    raw, *targets = R.bucket_counts(d.repartition(5), trusted)
+    assert np.allclose(R.ratios_of(sum(targets), raw), brute_ratios(docs + ODD, ids)) and all(t.any() for t in targets)
+    want = brute_ratios(docs + ODD, ids)
+    odd = {doc for doc, _, _ in ODD}
+    texts = {doc: text for doc, text, _ in docs if doc not in odd}
+    for r in R.judge(d, labels_of(spark, labels)).collect():
+        if r.doc_id in texts:
+            found = R.buckets(*R.word_codes((texts[r.doc_id] or "").encode()))
+            assert not len(found) or abs(r.llr - want[found].mean()) < 1e-9
+
+
 def test_sides_of_labels(spark):
     rows = [(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, 1, 0), (4, 0, 0), (5, None, None), (6, None, 1), (7, 1, None), (None, 0, 1),
             (8, 1, 0), (8, 1, 0), (9, 0, 0), (9, 1, 1)]

@@ -8,7 +8,10 @@ that make a cut safe, encodes only that region again and updates the sums above
 
 Cuts are safe before a space that stands between a character that is no white space and a letter:
 a pre-token may start with one space but never holds one behind other characters, so such a
-space always starts a pre-token, whatever stands around these three characters.
+space always starts a pre-token, whatever stands around these three characters. Added tokens of the
+vocabulary, as '<|endoftext|>', are found in the raw text first and count one each, as in packing. One
+that holds such a space itself never lies across a cut: places within it are not cut, and an edit
+takes in every neighbour whose cut it is so near to that it could make one there.
 
 Defined results: null and empty texts have no tokens and a null text stays null unless an edit
 inserts something. Edits are (start, stop, text) in code points of the text before any edit; they
@@ -19,8 +22,9 @@ columns are not looked at. Empty tables give an empty result.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -36,23 +40,30 @@ EDITS = "array<struct<start:long,stop:long,text:string>>"
 Edit = tuple[int, int, str]
 
 
-def leaves(text: str, size: int = LEAF_CHARS) -> list[str]:
-    """Parts of a text that are cut at safe places, the first one after every `size` characters."""
-    out, start = [], 0
-    while found := SAFE.search(text, start + size - 1):
-        cut = found.start() + 1
+def leaves(text: str, size: int = LEAF_CHARS, added: Sequence[str] = ()) -> list[str]:
+    """Parts of a text that are cut at safe places outside of `added` tokens, the first one after every `size` characters."""
+    out, start, at = [], 0, size - 1
+    while found := SAFE.search(text, at):
+        cut = at = found.start() + 1
+        if any(t in text[max(0, cut - len(t) + 1):cut + len(t) - 1] for t in added):
+            continue
         out.append(text[start:cut])
-        start = cut
+        start, at = cut, cut + size - 1
     if start < len(text):
         out.append(text[start:])
     return out
 
 
 class SegmentTree:
-    """Sums of characters and tokens over a document's leaves; node 1 is the root, i has children 2i and 2i + 1."""
+    """Sums of characters and tokens over a document's leaves; node 1 is the root, i has children 2i and 2i + 1.
 
-    def __init__(self, parts: list[str], count: Callable[[str], int], tokens: list[int] | None = None):
-        self.parts, self.count = list(parts), count
+    `added` are the added tokens that hold a place to cut (`breakable`).
+    """
+
+    def __init__(self, parts: list[str], count: Callable[[str], int], tokens: list[int] | None = None,
+                 added: Sequence[str] = ()):
+        self.parts, self.count, self.added = list(parts), count, added
+        self.longest = max(map(len, added), default=0)
         self.width = 1 << max(0, len(parts) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
         for i, part in enumerate(parts):
@@ -84,20 +95,20 @@ class SegmentTree:
         if not 0 <= start <= stop <= self.chars[1]:
             raise ValueError(f"edit {start}:{stop} outside a text of {self.chars[1]} characters")
         if not self.parts:
-            self.__init__(leaves(text), self.count)
+            self.__init__(leaves(text, added=self.added), self.count, added=self.added)
             self.encoded = len(text)
             return
         first, at = self.leaf_at(start)
-        while first and start < at + 2:  # the cut before this leaf may no longer be safe
+        while first and start < at + max(2, self.longest):  # the cut before this leaf may no longer be safe
             first -= 1
             at -= len(self.parts[first])
         last, end = first, at + len(self.parts[first])
-        while last + 1 < len(self.parts) and stop > end - 1:  # nor the one behind it
+        while last + 1 < len(self.parts) and stop > end - max(1, self.longest):  # nor the one behind it
             last += 1
             end += len(self.parts[last])
         region = "".join(self.parts[first:last + 1])
         region = region[:start - at] + text + region[stop - at:]
-        fresh = leaves(region)
+        fresh = leaves(region, added=self.added)
         room = last + 1 - first
         if len(fresh) > room:  # the tree keeps its shape: the last leaf takes what is left
             fresh[room - 1:] = ["".join(fresh[room - 1:])]
@@ -128,18 +139,23 @@ class SegmentTree:
 
 def counter(spec: str) -> Callable[[str], int]:
     encoding = byte_level_encoding(spec)
-    return lambda text: len(encoding.encode_ordinary(text))
+    return lambda text: len(encoding.encode(text, allowed_special="all"))
+
+
+def breakable(spec: str) -> list[str]:
+    """The added tokens that can hold a place to cut: a space behind another character, the letter may be the text's."""
+    return [t["content"] for t in json.loads(spec)["added_tokens"] if re.search(r"\S ", t["content"])]
 
 
 def trees(text: Column, spec: str) -> Column:
     """Struct of leaf_chars and leaf_tokens (arrays) and n_tokens: what `SegmentTree` takes to go on another day."""
     @F.pandas_udf("leaf_chars array<int>, leaf_tokens array<int>, n_tokens long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        count = counter(spec)
+        count, added = counter(spec), breakable(spec)
         for texts in batches:
             rows = []
             for whole in texts:
-                parts = leaves(whole or "")
+                parts = leaves(whole or "", added=added)
                 tokens = [count(p) for p in parts]
                 rows.append(([len(p) for p in parts], tokens, sum(tokens)))
             yield pd.DataFrame(rows, columns=["leaf_chars", "leaf_tokens", "n_tokens"])
@@ -149,7 +165,7 @@ def trees(text: Column, spec: str) -> Column:
 def recounter(spec: str, edits_of: Callable[[str | None], list[Edit]] | None, schema: pa.Schema):
     """Builds the tree of every row (doc_id, text, edits), applies its edits and counts again."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(spec)
+        count, added = counter(spec), breakable(spec)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):  # a few texts at a time as Python objects
                 rows = []
@@ -157,7 +173,7 @@ def recounter(spec: str, edits_of: Callable[[str | None], list[Edit]] | None, sc
                 given = part.column(2).to_pylist() if edits_of is None else [None] * part.num_rows
                 for text, change in zip(part.column(1).to_pylist(), given):
                     change = [(e["start"], e["stop"], e["text"] or "") for e in change or ()] if edits_of is None else edits_of(text)
-                    tree = SegmentTree(leaves(text or ""), count)
+                    tree = SegmentTree(leaves(text or "", added=added), count, added=added)
                     before, n = tree.tokens[1], len(tree.parts)
                     if change:
                         tree.edit(change)

@@ -1,11 +1,14 @@
 """Edit-aware counts equal counts of the whole edited text, and encode little of it again."""
 
+import json
 import random
+from functools import cache
 
 import pytest
 from pyspark.sql import functions as F
 
 from docmill.llm import token_counts as T
+from docmill.llm.packing import byte_level_encoding
 from docmill.llm.queries import vocabulary
 
 
@@ -93,3 +96,50 @@ def test_clean_up(spark, small, count):
         assert (r.edited_text, r.n_tokens, r.n_tokens_after) == (after, count(texts[r.doc_id]), count(after))
     assert T.cleaning_edits("a\nme@x.org 0123456789\na\nb\nb") == [
         (2, 10, "<mail>"), (11, 21, "<number>"), (21, 23, ""), (25, 27, "")]
+
+
+ADDED = ["<|end of text|>", "a b", "z ", " the", "<s>"]
+
+
+@pytest.fixture(scope="module")
+def spaced():
+    """The vocabulary with more added tokens, some of which hold a place to cut."""
+    model = json.loads(vocabulary())
+    model["added_tokens"] += [{"content": t, "id": 60_000 + i} for i, t in enumerate(ADDED)]
+    return json.dumps(model)
+
+
+@cache
+def encoding(spec):
+    return byte_level_encoding(spec)
+
+
+def packed_ids(spec, text):
+    return len(encoding(spec).encode(text, allowed_special="all"))
+
+
+def test_added_tokens_count_as_in_packing(spark, count):
+    text = "one<|endoftext|> two <|endoftext|>" + " words of prose" * 40
+    assert count("<|endoftext|>") == 1
+    rows = [(1, text, [(5, 6, "")]), (2, "a <|endof" + " more" * 200, [(9, 9, "text|>")])]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, changes {T.EDITS}")
+    for r in T.count_edited(docs, F.col("changes"), vocabulary()).collect():
+        before = dict((d, t) for d, t, _ in rows)[r.doc_id]
+        assert (r.n_tokens, r.n_tokens_after) == (packed_ids(vocabulary(), before), packed_ids(vocabulary(), r.edited_text))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_added_tokens_never_lie_across_a_cut(spaced, seed):
+    rng, count, added = random.Random(seed), T.counter(spaced), T.breakable(spaced)
+    assert added == ADDED[:3]  # in the others no space stands behind another character
+    bits = [*ADDED, "<|end", " of", " text|>", "a", " b", " ", "x" * 60, "z", " words of prose, ", "<|endoftext|>", "the x"]
+    text = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 400)))
+    tree = T.SegmentTree(T.leaves(text, added=added), count, added=added)
+    assert tree.text == text and tree.tokens[1] == packed_ids(spaced, text)
+    for _ in range(8):
+        places = sorted(rng.randint(0, len(text)) for _ in range(2 * rng.randrange(1, 5)))
+        edits = [(a, min(b, a + 20), "".join(rng.choice(bits) for _ in range(rng.randrange(0, 3))))
+                 for a, b in zip(places[::2], places[1::2])]
+        tree.edit(edits)
+        text = edited(text, edits)
+        assert tree.text == text and tree.tokens[1] == packed_ids(spaced, text)

@@ -17,8 +17,8 @@ star contraction over the links between fingerprints.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other. Rows
 without an id have a fingerprint and a null component and link nothing. Rows that share an id are
-compared as rows, each by its own text; `apply` keeps one row of those that share a kept id. Other
-columns are not looked at. Empty tables give an empty result.
+compared as rows, each by its own text; `apply` keeps one row of each component, so rows of one id in
+several components are all kept. Other columns are not looked at, but to choose among rows of the same id and text. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -203,13 +203,20 @@ def star(neighbours: DataFrame, moved) -> DataFrame:
     return hung.unionByName(own).where("lo <> hi").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
-                    max_posting: int = MAX_POSTING) -> DataFrame:
-    """doc_id, fp (long), component_id (smallest doc_id reachable): one row per row of `docs` (doc_id, text)."""
+def grouped(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+            max_posting: int = MAX_POSTING) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp of every row, and fp, first_doc, root of every fingerprint: its smallest id and its component's fingerprint."""
     marked = staged(docs.select("doc_id", fingerprints(shingle)("text").alias("fp")), "fingerprints")
     first = staged(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "classes")
     nodes = components(close_fingerprints(first.select("fp"), max_bits, max_posting))
     rooted = first.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return marked, rooted
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+                    max_posting: int = MAX_POSTING) -> DataFrame:
+    """doc_id, fp (long), component_id (smallest doc_id reachable): one row per row of `docs` (doc_id, text)."""
+    marked, rooted = grouped(docs, shingle, max_bits, max_posting)
     smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component"))
     found = rooted.join(smallest, "root").select("fp", "component")
     return marked.join(found, "fp", "left").select(
@@ -217,7 +224,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def apply(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each component: the one with the smallest id; rows without an id all stay."""
-    found = near_duplicates(docs, shingle, max_bits)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each component: of the smallest id, then of the smallest fingerprint, then the first by text and the
+    other columns; rows without an id all stay."""
+    marked, rooted = grouped(docs, shingle, max_bits)
+    kept = staged(rooted.groupBy("root").agg(F.min(F.struct(F.col("first_doc").alias("doc_id"), "fp")).alias("least"))
+                  .select("least.*"), "kept")
+    ids = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = staged(ids.where("n > 1").select("doc_id"), "repeated")
+    single = docs.join(kept.select("doc_id").join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
+    # an id alone does not name one of several rows: these are found by their fingerprints
+    rows = docs.join(repeated, "doc_id", "left_semi").withColumn("_fp", fingerprints(shingle)("text"))
+    rows = rows.join(kept.withColumnRenamed("fp", "_fp"), ["doc_id", "_fp"], "left_semi")
+    others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    first = rows.groupBy("doc_id", "_fp").agg(
+        F.min_by(F.struct(*docs.columns), F.struct("text", *others)).alias("row")).select("row.*")
+    return single.select(docs.columns).unionByName(first).unionByName(docs.where("doc_id IS NULL"))

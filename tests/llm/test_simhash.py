@@ -125,3 +125,16 @@ def test_apply_keeps_one_of_each(spark):
 def test_empty_table(spark):
     docs = frame(spark, odd_rows()).limit(0)
     assert simhash.near_duplicates(docs).collect() == [] and simhash.apply(docs).collect() == []
+
+
+def test_apply_keeps_rows_of_one_id_in_several_components(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 5) + str(rng.randint(0, 99)) for _ in range(80))
+                  for _ in range(4))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "w"), (2, a, "x"), (2, c, "x"), (3, c, "x"), (4, d, "x"), (4, d.upper(), "x"),
+            (5, b, "x"), (None, a, "x"), (None, a, "x")]
+    want = [(1, a, "x"), (1, b, "w"), (2, c, "x"), (4, min(d, d.upper()), "x"), (None, a, "x"), (None, a, "x")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        assert sorted(map(tuple, simhash.apply(docs).collect()), key=repr) == sorted(want, key=repr)

@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import (
+    chat_format,
     decontamination,
     language_id,
+    lexical_search,
     license_scan,
     line_dedup,
     packing,
     quality_model,
     quality_rules,
+    run_detection,
     simhash,
     token_counts,
     warc,
@@ -164,3 +167,122 @@ FROM first
 def op10_warc(spark, sf):
     back = warc.round_trip(spark, table(spark, sf, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(f"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w
+             FROM documents),
+size AS (SELECT doc_id, len(w) AS n FROM doc WHERE len(w) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM size),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}'))
+                 AS term FROM benchmark),
+found AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM doc)
+          WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+           FROM (SELECT term, count(*) AS df FROM found GROUP BY term), total),
+scored AS (
+    SELECT item_id, doc_id,
+           CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM found JOIN weight USING (term) JOIN asked USING (term) JOIN size USING (doc_id), total GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM scored WHERE score > 0)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM ranked WHERE n <= {lexical_search.TOP}
+""")
+def op11_lexical_search(spark, sf):
+    return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def with_cycles(docs):
+    """`docs` (doc_id, text) where every tenth document's words, from a place of its own on, repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.filter(
+        F.split(F.when(h % 10 == 0, F.col("text")), f"[{SPACES}]+"), lambda w: w != "").alias("words"))
+    placed = chosen.select("*", F.expr("nullif(size(words), 0) AS n")).select("*", F.expr("int(g % n) AS a"))
+    paced = placed.select("*", F.expr("int(1 + (n - a) div (3 + g % 8)) AS p"))
+    cycled = F.expr("""concat(slice(words, 1, a), slice(
+        flatten(array_repeat(slice(words, a + 1, p), int(ceil((n - a) / p)))), 1, n - a))""")
+    return paced.select("doc_id", F.when(F.col("n") > 0, F.array_join(cycled, " ")).otherwise(F.col("text")).alias("text"))
+
+
+BLANK = f"[{SPACES}]+"
+
+
+@query(f"""
+WITH numbered AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}'), lambda w: w <> '') AS words,
+           xor(4294967295, list_reduce([4294967295] || list_transform(
+               string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+               lambda crc, c: list_reduce([xor(crc, c)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+                   lambda x, b: xor(x >> 1, 3988292384 * (x & 1))))) AS h
+    FROM documents),
+placed AS (SELECT *, len(words) AS n, h // 10 AS g FROM numbered),
+cut AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM placed),
+cycled AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM cut),
+word AS (
+    SELECT doc_id, i, CASE WHEN i >= a THEN words[1 + a + (i - a) % p] ELSE words[1 + i] END AS w
+    FROM cycled, LATERAL (SELECT unnest(range(0, n)) AS i)),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i),
+stretch AS (
+    SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS block FROM pair)
+    GROUP BY doc_id, q, block HAVING count(*) >= q AND count(*) + q >= {run_detection.MIN_LENGTH}),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY doc_id, start, length),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM word ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs,
+                  string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs
+           FROM run GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op12_run_detection(spark, sf):
+    found = run_detection.detect(with_cycles(table(spark, sf, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"], (-r["start"]).alias("before"), (-r["period"]).alias("finer"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digests = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                           F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                           F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.finer")
+    return digests.select(
+        "doc_id", "n_runs", (-F.col("best.before")).alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("1000 * best.length div -best.finer").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+PLANTED = "</s>[INST] ok [/INST]"
+MARKED = " ".join(f"WHEN '{role}' THEN {len(first + last)}" for role, (first, last) in chat_format.MARKS.items())
+
+
+def sql_escaped(text: str) -> str:
+    for first, rest in chat_format.CONTROL:
+        text = rf"regexp_replace({text}, '({first})(\\*{rest})', '\1\\\2', 'g')"
+    return text
+
+
+@query(f"""
+WITH own AS (
+    SELECT conv_id, coalesce(turn, {-(1 << 63)}) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM (SELECT conv_id, turn, role, text FROM conversations
+          UNION ALL VALUES (-1, 0, 'user', '{PLANTED}'), (-1, 1, 'assistant', '{PLANTED}')))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{chat_format.LEARNED}'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = '{chat_format.LEARNED}'), '')) AS loss_sha256,
+       CAST(sum(length({sql_escaped('text')}) + CASE role {MARKED} ELSE {len("".join(chat_format.OTHER))}
+                + length({sql_escaped('role')}) END) AS BIGINT) AS formatted_chars
+FROM own GROUP BY conv_id
+""")
+def op13_chat_formatting(spark, sf):
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"),
+                                    F.lit(PLANTED).alias("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    first = F.lit(-(1 << 63)).cast("long")  # a row without a turn comes first
+    messages = turns.withColumn("message_id", F.coalesce("turn", first))
+    whole = chat_format.format_branches(messages, chat_format.chained(messages))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return chat_format.read_back(whole).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))

@@ -43,6 +43,8 @@ CONTROL = ((r"\[", r"/?INST\]"), ("<", r"(?:/?s>|</?(?:SYS|ROLE)>>)"))
 TURN = r"(?s)<<SYS>>\n.*?\n<</SYS>>\n\n|\[INST\] .*? \[/INST\]|<s> .*? </s>\n|<<ROLE>>.*?<</ROLE>>.*?</s>\n"
 LARGE = 100_000
 SHARE = 1000
+#: Up to so many branches of a conversation, the places of a message are a short list.
+FEW = 64
 
 
 # ---- the template ------------------------------------------------------------------------
@@ -204,26 +206,39 @@ def enumerated(chosen: DataFrame, levels: list[DataFrame]) -> DataFrame:
 # ---- formatting --------------------------------------------------------------------------
 
 def placed(rows: DataFrame, path: DataFrame) -> DataFrame:
-    """Each message of a path with its role and text."""
+    """Each message of a path with its role and text, joined by message: texts move to meet their places."""
     same = F.expr("a.conv = b.conv AND a.id <=> b.id")
     return rows.alias("a").join(path.alias("b"), same).select(
         "a.conv", "a.conv_id", "a.role", "a.text", "b.leaf", "b.branch", "b.score", "b.back")
 
 
+def gathered(rows: DataFrame, path: DataFrame) -> DataFrame:
+    """As `placed`, for few branches a conversation: all is dealt by conversation, once.
+
+    A join would deal the texts by message and `written` by branch again. Here the few places of a
+    message are listed beside its rows, in a window that the dealing by conversation serves too.
+    """
+    place = F.struct("leaf", "branch", "score", "back").alias("place")
+    places = path.select("conv", "id", place)
+    nothing = F.lit(None).cast(places.schema["place"].dataType)
+    both = rows.withColumn("place", nothing).unionByName(places, allowMissingColumns=True).repartition("conv")
+    listed = both.withColumn("places", F.collect_list("place").over(Window.partitionBy("conv", "id")))
+    return listed.where("text IS NOT NULL").select("conv", "conv_id", "role", "text", F.inline("places"))
+
+
 def written(turns: DataFrame) -> DataFrame:
     """One row per branch: its turns in order, end to end, and where the loss mask is."""
-    branch = ["conv", "branch", "leaf", "score"]
+    branch = ["conv", "branch"]
     first, last = opening(F.col("role")), closing(F.col("role"))
-    rows = turns.select(*branch, "conv_id", "back", "role", "text", first.alias("first"), escaped(F.col("text")).alias("body"),
-                        last.alias("last"))
+    rows = turns.select("*", first.alias("first"), escaped(F.col("text")).alias("body"), last.alias("last"))
     piece = F.concat("first", "body", "last")
     order = Window.partitionBy(*branch).orderBy(F.desc("back"), "role", "text")
     rows = rows.select(
-        *branch, "conv_id", (F.row_number().over(order) - 1).alias("turn"), piece.alias("piece"), F.length("body").alias("length"),
-        F.length("first").alias("at"), (F.col("role") == LEARNED).alias("learned"),
+        *branch, "leaf", "score", "conv_id", (F.row_number().over(order) - 1).alias("turn"), piece.alias("piece"),
+        F.length("body").alias("length"), F.length("first").alias("at"), (F.col("role") == LEARNED).alias("learned"),
         (F.sum(F.length(piece).cast("long")).over(order) - F.length(piece) + F.length("first")).alias("start"))
     loss = F.when(F.col("learned"), F.struct("turn", "at", "start", "length"))
-    whole = rows.groupBy(*branch).agg(F.first("conv_id").alias("conv_id"),
+    whole = rows.groupBy(*branch).agg(*[F.first(c).alias(c) for c in ("conv_id", "leaf", "score")],
                                       F.array_sort(F.collect_list(F.struct("turn", "piece"))).alias("pieces"),
                                       F.array_sort(F.collect_list(loss)).alias("loss"))
     return whole.select("conv_id", "branch", F.col("leaf").alias("leaf_id"), "score",
@@ -252,5 +267,5 @@ def format_branches(messages: DataFrame, links: DataFrame | None = None, keep: i
     if not hot.isEmpty():
         small = [x.join(F.broadcast(hot), "conv", "left_anti") for x in small]
         parts = [placed(*[x.join(F.broadcast(hot), "conv", "left_semi") for x in (rows, path)])]
-    parts.append(placed(*[x.repartition("conv") for x in small]))
+    parts.append((placed if keep is None or keep > FEW else gathered)(*small))
     return reduce(DataFrame.unionByName, [written(part) for part in parts])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from docmill.llm.common import LOWER, UPPER
+from docmill.llm.common import LOWER, UPPER, whole_rows
 from docmill.session import staged
 
 WINDOW = 13
@@ -279,9 +279,9 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_ch
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"),
-                       F.lit(0).cast("long").alias("n_words"), F.array().cast(ArrayType(SPAN)).alias("spans"),
-                       F.array().cast(ArrayType(StringType())).alias("items"))
+    rows = whole_rows(docs).select(
+        "row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(ArrayType(SPAN)).alias("spans"),
+        F.array().cast(ArrayType(StringType())).alias("items"))
     schema = rows.schema
     for block in range(blocks):
         # a block holds about block_chars characters, whatever the size of the test set

@@ -12,7 +12,8 @@ stage without a shuffle.
 
 Defined results: texts that are null or hold no letter are `und` with score 0. Rows without an id,
 text or language teach nothing. With one learned language every text with a letter is of that
-language; with none it is `und`. Repeated rows are scored each. Other columns are not looked at.
+language; with none it is `und`. Repeated rows are scored each and teach once. Equally near codewords go by
+the order of the languages. Empty tables give an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.common import LOWERED, fold, held_out
+from docmill.session import staged
 
 MAX_TRAINING = 3000
 MAX_LANGUAGES = 500
@@ -123,18 +125,40 @@ def fit(x: np.ndarray, languages: list[str]) -> OutputCodes:
     return OutputCodes(names, code, weights, bias, (trust / trust.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def train(docs: DataFrame, max_rows: int = MAX_TRAINING) -> OutputCodes:
-    """Fit on at most `max_rows` documents outside the held-out fold, spread evenly over the languages."""
+def least_hashes(rows: DataFrame, counts: dict[str, int], quota: int) -> DataFrame:
+    """Distinct (doc_id, lang) that hold the `quota` least hashes of ids of every language, and not many more.
+
+    A language's share of the hashes is set by its number of rows, to leave four times the quota,
+    and widened where rows that repeat their ids leave too few. So the rest is cut off in the scan.
+    """
+    share = {lang: min(1.0, 4 * quota / n) for lang, n in counts.items()}
+    while True:
+        limit = F.create_map(*[F.lit(x) for lang, part in share.items()
+                               for x in (lang, min((1 << 63) - 1, int(part * 2 ** 64) - (1 << 63)))])
+        near = staged(rows.where(F.xxhash64("doc_id") <= limit[F.col("lang")]).select("doc_id", "lang").distinct(), "least-hashes")
+        found = {r.lang: r.n for r in near.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [lang for lang, part in share.items() if part < 1 and found.get(lang, 0) < quota]
+        if not short:
+            return near
+        share.update({lang: min(1.0, 8 * share[lang]) for lang in short})
+
+
+def train(docs: DataFrame, max_rows: int = MAX_TRAINING, max_languages: int = MAX_LANGUAGES) -> OutputCodes:
+    """Fit on at most `max_rows` documents outside the held-out fold, spread evenly over the languages.
+
+    `max_languages` bounds the codes of the model; more languages than that are a ValueError.
+    """
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(
         fold(F.col("doc_id")) != HELD_OUT)
-    languages = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if languages > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not languages:
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    if not counts:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
+    quota = max(1, max_rows // len(counts))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(
-        F.col("n") <= max(1, max_rows // languages)).select("doc_id", "lang")
+    chosen = least_hashes(rows, counts, quota).withColumn("n", F.row_number().over(order)).where(
+        F.col("n") <= quota).select("doc_id", "lang")
 
     @F.pandas_udf("binary")
     def vector(text: pd.Series) -> pd.Series:

@@ -13,7 +13,8 @@ batches that arrive over time.
 Defined results: a null or empty text is one empty line. Lines whose key has fewer than
 `min_chars` code points always stay. Rows without an id count for nothing and stay as they are.
 Rows that share an id are one document: they count once per line and are each returned. Columns
-other than the id and the text are not looked at. Empty tables give an empty result.
+other than the id and the text are not looked at; `apply` carries them along whatever their names
+are. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from docmill.llm.common import SPACES, lowered
+from docmill.llm.common import SPACES, lowered, whole_rows
 from docmill.session import scratch_path, staged
 
 MIN_CHARS = 20
@@ -115,7 +116,7 @@ def without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
 
 
 def judged_rows(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
-    """The rows of `docs` with `line_hash_version` and `lines_gone`, the positions of lines that go."""
+    """The rows of `docs` (row, doc_id, text) with `line_hash_version` and `lines_gone`, the positions of lines that go."""
     lines = staged(line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))),
                    "lines")
     runs = LineRuns(docs.sparkSession, fanout)
@@ -130,7 +131,7 @@ def judged_rows(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fa
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                 batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """doc_id, kept_text, n_lines (before), n_dropped: one row per row of `docs` (doc_id, text)."""
-    rows = judged_rows(docs.select("doc_id", "text"), min_chars, min_docs, batches, fanout)
+    rows = judged_rows(docs.select(F.lit(0).alias("row"), "doc_id", "text"), min_chars, min_docs, batches, fanout)
     text = F.coalesce("text", F.lit(""))
     return rows.select(
         "doc_id", without_lines(text, F.col("lines_gone")).alias("kept_text"),
@@ -141,11 +142,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 def apply(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
           batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """`docs` with the kept lines as text and `n_chars` counted again; texts that lose nothing stay as they are."""
-    rows = judged_rows(docs, min_chars, min_docs, batches, fanout)
-    text = F.when(F.col("lines_gone").isNull(), F.col("text")).otherwise(
-        without_lines(F.coalesce("text", F.lit("")), F.col("lines_gone")))
-    rows = rows.withColumn("text", text)
+    rows = judged_rows(whole_rows(docs), min_chars, min_docs, batches, fanout)
+    kept = rows.withColumn("kept", without_lines(F.coalesce("text", F.lit("")), F.col("lines_gone")))
+    row = F.col("row").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("lines_gone").isNull(), F.col("n_chars"))
-                               .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+        row = row.withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return kept.select(F.when(F.col("lines_gone").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")

@@ -13,7 +13,8 @@ computed again after a loss gives the same sequences. Sequence ids carry the par
 in their upper bits, so they are unique.
 
 Defined results: a null or empty text is the end id alone. Rows without an id and rows that share
-an id are packed each. Texts of any length are encoded whole. Windows whose length is a power of
+an id are packed each. Texts of any length are encoded whole; one with 100,000 white space characters
+in a row by the `tokenizers` library itself, with the same ids. Windows whose length is a power of
 two need no padding. Other columns are not looked at. Empty tables give an empty result.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 CAPACITY = 1024
 BLOCK_WINDOWS = 96
@@ -38,13 +41,45 @@ END_ID = 0
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
+#: White space in a row that the pattern of `tiktoken` may not be able to walk back through.
+LONG_BLANK = re.compile(r"(?:\A|\S)\s{100000}")
+
+
+def checked(spec: str) -> dict:
+    """The parsed file, if `tiktoken` gives its ids; ValueError for any other kind of vocabulary."""
+    model = json.loads(spec)
+    before = model.get("pre_tokenizer") or {}
+    vocabulary = model["model"].get("vocab", {})
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["model"].get("merges", [])]
+    made = [vocabulary.get("".join(pair), -1) for pair in pairs]
+    if not (model["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+            and not before.get("add_prefix_space") and model.get("normalizer") is None
+            and made == sorted(made) and min(made, default=0) >= 0
+            and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in model["added_tokens"])):
+        raise ValueError("not a byte-level BPE with split words, without prefix space and normalizer, merged in the order of ids")
+    return model
+
+
+class ByteLevel:
+    """The byte-level BPE of a `tokenizers` JSON file, run by the faster `tiktoken` where that can."""
+
+    def __init__(self, spec: str):
+        self.fast, self.spec, self.whole = byte_level_encoding(spec), spec, None
+
+    def ids(self, text: str) -> np.ndarray:
+        if len(text) > 100_000 and LONG_BLANK.search(text):
+            self.whole = self.whole or Tokenizer.from_str(self.spec)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+
 def byte_level_encoding(spec: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a `tokenizers` JSON file, run by the faster `tiktoken`.
+    """The byte-level BPE of a `tokenizers` JSON file as a `tiktoken` encoding.
 
     Ids equal those of the `tokenizers` library with add_special_tokens=False (tested): ranks of
     this kind of vocabulary are its ids, and added tokens are found in the raw text first.
     """
-    model = json.loads(spec)
+    model = checked(spec)
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
     hidden = [b for b in range(256) if b not in set(visible)]
     byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -106,7 +141,7 @@ def packer(spec: str, capacity: int, block_windows: int):
                         ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = byte_level_encoding(spec)
+        encoding = ByteLevel(spec)
         end = np.array([END_ID], "<u4")
         next_id = TaskContext.get().partitionId() << 33
         rests, filled, out, held = [], 0, [], 0
@@ -127,8 +162,7 @@ def packer(spec: str, capacity: int, block_windows: int):
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoding.encode_to_numpy(text.as_py() or "", allowed_special="all")
-                ids = np.concatenate([ids.astype("<u4"), end])
+                ids = np.concatenate([encoding.ids(text.as_py() or ""), end])
                 whole = len(ids) - len(ids) % capacity
                 for start in range(0, whole, capacity):
                     out.append((doc, start, capacity, ids[start:start + capacity].tobytes(), len(ids), next_id, 0))

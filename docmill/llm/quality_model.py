@@ -12,7 +12,8 @@ smallest hash of their id. All rows are scored, in one narrow stage without a sh
 Defined results: a null text counts as empty; an empty text has all features zero and is scored
 like any other. Labels that are null or neither 0 nor 1 teach nothing, as do rows without an id.
 Repeated rows are scored each; a document labelled twice teaches twice. With no labelled rows
-the score is 0.5, with one class only it is near that class. Other columns are not looked at.
+the score is 0.5, with one class only it is near that class; a score of 0.5 counts as label 1. Splits of
+equal gain go by the first bin. Empty tables give an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ star contraction over the links between fingerprints.
 Defined results: a null or wordless text has fingerprint zero, linked like any other. Rows
 without an id have a fingerprint and a null component and link nothing. Rows that share an id are
 compared as rows, each by its own text; `apply` keeps one row of each component, so rows of one id in
-several components are all kept. Other columns are not looked at, but to choose among rows of the same id and text. Empty tables give an empty result.
+several components are all kept. Other columns are not looked at, but to choose among rows of the
+same id and text; `apply` carries them along whatever their names are. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import LOWERED
+from docmill.llm.common import LOWERED, whole_rows
 from docmill.session import staged
 
 SHINGLE = 3
@@ -231,11 +232,12 @@ def apply(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) ->
                   .select("least.*"), "kept")
     ids = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
     repeated = staged(ids.where("n > 1").select("doc_id"), "repeated")
-    single = docs.join(kept.select("doc_id").join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
+    whole = whole_rows(docs)
+    single = whole.join(kept.select("doc_id").join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
     # an id alone does not name one of several rows: these are found by their fingerprints
-    rows = docs.join(repeated, "doc_id", "left_semi").withColumn("_fp", fingerprints(shingle)("text"))
-    rows = rows.join(kept.withColumnRenamed("fp", "_fp"), ["doc_id", "_fp"], "left_semi")
-    others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
-    first = rows.groupBy("doc_id", "_fp").agg(
-        F.min_by(F.struct(*docs.columns), F.struct("text", *others)).alias("row")).select("row.*")
-    return single.select(docs.columns).unionByName(first).unionByName(docs.where("doc_id IS NULL"))
+    rows = whole.join(repeated, "doc_id", "left_semi").withColumn("fp", fingerprints(shingle)("text"))
+    rows = rows.join(kept, ["doc_id", "fp"], "left_semi")
+    others = [F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    first = rows.groupBy("doc_id", "fp").agg(F.min_by("row", F.struct("text", *others)).alias("row"))
+    left = single.select("row").unionByName(first.select("row")).unionByName(whole.where("doc_id IS NULL").select("row"))
+    return left.select("row.*")

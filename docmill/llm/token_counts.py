@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.packing import byte_level_encoding
+from docmill.llm.packing import ByteLevel
 
 LEAF_CHARS = 256
 SLICE_ROWS = 256
@@ -138,8 +138,8 @@ class SegmentTree:
 
 
 def counter(spec: str) -> Callable[[str], int]:
-    encoding = byte_level_encoding(spec)
-    return lambda text: len(encoding.encode(text, allowed_special="all"))
+    encoding = ByteLevel(spec)
+    return lambda text: len(encoding.ids(text))
 
 
 def breakable(spec: str) -> list[str]:

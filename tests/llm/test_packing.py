@@ -1,5 +1,6 @@
 """Packing: every id in one piece, windows within the capacity, little padding; ids as the tokenizer gives them."""
 
+import json
 import random
 from collections import defaultdict
 from pathlib import Path
@@ -98,5 +99,21 @@ def test_odd_rows_and_small_blocks(spark, tokenizer):
     assert packing.pack(docs.limit(0), vocabulary()).collect() == []
 
 
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\xa0", " \n"])
+def test_very_long_white_space(spark, tokenizer, blank):
+    texts = [(1, "a" + blank * (2_000_000 // len(blank)) + "b c"), (2, blank * 1_000_000), (3, "x " + blank * 99_999 + "y")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    check(packing.pack(docs, vocabulary()).collect(), texts, tokenizer)
+
+
+def test_other_vocabularies_are_refused():
+    model = json.loads(vocabulary())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}},
+                   {"pre_tokenizer": {**model["pre_tokenizer"], "add_prefix_space": True}},
+                   {"model": {**model["model"], "merges": model["model"]["merges"][::-1]}}):
+        with pytest.raises(ValueError, match="byte-level"):
+            packing.byte_level_encoding(json.dumps({**model, **change}))
+
+
 def test_the_vocabulary_is_not_copied():
     assert not list(Path(__file__).resolve().parents[2].rglob(BPE))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import check
@@ -83,9 +84,33 @@ def test_empty_and_odd_documents(spark, small):
         assert corpus_pipeline.STAGES[-1][1](spark, step, small).count() >= 0
 
 
+CLASHING = ["line_hash_version", "lines_gone", "kept", "row", "fp", "_fp", "root", "n", "a.b", "x`y", "score", "spans", "line1"]
+
+
+def test_stages_keep_columns_of_any_name(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    own = [F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")).alias(c) for i, c in enumerate(CLASHING)]
+    step = wide = docs.select("*", *own)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, small)
+        assert step.columns == wide.columns
+        for row in step.collect():
+            assert [row[c] for c in CLASHING] == [f"{i}-{row['doc_id']}" for i in range(len(CLASHING))]
+    assert corpus_pipeline.STAGES[-1][1](spark, step, small).count() > 0
+
+
+def test_very_long_white_space_goes_through(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    blank = spark.createDataFrame([(10**9 + i, c * 1_200_000, "en", "s", 1_200_000) for i, c in enumerate(" \t\n\xa0")], docs.schema)
+    step = blank
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        step = stage(spark, step, small)
+    assert step.count() > 0
+
+
 def test_registration():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run
     assert set(ORACLES) <= set(QUERIES) <= set(names)
 

@@ -52,8 +52,8 @@ def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: s
             strategy: str = "paragraph", buckets: int = tables.BUCKETS, **options) -> DataFrame:
     """Bring index and state up to date; returns the progress of the documents.
 
-    Of both tables only the buckets of the given documents are read, and only changes are
-    written. Running it again, also after a failure between the two writes, indexes what is
+    Of both tables only the partitions of the given documents are read, and only those of changed
+    documents are written. Running it again, also after a failure between the two writes, indexes what is
     still missing and nothing else.
     """
     if mode not in ("code", "hash"):
@@ -66,37 +66,38 @@ def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: s
     nothing = f"doc_id {id_type}, version string, chunk_id int, chunk_hash string"
     versions = staged(docs.select("doc_id", F.coalesce("version", F.lit(index.UNKNOWN_VERSION)).alias("version")), "versions")
 
+    rows_table = tables.Keyed(spark, index_path, ("vector_id",), buckets=buckets)
+    state_table = tables.Keyed(spark, state_path, buckets=buckets)
+
     def finish(todo: DataFrame) -> DataFrame:
         return staged(finished(embedded(inference.summarize(todo, summarizer, functions), embed), now), "reindex")
 
     def progress() -> DataFrame:
-        return index.progress(tables.read(spark, state_path, versions), versions)
+        return index.progress(state_table.read(versions), versions)
 
     if full:
         rows = finish(to_index(docs, None, full=True, strategy=strategy, **options))
-        tables.replace(spark, index_path, rows, ["vector_id"], buckets, owners=versions)
-        tables.replace(spark, state_path, index.state_rows(rows), None, buckets, owners=versions)
+        rows_table.replace(rows, versions)
+        state_table.replace(index.state_rows(rows), versions)
         return progress()
-    known = tables.exists(spark, state_path)
-    state = tables.read(spark, state_path, versions) if known else spark.createDataFrame([], nothing)
+    state = state_table.read(versions) if state_table.exists() else spark.createDataFrame([], nothing)
     gone = None
     if mode == "hash":  # the texts are chunked once to compare, and again only where a chunk is missing
         current = staged(hashed_chunks(docs, strategy, **options), "current")
         rows = finish(chunks_with(docs, staged(index.missing_keys(current, state), "missing"), strategy, **options))
-        if tables.exists(spark, index_path):
-            written = tables.read(spark, index_path, versions).select("doc_id", "chunk_id", "vector_id")
+        if rows_table.exists():
+            written = rows_table.read(versions).select("doc_id", "chunk_id", "vector_id")
             gone = staged(written.join(current.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_anti"), "stale")
     else:
         rows = finish(to_index(docs, state, mode, False, strategy, **options))
-    tables.upsert(spark, index_path, rows, ["vector_id"], buckets=buckets)
+    rows_table.upsert(rows, gone=gone)
     touched = rows.select("doc_id").unionByName(index.changed_documents(versions, state).select("doc_id"))
     if gone is not None:
-        tables.delete_keys(spark, index_path, gone)
         touched = touched.unionByName(gone.select("doc_id"))
     # The state follows the index table, so it never claims a chunk that was not written.
     touched = staged(versions.join(touched.distinct(), "doc_id", "left_semi"), "touched")
-    there = tables.read(spark, index_path, touched).select("doc_id", "chunk_id", "chunk_hash").join(touched, "doc_id")
-    tables.replace(spark, state_path, index.state_rows(there), None, buckets, owners=touched)
+    there = rows_table.read(touched).select("doc_id", "chunk_id", "chunk_hash").join(touched, "doc_id")
+    state_table.replace(index.state_rows(there), touched)
     return progress()
 
 

@@ -1,17 +1,14 @@
-"""Table sinks: appends, stream batches, and keyed tables that grow by small batches.
-
-A keyed table is a base and the batches written since. An upsert, a replacement or a delete
-writes only its own rows and what they put out of date; nothing stored is rewritten, so the
-cost of a change does not grow with the table. A batch counts once its commit file is there.
-Reading keeps the newest row per key; the batches are small next to the base, so Catalyst can
-broadcast their keys, and a table without batches is read as it is. `compact` folds the batches
-into a new base.
+"""Table sinks: appends, stream batches, and keyed tables on partitioned Parquet.
+
+A keyed table is plain Parquet, partitioned by a hash of the document (or session) that owns a row.
+A change reads the partitions it touches, stages what becomes of them and lets Spark's dynamic
+partition overwrite put them in place; all other partitions are neither read nor written.
 """
 
 from __future__ import annotations
 
-import json
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +16,11 @@ from pyspark.sql.types import IntegerType, StructType
 
 from docmill.functions.records import DEFAULT_ACL
 from docmill.functions.text import BLANK_LINE
-from docmill.operators.index import latest, single
+from docmill.operators.index import latest, replaced, single
 from docmill.session import staged
 
 BUCKET = "bucket"
-BUCKETS = 1024  # about 100 GB each for a 100 TB table; small tables pass fewer
-MAX_BATCHES = 16  # a table with more is compacted by the next change
+BUCKETS = 16_384  # about 6 GB each for a 100 TB table; small tables pass fewer
 
 
 def upload(docs: DataFrame, path: str) -> DataFrame:
@@ -106,35 +102,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
-def _parts(spark: SparkSession, path: str) -> tuple[int, dict[str, list[int]]]:
-    """The base, and the committed batches after it by kind: rows, gone (owners), dropped (keys)."""
-    files, target = _files(spark, path)
-    names = [s.getPath().getName() for s in files.listStatus(target)]
-    bases = [int(n[5:]) for n in names if n.startswith("base=") and exists(spark, f"{path}/{n}/_SUCCESS")]
-    base = max(bases)
-    done = {int(n[7:]) for n in names if n.startswith("commit=")}
-    found = {kind: sorted(b for n in names if n.startswith(f"{kind}=") for b in [int(n[len(kind) + 1:])]
-                          if b > base and b in done) for kind in ("rows", "gone", "dropped")}
-    return base, found
-
-
-def _next(spark: SparkSession, path: str) -> int:
-    """A batch number that no earlier attempt has used."""
+def remove(spark: SparkSession, path: str) -> None:
     files, target = _files(spark, path)
-    names = [s.getPath().getName() for s in files.listStatus(target)]
-    return 1 + max((int(n.split("=")[1]) for n in names if "=" in n), default=0)
-
-
-def _commit(spark: SparkSession, path: str, batch: int) -> None:
-    files, target = _files(spark, f"{path}/commit={batch}")
-    files.create(target, False).close()
-
-
-def properties(spark: SparkSession, path: str) -> tuple[list[str], str, int, StructType]:
-    """Key columns, owner column, number of buckets and columns of a table."""
-    row = spark.read.json(f"{path}/properties").first()
-    columns = StructType.fromJson(json.loads(row["columns"]))
-    return [c for c in row["keys"].split(",") if c], row["owner"], row["buckets"], columns
+    files.delete(target, True)
 
 
 def bucketed(df: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id") -> DataFrame:
@@ -142,134 +112,137 @@ def bucketed(df: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id") -> Da
     return df.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(owner).cast("string")), F.lit(buckets)).cast("int"))
 
 
-def _write(df: DataFrame, path: str, buckets: int, owner: str) -> None:
-    """`rebalance` splits a hot bucket over tasks and joins small ones."""
-    bucketed(df, buckets, owner).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
-
-
-def create(df: DataFrame, path: str, keys: list[str] | None = None, buckets: int = BUCKETS,
-           owner: str = "doc_id") -> None:
-    """Write a new table. `keys` tell its rows apart; without them rows belong to their owner only."""
-    spark = df.sparkSession
-    spark.createDataFrame([(",".join(keys or []), owner, buckets, df.schema.json())],
-                          "keys string, owner string, buckets int, columns string").coalesce(1).write.json(f"{path}/properties")
-    _write(df, f"{path}/base=0", buckets, owner)
-
+@dataclass(frozen=True)
+class Keyed:
+    """The table in folder `path`: Parquet partitions in `rows`, one empty file with its columns in `columns`.
 
-def read(spark: SparkSession, path: str, owners: DataFrame | None = None) -> DataFrame:
-    """The current rows; of the given documents (or sessions) only, if there are any.
-
-    With `owners` only their buckets are read: at most `buckets` numbers come to the driver.
+    `keys` tell rows apart; without them rows belong to their owner only. A change is staged whole
+    in `pending` before a stored file is touched. From then on readers take the touched partitions
+    from there, so a change that stops half-way is either not there at all or there as a whole, and
+    the next change first finishes it. One writer at a time; a reader that has begun before a
+    change may miss its files and has to begin again. The work of a change grows with the size
+    of the touched partitions: `buckets` should leave them a few GB each.
     """
-    keys, owner, buckets, columns = properties(spark, path)
-    base, batches = _parts(spark, path)
-    hit = None
-    if owners is not None:
-        hit = sorted(r[0] for r in bucketed(owners.select(owner), buckets, owner).select(BUCKET).distinct().collect())
-
-    def part(kind: str, batch: int) -> DataFrame:
-        names = {"gone": [owner], "dropped": [owner, *keys]}.get(kind, columns.names)
-        schema = StructType([columns[c] for c in dict.fromkeys(names)]).add(BUCKET, IntegerType())
-        rows = spark.read.schema(schema).parquet(f"{path}/{kind}={batch}")
-        if hit is not None:
-            rows = rows.where(F.col(BUCKET).isin(hit))
-        return rows.drop(BUCKET).withColumn("_batch", F.lit(batch))
-
-    rows = part("base", base)
-    for batch in batches["rows"]:
-        rows = rows.unionByName(part("rows", batch))
-
-    def outdated(rows: DataFrame, parts: list[DataFrame], by: list[str]) -> DataFrame:
-        """Rows without a later batch for the same values."""
-        names = [f"_{c}" for c in by]
-        last = reduce(DataFrame.unionByName, [p.select(*[F.col(c).alias(n) for c, n in zip(by, names)], "_batch")
-                                              for p in parts]).groupBy(*names).agg(F.max("_batch").alias("_last"))
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)])
-        return rows.join(last, same, "left").where("_last is null or _last <= _batch").drop(*names, "_last")
-
-    if batches["gone"]:
-        rows = outdated(rows, [part("gone", b) for b in batches["gone"]], [owner])
-    later = [part(kind, b) for kind in ("rows", "dropped") for b in batches[kind]] if keys else []
-    if later:
-        rows = outdated(rows, later, keys)
-    rows = rows.select(*columns.names)
-    return rows if owners is None else rows.join(owners.select(owner).distinct(), owner, "left_semi").select(*columns.names)
-
-
-def _change(spark: SparkSession, path: str, **parts: DataFrame) -> None:
-    """Write one batch and commit it; folds the batches into a new base when there are many."""
-    _, owner, buckets, columns = properties(spark, path)
-    batch = _next(spark, path)
-    for kind, df in parts.items():
-        _write(df.select(*columns.names) if kind == "rows" else df, f"{path}/{kind}={batch}", buckets, owner)
-    _commit(spark, path, batch)
-    if len(set().union(*_parts(spark, path)[1].values())) > MAX_BATCHES:
-        compact(spark, path)
-
-
-def compact(spark: SparkSession, path: str) -> None:
-    """Write the current rows as a new base. Older files stay for readers that have begun; see `vacuum`."""
-    _, owner, buckets, _ = properties(spark, path)
-    base, batches = _parts(spark, path)
-    last = max([base, *(b for kind in batches.values() for b in kind)])
-    if last > base:
-        _write(read(spark, path), f"{path}/base={last}", buckets, owner)
-
-
-def vacuum(spark: SparkSession, path: str) -> None:
-    """Remove what the newest base has replaced; call it when no reader uses an older state."""
-    base, _ = _parts(spark, path)
-    files, target = _files(spark, path)
-    for status in files.listStatus(target):
-        kind, _, number = status.getPath().getName().partition("=")
-        if number and (int(number) < base or int(number) == base and kind != "base"):
-            files.delete(status.getPath(), True)
 
-
-def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str],
-           order: list[str] | None = None, buckets: int = BUCKETS, owner: str = "doc_id") -> None:
-    """Insert or replace rows by key; creates the table on first use.
-
-    Of several updates of a key the last in `order` counts; without an order they must be equal.
-    """
-    updates = latest(updates, keys, order) if order else single(updates, keys)
-    if not exists(spark, path):
-        create(updates, path, keys, buckets, owner)
-    else:
-        _change(spark, path, rows=updates)
-
-
-def delete(spark: SparkSession, path: str, owners: DataFrame) -> None:
-    """Drop every row of the given documents (or sessions)."""
-    if exists(spark, path):
-        owner = properties(spark, path)[1]
-        _change(spark, path, gone=owners.select(owner).distinct())
-
-
-def delete_keys(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Drop the rows with the keys of `rows`, which also holds their owners."""
-    if exists(spark, path):
-        keys, owner = properties(spark, path)[:2]
-        _change(spark, path, dropped=rows.select(*dict.fromkeys([owner, *keys])).distinct())
-
-
-def delete_prefix(spark: SparkSession, path: str, prefix: str, column: str = "vector_id",
-                  owners: DataFrame | None = None) -> None:
-    """Drop rows whose id starts with a literal prefix. Only ids are read; of the `owners`' buckets, if given."""
-    if exists(spark, path):
-        rows = read(spark, path, owners).where(F.col(column).startswith(prefix))
-        keys, owner = properties(spark, path)[:2]
-        delete_keys(spark, path, staged(rows.select(*dict.fromkeys([owner, *keys])), "prefix"))
-
-
-def replace(spark: SparkSession, path: str, rows: DataFrame, keys: list[str] | None = None, buckets: int = BUCKETS,
-            owner: str = "doc_id", owners: DataFrame | None = None) -> None:
-    """Replace all rows of the documents (or sessions) in `rows`, or of the `owners` given.
-
-    An owner without new rows loses its old ones.
-    """
-    if not exists(spark, path):
-        create(rows, path, keys, buckets, owner)
-        return
-    owner = properties(spark, path)[1]
-    _change(spark, path, gone=(rows if owners is None else owners).select(owner).distinct(), rows=rows)
+    spark: SparkSession
+    path: str
+    keys: tuple[str, ...] = ()
+    owner: str = "doc_id"
+    buckets: int = BUCKETS
+
+    def exists(self) -> bool:
+        return exists(self.spark, f"{self.path}/columns/_SUCCESS")
+
+    def read(self, owners: DataFrame | None = None) -> DataFrame:
+        """The rows; of the given documents (or sessions) only, if there are any: then no other partition is read."""
+        rows = self._stored(None if owners is None else self._buckets_of(owners)).drop(BUCKET)
+        if owners is None:
+            return rows
+        return rows.join(owners.select(self.owner).distinct(), self.owner, "left_semi").select(*rows.columns)
+
+    def create(self, df: DataFrame) -> None:
+        """Write a new table, or what is left of one whose creation failed."""
+        self._write(df, f"{self.path}/rows")
+        df.limit(0).write.mode("overwrite").parquet(f"{self.path}/columns")
+
+    def upsert(self, updates: DataFrame, order: list[str] | None = None, gone: DataFrame | None = None) -> None:
+        """Insert or replace rows by key, and drop those with the keys and owners in `gone`; creates the table on first use.
+
+        Of several updates of a key the last in `order` counts; without an order they must be equal.
+        """
+        keys = list(self.keys)
+        updates = staged(latest(updates, keys, order) if order else single(updates, keys), "updates")
+        if not self.exists():
+            self.create(updates)
+            return
+        touched, old = updates.select(self.owner), updates.select(*keys)
+        if gone is not None:
+            touched, old = touched.unionByName(gone.select(self.owner)), old.unionByName(gone.select(*keys))
+
+        def merged(rows: DataFrame) -> DataFrame:
+            kept = rows.join(old, keys, "left_anti").select(*rows.columns)
+            return kept.unionByName(updates.select(*rows.columns))
+        self._change(touched, merged)
+
+    def replace(self, rows: DataFrame, owners: DataFrame | None = None) -> None:
+        """Replace all rows of the documents (or sessions) in `rows`, or of the `owners` given.
+
+        An owner without new rows loses its old ones.
+        """
+        if not self.exists():
+            self.create(rows)
+            return
+        rows = staged(rows, "replacement")
+        owners = staged((rows if owners is None else owners).select(self.owner).distinct(), "owners")
+        touched = owners.unionByName(rows.select(self.owner))
+        self._change(touched, lambda stored: replaced(stored, rows, self.owner, owners))
+
+    def delete(self, owners: DataFrame) -> None:
+        """Drop every row of the given documents (or sessions)."""
+        if self.exists():
+            gone = staged(owners.select(self.owner).distinct(), "owners")
+            self._change(gone, lambda rows: rows.join(gone, self.owner, "left_anti").select(*rows.columns))
+
+    def delete_keys(self, rows: DataFrame) -> None:
+        """Drop the rows with the keys of `rows`, which also holds their owners."""
+        if self.exists():
+            keys = list(self.keys)
+            gone = staged(rows.select(*dict.fromkeys([self.owner, *keys])).distinct(), "gone")
+            self._change(gone, lambda stored: stored.join(gone.select(*keys), keys, "left_anti").select(*stored.columns))
+
+    def delete_prefix(self, prefix: str, column: str = "vector_id", owners: DataFrame | None = None) -> None:
+        """Drop rows whose id starts with a literal prefix. Only ids are read to find them; of the `owners`, if given."""
+        if self.exists():
+            self.delete_keys(self.read(owners).where(F.col(column).startswith(prefix)))
+
+    # ---- partitions
+
+    def _buckets_of(self, owners: DataFrame) -> list[int]:
+        """At most `buckets` numbers come to the driver."""
+        numbers = bucketed(owners.select(self.owner), self.buckets, self.owner).select(BUCKET).distinct()
+        return sorted(r[0] for r in numbers.collect())
+
+    def _columns(self) -> StructType:
+        return self.spark.read.parquet(f"{self.path}/columns").schema
+
+    def _part(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(self._columns().add(BUCKET, IntegerType())).parquet(f"{self.path}/{folder}")
+
+    def _stored(self, only: list[int] | None = None) -> DataFrame:
+        rows, waiting = self._part("rows"), self._waiting()
+        if waiting:
+            rows = rows.where(~F.col(BUCKET).isin(waiting)).unionByName(self._part("pending/rows"))
+        return rows if only is None else rows.where(F.col(BUCKET).isin(only))
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        """`rebalance` splits a hot bucket over tasks and joins small ones."""
+        bucketed(df, self.buckets, self.owner).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
+    def _waiting(self) -> list[int]:
+        """The partitions of a change that is staged as a whole but not in place yet."""
+        if not exists(self.spark, f"{self.path}/pending/touched/_SUCCESS"):
+            return []
+        return [r[0] for r in self.spark.read.parquet(f"{self.path}/pending/touched").collect()]
+
+    def _change(self, touched: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> None:
+        self.finish()
+        hit = self._buckets_of(touched)
+        if not hit:
+            return
+        self._write(merge(self._stored(hit).drop(BUCKET)), f"{self.path}/pending/rows")
+        numbers = self.spark.createDataFrame([(b,) for b in hit], f"{BUCKET} int")
+        numbers.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/pending/touched")
+        self.finish()
+
+    def finish(self) -> None:
+        """Put a staged change in place; what was staged only in part goes away. Can be run again at any time."""
+        waiting = self._waiting()
+        if waiting:
+            rows = self._part("pending/rows")
+            filled = {r[0] for r in rows.select(BUCKET).distinct().collect()}
+            rows.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                BUCKET).parquet(f"{self.path}/rows")
+            for empty in set(waiting) - filled:  # an overwrite leaves partitions alone that get no row
+                remove(self.spark, f"{self.path}/rows/{BUCKET}={empty}")
+        remove(self.spark, f"{self.path}/pending/touched")
+        remove(self.spark, f"{self.path}/pending")

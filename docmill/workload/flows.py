@@ -123,13 +123,13 @@ INDEX_ROWS = f"""WITH {LINES} SELECT doc_id || '_chunk_' || chunk_id AS vector_i
 def reindex_incremental(spark, sf):
     """Changed and missing chunks are indexed, chunks beyond the new end are dropped."""
     index_path, _, _ = _reindexed(spark, sf, "hash", False)
-    return tables.read(spark, index_path).select("vector_id", "chunk")
+    return tables.Keyed(spark, index_path, buckets=8).read().select("vector_id", "chunk")
 
 
 @query(INDEX_ROWS)
 def reindex_full(spark, sf):
     index_path, _, _ = _reindexed(spark, sf, "hash", True)
-    return tables.read(spark, index_path).select("vector_id", "version", "chunk")
+    return tables.Keyed(spark, index_path, buckets=8).read().select("vector_id", "version", "chunk")
 
 
 @query(f"""WITH {LINES} SELECT doc_id, any_value(version) AS version, CAST(count(*) AS BIGINT) AS chunks_indexed_count

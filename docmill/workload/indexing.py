@@ -131,46 +131,43 @@ def index_upsert(spark, sf):
 
 @query(UPSERTED)
 def index_upsert_table(spark, sf):
-    """The same through a table in the shared folder, to which the updates are added as a batch."""
+    """The same through a table in the shared folder, of which the touched partitions are overwritten."""
     stored, updates = _stored_and_updates(spark, sf)
-    path = scratch_path(spark, "upsert")
-    tables.upsert(spark, path, stored, ["vector_id"], buckets=8)
-    tables.upsert(spark, path, updates, ["vector_id"], ["batch"], buckets=8)
-    return tables.read(spark, path)
+    kept = tables.Keyed(spark, scratch_path(spark, "upsert"), ("vector_id",), buckets=8)
+    kept.create(stored)
+    kept.upsert(updates, ["batch"])
+    return kept.read()
 
 
 @query(f"WITH {LINES}, {UPSERT} SELECT vector_id, chunk_id FROM stored WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def index_delete_table(spark, sf):
-    """Delete the labelled documents from a bucketed table."""
+    """Delete the labelled documents from a partitioned table."""
     stored, _ = _stored_and_updates(spark, sf)
-    path = scratch_path(spark, "delete")
-    tables.create(stored, path, ["vector_id"], 8)
-    tables.delete(spark, path, table(spark, sf, "labels"))
-    return tables.read(spark, path).select("vector_id", "chunk_id")
+    kept = tables.Keyed(spark, scratch_path(spark, "delete"), ("vector_id",), buckets=8)
+    kept.create(stored)
+    kept.delete(table(spark, sf, "labels"))
+    return kept.read().select("vector_id", "chunk_id")
 
 
 @query(f"WITH {LINES}, {UPSERT} SELECT vector_id, chunk_id, chunk FROM stored WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def chunk_lookup_table(spark, sf):
-    """The chunks of some documents out of a table: only the buckets of these documents are read."""
+    """The chunks of some documents out of a table: only the partitions of these documents are read."""
     stored, _ = _stored_and_updates(spark, sf)
-    path = scratch_path(spark, "lookup")
-    tables.create(stored, path, ["vector_id"], 64)
-    some = table(spark, sf, "labels").where("toxic = 1")
-    return tables.read(spark, path, some).select("vector_id", "chunk_id", "chunk")
+    kept = tables.Keyed(spark, scratch_path(spark, "lookup"), ("vector_id",), buckets=64)
+    kept.create(stored)
+    return kept.read(table(spark, sf, "labels").where("toxic = 1")).select("vector_id", "chunk_id", "chunk")
 
 
 @query(f"""WITH {LINES}, {UPSERT} SELECT vector_id, chunk_id FROM stored
 WHERE NOT starts_with(vector_id, '1_chunk_') AND NOT starts_with(vector_id, '23_')""")
 def index_delete_prefix_table(spark, sf):
-    """Delete two documents by the prefix of their ids, fold the batches into a new base and clear what it replaced."""
+    """Delete two documents by the prefix of their ids, one of them with its owner known."""
     stored, _ = _stored_and_updates(spark, sf)
-    path = scratch_path(spark, "prefix")
-    tables.create(stored, path, ["vector_id"], 8)
-    tables.delete_prefix(spark, path, "1_chunk_")
-    tables.delete_prefix(spark, path, "23_", owners=spark.createDataFrame([(23,)], "doc_id long"))
-    tables.compact(spark, path)
-    tables.vacuum(spark, path)
-    return tables.read(spark, path).select("vector_id", "chunk_id")
+    kept = tables.Keyed(spark, scratch_path(spark, "prefix"), ("vector_id",), buckets=8)
+    kept.create(stored)
+    kept.delete_prefix("1_chunk_")
+    kept.delete_prefix("23_", owners=spark.createDataFrame([(23,)], "doc_id long"))
+    return kept.read().select("vector_id", "chunk_id")
 
 
 @query(f"""WITH {LINES} SELECT CASE WHEN lang = 'es' THEN 'chunk_' || chunk_id ELSE doc_id || '_chunk_' || chunk_id END AS vector_id,
@@ -242,12 +239,13 @@ def catalog_write(spark, sf):
        "ELSE doc_name END AS doc_name) FROM catalog")
 def catalog_upsert(spark, sf):
     """The catalog written twice: labelled documents change, no document is listed twice."""
-    rows, path = _catalog(spark, sf), scratch_path(spark, "catalog")
-    tables.upsert(spark, path, rows, ["id"], buckets=8, owner="id")
+    rows = _catalog(spark, sf)
+    listed = tables.Keyed(spark, scratch_path(spark, "catalog"), ("id",), "id", 8)
+    listed.upsert(rows)
     labelled = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"))
     changed = rows.join(labelled, "id", "left_semi").withColumn("doc_name", F.concat("doc_name", F.lit(" (new)")))
-    tables.upsert(spark, path, changed, ["id"], buckets=8, owner="id")
-    return _catalog_shown(tables.read(spark, path))
+    listed.upsert(changed)
+    return _catalog_shown(listed.read())
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'cache' ELSE 'generated' END AS source

@@ -246,64 +246,104 @@ def files_below(path):
     return {p for p in Path(path).rglob("*.parquet")}
 
 
+ROWS = "doc_id long, vector_id string, v string"
+
+
+def keyed(spark, buckets=8):
+    """A table of twenty documents of three rows each."""
+    table = tables.Keyed(spark, scratch_path(spark, "t"), ("vector_id",), buckets=buckets)
+    table.upsert(spark.createDataFrame([(d, f"{d}_{c}", "old") for d in range(20) for c in range(3)], ROWS))
+    return table
+
+
 def test_keyed_table(spark):
-    path = scratch_path(spark, "t")
-    rows = spark.createDataFrame([(d, f"{d}_{c}", "old") for d in range(20) for c in range(3)], "doc_id long, vector_id string, v string")
-    tables.upsert(spark, path, rows, ["vector_id"], buckets=8)
-    before = files_below(path)
-    tables.upsert(spark, path, spark.createDataFrame([(5, "5_1", "new"), (99, "99_0", "new")], rows.schema), ["vector_id"], buckets=8)
-    got = tables.read(spark, path)
-    assert got.columns == rows.columns
+    table = keyed(spark)
+    table.upsert(spark.createDataFrame([(5, "5_1", "new"), (99, "99_0", "new")], ROWS))
+    got = table.read()
+    assert got.columns == ["doc_id", "vector_id", "v"]
     assert got.count() == 61 and pairs(got.where("v = 'new'"), "vector_id") == [("5_1",), ("99_0",)]
-    assert before < files_below(path)  # nothing stored is rewritten
-    tables.upsert(spark, path, rows.limit(0), ["vector_id"])
-    assert tables.read(spark, path).count() == 61
-    tables.replace(spark, path, spark.createDataFrame([(5, "5_0", "only")], rows.schema))
-    assert pairs(tables.read(spark, path).where("doc_id = 5"), "vector_id", "v") == [("5_0", "only")]
-    tables.upsert(spark, path, spark.createDataFrame([(5, "5_9", "again")], rows.schema), ["vector_id"])
-    assert pairs(tables.read(spark, path).where("doc_id = 5"), "vector_id") == [("5_0",), ("5_9",)]
-    tables.delete_keys(spark, path, spark.createDataFrame([(5, "5_9")], "doc_id long, vector_id string"))
-    tables.delete_prefix(spark, path, "6_")
-    assert pairs(tables.read(spark, path).where("doc_id in (5, 6)"), "vector_id") == [("5_0",)]
-    others = tables.read(spark, path).select("doc_id").where("doc_id <> 7")
-    tables.delete(spark, path, others)
-    assert pairs(tables.read(spark, path), "vector_id") == [("7_0",), ("7_1",), ("7_2",)]
-    tables.compact(spark, path)
-    tables.vacuum(spark, path)
-    assert pairs(tables.read(spark, path), "vector_id") == [("7_0",), ("7_1",), ("7_2",)]
-    assert all(f.parent.parent.name.startswith("base=") for f in files_below(path))
-    tables.delete(spark, path, tables.read(spark, path).select("doc_id"))
-    tables.compact(spark, path)
-    assert tables.read(spark, path).count() == 0
-
-
-def test_batches_without_a_commit_do_not_count(spark):
-    path = scratch_path(spark, "t")
-    rows = spark.createDataFrame([(1, "a")], "doc_id long, vector_id string")
-    tables.create(rows, path, ["vector_id"], 4)
-    tables._write(spark.createDataFrame([(2, "b")], rows.schema), f"{path}/rows=1", 4, "doc_id")  # as after a lost driver
-    assert pairs(tables.read(spark, path), "doc_id") == [(1,)]
-    tables.upsert(spark, path, spark.createDataFrame([(3, "c")], rows.schema), ["vector_id"])
-    assert pairs(tables.read(spark, path), "doc_id") == [(1,), (3,)]
-
-
-def test_many_batches_are_compacted(spark, monkeypatch):
-    monkeypatch.setattr(tables, "MAX_BATCHES", 2)
-    path = scratch_path(spark, "t")
-    schema = "doc_id long, vector_id string, v int"
-    for i in range(5):
-        tables.upsert(spark, path, spark.createDataFrame([(1, "a", i), (i, f"n{i}", i)], schema), ["vector_id"], buckets=4)
-    assert sum(map(len, tables._parts(spark, path)[1].values())) <= 2
-    assert pairs(tables.read(spark, path), "vector_id", "v") == [("a", 4), *[(f"n{i}", i) for i in range(5)]]
-
-
-def test_few_documents_read_few_buckets(spark, plan):
-    path = scratch_path(spark, "t")
+    table.upsert(got.limit(0))
+    assert table.read().count() == 61
+    table.replace(spark.createDataFrame([(5, "5_0", "only")], ROWS))
+    assert pairs(table.read().where("doc_id = 5"), "vector_id", "v") == [("5_0", "only")]
+    table.upsert(spark.createDataFrame([(5, "5_9", "again")], ROWS), gone=spark.createDataFrame([(4, "4_0")], "doc_id long, vector_id string"))
+    assert pairs(table.read().where("doc_id in (4, 5)"), "vector_id") == [("4_1",), ("4_2",), ("5_0",), ("5_9",)]
+    table.delete_keys(spark.createDataFrame([(5, "5_9")], "doc_id long, vector_id string"))
+    table.delete_prefix("6_")
+    assert pairs(table.read().where("doc_id in (5, 6)"), "vector_id") == [("5_0",)]
+    table.delete(table.read().select("doc_id").where("doc_id <> 7"))
+    assert pairs(table.read(), "vector_id") == [("7_0",), ("7_1",), ("7_2",)]
+    table.delete(table.read())
+    assert table.read().count() == 0 and not files_below(f"{table.path}/rows")
+    table.upsert(spark.createDataFrame([(1, "1_0", "back")], ROWS))
+    assert pairs(table.read(), "doc_id", "v") == [(1, "back")]
+
+
+def test_the_table_is_plain_partitioned_parquet(spark):
+    table = keyed(spark)
+    assert spark.read.parquet(f"{table.path}/rows").drop("bucket").count() == 60
+
+
+def test_only_touched_partitions_are_rewritten(spark):
+    table = keyed(spark, 64)
+    before = files_below(f"{table.path}/rows")
+    table.upsert(spark.createDataFrame([(5, "5_1", "new")], ROWS))
+    after = files_below(f"{table.path}/rows")
+    assert len({f.parent for f in before ^ after}) == 1 and len(before & after) == len(before) - 1
+    table.delete(spark.createDataFrame([(5,)], "doc_id long"))
+    assert len({f.parent for f in after ^ files_below(f"{table.path}/rows")}) == 1
+
+
+def test_a_change_that_stops_before_it_is_staged_is_not_there(spark, monkeypatch):
+    table = keyed(spark)
+    write = tables.Keyed._write
+
+    def stopped(self, df, path):
+        write(self, df, path)
+        raise RuntimeError("driver lost")
+    monkeypatch.setattr(tables.Keyed, "_write", stopped)
+    with pytest.raises(RuntimeError):
+        table.delete(spark.createDataFrame([(5,)], "doc_id long"))
+    monkeypatch.undo()
+    assert table.read().count() == 60
+    table.delete(spark.createDataFrame([(6,)], "doc_id long"))
+    assert table.read().count() == 57
+
+
+def test_a_change_that_stops_while_it_is_put_in_place_is_there(spark, monkeypatch):
+    table = keyed(spark)
+    finish, calls = tables.Keyed.finish, []
+
+    def stopped(self):
+        calls.append(1)
+        if len(calls) == 2:
+            files = sorted(files_below(f"{self.path}/rows"))
+            files[0].unlink()  # as a partition that was being replaced
+            raise RuntimeError("driver lost")
+        finish(self)
+    monkeypatch.setattr(tables.Keyed, "finish", stopped)
+    everything = spark.range(20).select(F.col("id").alias("doc_id"), F.format_string("%d_1", "id").alias("vector_id"), F.lit("new").alias("v"))
+    with pytest.raises(RuntimeError):
+        table.upsert(everything)
+    monkeypatch.undo()
+    want = [(v,) for v in ["new"] * 20 + ["old"] * 40]
+    assert pairs(table.read(), "v") == want  # read from what is staged
+    table.finish()
+    assert pairs(table.read(), "v") == want and not exists_pending(table)
+    table.upsert(spark.createDataFrame([(50, "50_0", "new")], ROWS))
+    assert table.read().count() == 61
+
+
+def exists_pending(table):
+    return tables.exists(table.spark, f"{table.path}/pending")
+
+
+def test_few_documents_read_few_partitions(spark, plan):
     rows = spark.range(500).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("vector_id"))
-    tables.create(rows, path, ["vector_id"], 64)
-    tables.upsert(spark, path, rows.where("doc_id < 9"), ["vector_id"])
-    ids = spark.createDataFrame([(3,), (4,)], "doc_id long")
-    some = tables.read(spark, path, ids)
+    table = tables.Keyed(spark, scratch_path(spark, "t"), ("vector_id",), buckets=64)
+    table.create(rows)
+    table.upsert(rows.where("doc_id < 9"))
+    some = table.read(spark.createDataFrame([(3,), (4,)], "doc_id long"))
     assert "PartitionFilters: [bucket" in plan(some) and pairs(some, "doc_id") == [(3,), (4,)]
 
 
@@ -320,8 +360,12 @@ def run(spark, rows, paths, now, **settings):
     return reindex.reindex(spark, docs_of(spark, rows), *paths, now, strategy="paragraph_clean", buckets=4, **settings)
 
 
+def at(spark, path):
+    return tables.Keyed(spark, path, buckets=4)
+
+
 def stored(spark, paths):
-    return pairs(tables.read(spark, paths[0]), "vector_id", "chunk", "ts")
+    return pairs(at(spark, paths[0]).read(), "vector_id", "chunk", "ts")
 
 
 def test_reindex_resumes_and_notices_edits(spark):
@@ -352,7 +396,7 @@ def test_text_files_to_answers(spark, tmp_path):
     asks = spark.createDataFrame([(1, "SEA", None, None, None, None), (2, None, None, None, None, "hill")],
                                  "qid int, keyword string, acl string, min_time long, max_time long, text string")
     asks = asks.withColumn("embedding", F.when(F.col("text").isNotNull(), hashed_embedding(F.col("text"))))
-    got = answer.dispatch(tables.read(spark, paths[0]), asks, 1)
+    got = answer.dispatch(at(spark, paths[0]).read(), asks, 1)
     assert pairs(got, "qid", "vector_id", "branch") == [(1, "a_chunk_1", "keyword"), (2, "b_chunk_0", "vector")]
 
 
@@ -361,18 +405,18 @@ def test_reindex_of_an_emptied_document(spark):
     run(spark, DOCS, paths, 1)
     run(spark, [(1, "", "v2"), DOCS[1]], paths, 2)
     assert [r[0] for r in stored(spark, paths)] == ["2_chunk_0", "2_chunk_1"]
-    assert pairs(tables.read(spark, paths[1]), "doc_id", "chunk_id") == [(2, 0), (2, 1)]
+    assert pairs(at(spark, paths[1]).read(), "doc_id", "chunk_id") == [(2, 0), (2, 1)]
     run(spark, [(2, "", "v3")], paths, 3, full=True)
-    assert stored(spark, paths) == [] and tables.read(spark, paths[1]).count() == 0
+    assert stored(spark, paths) == [] and at(spark, paths[1]).read().count() == 0
 
 
 def test_reindex_survives_a_stop_between_the_writes(spark):
     paths = scratch_path(spark, "i"), scratch_path(spark, "s")
     run(spark, DOCS, paths, 1)
-    tables.delete(spark, paths[1], docs_of(spark, DOCS[:1]))  # state lost, index written
+    at(spark, paths[1]).delete(docs_of(spark, DOCS[:1]))  # state lost, index written
     run(spark, DOCS, paths, 2)
     assert len(stored(spark, paths)) == 5
-    assert tables.read(spark, paths[1]).count() == 5
+    assert at(spark, paths[1]).read().count() == 5
 
 
 def test_reindex_modes(spark):

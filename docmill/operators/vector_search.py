@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import let
 from docmill.functions.vectors import cosine
-from docmill.operators.topk import BLOCK_BYTES, BLOCK_ROWS, Kernel, best_rows, blocks_of, first_k, scored, top_k
+from docmill.operators.topk import BLOCK_BYTES, BLOCK_ROWS, Kernel, best_rows, blocks_of, first_k, top_k
 from docmill.session import staged
 
 # Fixed values.
 TOP_K = 5
 NLIST = 128
+PER_LIST = 256
 NLIST_LARGE = 1024
 NPROBE = 10
 MMR_K = 5
@@ -84,6 +85,7 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_co
                  **options) -> DataFrame:
     """Nearest vectors by squared L2, closest first: (qid, id, *carry, distance, rank).
 
+    A query without a vector has no hits, and a row without one is no hit.
     `carry` names columns to keep, which saves a join back to the corpus. `acl` filters the k
     hits afterwards (mode 'post', may leave fewer than k) or the corpus before ('pre').
     """
@@ -93,20 +95,13 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_co
     kept = (*carry, "acl") if post and "acl" not in carry else carry
     if acl is not None and mode == "pre":
         corpus = corpus.where(F.col("acl") == acl)
-    hits = top_k(_columns(corpus, id_col, kept, options), queries, l2_kernel(), k, id_col=id_col, carry=kept, **options)
+    asked = queries.where("embedding IS NOT NULL")
+    hits = top_k(_columns(corpus, id_col, kept, options), asked, l2_kernel(), k, id_col=id_col, carry=kept, **options)
     if post:
         hits = hits.where(F.col("acl") == acl)
     return hits.select("qid", id_col, *carry, F.col("cost").alias("distance"), "rank")
 
 
-def vector_distances(corpus: DataFrame, queries: DataFrame, *, id_col: str = "vec_id",
-                     carry: tuple[str, ...] = (), **options) -> DataFrame:
-    """Every vector with its distance to every query, unranked: (qid, id, *carry, distance)."""
-    hits = scored(_columns(corpus, id_col, carry, options), queries, l2_kernel(), None, id_col=id_col, carry=carry,
-                  **options)
-    return hits.select("qid", id_col, *carry, F.col("cost").alias("distance"))
-
-
 def _columns(corpus: DataFrame, id_col: str, carry: tuple[str, ...], options: dict) -> DataFrame:
     cell = options.get("cell")
     return corpus.select(*dict.fromkeys([id_col, "embedding", *carry, *([cell] if cell else [])]))
@@ -115,9 +110,19 @@ def _columns(corpus: DataFrame, id_col: str, carry: tuple[str, ...], options: di
 # ---- inverted lists -------------------------------------------------------------------
 
 
-def train_lists(vectors: DataFrame, nlist: int = NLIST, seed: int = 7, rounds: int = 20) -> DataFrame:
-    """k-means centroids: (list_id, embedding). At most `nlist` rows come to the driver."""
+def train_lists(vectors: DataFrame, nlist: int = NLIST, seed: int = 7, rounds: int = 20,
+                per_list: int = PER_LIST) -> DataFrame:
+    """k-means centroids: (list_id, embedding). At most `nlist` rows come to the driver.
+
+    They are trained on all vectors, or on about `per_list` for every list where there are more: a
+    random sample, written once, so that the rounds do not read the corpus again. Rows without a
+    vector teach nothing.
+    """
     spark = vectors.sparkSession
+    vectors = vectors.where("embedding IS NOT NULL")
+    share = nlist * per_list / max(1, vectors.count())
+    if share < 1:
+        vectors = staged(vectors.select("embedding").sample(False, share, seed), "training-vectors")
     model = KMeans(k=nlist, seed=seed, maxIter=rounds, featuresCol="features").fit(
         vectors.select(array_to_vector("embedding").alias("features")))
     rows = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]

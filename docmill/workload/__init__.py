@@ -5,6 +5,7 @@ from docmill.workload import (  # noqa: F401
     files_and_streams,
     filtering,
     flows,
+    indexes,
     indexing,
     retrieval,
     scrutiny,

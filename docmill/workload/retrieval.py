@@ -264,7 +264,8 @@ def rag_mmr(spark, sf):
 
 
 def dispatch_sql(top_k: int | None, top_p: float | None, rank: str) -> str:
-    near = f"QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id || '_chunk_0') <= {top_k}" if top_k else ""
+    limit = top_k or vector_search.TOP_K
+    near = f"QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id || '_chunk_0') <= {limit}"
     share = f"rk <= greatest(floor(n * {top_p}), 1)" if top_p else "TRUE"
     return f"""WITH {QUESTIONS}, {embedded_sql('dv', 'documents', 'doc_id')}, {embedded_sql('qv', 'benchmark', 'item_id')},
 dl AS (SELECT doc_id, text AS summary, CASE WHEN lang = 'en' THEN 'public' WHEN lang IN ('fr', 'de') THEN 'team' END AS acl,
@@ -302,5 +303,5 @@ def query_dispatch(spark, sf):
 
 @query(dispatch_sql(None, None, "rk"))
 def query_dispatch_unlimited(spark, sf):
-    """All hits of every request: 0 and None mean no limit."""
+    """All keyword hits of every request, where 0 and None mean no limit, and the default number of vectors."""
     return _dispatched(spark, sf, 0, None)

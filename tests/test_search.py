@@ -368,3 +368,23 @@ def test_drift(spark):
     a = spark.createDataFrame([("x", [1.0, 1.0]), ("x", [3.0, 1.0]), ("y", [0.0, 0.0])], "g string, embedding array<double>")
     b = spark.createDataFrame([("x", [5.0, 5.0]), ("y", [0.0, 0.0])], "g string, embedding array<double>")
     assert {tuple(r) for r in quality.embedding_drift(a, b, "g").collect()} == {("x", 5.0), ("y", 0.0)}
+
+
+def test_null_vectors_are_skipped(spark):
+    corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [0.0, 0.1]), (2, None)], "qid int, embedding array<double>")
+    hits = VS.vector_top_k(corpus, asked, 5)
+    assert sorted((r.qid, r.vec_id) for r in hits.collect()) == [(1, 1), (1, 2)]
+    lists = VS.train_lists(corpus, 2)
+    assigned = VS.assign_lists(corpus, lists)
+    found = VS.probe_top_k(assigned, lists, asked, 5, 2)
+    assert sorted((r.qid, r.vec_id) for r in found.collect()) == [(1, 1), (1, 2)]
+    assert {r.qid for r in VS.mmr_top_k(corpus, asked).collect()} == {1}
+    assert VS.vector_top_k(corpus, asked.where("qid = 2"), 5).count() == 0
+
+
+def test_lists_are_trained_on_a_bounded_sample(spark):
+    corpus = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(
+        (F.col("id") % 4 * 10 + F.rand(1)), F.rand(2)).alias("embedding"))
+    lists = VS.train_lists(corpus, 4, per_list=50)
+    assert sorted(round(r.embedding[0] / 10) for r in lists.collect()) == [0, 1, 2, 3]

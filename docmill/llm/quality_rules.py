@@ -13,7 +13,7 @@ edges of fixed bins the threshold is the one with the largest share of bad rows
 share of trusted ones below it, the lowest of equals: the same data give the same threshold in any
 order. A trusted row weighs no more than its share, wherever it scores: one among the junk lowers all
 edges above it alike, and does not pull the threshold down. Counting adds up a bounded table per
-task; the corpus is read once to count and once to score.
+task; the corpus is read once to score, and once to count for every four million trusted ids.
 
 Defined results: null, empty and wordless texts have no words, fail the base rules and score 0.
 Rows without an id are counted and scored but never trusted. Repeated rows are counted and
@@ -37,6 +37,8 @@ from docmill.session import staged
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 BIN = 0.001
+#: Trusted ids in a block: 32 MB.
+BLOCK_IDS = 4_000_000
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = b"#*$%&|<>"
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -82,17 +84,30 @@ def measures(text: str | None, codes: np.ndarray, distinct: int, raw: bytes) ->
             len(lines) - len(set(lines)), repeated_words(codes, distinct))
 
 
-def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of a task's rows (text, half of a trusted one): one row per bucket, whatever the number of texts."""
-    counts = np.zeros((3, BUCKETS), np.int64)  # all rows, the trusted of half 0, those of half 1
-    for batch in batches:
-        for text, half in zip(batch.column(0), batch.column(1).to_pylist()):
-            found = np.bincount(buckets(*word_codes((text.as_py() or "").encode())), minlength=BUCKETS)
-            counts[0] += found
-            if half is not None:
-                counts[1 + half] += found
-    at = np.flatnonzero(counts[0])
-    yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(c[at]) for c in counts]], ["bucket", "raw", "half0", "half1"])
+def counter(trusted, first: bool):
+    """Bucket counts of a task's rows (doc_id, half, text): one row per bucket, whatever the number of texts.
+
+    `trusted` holds sorted ids; the counts of all rows are left to the `first` block of them.
+    """
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((3, BUCKETS), np.int64)  # all rows, the trusted of half 0, those of half 1
+        known = np.append(trusted.value, np.iinfo(np.int64).max)
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy()
+            among = (known[np.searchsorted(known[:-1], ids)] == ids) & (np.searchsorted(known[:-1], ids) < len(known) - 1)
+            among &= batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            halves = np.where(among, batch.column(1).to_numpy(), -1).tolist()
+            for text, half in zip(batch.column(2), halves):
+                if not first and half < 0:
+                    continue
+                found = np.bincount(buckets(*word_codes((text.as_py() or "").encode())), minlength=BUCKETS)
+                if first:
+                    counts[0] += found
+                if half >= 0:
+                    counts[1 + half] += found
+        at = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(c[at]) for c in counts]], ["bucket", "raw", "half0", "half1"])
+    return of
 
 
 def scorer(ratios: np.ndarray, halves: tuple[np.ndarray, np.ndarray]):
@@ -132,16 +147,24 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return sides(labels).where("trusted").select("doc_id", half_of(F.col("doc_id")).alias("half"))
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Counts of the n-grams of all documents, of the trusted ones of half 0 and of those of half 1, per bucket."""
-    ids = trusted.select(F.col("doc_id").alias("id"))  # the half follows from the id, so only ids meet the texts
-    half = F.when(F.col("id").isNotNull(), half_of(F.col("id"))).alias("half")
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left").select("text", half)
-    names = ["raw", "half0", "half1"]
-    counts = marked.mapInArrow(counter, "bucket long, raw long, half0 long, half1 long").groupBy("bucket").agg(
-        *[F.sum(n).alias(n) for n in names]).toPandas()  # at most BUCKETS rows
+def bucket_counts(docs: DataFrame, trusted: DataFrame, block_ids: int = BLOCK_IDS) -> np.ndarray:
+    """Counts of the n-grams of all documents, of the trusted ones of half 0 and of those of half 1, per bucket.
+
+    Texts do not move to meet the trusted ids: these go to the tasks, in blocks of about `block_ids`
+    of eight bytes each, one narrow pass over the documents a block.
+    """
+    context = docs.sparkSession.sparkContext
+    rows = docs.select("doc_id", half_of(F.col("doc_id")).alias("half"), "text")
+    ids = trusted.select("doc_id").distinct()
+    blocks = max(1, -(-ids.count() // block_ids))
     out = np.zeros((3, BUCKETS))
-    out[:, counts["bucket"]] = counts[names].to_numpy().T
+    names = ["raw", "half0", "half1"]
+    for block in range(blocks):
+        own = ids.where(F.pmod(F.xxhash64(F.lit(block_ids), "doc_id"), F.lit(blocks)) == block).toArrow()
+        shared = context.broadcast(np.sort(own["doc_id"].to_numpy().astype(np.int64)))
+        counts = rows.mapInArrow(counter(shared, block == 0), "bucket long, raw long, half0 long, half1 long").groupBy(
+            "bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # at most BUCKETS rows
+        out[:, counts["bucket"]] += counts[names].to_numpy().T
     return out
 
 

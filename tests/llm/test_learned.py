@@ -260,6 +260,7 @@ def test_both_halves_are_counted(spark):
     d, trusted = docs_of(spark, docs + ODD), R.trusted_ids(labels_of(spark, labels))
     ids = {r.doc_id for r in trusted.collect()}
     raw, *targets = R.bucket_counts(d.repartition(5), trusted)
+    assert all((a == b).all() for a, b in zip((raw, *targets), R.bucket_counts(d, trusted, block_ids=7)))
     assert np.allclose(R.ratios_of(sum(targets), raw), brute_ratios(docs + ODD, ids)) and all(t.any() for t in targets)
     want = brute_ratios(docs + ODD, ids)
     odd = {doc for doc, _, _ in ODD}

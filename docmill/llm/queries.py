@@ -122,7 +122,8 @@ def op6_license_scan(spark, sf):
     return found.select(
         "doc_id", "n_candidates", F.size("matches").cast("long").alias("n_matches"),
         F.size(exact).cast("long").alias("n_exact"), F.array_join(names, ",").alias("licenses"),
-        F.array_join(F.transform("matches", lambda m: m["line"].cast("string")), ",").alias("lines"))
+        F.array_join(F.transform("matches", lambda m: m["line"].cast("string")), ",").alias("lines"),
+        F.array_join(F.transform("matches", lambda m: m["saved_bytes"].cast("string")), ",").alias("saved_bytes"))
 
 
 @query()

@@ -61,13 +61,17 @@ def postings_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
                 partitions: int = PARTITIONS) -> None:
     """Write the index of `docs` below `path`."""
-    spark = docs.sparkSession
-    rows = postings_of(docs, id_col, text)
+    write_postings(postings_of(docs, id_col, text), path, partitions)
+
+
+def write_postings(rows: DataFrame, path: str, partitions: int = PARTITIONS, order: tuple[str, ...] = ("term",)) -> None:
+    """Write an index below `path` from the rows of `postings_of`, which may have more columns."""
+    spark = rows.sparkSession
     spark.createDataFrame([(partitions, rows.schema.json())], "partitions int, columns string").coalesce(1).write.json(
         f"{path}/properties")
     # rebalance splits a partition that holds a frequent term over several tasks and files
     (rows.withColumn("part", part_of(F.col("term"), partitions)).hint("rebalance", "part")
-     .sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings"))
+     .sortWithinPartitions("part", *order).write.partitionBy("part").parquet(f"{path}/postings"))
     stored_postings(spark, path).groupBy("part", "term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("length").alias("length")).write.partitionBy("part").parquet(f"{path}/terms")
 
@@ -164,6 +168,12 @@ def bm25_top_k(spark: SparkSession, path: str, queries: DataFrame, k: int = 10,
     Only postings of asked terms move, once, whatever the number of queries.
     """
     postings, weighted = asked_index(spark, path, queries)
+    return best_of(postings, weighted, k, id_col=id_col, k1=k1, b=b, **options)
+
+
+def best_of(postings: DataFrame, weighted: DataFrame, k: int, *, id_col: str = "doc_id", k1: float = K1, b: float = B,
+            **options) -> DataFrame:
+    """(qid, id, score, rank) of the documents to which the postings belong."""
     docs = postings.groupBy(id_col).agg(F.collect_list(F.struct("term", "tf")).alias("postings"),
                                         F.max("length").alias("length"))
     hits = top_k(docs, weighted, bm25_kernel(k1, b), k, id_col=id_col, **options)

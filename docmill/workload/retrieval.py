@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.functions import prompts, vectors
-from docmill.operators import keyword_search, quality, vector_search
+from docmill.operators import block_index, keyword_search, quality, vector_search
 from docmill.operators.index import with_vector_id
 from docmill.plans import answer
 from docmill.session import scratch_path, staged
@@ -198,6 +198,34 @@ def bm25_topk(spark, sf):
     return shown(keyword_search.bm25_top_k(spark, keyword_index(spark, sf), bench_questions(spark, sf), 10), "score")
 
 
+def _block_index(spark, sf) -> str:
+    path = scratch_path(spark, "blocks")
+    block_index.write_index(documents(spark, sf), path, partitions=16)
+    return path
+
+
+@query(f"WITH {bm25_sql(10)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm25")
+def bm25_blocks(spark, sf):
+    """The same hits from an index whose blocks are skipped where no hit can be."""
+    return shown(block_index.bm25_top_k(spark, _block_index(spark, sf), bench_questions(spark, sf), 10), "score")
+
+
+@query(f"""WITH {TERMS}, stats AS (SELECT count(*) AS n, sum(len(ts)) / count(*) AS mean FROM toks),
+bm AS (SELECT w AS qid, p.doc_id, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len(t.ts) / mean))
+    * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS score
+  FROM dfs JOIN post p USING (w) JOIN toks t ON t.doc_id = p.doc_id, stats WHERE 10 * df >= n)
+SELECT qid, doc_id, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank FROM (SELECT *,
+  row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM bm) WHERE rk <= 10""")
+def bm25_common_terms(spark, sf):
+    """The best documents of every term that a tenth of the documents hold: few blocks of such a term matter."""
+    path = _block_index(spark, sf)
+    terms = keyword_search.stored_terms(spark, path)
+    n = terms.where(F.col("term") == keyword_search.EVERY).select(F.col("df").alias("n"))
+    common = terms.where(F.col("term") != keyword_search.EVERY).join(F.broadcast(n), F.col("df") * 10 >= F.col("n"))
+    asked = common.select(F.col("term").alias("qid"), F.col("term").alias("text"))
+    return shown(block_index.bm25_top_k(spark, path, asked, 10), "score")
+
+
 def embedded_sql(name: str, source: str, key: str) -> str:
     """Hashed bag-of-words vectors as lists of 64."""
     return f"""{name}_tok AS (SELECT {key} AS id, unnest({SQL_TOKENS.format('text')}) AS w FROM {source}),

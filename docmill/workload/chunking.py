@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 from docmill.functions.text import words
+from docmill.operators import token_slices
 from docmill.operators.chunking import OVERLAP, OVERLAP_CHARS, SEPARATORS, chunk
 from docmill.workload.fixtures import (NL, SQL_SENTENCES, SQL_STRIP, SQL_WORDS, documents, rows_of)
 from docmill.workload.registry import query
@@ -130,3 +135,14 @@ folded AS (SELECT doc_id, ps, {fold} AS r FROM (SELECT *, list_transform(ps, lam
 @query(by_separators(OVERLAP_CHARS, OVERLAP, SEPARATORS))
 def chunk_separators(spark, sf):
     return chunk(documents(spark, sf), "separators")
+
+
+@query("SELECT doc_id, md5(text) AS digest, TRUE AS filled FROM documents WHERE text <> ''")
+def chunk_token_slices(spark, sf):
+    """Windows of 512 tokens of a public vocabulary, put together again: they are the text."""
+    import public_tokenizers
+    vocabulary = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    windows = token_slices.token_slices(F.col("text"), token_slices.library_starts(vocabulary))
+    return documents(spark, sf).where("text <> ''").select("doc_id", windows.alias("w")).select(
+        "doc_id", F.md5(F.array_join("w", "")).alias("digest"),
+        F.forall("w", lambda w: F.length(w) > 0).alias("filled"))

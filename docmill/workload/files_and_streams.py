@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.session import scratch_path
 from docmill.sources import documents as sources, tables
-from docmill.streaming import ingest as stream, memory
+from docmill.streaming import ingest as stream, memory, state
 from docmill.workload.fixtures import LINES, NL, NOW, SQL_SENTENCES, documents, line_chunks, table
 from docmill.workload.flows import FIRST_SENTENCE
 from docmill.workload.indexing import STATUS
@@ -106,3 +106,36 @@ def memory_stream(spark, sf):
     with memory.rocksdb(spark):
         memory.start_memory(rows, path, scratch_path(spark, "checkpoint"), 3).awaitTermination()
     return tables.read_batches(spark, path, "session_id")
+
+
+def _in_two_runs(spark, rows, by, start):
+    """Run a stream over half of the rows, stop it, add the rest, and run it on from its checkpoint."""
+    source, checkpoint = scratch_path(spark, "source"), scratch_path(spark, "checkpoint")
+    half = F.pmod(F.xxhash64(by), F.lit(2))
+    for n in (0, 1):
+        rows.where(half == n).write.mode("append").parquet(source)
+        start(spark.readStream.schema(rows.schema).parquet(source), checkpoint).awaitTermination()
+    return checkpoint
+
+
+@query(f"""SELECT user_id AS doc_id, {STATUS} AS status FROM events WHERE {STATUS} IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def status_state(spark, sf):
+    """Latest upload status out of the stream's state, after two runs of the stream."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.expr(STATUS).alias("status"), "ts",
+                                             F.col("event_id").alias("seq")).where("status is not null")
+    path = scratch_path(spark, "status")
+    return state.status(spark, _in_two_runs(spark, rows, "seq", lambda r, c: stream.start_status(r, path, c)))
+
+
+@query("""SELECT session_id, seq, role, content, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) AS INTEGER) AS position
+FROM (SELECT conv_id AS session_id, turn AS seq, role, text AS content FROM conversations
+      QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)""")
+def memory_state(spark, sf):
+    """The last three messages per session out of the stream's state, after two runs of the stream."""
+    rows = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").cast("long").alias("seq"), "role", F.col("text").alias("content"))
+    path = scratch_path(spark, "memory")
+    with memory.rocksdb(spark):
+        checkpoint = _in_two_runs(spark, rows, "seq", lambda r, c: memory.start_memory(r, path, c, 3))
+    return state.memory(spark, checkpoint)

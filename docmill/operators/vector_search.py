@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.text import let
@@ -129,6 +129,90 @@ def train_lists(vectors: DataFrame, nlist: int = NLIST, seed: int = 7, rounds: i
     return spark.createDataFrame(rows, "list_id int, embedding array<double>")
 
 
+def spread(sizes: np.ndarray, distinct: np.ndarray, nlist: int) -> np.ndarray:
+    """Lists per cell: one each, the others by size; a cell gets no more than it has distinct vectors."""
+    lists = np.minimum(1, distinct)
+    while lists.sum() < min(nlist, distinct.sum()):
+        open_cells = np.flatnonzero(lists < distinct)
+        # the cell with the most rows a list is served next, ties to the smaller number
+        lists[open_cells[np.argmax(sizes[open_cells] / (lists[open_cells] + 1))]] += 1
+    return lists
+
+
+def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """`k` centroids of the rows of `x`, which hold at least `k` distinct ones; no list stays empty.
+
+    Starts from rows drawn with odds by their squared distance to those drawn before. Lists that
+    lose all their rows start again at distinct rows that are farthest from their own centroids.
+    """
+    rng = np.random.default_rng(seed)
+    near = np.full(len(x), np.inf)
+    picks = [int(rng.integers(len(x)))]
+    while len(picks) < k:
+        near = np.minimum(near, exact_distances(np.broadcast_to(x[picks[-1]], x.shape), x))
+        picks.append(int(rng.choice(len(x), p=near / near.sum())))
+    centroids = x[picks]
+    for _ in range(rounds):
+        blocks = [squared_distances(x[at:at + 4096], centroids) for at in range(0, len(x), 4096)]
+        own = np.concatenate([b.argmin(axis=1) for b in blocks])
+        apart = np.concatenate([b.min(axis=1) for b in blocks])
+        rows = np.bincount(own, minlength=k)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, x)
+        moved = np.where(rows[:, None] > 0, sums / np.maximum(rows, 1)[:, None], centroids)
+        if (rows == 0).any():
+            far = x[apart.argsort(kind="stable")[::-1]]
+            other = np.sort(np.unique(far, axis=0, return_index=True)[1])
+            moved[rows == 0] = far[other[:int((rows == 0).sum())]]
+        if np.allclose(moved, centroids):
+            break
+        centroids = moved
+    return centroids
+
+
+def hash_sample(vectors: DataFrame, rows: int, id_col: str, seed: int) -> DataFrame:
+    """About `rows` of the rows that have a vector, by the hash of the id: the same ones however the data are dealt."""
+    share = min(1.0, rows / max(1, vectors.count()))  # counts rows without reading vectors
+    bound = F.lit(int(share * (1 << 53)))
+    return vectors.where("embedding IS NOT NULL").where(
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), 11) < bound).select(
+        F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def train_two_levels(vectors: DataFrame, nlist: int = NLIST_LARGE, seed: int = 7, rounds: int = 20,
+                     per_list: int = PER_LIST, id_col: str = "vec_id") -> DataFrame:
+    """Centroids of many lists: (list_id, embedding), list_id from 0, at most `nlist` rows.
+
+    A sample of about `nlist * per_list` vectors is taken in one pass over the corpus and written.
+    It is parted into about sqrt(nlist) cells by k-means; each cell is then trained on its own, in a
+    task of its own, with as many lists as its share of the sample. So a round compares a vector with
+    some sqrt(nlist) centroids, not with all. A task holds one cell, at most the sample. Of fewer
+    distinct vectors than lists each gets one list. Rows without a vector teach nothing; without
+    any vector there are no lists.
+    """
+    spark = vectors.sparkSession
+    sample = staged(hash_sample(vectors, nlist * per_list, id_col, seed), "training-vectors")
+    if sample.isEmpty():
+        return spark.createDataFrame([], "list_id int, embedding array<double>")
+    cells = assign_lists(sample, train_lists(sample, max(1, round(nlist ** 0.5)), seed, rounds, per_list=nlist * per_list))
+    cells = staged(cells.select(F.col("list_id").alias("cell"), "embedding"), "training-cells")
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("embedding").alias("distinct")).orderBy(
+        "cell").toPandas()  # about sqrt(nlist) rows
+    lists = spread(sizes["n"].to_numpy(), sizes["distinct"].to_numpy(), nlist)
+    first = np.cumsum(lists) - lists
+    plan = {int(c): (int(f), int(n)) for c, f, n in zip(sizes["cell"], first, lists)}
+
+    def train(table: pa.Table) -> pa.Table:
+        start, n = plan[table["cell"][0].as_py()]
+        x = matrix(table["embedding"])
+        x = x[np.lexsort(x.T[::-1])]  # the same start whatever the order of the rows
+        centroids = lloyd(x, n, rounds, seed)
+        return pa.table({"list_id": pa.array(start + np.arange(n), pa.int32()),
+                         "embedding": pa.array(list(centroids), pa.list_(pa.float64()))})
+
+    return staged(cells.groupBy("cell").applyInArrow(train, "list_id int, embedding array<double>"), "centroids")
+
+
 def _nearer(vectors: DataFrame, centroids: pa.Table, n: int) -> DataFrame:
     """`lists` with the n nearest of the lists held so far and of one more block of centroids."""
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
@@ -194,6 +278,28 @@ def recall(found: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> DataFr
         "recall", F.round(F.col("matched") / F.col("hits"), 6))
 
 
+def recall_by_nprobe(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = TOP_K,
+                     id_col: str = "vec_id", **options) -> DataFrame:
+    """(nprobe, hits, matched, recall) for every number of lists at which the recall grows.
+
+    An exact hit is found if its list is among those probed, so one exact search that carries the
+    list of each hit tells the recall of all numbers of probes at once.
+    """
+    nlist = max(1, centroids.count())
+    near = with_lists(queries, centroids, nlist).select("qid", F.transform("lists", lambda x: x["list_id"]).alias("order"))
+    hits = vector_top_k(assigned, queries, k, id_col=id_col, carry=("list_id",), **options)
+    needed = hits.join(near, "qid").select(F.array_position("order", F.col("list_id")).cast("int").alias("nprobe"))
+    counts = needed.groupBy("nprobe").agg(F.count(F.lit(1)).alias("n"))  # a row a list at most
+    upto = Window.orderBy("nprobe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.select("nprobe", F.sum("n").over(Window.partitionBy()).alias("hits"), F.sum("n").over(upto).alias("matched")
+                         ).withColumn("recall", F.round(F.col("matched") / F.col("hits"), 6))
+
+
+def nprobe_for(measured: DataFrame, least: float = 0.9) -> int | None:
+    """The smallest number of probes whose measured recall is at least `least`; None if nothing was asked."""
+    return measured.where(F.col("recall") >= least).agg(F.min("nprobe")).first()[0]
+
+
 # ---- diversity ------------------------------------------------------------------------
 
 

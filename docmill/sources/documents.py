@@ -17,11 +17,20 @@ def storage_of(path: Column) -> Column:
     return kind.otherwise("local")
 
 
+def unescaped(name: Column) -> Column:
+    """`%20` and the like as characters; a plus sign is one, and a name that is not escaped stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+
+
 def file_id() -> Column:
-    """The file name without its extension, or the value of a `doc_id=` directory."""
+    """The file name without its extension, or the value of a `doc_id=` directory.
+
+    The metadata give names as in a URI; Spark escapes the value of a directory once more.
+    """
     meta = F.col("_metadata")
     folder = F.regexp_extract(meta["file_path"], r"/doc_id=([^/]+)/", 1)
-    return F.when(folder != "", folder).otherwise(F.regexp_replace(meta["file_name"], r"\.[^.]*$", ""))
+    return F.when(folder != "", unescaped(unescaped(folder))).otherwise(
+        F.regexp_replace(unescaped(meta["file_name"]), r"\.[^.]*$", ""))
 
 
 def file_text() -> Column:
@@ -42,6 +51,45 @@ def text_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
         meta["file_modification_time"].alias("last_modified"))
 
 
+def listed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, last_modified) of all files that hold something; their contents are not read."""
+    meta, files = F.col("_metadata"), spark.read.format("binaryFile").load(path)
+    return files.where("length > 0").select(
+        meta["file_path"].alias("path"), meta["file_modification_time"].alias("last_modified"))
+
+
+def file_changes(spark: SparkSession, path: str | list[str], seen: DataFrame) -> DataFrame:
+    """(path, last_modified, change): what differs from the files `seen` (path, last_modified) by an earlier scan.
+
+    `change` is 'new', 'changed' (another time of modification, an older one too) or 'gone'; `last_modified`
+    is the present time, or the last known one of files that are gone. Only paths and times are joined.
+    """
+    now, before = listed_files(spark, path).alias("now"), seen.select("path", "last_modified").distinct().alias("before")
+    both = now.join(before, F.expr("now.path = before.path"), "full")
+    change = (F.when(F.col("now.path").isNull(), "gone").when(F.col("before.path").isNull(), "new")
+              .when(F.col("now.last_modified") != F.col("before.last_modified"), "changed"))
+    return both.select(F.coalesce("now.path", "before.path").alias("path"),
+                       F.coalesce("now.last_modified", "before.last_modified").alias("last_modified"),
+                       change.alias("change")).where("change IS NOT NULL")
+
+
+def changed_documents(spark: SparkSession, path: str | list[str], changes: DataFrame) -> DataFrame:
+    """`text_documents` of the files that `changes` (see `file_changes`, staged) calls new or changed.
+
+    Files outside the span of their times are pruned before any is opened: Spark applies a filter on
+    `_metadata` to the list of files. The files left are joined with the changes, so that an
+    unchanged one inside the span gives no row; texts in the span move only where Spark finds the
+    changes too large to broadcast. Small files share a task.
+    """
+    todo = changes.where("change <> 'gone'").select("path", "last_modified")
+    first, last = todo.agg(F.min(F.unix_micros("last_modified")), F.max(F.unix_micros("last_modified"))).first()
+    docs = text_documents(spark, path)
+    if first is None:
+        return docs.limit(0)
+    span = F.col("last_modified").between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last)))
+    return docs.where(span).join(todo, ["path", "last_modified"], "left_semi")
+
+
 def table_documents(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """A table of documents; any format on the class path (delta needs its jar)."""
     return spark.read.format(fmt).options(**options).load(path)

@@ -30,9 +30,13 @@ def upload(docs: DataFrame, path: str) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def write_text_files(docs: DataFrame, path: str) -> None:
-    """One text file per document, in a `doc_id=` directory; every file ends in a newline."""
-    docs.select("doc_id", "text").write.partitionBy("doc_id").text(path)
+def write_text_files(docs: DataFrame, path: str, replace: bool = False) -> None:
+    """One text file per document, in a `doc_id=` directory; every file ends in a newline.
+
+    With `replace` the documents' earlier files go, and those of other documents stay as they are.
+    """
+    files = docs.select("doc_id", "text").write.partitionBy("doc_id")
+    (files.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else files).text(path)
 
 
 def write_summaries(chunks: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
-from docmill.session import scratch_path
+from docmill.session import scratch_path, staged
 from docmill.sources import documents as sources, tables
 from docmill.streaming import ingest as stream, memory, state
 from docmill.workload.fixtures import LINES, NL, NOW, SQL_SENTENCES, documents, line_chunks, table
@@ -25,6 +25,23 @@ def text_file_scan(spark, sf):
                        F.col("last_modified_iso").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d").alias("dated"))
 
 
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text || '!' || chr(10)) AS digest, TRUE AS replaced
+FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def incremental_scan(spark, sf):
+    """Documents as text files; those of low quality are written again, and a second scan reads these alone."""
+    path = scratch_path(spark, "files")
+    docs = documents(spark, sf).select("doc_id", "text")
+    tables.write_text_files(docs, path)
+    seen = staged(sources.listed_files(spark, path), "seen")
+    again = docs.join(table(spark, sf, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    tables.write_text_files(again.withColumn("text", F.concat("text", F.lit("!"))), path, replace=True)
+    changes = staged(sources.file_changes(spark, path, seen), "changes")
+    gone = changes.where("change = 'gone'").select(
+        F.regexp_extract("path", "/doc_id=([^/]+)/", 1).alias("doc_id"), F.lit(True).alias("replaced")).distinct()
+    return sources.changed_documents(spark, path, changes).select("doc_id", F.md5("text").alias("digest")).join(
+        gone, "doc_id", "left")
+
+
 @query("""SELECT md5(text) AS digest, CASE WHEN lang = 'en' THEN 's3' WHEN lang = 'fr' THEN 'azure' ELSE 'local' END AS storage,
   CAST(36 AS INTEGER) AS id_size FROM documents""")
 def upload_documents(spark, sf):

@@ -55,6 +55,8 @@ def test_batches_and_fanout_do_not_matter(spark):
     want = sorted(brute(ROWS), key=repr)
     assert got(line_dedup.dedup_lines(frame(spark), batches=7, fanout=3)) == want
     assert got(line_dedup.dedup_lines(frame(spark), batches=1)) == want
+    assert got(line_dedup.dedup_lines(frame(spark), batches=4)) == want
+    assert got(line_dedup.dedup_lines(frame(spark), batches=9, fanout=2)) == want
 
 
 def test_empty_table(spark):
@@ -79,9 +81,38 @@ def test_runs_are_levelled_and_judge_later_batches(spark):
         runs.add(line_dedup.line_hashes(frame(spark, rows)))
         held = [len(level) for level in runs.levels]
         assert all(x < 2 for x in held) and sum(x << i for i, x in enumerate(held)) == n
-    assert runs.frequent().count() == 1 and runs.frequent().first()["last_doc"] == 42
+    judge = runs.judge()
+    assert judge.frequent.count() == 1 and judge.frequent.first()["last_doc"] == 42
     late = line_dedup.line_hashes(frame(spark, [(1, f"{SHARED}\na line that no run holds yet")]))
-    assert runs.surviving(late).count() == 1 and runs.dropped(late).count() == 1
+    assert judge.surviving(late).count() == 1 and judge.dropped(late).count() == 1
+
+
+def shuffled(plan):
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_runs_meet_without_an_exchange(spark, plan):
+    runs = line_dedup.LineRuns(spark, fanout=9)
+    parts = [line_dedup.line_hashes(frame(spark, [(i * 500 + j, f"line {j % 90} of the documents of this test")
+                                                  for j in range(500)])) for i in range(2)]
+    for part in parts:
+        runs.add(part)
+    both = line_dedup.merged(*runs.levels[0])
+    assert shuffled(plan(both)) == 0 and "SortMergeJoin" in plan(both)
+    assert both.count() == 90 and both.agg({"n_docs": "sum"}).first()[0] == 1000
+    judged = runs.judge()
+    plain = line_dedup.Judge.__new__(line_dedup.Judge)
+    plain.heavy, plain.light = judged.heavy.limit(0), judged.frequent.select("line1", "line2", "last_doc")
+    for part in parts:
+        assert shuffled(plan(judged.dropped(part))) == 1  # that of the batch's own lines
+        for judge in (judged, plain):  # the same lines, taken as heavy ones or joined with the runs
+            assert judge.dropped(part).count() + judge.surviving(part).count() == 500
+        assert sorted(judged.dropped(part).collect()) == sorted(plain.dropped(part).collect())
+
+
+def test_brute_force_without_heavy_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HEAVY", 0)  # no line is heavy, all go through the merge joins
+    assert got(line_dedup.dedup_lines(frame(spark))) == sorted(brute(ROWS), key=repr)
 
 
 def test_digest(spark):

@@ -26,8 +26,8 @@ def text_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """A stream over the parquet files of a table."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    """A stream over the parquet files of a table: files of its name, or folders of such a name with any files in them."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}*.parquet")
 
 
 AVAILABLE_NOW = {"availableNow": True}

@@ -78,6 +78,20 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     assert tables.read_batches(spark, paths[1], "doc_id").count() == 4
 
 
+def test_a_table_that_is_a_folder_streams_too(spark, tmp_path):
+    (tmp_path / "documents.parquet").mkdir()
+    for n in range(2):
+        docs(2).assign(doc_id=[2 * n, 2 * n + 1]).to_parquet(tmp_path / "documents.parquet" / f"part-{n}.parquet")
+    docs(1).to_parquet(tmp_path / "others.parquet")
+    source = stream.table_stream(spark, str(tmp_path), "documents", "doc_id long, text string")
+    paths = [scratch_path(spark, n) for n in ("i", "s", "a", "c")]
+    stream.start(source, *paths, 1, min_chars=None).awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(paths[2]).collect()) == ["0", "1", "2", "3"]
+    docs(1).assign(doc_id=9).to_parquet(tmp_path / "documents.parquet" / "part-2.parquet")
+    stream.start(source, *paths, 1, min_chars=None).awaitTermination()
+    assert spark.read.parquet(paths[2]).count() == 5
+
+
 def test_a_document_that_fails_the_gate_later_leaves_the_index(spark, tmp_path):
     paths, checkpoint = [scratch_path(spark, n) for n in ("i", "s", "a")], scratch_path(spark, "c")
 

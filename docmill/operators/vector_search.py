@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import let
 from docmill.functions.vectors import cosine
-from docmill.operators.topk import BLOCK_BYTES, BLOCK_ROWS, Kernel, best_rows, blocks_of, first_k, top_k
+from docmill.operators.topk import BLOCK_BYTES, BLOCK_ROWS, MATRIX_CELLS, Kernel, best_rows, blocks_of, first_k, scored, top_k
 from docmill.session import staged
 
 # Fixed values.
@@ -74,7 +74,11 @@ def l2_kernel(embedding: str = "embedding") -> Kernel:
         if not len(i):
             return np.zeros(0)
         used, at = np.unique(c, return_inverse=True)
-        return exact_distances(q[i], matrix(rows[embedding].take(pa.array(used)))[at])
+        x, out = matrix(rows[embedding].take(pa.array(used))), np.empty(len(i))
+        step = max(1, MATRIX_CELLS // max(1, q.shape[1]))
+        for a in range(0, len(i), step):  # a search without a limit has all pairs here
+            out[a:a + step] = exact_distances(q[i[a:a + step]], x[at[a:a + step]])
+        return out
 
     return Kernel(prepare=lambda block: matrix(block[embedding]), cost=filled(squared_distances, np.nan),
                   slack=filled(distance_slack, 0.0), exact=exact)
@@ -102,6 +106,17 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_co
     return hits.select("qid", id_col, *carry, F.col("cost").alias("distance"), "rank")
 
 
+def vector_distances(corpus: DataFrame, queries: DataFrame, *, id_col: str = "vec_id",
+                     carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """Every vector with its distance to every query, unranked: (qid, id, *carry, distance).
+
+    A query without a vector has no hits, and a row without one is no hit.
+    """
+    asked = queries.where("embedding IS NOT NULL")
+    hits = scored(_columns(corpus, id_col, carry, options), asked, l2_kernel(), None, id_col=id_col, carry=carry, **options)
+    return hits.select("qid", id_col, *carry, F.col("cost").alias("distance"))
+
+
 def _columns(corpus: DataFrame, id_col: str, carry: tuple[str, ...], options: dict) -> DataFrame:
     cell = options.get("cell")
     return corpus.select(*dict.fromkeys([id_col, "embedding", *carry, *([cell] if cell else [])]))

@@ -10,19 +10,22 @@ from docmill.operators import assembly
 from docmill.operators.filters import matching_queries
 from docmill.operators.keyword_search import bm25_top_k, fused
 from docmill.operators.ranking import limited, ordinals
-from docmill.operators.vector_search import TOP_K, vector_top_k
+from docmill.operators.vector_search import vector_distances, vector_top_k
 
 
 def dispatch(chunks: DataFrame, queries: DataFrame, top_k: int | None = 5, top_p: float | None = None) -> DataFrame:
     """Vector search for queries with an embedding, keyword search for the others with a keyword.
 
     `chunks`: vector_id, doc_id, chunk_id, summary, acl, ts, embedding. A query without either
-    has no results. Keyword hits are in (doc_id, chunk_id) order. 0 and None mean no limit for
-    keyword hits; a vector search, which would match every vector, then takes its default.
+    has no results. Keyword hits are in (doc_id, chunk_id) order. 0 and None mean no limit: a
+    vector search then ranks every vector.
     """
     by_vector = queries.where("embedding is not null")
     by_keyword = queries.where("embedding is null and coalesce(keyword, '') <> ''")
-    near = vector_top_k(chunks, by_vector, top_k or TOP_K, id_col="vector_id", carry=("acl",)).drop("rank")
+    if top_k:
+        near = vector_top_k(chunks, by_vector, top_k, id_col="vector_id", carry=("acl",)).drop("rank")
+    else:
+        near = vector_distances(chunks, by_vector, id_col="vector_id", carry=("acl",))
     near = near.join(by_vector.select("qid", F.col("acl").alias("_acl")), "qid").where(
         "coalesce(_acl, '') = '' or _acl = acl")
     near = placed(near, ["distance", "vector_id"], top_k, top_p)

@@ -348,6 +348,14 @@ def test_dispatch_without_limits(spark):
     assert answer.dispatch(df, asks.where("qid = 0"), 0).count() == 3  # no request carries a vector
 
 
+def test_dispatch_without_limits_ranks_every_vector(spark):
+    df = spark.range(30).selectExpr("concat('d', id, '_chunk_0') AS vector_id", "concat('d', id) AS doc_id", "0 AS chunk_id",
+                                    "'s' AS summary", "'public' AS acl", "0L AS ts", "IF(id = 7, NULL, array(double(id), 1D)) AS embedding")
+    asks = spark.createDataFrame([(3, None, None, None, None, [0.0, 1.0])], ASK_SCHEMA + ", embedding array<double>")
+    got = {r["rank"]: r.vector_id for r in answer.dispatch(df, asks, 0).collect()}
+    assert got == {i + 1: f"d{d}_chunk_0" for i, d in enumerate(d for d in range(30) if d != 7)}
+
+
 def test_questions_without_hits_keep_a_prompt(spark):
     asks = spark.createDataFrame([(1, "first?"), (2, "second?")], "qid int, text string")
     hits = spark.createDataFrame([(1, 7, 1)], "qid int, doc_id int, rank int")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.records import iso_time
 from docmill.functions.text import strip
 
+#: How `tables.write_text_files` names folders and files.
+FILE_FOLDER, FILE_NAME = "id_hash=", "doc-"
+#: What opening a small file counts in a scan: some thousand share a task.
+OPEN_COST = 1 << 16
+
 STORAGES = {"s3": "s3a", "azure": "abfss", "local": "file"}  # fixed values: storage -> URI scheme
 
 
@@ -22,13 +30,31 @@ def unescaped(name: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
 
 
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run inside reads many small files in a task; by default a task would take 32 of them at most."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_COST))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def escaped_id(path: Column) -> Column:
+    """The id in the path of a file of `tables.write_text_files`, or that of a `doc_id=` directory; escaped twice, else ''."""
+    written = F.regexp_extract(path, rf"/{FILE_FOLDER}[0-9a-f]+/{FILE_NAME}([^/]+)\.txt$", 1)
+    return F.when(written != "", written).otherwise(F.regexp_extract(path, r"/doc_id=([^/]+)/", 1))
+
+
 def file_id() -> Column:
-    """The file name without its extension, or the value of a `doc_id=` directory.
+    """The file name without its extension, or the id for which a file or a `doc_id=` directory was written.
 
-    The metadata give names as in a URI; Spark escapes the value of a directory once more.
+    The metadata give names as in a URI; the writers have escaped the id once more.
     """
     meta = F.col("_metadata")
-    folder = F.regexp_extract(meta["file_path"], r"/doc_id=([^/]+)/", 1)
+    folder = escaped_id(meta["file_path"])
     return F.when(folder != "", unescaped(unescaped(folder))).otherwise(
         F.regexp_replace(unescaped(meta["file_name"]), r"\.[^.]*$", ""))
 

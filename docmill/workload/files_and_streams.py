@@ -20,9 +20,10 @@ def text_file_scan(spark, sf):
     """Documents as text files, scanned back whole with id, storage and modification time."""
     path = scratch_path(spark, "files")
     tables.write_text_files(documents(spark, sf), path)
-    docs = sources.with_modified(sources.text_documents(spark, path))
-    return docs.select("doc_id", F.md5("text").alias("digest"), "storage",
-                       F.col("last_modified_iso").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d").alias("dated"))
+    with sources.small_files(spark):
+        docs = sources.with_modified(sources.text_documents(spark, path))
+        return staged(docs.select("doc_id", F.md5("text").alias("digest"), "storage", F.col("last_modified_iso").rlike(
+            r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d").alias("dated")), "scanned")
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text || '!' || chr(10)) AS digest, TRUE AS replaced
@@ -32,14 +33,17 @@ def incremental_scan(spark, sf):
     path = scratch_path(spark, "files")
     docs = documents(spark, sf).select("doc_id", "text")
     tables.write_text_files(docs, path)
-    seen = staged(sources.listed_files(spark, path), "seen")
+    with sources.small_files(spark):
+        seen = staged(sources.listed_files(spark, path), "seen")
     again = docs.join(table(spark, sf, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi")
     tables.write_text_files(again.withColumn("text", F.concat("text", F.lit("!"))), path, replace=True)
-    changes = staged(sources.file_changes(spark, path, seen), "changes")
-    gone = changes.where("change = 'gone'").select(
-        F.regexp_extract("path", "/doc_id=([^/]+)/", 1).alias("doc_id"), F.lit(True).alias("replaced")).distinct()
-    return sources.changed_documents(spark, path, changes).select("doc_id", F.md5("text").alias("digest")).join(
-        gone, "doc_id", "left")
+    with sources.small_files(spark):
+        changes = staged(sources.file_changes(spark, path, seen), "changes")
+        old = changes.where("change = 'changed'").select(
+            sources.unescaped(sources.unescaped(sources.escaped_id(F.col("path")))).alias("doc_id"),
+            F.lit(True).alias("replaced")).distinct()
+        found = sources.changed_documents(spark, path, changes).select("doc_id", F.md5("text").alias("digest"))
+        return staged(found.join(old, "doc_id", "left"), "found")
 
 
 @query("""SELECT md5(text) AS digest, CASE WHEN lang = 'en' THEN 's3' WHEN lang = 'fr' THEN 'azure' ELSE 'local' END AS storage,

@@ -130,6 +130,24 @@ def test_ids_are_the_names_of_the_files(spark, tmp_path):
     assert sorted(r.doc_id for r in sources.text_documents(spark, folder).collect()) == ids
 
 
+def test_text_files_share_folders_and_tasks(spark, tmp_path):
+    folder = str(tmp_path / "written")
+    rows = [(str(i), f"text {i}") for i in range(3000)] + [("7", "again"), (None, "no id"), ("null text", None)]
+    tables.write_text_files(spark.createDataFrame(rows, "doc_id string, text string"), folder)
+    assert len(list((tmp_path / "written").iterdir())) <= tables.FILE_FOLDERS  # and no folder a document
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with sources.small_files(spark):
+        assert sources.text_documents(spark, folder).rdd.getNumPartitions() < 64
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    got = {r.doc_id: r.text for r in sources.text_documents(spark, folder).collect()}
+    assert len(got) == 3002 and got["7"] == "again\ntext 7\n" and got["null text"] == "\n" and got[tables.NO_ID] == "no id\n"
+    with pytest.raises(FileExistsError):
+        tables.write_text_files(spark.createDataFrame(rows, "doc_id string, text string"), folder)
+    tables.write_text_files(spark.createDataFrame([("7", "new")], "doc_id string, text string"), folder, replace=True)
+    got = {r.doc_id: r.text for r in sources.text_documents(spark, folder).collect()}
+    assert len(got) == 3002 and got["7"] == "new\n" and got["8"] == "text 8\n"
+
+
 def test_an_older_file_put_back_is_a_change(spark, tmp_path):
     for i in range(10):
         put(tmp_path, f"{i}.txt", f"text {i}", 1_700_000_000 + i)

@@ -38,10 +38,13 @@ def _attempt(fn: BatchFunction, values: list, tries: int) -> tuple[list, list, l
     """
     n = len(values)
     answers, errors, attempts, calls = [None] * n, [None] * n, [0] * n, [0] * n
-
-    def run(low: int, high: int) -> None:
+    # a stack: functions that call each other would keep the texts of a batch until a collection of garbage
+    todo = [(0, n)] if n else []
+    while todo:
+        low, high = todo.pop()
         for i in range(low, high):
             calls[i] += 1
+        failed = []
         try:
             got = list(fn(values[low:high]))
             if len(got) != high - low:
@@ -49,24 +52,17 @@ def _attempt(fn: BatchFunction, values: list, tries: int) -> tuple[list, list, l
         except Exception as e:  # noqa: BLE001  whatever a model raises becomes the row's error
             if high - low > 1:
                 middle = (low + high) // 2
-                run(low, middle)
-                run(middle, high)
-            else:
-                failed(low, f"{type(e).__name__}: {e}")
-            return
+                todo += [(middle, high), (low, middle)]
+                continue
+            got, failed = [], [(low, f"{type(e).__name__}: {e}")]
         for i, answer in enumerate(got, low):
             if answer is None or isinstance(answer, str):
                 answers[i], errors[i], attempts[i] = answer, None, attempts[i] + 1
             else:
-                failed(i, f"TypeError: answer is {type(answer).__name__}, not text")
-
-    def failed(i: int, error: str) -> None:
-        errors[i], attempts[i] = error, attempts[i] + 1
-        if attempts[i] < tries:
-            run(i, i + 1)
-
-    if n:
-        run(0, n)
+                failed.append((i, f"TypeError: answer is {type(answer).__name__}, not text"))
+        for i, error in failed:
+            errors[i], attempts[i] = error, attempts[i] + 1
+        todo += [(i, i + 1) for i, _ in reversed(failed) if attempts[i] < tries]
     return answers, errors, attempts, calls
 
 
@@ -153,8 +149,9 @@ def judged(docs: DataFrame, fns: dict[str, BatchFunction]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:  # the texts cross to Python once, for all judges
+            prompts_sent = batch["prompt"].tolist()
             for name, fn in fns.items():
-                answers = _attempt(fn, batch["prompt"].tolist(), 1)[0]
+                answers = _attempt(fn, prompts_sent, 1)[0]
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "judge": name,
                                     "answer": pd.Series(answers, index=batch.index, dtype=object)})
 

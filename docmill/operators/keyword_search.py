@@ -29,6 +29,19 @@ B = 0.75
 RRF_OFFSET = 60
 EVERY = ""
 PARTITIONS = 256
+KERNEL_TOKENS = 1 << 18  # tokens of one kernel call, which needs some 100 bytes for each
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = KERNEL_TOKENS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose lists in `column` hold about `most` items at most, or one row: what a kernel needs beside them."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            held = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, held + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def postings_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,7 +54,7 @@ def postings_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                            T.StructField("tf", T.LongType()), T.StructField("length", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             lists = batch.column(1)
             length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             words = lists.flatten().dictionary_encode()

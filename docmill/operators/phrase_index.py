@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.text import tokens
-from docmill.operators.keyword_search import PARTITIONS, part_of, properties
+from docmill.operators.keyword_search import PARTITIONS, bounded, part_of, properties
 from docmill.session import staged
 
 
@@ -28,7 +28,7 @@ def positions_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                            T.StructField("positions", T.ArrayType(T.IntegerType()))])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             lists = batch.column(1)
             length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             words = lists.flatten().dictionary_encode()

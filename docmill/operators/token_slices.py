@@ -15,12 +15,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.operators.chunking import WINDOW_TOKENS, exploded
 
+PYTHON_TEXTS = 64
 #: Gives the code point at which each token of a text begins, in ascending order.
 Starts = Callable[[str], np.ndarray]
 
@@ -47,15 +48,17 @@ def token_slices(text: Column, load: Callable[[], Starts], size: int = WINDOW_TO
     if size < 1:
         raise ValueError("size must be at least 1")
 
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         starts = load()
-        for texts in batches:
-            out = []
-            for t in texts:
-                at = cuts(starts(t), len(t), size).tolist() if t else [0]
-                out.append([t[a:b] for a, b in zip(at, at[1:])])
-            yield pd.Series(out, dtype=object)
+
+        def windows(t: str | None) -> list[str]:
+            at = cuts(starts(t), len(t), size).tolist() if t else [0]
+            return [t[a:b] for a, b in zip(at, at[1:])]
+
+        for texts in batches:  # few of a batch's texts are Python strings at a time
+            yield pa.concat_arrays([pa.array([windows(t) for t in texts.slice(a, PYTHON_TEXTS).to_pylist()], pa.list_(pa.string()))
+                                    for a in range(0, max(1, len(texts)), PYTHON_TEXTS)])
 
     return cut(text)
 

@@ -28,7 +28,7 @@ from docmill.session import staged
 
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 64 << 20
-MATRIX_CELLS = 4_000_000
+MATRIX_CELLS = 1_000_000
 PLAN_BLOCKS = 16  # passes of one plan; the partial lists of more are written and read again
 
 

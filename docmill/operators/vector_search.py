@@ -234,6 +234,11 @@ def _nearer(vectors: DataFrame, centroids: pa.Table, n: int) -> DataFrame:
 
     @F.arrow_udf("array<struct<distance:double,list_id:int>>")
     def nearest(embedding: pa.Array, lists: pa.Array) -> pa.Array:
+        step = max(1, MATRIX_CELLS // n)  # with many lists a vector, few vectors at a time
+        return pa.concat_arrays([some(embedding.slice(a, step), lists.slice(a, step))
+                                 for a in range(0, max(1, len(embedding)), step)])
+
+    def some(embedding: pa.Array, lists: pa.Array) -> pa.Array:
         has = np.flatnonzero(embedding.is_valid().to_numpy(zero_copy_only=False))
         asked = pa.table({"embedding": embedding.take(pa.array(has))})
         held = lists.take(pa.array(has))

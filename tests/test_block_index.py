@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,14 @@ def test_empty_corpus_and_no_queries(spark, library):
     assert rows(BI.bm25_top_k(spark, library[1], asked.limit(0), 3)) == []
     with pytest.raises(ValueError):
         BI.bm25_top_k(spark, path, asked, 0)
+
+
+def test_kernels_take_bounded_pieces(spark):
+    """The postings of a batch come from pieces of a few tokens, and are the same."""
+    lists = [["a", "b", "a"], [], None, ["c"] * 7, ["a"], ["b", "a"]]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "tokens": pa.array([x or [] for x in lists], pa.list_(pa.string()))})
+    pieces = list(KS.bounded(iter([batch, batch.slice(3)]), 1, 4))
+    assert [p.column(0).to_pylist() for p in pieces] == [[0, 1, 2], [3], [4, 5], [3], [4, 5]]
+    docs = spark.createDataFrame([(i, " ".join(x or [])) for i, x in enumerate(lists)], "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in KS.postings_of(docs).collect() if r.term != KS.EVERY)
+    assert got == [("a", 0, 2, 3), ("a", 4, 1, 1), ("a", 5, 1, 2), ("b", 0, 1, 3), ("b", 5, 1, 2), ("c", 3, 7, 7)]

@@ -497,3 +497,30 @@ def test_cached_time(spark):
     rows = spark.createDataFrame([(1, None), (2, 5)], "doc_id int, ts long")
     assert pairs(index.cache_rows(rows, 9), "doc_id", "ts") == [(1, 9), (2, 5)]
     assert records.DEFAULT_ACL == "public"
+
+
+def test_a_batch_leaves_no_garbage():
+    """Texts go when their batch is done: nothing waits for a collection."""
+    import gc
+    import weakref
+
+    class Text(str):
+        pass
+
+    values = [Text(v) for v in ("one", "2", "three", "4")]
+    held = [weakref.ref(v) for v in values]
+
+    def fails(batch):
+        if any(v.isdigit() for v in batch):
+            raise ValueError("digits")
+        return [str(v) for v in batch]
+
+    gc.disable()
+    try:
+        answers, errors, tries, calls = inference._attempt(fails, values, 2)
+        assert (answers, tries, calls) == (["one", None, "three", None], [1, 2, 1, 2], [3, 4, 3, 4])
+        assert errors == [None, "ValueError: digits"] * 2
+        del values
+        assert not any(r() for r in held)
+    finally:
+        gc.enable()

@@ -130,6 +130,16 @@ def test_ids_are_the_names_of_the_files(spark, tmp_path):
     assert sorted(r.doc_id for r in sources.text_documents(spark, folder).collect()) == ids
 
 
+def test_all_lists_of_many_vectors(spark):
+    """Vectors and all their lists are more cells than one step of the kernel takes."""
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(3000, 2)), rng.normal(size=(400, 2))
+    frame = lambda m, name: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)], f"{name} int, embedding array<double>")
+    got = VS.with_lists(frame(x, "vec_id").coalesce(1), frame(c, "list_id"), 400).selectExpr("vec_id", "lists.list_id AS l").collect()
+    want = VS.squared_distances(x, c).argsort(axis=1)
+    assert len(got) == 3000 and all(r.l == want[r.vec_id].tolist() for r in got)
+
+
 def test_text_files_share_folders_and_tasks(spark, tmp_path):
     folder = str(tmp_path / "written")
     rows = [(str(i), f"text {i}") for i in range(3000)] + [("7", "again"), (None, "no id"), ("null text", None)]

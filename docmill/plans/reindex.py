@@ -77,7 +77,7 @@ def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: s
 
     if full:
         rows = finish(to_index(docs, None, full=True, strategy=strategy, **options))
-        rows_table.replace(rows, versions)
+        rows_table.replace(rows, versions, written=True)
         state_table.replace(index.state_rows(rows), versions)
         return progress()
     state = state_table.read(versions) if state_table.exists() else spark.createDataFrame([], nothing)
@@ -90,7 +90,7 @@ def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: s
             gone = staged(written.join(current.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_anti"), "stale")
     else:
         rows = finish(to_index(docs, state, mode, False, strategy, **options))
-    rows_table.upsert(rows, gone=gone)
+    rows_table.upsert(rows, gone=gone, written=True)
     touched = rows.select("doc_id").unionByName(index.changed_documents(versions, state).select("doc_id"))
     if gone is not None:
         touched = touched.unionByName(gone.select("doc_id"))

@@ -203,13 +203,15 @@ class Keyed:
         self._write(df, f"{self.path}/rows")
         df.limit(0).write.mode("overwrite").parquet(f"{self.path}/columns")
 
-    def upsert(self, updates: DataFrame, order: list[str] | None = None, gone: DataFrame | None = None) -> None:
+    def upsert(self, updates: DataFrame, order: list[str] | None = None, gone: DataFrame | None = None,
+               written: bool = False) -> None:
         """Insert or replace rows by key, and drop those with the keys and owners in `gone`; creates the table on first use.
 
-        Of several updates of a key the last in `order` counts; without an order they must be equal.
+        Of several updates of a key the last in `order` counts; without an order they must be equal. Updates that
+        are `written`, that is staged already, are not written once more.
         """
         keys = list(self.keys)
-        updates = staged(latest(updates, keys, order) if order else single(updates, keys), "updates")
+        updates = staged(latest(updates, keys, order), "updates") if order else self._single(updates, written)
         if not self.exists():
             self.create(updates)
             return
@@ -222,15 +224,16 @@ class Keyed:
             return kept.unionByName(updates.select(*rows.columns))
         self._change(touched, merged)
 
-    def replace(self, rows: DataFrame, owners: DataFrame | None = None) -> None:
+    def replace(self, rows: DataFrame, owners: DataFrame | None = None, written: bool = False) -> None:
         """Replace all rows of the documents (or sessions) in `rows`, or of the `owners` given.
 
-        An owner without new rows loses its old ones.
+        An owner without new rows loses its old ones. Rows that are `written`, that is staged already, are not written
+        once more.
         """
         if not self.exists():
             self.create(rows)
             return
-        rows = staged(rows, "replacement")
+        rows = rows if written else staged(rows, "replacement")
         owners = staged((rows if owners is None else owners).select(self.owner).distinct(), "owners")
         touched = owners.unionByName(rows.select(self.owner))
         self._change(touched, lambda stored: replaced(stored, rows, self.owner, owners))
@@ -255,6 +258,13 @@ class Keyed:
 
     # ---- partitions
 
+    def _single(self, updates: DataFrame, written: bool) -> DataFrame:
+        """One row per key, staged. Keys are counted first: only where one comes twice do whole rows move."""
+        updates = updates if written else staged(updates, "updates")
+        if updates.groupBy(*self.keys).count().where("count > 1").isEmpty():
+            return updates
+        return staged(single(updates, list(self.keys)), "single")
+
     def _buckets_of(self, owners: DataFrame) -> list[int]:
         """At most `buckets` numbers come to the driver."""
         numbers = bucketed(owners.select(self.owner), self.buckets, self.owner).select(BUCKET).distinct()
@@ -298,7 +308,8 @@ class Keyed:
         if waiting:
             rows = self._part("pending/rows")
             filled = {r[0] for r in rows.select(BUCKET).distinct().collect()}
-            rows.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            # the staged files are laid out as they shall be, so their rows are copied and not dealt once more
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
                 BUCKET).parquet(f"{self.path}/rows")
             for empty in set(waiting) - filled:  # an overwrite leaves partitions alone that get no row
                 remove(self.spark, f"{self.path}/rows/{BUCKET}={empty}")

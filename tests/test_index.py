@@ -524,3 +524,21 @@ def test_a_batch_leaves_no_garbage():
         assert not any(r() for r in held)
     finally:
         gc.enable()
+
+
+def test_a_change_moves_its_rows_once(spark, monkeypatch):
+    """Rows without a key that comes twice are neither written nor dealt again before they are merged."""
+    labels = []
+    real = tables.staged
+    monkeypatch.setattr(tables, "staged", lambda df, label: labels.append(label) or real(df, label))
+    kept = tables.Keyed(spark, scratch_path(spark, "keyed"), ("k",), buckets=4)
+    rows = lambda *r: real(spark.createDataFrame(r, "doc_id long, k string, v int"), "rows")
+    kept.upsert(rows((1, "a", 1), (2, "b", 1)), written=True)
+    kept.upsert(rows((2, "b", 2), (3, None, 3)), written=True)
+    assert labels == [] and sorted((r.doc_id, r.v) for r in kept.read().collect()) == [(1, 1), (2, 2), (3, 3)]
+    kept.upsert(rows((1, "a", 5), (1, "a", 5)), written=True)
+    assert labels == ["single"] and sorted((r.doc_id, r.v) for r in kept.read().collect()) == [(1, 5), (2, 2), (3, 3)]
+    with pytest.raises(Exception, match="need an order"):
+        kept.upsert(rows((1, "a", 6), (1, "a", 7)), written=True)
+    kept.replace(rows((2, "c", 9)), written=True)
+    assert labels == ["single", "single", "owners"] and sorted((r.doc_id, r.v) for r in kept.read().collect()) == [(1, 5), (2, 9), (3, 3)]

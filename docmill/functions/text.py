@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BLANK_LINE = "\n\n"
 SENTENCE_BREAK = r"(?<=[.!?]) +"
 KEYWORD = r"(?<![\p{L}\p{N}_])[a-z]{4,}(?![\p{L}\p{N}_])"  # 4+ ASCII letters, Unicode word edges
+WORD_RUN = r"([a-z]++)(?: \1(?![a-z]))*+"  # a keyword and its repeats right after it, in sorted keywords
 TOKEN = r"[\p{L}\p{N}_]+"
 KEYWORD_COUNT = 10
 # Every character Unicode text treats as white space, with the four ASCII separators.
@@ -73,29 +74,33 @@ def run_length(starts: Column, start: Column, j: Column, total: Column) -> Colum
 
 
 def top_keywords(text: Column, limit: int = KEYWORD_COUNT) -> Column:
-    """The most frequent keywords, ties by first appearance.
+    """The most frequent keywords, ties by first appearance; none for a null text.
 
-    Sorting the occurrences and measuring runs keeps the count inside the row; grouping
-    exploded words by document would shuffle the corpus.
+    Sorting the occurrences keeps the count inside the row; grouping exploded words by document would shuffle the
+    corpus. Plain strings are sorted, and only words that come again are counted; the others follow as they appear.
     """
+    def best(found: Column) -> Column:
+        return let(_repeated(found), lambda counted: let(
+            F.coalesce(F.get(F.sort_array(counted["n"], asc=False), F.lit(limit - 1)), F.lit(1)),
+            lambda least: pick(found, counted, least)))
+
+    def pick(found: Column, counted: Column, least: Column) -> Column:
+        # fewer than `limit` words come more than `least` times; those that come so often are taken in their order
+        more = F.sort_array(F.transform(F.filter(counted, lambda x: x["n"] > least), lambda x: F.struct(
+            (-x["n"]).alias("order"), F.array_position(found, x["word"]).alias("first"), x["word"].alias("word"))))
+        tied = F.when(least > 1, F.array_intersect(found, F.filter(counted, lambda x: x["n"] == least)["word"]))
+        return F.slice(F.concat(more["word"], tied.otherwise(F.array_except(found, counted["word"]))), 1, limit)
+
     found = F.regexp_extract_all(F.lower(text), F.lit(KEYWORD), F.lit(0))
-    ordered = F.sort_array(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
-
-    def counted(occ: Column) -> Column:
-        return let(
-            run_starts(occ, lambda x: x["word"]),
-            lambda starts: F.transform(
-                starts,
-                lambda s, j: F.struct(
-                    (-run_length(starts, s, j, F.size(occ))).alias("order"),
-                    F.get(occ, s)["at"].alias("first"),
-                    F.get(occ, s)["word"].alias("word"),
-                ),
-            ),
-        )
-
-    ranked = F.sort_array(let(ordered, counted))
-    return F.transform(F.slice(ranked, 1, limit), lambda x: x["word"])
+    return let(F.coalesce(found, F.array().cast("array<string>")), best)
+
+
+def _repeated(found: Column) -> Column:
+    """(word, n) of the words that come at least twice."""
+    again = let(F.sort_array(found), lambda s: F.filter(s, lambda w, i: w.eqNullSafe(F.get(s, i + 1))))
+    runs = F.regexp_extract_all(F.array_join(again, " "), F.lit(WORD_RUN), F.lit(0))
+    return F.transform(runs, lambda r: let(F.substring_index(r, " ", 1), lambda w: F.struct(
+        w.alias("word"), ((F.octet_length(r) + 1) / (F.octet_length(w) + 1) + 1).cast("int").alias("n"))))
 
 
 def parse_keyword_list(answer: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -32,6 +33,25 @@ def test_keywords(spark, small):
         assert column(spark, texts, T.top_keywords(F.col("x"), n)) == [keywords(t, n) for t in texts]
 
 
+def test_keywords_of_many_ties_and_edges(spark):
+    rng = random.Random(3)
+    some = ["".join(rng.choice("ab") for _ in range(rng.randint(4, 7))) for _ in range(60)]  # words that begin alike
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    texts += ["aaab aab aaab aaaab aaab", "word " * 30_000 + "other other", " ".join(f"once{chr(97 + i % 26)}" for i in range(40))]
+    for n in (0, 1, 2, 10, 100):
+        assert column(spark, texts, T.top_keywords(F.col("x"), n)) == [keywords(t, n) for t in texts]
+    assert column(spark, [None, "", "a b"], T.top_keywords(F.col("x"))) == [[], [], []]
+
+
+def test_keywords_of_long_texts_take_no_time_for_every_pair_of_words(spark, plan):
+    word = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(4))
+    text = " ".join(word(i) for i in range(100_000)) + " " + " ".join(word(i) for i in range(99_999, -1, -2))
+    assert column(spark, [text], T.top_keywords(F.col("x"), 3)) == [[word(1), word(3), word(5)]]
+    # occurrences are sorted as plain strings: structs with their places took most of the time
+    made = plan(spark.createDataFrame([("x",)], "x string").select(T.top_keywords(F.col("x"))))
+    assert "sort_array(transform(regexp_extract_all" not in made
+
+
 def test_keyword_modes(spark):
     df = spark.createDataFrame([("some text text", " a, b ,, c d ,"), ("some text text", None), ("x", "")], "x string, a string")
     rows = df.select(T.keywords(F.col("x"), "llm", F.col("a")).alias("k"), T.keywords(F.col("x")).alias("f")).collect()

@@ -55,7 +55,7 @@ def checked(spec: str) -> dict:
     if not (model["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True)
             and not before.get("add_prefix_space") and model.get("normalizer") is None
             and made == sorted(made) and min(made, default=0) >= 0
-            and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in model["added_tokens"])):
+            and not any(t.get(k) for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))):
         raise ValueError("not a byte-level BPE with split words, without prefix space and normalizer, merged in the order of ids")
     return model
 

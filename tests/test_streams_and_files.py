@@ -200,3 +200,25 @@ def test_memory_over_several_batches(spark, tmp_path):
         (1, 1, "m3"), (1, 2, "m4"), (1, 3, "m5"), (2, 1, "x"), (2, 2, "y")]
     with pytest.raises(ValueError):
         memory.LastMessages(0)
+
+
+def test_memory_of_messages_without_a_number(spark, tmp_path):
+    path, checkpoint = scratch_path(spark, "m"), scratch_path(spark, "c")
+    big = 2 ** 53
+
+    def feed(name, rows):
+        spark.createDataFrame(rows, "session_id long, seq long, role string, content string").coalesce(1).write.parquet(
+            str(tmp_path / name))
+        source = spark.readStream.schema("session_id long, seq long, role string, content string").parquet(
+            f"{tmp_path}/{name[0]}*")
+        with memory.rocksdb(spark):
+            memory.start_memory(source, path, checkpoint, 3).awaitTermination()
+        return sorted((r.session_id, r.position, r.seq, r.content)
+                      for r in tables.read_batches(spark, path, "session_id").collect())
+
+    # they are the oldest, and shown behind the others; numbers beside them stay exact
+    assert feed("m1", [(1, None, "user", "x"), (1, big + 1, "user", "b"), (1, big, "user", "a"),
+                       (2, None, "user", "y"), (2, None, None, "y"), (3, 0, "user", None)]) == [
+        (1, 1, big, "a"), (1, 2, big + 1, "b"), (1, 3, None, "x"), (2, 1, None, "y"), (2, 2, None, "y"), (3, 1, 0, None)]
+    assert [r[1:] for r in feed("m2", [(1, None, "user", "z"), (1, 1, "user", "c")]) if r[0] == 1] == [
+        (1, 1, "c"), (2, big, "a"), (3, big + 1, "b")]

@@ -1,7 +1,8 @@
 """Batch inference: user functions over Arrow batches, one call per batch of rows.
 
-A function takes a list of strings and returns one string (or None) per input. It runs in
-the tasks, so concurrency is the number of partitions; pass `partitions` to widen it.
+A function takes a list of strings and returns one string (or None) per input. A batch with more
+than `CALL_BYTES` of texts is sent in several calls. It runs in the tasks, so concurrency is the
+number of partitions; pass `partitions` to widen it.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,19 @@ class Expression:
 
 
 Summarizer = BatchFunction | Expression
+CALL_BYTES = 1 << 20  # texts of one call, which needs several times as much for its copies of them
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = CALL_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose texts in `column` hold about `most` bytes at most, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            held = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, held + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def _attempt(fn: BatchFunction, values: list, tries: int) -> tuple[list, list, list, list]:
@@ -82,20 +98,20 @@ def infer(df: DataFrame, prompt: str, fn: BatchFunction, out: str = "answer", re
                            T.StructField(f"{out}_status", T.StringType())])
     tries = 2 if retry else 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sent = batch[prompt].notna().to_numpy()
-            results = [iter(x) for x in _attempt(fn, batch[prompt][sent].tolist(), tries)]
+    at, text = df.columns.index(prompt), pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, at):  # columns other than the prompts do not become Python values
+            sent = piece.column(at).is_valid().to_pylist()
+            results = [iter(x) for x in _attempt(fn, piece.column(at).drop_null().to_pylist(), tries)]
             answers, errors, attempts, calls = (
                 [next(x) if s else empty for s in sent] for x, empty in zip(results, (None, None, 0, 0)))
-            yield batch.assign(**{
-                out: pd.Series(answers, index=batch.index, dtype=object),
-                f"{out}_error": pd.Series(errors, index=batch.index, dtype=object),
-                f"{out}_attempts": pd.Series(attempts, index=batch.index, dtype="int32"),
-                f"{out}_calls": pd.Series(calls, index=batch.index, dtype="int32"),
-                f"{out}_status": [("ok" if e is None else "failed") if s else "skipped" for s, e in zip(sent, errors)]})
+            status = [("ok" if e is None else "failed") if s else "skipped" for s, e in zip(sent, errors)]
+            yield pa.RecordBatch.from_arrays(
+                [*piece.columns, pa.array(answers, text), pa.array(errors, text), pa.array(attempts, pa.int32()),
+                 pa.array(calls, pa.int32()), pa.array(status, text)], schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 # Engines: the built-in ones are column expressions, the named model engines are supplied.
@@ -147,13 +163,13 @@ def judged(docs: DataFrame, fns: dict[str, BatchFunction]) -> DataFrame:
     schema = T.StructType([asked.schema["doc_id"], T.StructField("judge", T.StringType()),
                            T.StructField("answer", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:  # the texts cross to Python once, for all judges
-            prompts_sent = batch["prompt"].tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, 1):  # the texts cross to Python once, for all judges
+            prompts_sent = piece.column(1).to_pylist()
             for name, fn in fns.items():
                 answers = _attempt(fn, prompts_sent, 1)[0]
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "judge": name,
-                                    "answer": pd.Series(answers, index=batch.index, dtype=object)})
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([name] * len(answers), pa.string()),
+                                                  pa.array(answers, pa.string())], schema.names)
 
-    answered = asked.mapInPandas(run, schema)
+    answered = asked.mapInArrow(run, schema)
     return answered.select("doc_id", "judge", records.is_yes(F.col("answer")).alias("vote"))

@@ -158,6 +158,19 @@ def test_a_bad_row_costs_few_calls(spark, tmp_path):
     assert all(r.answer_attempts == 1 for r in out if r.id != 700)
 
 
+def test_a_call_holds_few_texts_at_a_time(spark):
+    sizes = lambda vs: [str(sum(len(v) for v in vs)) for _ in vs]
+    texts = [(i, None if i % 10 == 0 else "x" * 100_000) for i in range(60)] + [(60, "y" * 3_000_000)]
+    df = spark.createDataFrame(texts, "doc_id int, text string").coalesce(1)
+    out = inference.infer(df, "text", sizes).collect()
+    assert [r.doc_id for r in out if r.answer is None] == list(range(0, 60, 10))
+    assert max(int(r.answer) for r in out if r.doc_id < 60 and r.answer) <= 1 << 20
+    assert [r.answer for r in out if r.doc_id == 60] == ["3000000"] and all(r.text == dict(texts)[r.doc_id] for r in out)
+    few = lambda vs: ["yes" if len(vs) == 1 or sum(len(v) for v in vs) <= 1 << 20 else "no" for v in vs]
+    votes = inference.judged(df.where("text is not null"), {"a": few, "b": few}).collect()
+    assert len(votes) == 110 and all(r.vote for r in votes)
+
+
 def test_answers_that_are_no_text_are_errors(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c")], "id int, p string").coalesce(1)
     out = inference.infer(df, "p", lambda vs: [{"a": 1} if v == "b" else None if v == "c" else v for v in vs])

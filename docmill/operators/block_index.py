@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from docmill.operators.keyword_search import (
     B, EVERY, K1, PARTITIONS, asked_index, best_of, part_of, postings_of, properties, stored_postings, write_postings)
 from docmill.operators.topk import ranked
-from docmill.session import staged
+from docmill.session import small_batches, staged
 
 BLOCK_DOCS = 64
 #: Lengths that differ by less than this factor may share a block.
@@ -33,7 +33,8 @@ def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     """Write postings, terms and the bounds of all blocks below `path`."""
     spark = docs.sparkSession
     step = F.floor(F.log(F.greatest(F.col("length"), F.lit(1))) / F.log(F.lit(LENGTH_STEP))).alias("step")
-    rows = staged(postings_of(docs, id_col, text).select("*", step), "postings")
+    with small_batches(spark):
+        rows = staged(postings_of(docs, id_col, text).select("*", step), "postings")
     # one row per step of lengths: a few hundred, whatever the number of documents
     steps = rows.where(F.col("term") == EVERY).groupBy("step").agg(
         F.ceil(F.count(F.lit(1)) / block_docs).alias("blocks"))

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from docmill.functions.text import tokens
 from docmill.operators.topk import MATRIX_CELLS, Kernel, ranked, top_k
-from docmill.session import staged
+from docmill.session import small_batches, staged
 
 # Published defaults (Robertson & Zaragoza 2009; Cormack et al. 2009).
 K1 = 1.2
@@ -83,8 +83,9 @@ def write_postings(rows: DataFrame, path: str, partitions: int = PARTITIONS, ord
     spark.createDataFrame([(partitions, rows.schema.json())], "partitions int, columns string").coalesce(1).write.json(
         f"{path}/properties")
     # rebalance splits a partition that holds a frequent term over several tasks and files
-    (rows.withColumn("part", part_of(F.col("term"), partitions)).hint("rebalance", "part")
-     .sortWithinPartitions("part", *order).write.partitionBy("part").parquet(f"{path}/postings"))
+    with small_batches(spark):
+        (rows.withColumn("part", part_of(F.col("term"), partitions)).hint("rebalance", "part")
+         .sortWithinPartitions("part", *order).write.partitionBy("part").parquet(f"{path}/postings"))
     stored_postings(spark, path).groupBy("part", "term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("length").alias("length")).write.partitionBy("part").parquet(f"{path}/terms")
 

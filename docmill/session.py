@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def local_session(app: str = "docmill", cores: str | int = "*", shuffle: int = 8,
@@ -75,6 +77,23 @@ def workspace(spark: SparkSession) -> Iterator[str]:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands Python batches of at most 1,000 rows, and bytes as bounded; no batch grows with the table or its texts.
+
+    A Python worker holds two batches at a time, whatever pieces its kernel takes of them.
+    """
+    before = {name: spark.conf.get(name) for name in BATCH_LIMITS}
+    for name, most in BATCH_LIMITS.items():
+        now = int(re.match(r"-?\d+", before[name])[0]) if re.fullmatch(r"-?\d+b?", before[name], re.I) else 0
+        spark.conf.set(name, str(min(now, most) if now > 0 else most))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage there."""
     scratch_root(df.sparkSession)

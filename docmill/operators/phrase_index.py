@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from docmill.functions.text import tokens
 from docmill.operators.keyword_search import PARTITIONS, bounded, part_of, properties
-from docmill.session import staged
+from docmill.session import small_batches, staged
 
 
 def positions_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,8 +51,9 @@ def write_positions(docs: DataFrame, path: str, id_col: str = "doc_id", text: st
     rows = positions_of(docs, id_col, text)
     docs.sparkSession.createDataFrame([(partitions, rows.schema.json())], "partitions int, columns string").coalesce(
         1).write.json(f"{path}/properties")
-    (rows.withColumn("part", part_of(F.col("term"), partitions)).hint("rebalance", "part")
-     .sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/positions"))
+    with small_batches(docs.sparkSession):
+        (rows.withColumn("part", part_of(F.col("term"), partitions)).hint("rebalance", "part")
+         .sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/positions"))
 
 
 def holding_all(spark: SparkSession, path: str, asked: DataFrame, id_col: str) -> DataFrame:

@@ -7,8 +7,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from docmill.operators import evaluation_log, phrase_index, tag_index
-from docmill.session import scratch_path
+from docmill.operators import block_index, evaluation_log, keyword_search, phrase_index, tag_index
+from docmill.session import BATCH_LIMITS, scratch_path, small_batches
 from docmill.sources import bucketed
 
 TOKEN = re.compile(r"[^\W]+")
@@ -155,3 +155,28 @@ def test_evaluation_log(spark):
     assert set(drift) == {"", "g"} and all(abs(d - 0.475) < 0.03 for d in drift.values())
     assert all(r.drift < 0.01 for r in evaluation_log.score_drift(log, "first", "first").collect())
     assert evaluation_log.summary(log, "group").count() == 2
+
+
+def test_indexes_hand_small_batches_to_python(spark, tmp_path, monkeypatch):
+    """Also of many rows, and of few with many words; the session's own limits come back."""
+    seen = str(tmp_path / "seen")
+    before = {n: spark.conf.get(n) for n in BATCH_LIMITS}
+    for module, write in ((keyword_search, keyword_search.write_index), (block_index, block_index.write_index),
+                          (phrase_index, phrase_index.write_positions)):
+        def told(batches, column, most=1 << 18, plain=keyword_search.bounded, name=f"{seen}-{module.__name__}"):
+            for batch in batches:
+                with open(name, "a") as f:
+                    f.write(f"{batch.num_rows} {batch.nbytes}\n")
+                yield from plain(iter([batch]), column, most)
+        with monkeypatch.context() as m:
+            m.setattr(keyword_search if module is block_index else module, "bounded", told)
+            docs = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.when(
+                F.col("id") < 3000, "few words").otherwise(F.repeat(F.lit("many words "), 1000)).alias("text"))
+            write(docs, str(tmp_path / module.__name__), partitions=2)
+        sizes = [tuple(map(int, line.split())) for line in open(f"{seen}-{module.__name__}")]
+        assert sum(n for n, _ in sizes) == 5000 and max(n for n, _ in sizes) <= 1000
+        assert max(b for _, b in sizes) < 16 << 20
+        assert {n: spark.conf.get(n) for n in BATCH_LIMITS} == before
+    with pytest.raises(RuntimeError), small_batches(spark):
+        raise RuntimeError
+    assert {n: spark.conf.get(n) for n in BATCH_LIMITS} == before

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docmill.functions.text import words
 from docmill.operators import token_slices
 from docmill.operators.chunking import OVERLAP, OVERLAP_CHARS, SEPARATORS, chunk
+from docmill.session import small_batches, staged
 from docmill.workload.fixtures import (NL, SQL_SENTENCES, SQL_STRIP, SQL_WORDS, documents, rows_of)
 from docmill.workload.registry import query
 
@@ -143,6 +144,8 @@ def chunk_token_slices(spark, sf):
     import public_tokenizers
     vocabulary = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
     windows = token_slices.token_slices(F.col("text"), token_slices.library_starts(vocabulary))
-    return documents(spark, sf).where("text <> ''").select("doc_id", windows.alias("w")).select(
+    whole = documents(spark, sf).where("text <> ''").select("doc_id", windows.alias("w")).select(
         "doc_id", F.md5(F.array_join("w", "")).alias("digest"),
         F.forall("w", lambda w: F.length(w) > 0).alias("filled"))
+    with small_batches(spark):
+        return staged(whole, "slices")

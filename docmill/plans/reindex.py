@@ -9,9 +9,12 @@ from docmill.functions import vectors
 from docmill.operators import index, inference
 from docmill.operators.chunking import chunk
 from docmill.plans.ingest import chunk_rows, described, embedded, finished
-from docmill.session import staged
+from docmill.session import short_shuffles, staged, workspace
 from docmill.sources import documents, tables
 
+#: Bytes of text that a round of `reindex` takes, and the most rounds of a run, since each reads the documents again.
+ROUND_BYTES, ROUNDS = 64 << 20, 16
+
 
 def to_index(docs: DataFrame, state: DataFrame, mode: str = "hash", full: bool = False,
              strategy: str = "paragraph", **options) -> DataFrame:
@@ -54,7 +57,9 @@ def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: s
 
     Of both tables only the partitions of the given documents are read, and only those of changed
     documents are written. Running it again, also after a failure between the two writes, indexes what is
-    still missing and nothing else.
+    still missing and nothing else. Many documents are taken in rounds, each those of some partitions: what a
+    round stages and shuffles is dropped at its end, so the disk holds the tables and that of one round. Every round
+    reads the documents again. A run that fails leaves the rounds before it done.
     """
     if mode not in ("code", "hash"):
         raise ValueError(f"Unsupported reindex mode: {mode}")
@@ -62,25 +67,34 @@ def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: s
         docs = documents.listed(docs, ids)
     if "version" not in docs.columns:
         docs = docs.withColumn("version", F.lit(index.UNKNOWN_VERSION))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    nothing = f"doc_id {id_type}, version string, chunk_id int, chunk_hash string"
-    versions = staged(docs.select("doc_id", F.coalesce("version", F.lit(index.UNKNOWN_VERSION)).alias("version")), "versions")
+    sized = staged(docs.select("doc_id", F.coalesce("version", F.lit(index.UNKNOWN_VERSION)).alias("version"),
+                               F.octet_length("text").alias("size")), "versions")
+    versions = sized.drop("size")
+    rounds = min(ROUNDS, buckets, 1 + (sized.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0) // ROUND_BYTES)
 
     rows_table = tables.Keyed(spark, index_path, ("vector_id",), buckets=buckets)
     state_table = tables.Keyed(spark, state_path, buckets=buckets)
 
+    for n in range(rounds):
+        mine = tables.bucket_of("doc_id", buckets) % rounds == n if rounds > 1 else F.lit(True)
+        with workspace(spark), short_shuffles(spark):
+            _reindex_round(docs.where(mine), versions.where(mine), rows_table, state_table, now, mode, full, summarizer,
+                           functions, embed, strategy, options)
+    return index.progress(state_table.read(versions), versions)
+
+
+def _reindex_round(docs: DataFrame, versions: DataFrame, rows_table: tables.Keyed, state_table: tables.Keyed, now: int, mode: str,
+                   full: bool, summarizer, functions: dict | None, embed, strategy: str, options: dict) -> None:
     def finish(todo: DataFrame) -> DataFrame:
         return staged(finished(embedded(inference.summarize(todo, summarizer, functions), embed), now), "reindex")
 
-    def progress() -> DataFrame:
-        return index.progress(state_table.read(versions), versions)
-
     if full:
         rows = finish(to_index(docs, None, full=True, strategy=strategy, **options))
         rows_table.replace(rows, versions, written=True)
         state_table.replace(index.state_rows(rows), versions)
-        return progress()
-    state = state_table.read(versions) if state_table.exists() else spark.createDataFrame([], nothing)
+        return
+    nothing = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, version string, chunk_id int, chunk_hash string"
+    state = state_table.read(versions) if state_table.exists() else docs.sparkSession.createDataFrame([], nothing)
     gone = None
     if mode == "hash":  # the texts are chunked once to compare, and again only where a chunk is missing
         current = staged(hashed_chunks(docs, strategy, **options), "current")
@@ -98,7 +112,6 @@ def reindex(spark: SparkSession, docs: DataFrame, index_path: str, state_path: s
     touched = staged(versions.join(touched.distinct(), "doc_id", "left_semi"), "touched")
     there = rows_table.read(touched).select("doc_id", "chunk_id", "chunk_hash").join(touched, "doc_id")
     state_table.replace(index.state_rows(there), touched)
-    return progress()
 
 
 def dry_run(docs: DataFrame, state: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
@@ -94,6 +95,20 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as it has ended; by default they stay until the driver collects its garbage.
+
+    A frame that runs twice inside deals its rows twice.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage there."""
     scratch_root(df.sparkSession)

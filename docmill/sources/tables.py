@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
@@ -30,6 +30,7 @@ NO_ID = "__HIVE_DEFAULT_PARTITION__"
 ESCAPED = re.compile(r"[\x00-\x1f\x7f\"#%'*+/:=?\\{}\[\]^<>|]")
 BUCKET = "bucket"
 BUCKETS = 16_384  # about 6 GB each for a 100 TB table; small tables pass fewer
+CODEC = "zstd"  # keyed tables hold a chunk, its summary, vector and hash: a quarter smaller than by snappy
 
 
 def upload(docs: DataFrame, path: str) -> DataFrame:
@@ -165,9 +166,14 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def bucket_of(owner: str = "doc_id", buckets: int = BUCKETS) -> Column:
+    """The partition of a row: a hash of the owning document (or session)."""
+    return F.pmod(F.xxhash64(F.col(owner).cast("string")), F.lit(buckets)).cast("int")
+
+
 def bucketed(df: DataFrame, buckets: int = BUCKETS, owner: str = "doc_id") -> DataFrame:
-    """Add the partition column: a hash of the owning document (or session)."""
-    return df.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(owner).cast("string")), F.lit(buckets)).cast("int"))
+    """Add the partition column."""
+    return df.withColumn(BUCKET, bucket_of(owner, buckets))
 
 
 @dataclass(frozen=True)
@@ -284,7 +290,8 @@ class Keyed:
 
     def _write(self, df: DataFrame, path: str) -> None:
         """`rebalance` splits a hot bucket over tasks and joins small ones."""
-        bucketed(df, self.buckets, self.owner).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+        rows = bucketed(df, self.buckets, self.owner).hint("rebalance", BUCKET)
+        rows.write.mode("overwrite").option("compression", CODEC).partitionBy(BUCKET).parquet(path)
 
     def _waiting(self) -> list[int]:
         """The partitions of a change that is staged as a whole but not in place yet."""
@@ -309,7 +316,7 @@ class Keyed:
             rows = self._part("pending/rows")
             filled = {r[0] for r in rows.select(BUCKET).distinct().collect()}
             # the staged files are laid out as they shall be, so their rows are copied and not dealt once more
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC).partitionBy(
                 BUCKET).parquet(f"{self.path}/rows")
             for empty in set(waiting) - filled:  # an overwrite leaves partitions alone that get no row
                 remove(self.spark, f"{self.path}/rows/{BUCKET}={empty}")

@@ -433,6 +433,58 @@ def test_reindex_survives_a_stop_between_the_writes(spark):
     assert at(spark, paths[1]).read().count() == 5
 
 
+def staged_by(spark, label):
+    """The tables of this label that are left in the shared folder."""
+    root = spark.sparkContext._jvm.java.net.URI(spark.conf.get("spark.checkpoint.dir")).getPath()
+    return {p for p in Path(root).rglob(f"{label}-*") if p.is_dir()}
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_reindex_in_rounds(spark, monkeypatch, full):
+    """Each round takes the documents of some partitions; nothing it has staged or shuffled is left."""
+    paths = scratch_path(spark, "i"), scratch_path(spark, "s")
+    rounds, real = [], reindex._reindex_round
+    monkeypatch.setattr(reindex, "_reindex_round", lambda docs, *a: rounds.append(docs.count()) or real(docs, *a))
+    monkeypatch.setattr(reindex, "ROUND_BYTES", 1)
+    monkeypatch.setattr(reindex, "ROUNDS", 2)
+    before = staged_by(spark, "reindex")
+    many = [(i, f"head {i}\n\ntail {i}", "v1") for i in range(20)] + [(None, "no id", "v1"), (20, None, "v1"), (21, "", "v1")]
+    progress = run(spark, many, paths, 1, full=full)
+    assert len(rounds) == 2 and sum(rounds) == 23 and max(rounds) < 23
+    assert staged_by(spark, "reindex") == before
+    ids = [f"{i}_chunk_{c}" for i in range(20) for c in range(2)]
+    assert sorted(r.vector_id for r in at(spark, paths[0]).read().where("doc_id IS NOT NULL").collect()) == sorted(ids)
+    assert at(spark, paths[1]).read().where("doc_id IS NOT NULL").count() == 40
+    assert {(r.doc_id, r.chunks_indexed_count) for r in progress.collect()} >= {(i, 2) for i in range(20)} | {(20, 0), (21, 0)}
+    assert progress.count() == 23
+    edited = [(i, f"head {i}" if i % 2 else f"head {i}\n\nnew {i}", "v2") for i in range(20)]
+    run(spark, edited, paths, 2, full=full)
+    got = {r.vector_id: (r.chunk, r.ts) for r in at(spark, paths[0]).read().where("doc_id IS NOT NULL").collect()}
+    assert got == {f"{i}_chunk_0": (f"head {i}", 2 if full else 1) for i in range(20)} | {
+        f"{i}_chunk_1": (f"new {i}", 2) for i in range(0, 20, 2)}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_a_round_that_fails_leaves_those_before_it(spark, monkeypatch):
+    paths, real, calls = (scratch_path(spark, "i"), scratch_path(spark, "s")), reindex._reindex_round, []
+
+    def stopped(*a):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("driver lost")
+        real(*a)
+    monkeypatch.setattr(reindex, "ROUND_BYTES", 1)
+    monkeypatch.setattr(reindex, "ROUNDS", 2)
+    monkeypatch.setattr(reindex, "_reindex_round", stopped)
+    many = [(i, f"text {i}", "v1") for i in range(20)]
+    with pytest.raises(RuntimeError):
+        run(spark, many, paths, 1)
+    done = {r[0] for r in stored(spark, paths)}
+    assert 0 < len(done) < 20
+    run(spark, many, paths, 2)
+    assert {(v, t) for v, _, t in stored(spark, paths)} == {(f"{i}_chunk_0", 1 if f"{i}_chunk_0" in done else 2) for i in range(20)}
+
+
 def test_reindex_modes(spark):
     docs = docs_of(spark, [(1, "a\n\nb\n\nc", "v1"), (2, "d\n\ne", "v2"), (3, "f", None)])
     state = spark.createDataFrame([(1, "v1", 0, "stale"), (2, "v1", 0, "stale")], STATE)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +12,17 @@ from pyspark.sql import functions as F
 
 from docmill.functions.records import iso_time
 from docmill.functions.text import strip
+from docmill.session import scratch_path
 
 #: How `tables.write_text_files` names folders and files.
 FILE_FOLDER, FILE_NAME = "id_hash=", "doc-"
 #: What opening a small file counts in a scan: some thousand share a task.
 OPEN_COST = 1 << 16
+#: Settings of a scan of small files: its folders are listed by tasks, and the driver does not keep their lists for later scans.
+SMALL_FILES = {"spark.sql.files.openCostInBytes": OPEN_COST, "spark.sql.sources.parallelPartitionDiscovery.threshold": 1,
+               "spark.sql.hive.filesourcePartitionFileCacheSize": 0}
+#: Files that the driver lists at a time, some KB each, in a scan by parts; a path of more folders is one part.
+FILES_AT_ONCE, MOST_FOLDERS = 1 << 16, 10_000
 
 STORAGES = {"s3": "s3a", "azure": "abfss", "local": "file"}  # fixed values: storage -> URI scheme
 
@@ -33,13 +41,66 @@ def unescaped(name: Column) -> Column:
 @contextmanager
 def small_files(spark: SparkSession) -> Iterator[None]:
     """What is planned and run inside reads many small files in a task; by default a task would take 32 of them at most."""
-    name = "spark.sql.files.openCostInBytes"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(OPEN_COST))
+    before = {name: spark.conf.get(name) for name in SMALL_FILES}
+    for name, value in SMALL_FILES.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def parts(spark: SparkSession, path: str | list[str]) -> list[list]:
+    """The `name=value` folders of a path (as Hadoop paths, by name) in parts of at most `FILES_AT_ONCE` files; a fuller folder is one part.
+
+    Empty where one part is enough, or none can be made: files are in no such folder, or `path` is a pattern or a list.
+    """
+    if not isinstance(path, str) or re.search(r"[*?\[{]", path):
+        return []
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    folders, entries = {}, files.listStatusIterator(root)
+    while entries.hasNext():
+        entry = entries.next()
+        folder = entry.getPath()
+        name = folder.getName()
+        if name.startswith(".") or name.startswith("_") and "=" not in name:  # no scan reads these
+            continue
+        if "=" not in name or not entry.isDirectory() or len(folders) == MOST_FOLDERS:
+            return []
+        folders[f"{folder.toUri().getRawPath()}/"] = folder
+    with ThreadPoolExecutor(4) as pool:
+        counts = pool.map(lambda key: (key, files.getContentSummary(folders[key]).getFileCount()), sorted(folders))
+        found, held = [], 0
+        for key, count in counts:
+            if not found or held + count > FILES_AT_ONCE:
+                found.append([])
+                held = 0
+            found[-1].append(folders[key])
+            held += count
+    return found if len(found) > 1 else []
+
+
+def scanned(spark: SparkSession, path: str | list[str], label: str, scan: Callable[[str | list[str]], DataFrame]) -> DataFrame:
+    """What `scan` makes of the files below `path`, staged. It gets the path in `parts`, so the driver lists no more files at a time."""
+    return _by_parts(spark, label, path, parts(spark, path), lambda some, _: scan(some))
+
+
+def _by_parts(spark: SparkSession, label: str, path: str | list[str], found: list[list], scan: Callable) -> DataFrame:
+    """The rows of `scan`, which gets the folders of a part and a condition on the paths of its files."""
+    out, place = scratch_path(spark, label), F.regexp_replace("path", "^[^:/]+:(//[^/]*)?", "")
+    with small_files(spark):
+        for part in found or [None]:
+            if part is None:
+                rows = scan(path, F.lit(True))
+            else:  # by name a part is a range; 0 is the character behind a slash
+                first, last = (folder.toUri().getRawPath() for folder in (part[0], part[-1]))
+                rows = scan([folder.toString() for folder in part], (place >= f"{first}/") & (place < f"{last}0"))
+            rows.write.mode("append").parquet(out)
+    return spark.read.schema(rows.schema).parquet(out)
 
 
 def escaped_id(path: Column) -> Column:
@@ -78,10 +139,13 @@ def text_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def listed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, last_modified) of all files that hold something; their contents are not read."""
-    meta, files = F.col("_metadata"), spark.read.format("binaryFile").load(path)
-    return files.where("length > 0").select(
-        meta["file_path"].alias("path"), meta["file_modification_time"].alias("last_modified"))
+    """(path, last_modified) of all files that hold something, staged; they are listed in `parts`, and their contents not read."""
+    def scan(some):
+        meta, files = F.col("_metadata"), spark.read.format("binaryFile").load(some)
+        return files.where("length > 0").select(
+            meta["file_path"].alias("path"), meta["file_modification_time"].alias("last_modified"))
+
+    return scanned(spark, path, "listed", scan)
 
 
 def file_changes(spark: SparkSession, path: str | list[str], seen: DataFrame) -> DataFrame:
@@ -99,21 +163,29 @@ def file_changes(spark: SparkSession, path: str | list[str], seen: DataFrame) ->
                        change.alias("change")).where("change IS NOT NULL")
 
 
-def changed_documents(spark: SparkSession, path: str | list[str], changes: DataFrame) -> DataFrame:
-    """`text_documents` of the files that `changes` (see `file_changes`, staged) calls new or changed.
+def changed_documents(spark: SparkSession, path: str | list[str], changes: DataFrame,
+                      each: Callable[[DataFrame], DataFrame] = lambda docs: docs) -> DataFrame:
+    """`each` of `text_documents` of the files that `changes` (see `file_changes`, staged) calls new or changed.
 
     Files outside the span of their times are pruned before any is opened: Spark applies a filter on
     `_metadata` to the list of files. The files left are joined with the changes, so that an
     unchanged one inside the span gives no row; texts in the span move only where Spark finds the
-    changes too large to broadcast. Small files share a task.
+    changes too large to broadcast. Small files share a task. Where the files make several `parts`, each is read
+    with the changes in it, and what `each` makes of it is staged.
     """
     todo = changes.where("change <> 'gone'").select("path", "last_modified")
-    first, last = todo.agg(F.min(F.unix_micros("last_modified")), F.max(F.unix_micros("last_modified"))).first()
-    docs = text_documents(spark, path)
-    if first is None:
-        return docs.limit(0)
-    span = F.col("last_modified").between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last)))
-    return docs.where(span).join(todo, ["path", "last_modified"], "left_semi")
+
+    def read(some, inside):
+        here = todo.where(inside)
+        first, last = here.agg(F.min(F.unix_micros("last_modified")), F.max(F.unix_micros("last_modified"))).first()
+        docs = text_documents(spark, some)
+        if first is None:
+            return each(docs.limit(0))
+        span = F.col("last_modified").between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last)))
+        return each(docs.where(span).join(here, ["path", "last_modified"], "left_semi"))
+
+    found = parts(spark, path)
+    return _by_parts(spark, "changed", path, found, read) if found else read(path, F.lit(True))
 
 
 def table_documents(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:

@@ -33,16 +33,15 @@ def incremental_scan(spark, sf):
     path = scratch_path(spark, "files")
     docs = documents(spark, sf).select("doc_id", "text")
     tables.write_text_files(docs, path)
-    with sources.small_files(spark):
-        seen = staged(sources.listed_files(spark, path), "seen")
+    seen = sources.listed_files(spark, path)
     again = docs.join(table(spark, sf, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi")
     tables.write_text_files(again.withColumn("text", F.concat("text", F.lit("!"))), path, replace=True)
+    changes = staged(sources.file_changes(spark, path, seen), "changes")
+    old = changes.where("change = 'changed'").select(
+        sources.unescaped(sources.unescaped(sources.escaped_id(F.col("path")))).alias("doc_id"),
+        F.lit(True).alias("replaced")).distinct()
     with sources.small_files(spark):
-        changes = staged(sources.file_changes(spark, path, seen), "changes")
-        old = changes.where("change = 'changed'").select(
-            sources.unescaped(sources.unescaped(sources.escaped_id(F.col("path")))).alias("doc_id"),
-            F.lit(True).alias("replaced")).distinct()
-        found = sources.changed_documents(spark, path, changes).select("doc_id", F.md5("text").alias("digest"))
+        found = sources.changed_documents(spark, path, changes, lambda docs: docs.select("doc_id", F.md5("text").alias("digest")))
         return staged(found.join(old, "doc_id", "left"), "found")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docmill.operators import vector_search as VS
 from docmill.session import staged
 from docmill.sources import documents as sources, tables
+from docmill.workload import files_and_streams
 
 
 def test_lists_are_dealt_by_size_within_what_is_distinct():
@@ -174,3 +175,57 @@ def test_the_first_scan_reads_all(spark, tmp_path):
     none = spark.createDataFrame([], "path string, last_modified timestamp")
     changes = staged(sources.file_changes(spark, str(tmp_path), none), "changes")
     assert sources.changed_documents(spark, str(tmp_path), changes).count() == 5
+
+
+def test_files_of_many_folders_are_listed_in_parts(spark, tmp_path, monkeypatch):
+    """The driver lists some of the folders at a time, and the rows are those of a scan of all."""
+    folder, ids = str(tmp_path / "wri tten é"), [f"d {i}" for i in range(200)]
+    tables.write_text_files(spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id string, text string"), folder)
+    (tmp_path / "wri tten é" / "_hidden").mkdir()
+    assert sources.parts(spark, folder) == [] == sources.parts(spark, str(tmp_path)) == sources.parts(spark, f"{folder}/*")
+    monkeypatch.setattr(sources, "FILES_AT_ONCE", 50)
+    kept = [spark.conf.get(name) for name in sources.SMALL_FILES]
+    listed, real = [], sources.text_documents
+
+    def told(session, some):
+        docs = real(session, some)
+        listed.append(len(docs.inputFiles()))
+        return docs
+    monkeypatch.setattr(sources, "text_documents", told)
+    seen = sources.listed_files(spark, folder)
+    assert seen.count() == 200 and seen.distinct().count() == 200
+    got = sources.scanned(spark, folder, "scanned", lambda some: sources.text_documents(spark, some).select("doc_id", "text", "path"))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted((i, f"text {i}\n") for i in ids)
+    assert sum(listed) == 200 and max(listed) <= 50 and len(listed) >= 4
+    assert {r.path for r in got.collect()} == {r.path for r in seen.collect()}
+
+    again = spark.createDataFrame([("d 3", "new"), ("d 77", "new"), ("more", "more")], "doc_id string, text string")
+    tables.write_text_files(again, folder, replace=True)
+    changes = staged(sources.file_changes(spark, folder, seen), "changes")
+    assert sorted(r.change for r in changes.collect()) == ["changed", "changed", "new"]
+    listed.clear()
+    rows = sources.changed_documents(spark, folder, changes, lambda docs: docs.select("doc_id", F.upper("text").alias("t"))).collect()
+    assert sorted((r.doc_id, r.t) for r in rows) == [("d 3", "NEW\n"), ("d 77", "NEW\n"), ("more", "MORE\n")]
+    assert sum(listed) == 201 and max(listed) <= 50
+    assert [spark.conf.get(name) for name in sources.SMALL_FILES] == kept
+    nothing = staged(sources.file_changes(spark, folder, sources.listed_files(spark, folder)), "changes")
+    assert sources.changed_documents(spark, folder, nothing).count() == 0
+
+
+@pytest.mark.parametrize("name", ["incremental_scan", "text_file_scan"])
+def test_file_queries_list_in_parts(spark, tmp_path, monkeypatch, name):
+    spark.range(300).select(F.col("id").alias("doc_id"), F.format_string("text %d", "id").alias("text"), F.lit("en").alias("lang"),
+                            F.lit("src1").alias("source"), F.lit(9).alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(150).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    query = getattr(files_and_streams, name)
+    whole, listed, real = sorted(map(tuple, query(spark, str(tmp_path)).collect())), [], sources.text_documents
+
+    def told(session, some):
+        docs = real(session, some)
+        listed.append(len(docs.inputFiles()))
+        return docs
+    monkeypatch.setattr(sources, "FILES_AT_ONCE", 60)
+    monkeypatch.setattr(sources, "text_documents", told)
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == whole
+    assert len(whole) == {"incremental_scan": 75, "text_file_scan": 300}[name]
+    assert sum(listed) == 300 and max(listed) <= 60

@@ -20,10 +20,13 @@ def text_file_scan(spark, sf):
     """Documents as text files, scanned back whole with id, storage and modification time."""
     path = scratch_path(spark, "files")
     tables.write_text_files(documents(spark, sf), path)
-    with sources.small_files(spark):
-        docs = sources.with_modified(sources.text_documents(spark, path))
-        return staged(docs.select("doc_id", F.md5("text").alias("digest"), "storage", F.col("last_modified_iso").rlike(
-            r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d").alias("dated")), "scanned")
+
+    def scan(some):
+        docs = sources.with_modified(sources.text_documents(spark, some))
+        return docs.select("doc_id", F.md5("text").alias("digest"), "storage", F.col("last_modified_iso").rlike(
+            r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d").alias("dated"))
+
+    return sources.scanned(spark, path, "scanned", scan)
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text || '!' || chr(10)) AS digest, TRUE AS replaced

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -100,7 +101,10 @@ def _by_parts(spark: SparkSession, label: str, path: str | list[str], found: lis
                 first, last = (folder.toUri().getRawPath() for folder in (part[0], part[-1]))
                 rows = scan([folder.toString() for folder in part], (place >= f"{first}/") & (place < f"{last}0"))
             rows.write.mode("append").parquet(out)
-    return spark.read.schema(rows.schema).parquet(out)
+            schema = rows.schema
+            del rows
+            gc.collect()  # Py4J's objects refer to themselves; until Python collects them, the driver keeps the part's list
+    return spark.read.schema(schema).parquet(out)
 
 
 def escaped_id(path: Column) -> Column:

@@ -1,6 +1,7 @@
 """Lists trained in two levels, recall by probes, and scans of changed files."""
 
 import os
+import weakref
 
 import numpy as np
 import pytest
@@ -221,9 +222,12 @@ def test_file_queries_list_in_parts(spark, tmp_path, monkeypatch, name):
     whole, listed, real = sorted(map(tuple, query(spark, str(tmp_path)).collect())), [], sources.text_documents
 
     def told(session, some):
+        assert not held or held[-1]() is None  # the part before, with its list
         docs = real(session, some)
+        held.append(weakref.ref(docs._jdf))
         listed.append(len(docs.inputFiles()))
         return docs
+    held = []
     monkeypatch.setattr(sources, "FILES_AT_ONCE", 60)
     monkeypatch.setattr(sources, "text_documents", told)
     assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == whole
